@@ -116,12 +116,12 @@ def calibrate(counts: np.ndarray) -> np.ndarray:
     rate = (counts.sum(0)[1] / counts.sum()) if counts.sum() else 0.0
     stack: list[list[float]] = []
     for clean, toxic in counts[1:]:
-        stack.append([toxic + rate, clean + toxic + 1.0, 1])
+        stack.append([toxic + 0.05 * rate, clean + toxic + 0.05, 1])
         while len(stack) > 1 and stack[-2][0] * stack[-1][1] >= stack[-1][0] * stack[-2][1]:
             t, n, k = stack.pop()
             stack[-1] = [stack[-1][0] + t, stack[-1][1] + n, stack[-1][2] + k]
     rising = [t / n for t, n, k in stack for _ in range(int(k))]
-    return np.array([(counts[0, 1] + rate) / (counts[0].sum() + 1.0), *rising])
+    return np.clip([(counts[0, 1] + 0.05 * rate) / (counts[0].sum() + 0.05), *rising], 0.001, 0.999) if counts.sum() else np.zeros(BINS)
 
 
 def fit(train: DataFrame):
