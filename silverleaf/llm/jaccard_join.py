@@ -189,7 +189,7 @@ def _pairs(row, percent: int, label: dict | None) -> pd.DataFrame:
         p, q = i[take], j[take]
         swap = sig[p] > sig[q]
         p, q = np.where(swap, q, p), np.where(swap, p, q)
-        out.append(np.stack([sig[p], sig[q], pos[p], pos[q], n[p], n[q]], axis=1))
+        out.append(np.stack([sig[p], sig[q], pos[p], pos[q], n[p], n[q], np.ones(len(p), np.int64)], axis=1))
         if len(out) > 64:
             out = [_merge(np.concatenate(out))]
     t = _merge(np.concatenate(out)) if out else np.zeros((0, 7), np.int64)
@@ -197,11 +197,7 @@ def _pairs(row, percent: int, label: dict | None) -> pd.DataFrame:
 
 
 def _merge(t: np.ndarray) -> np.ndarray:
-    """One row per pair (a, b): largest positions, sizes and how many rows there were."""
-    if t.shape[1] == 6:
-        t = np.concatenate([t, np.ones((len(t), 1), np.int64)], axis=1)
-    elif not len(t):
-        return t
+    """One row per pair (a, b): largest positions, sizes, and the sum of the counts."""
     order = np.lexsort((t[:, 1], t[:, 0]))
     t = t[order]
     if not len(t):
