@@ -7,6 +7,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,6 +58,13 @@ def byte_list(arr) -> list[bytes]:
     return [b"" if x is None else x for x in arr.cast(pa.binary()).to_pylist()]
 
 
+def text_slices(arr, limit: int):
+    """Lists of UTF-8 texts of an Arrow column, each of about ``limit`` bytes."""
+    arr = arr.cast(pa.binary())
+    for s, e in blocks([n or 0 for n in pc.binary_length(arr).to_pylist()], limit):
+        yield byte_list(arr.slice(s, e - s))
+
+
 def blocks(sizes, limit: int):
     """Consecutive index ranges whose sizes add up to about ``limit``; one large item stands alone."""
     start = total = 0
@@ -166,7 +174,8 @@ def pack_sorted(values: np.ndarray) -> bytes:
 
 
 def unpack_sorted(blob: bytes) -> np.ndarray:
-    width = blob[0]
+    blob = memoryview(blob)
+    width = blob[0] if blob.format == "B" else blob.cast("B")[0]
     raw = np.frombuffer(blob, np.uint8, offset=1).reshape(-1, width)
     out = np.zeros((len(raw), 8), np.uint8)
     out[:, :width] = raw

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NONBLANK, Words, blocks, byte_list, input_bytes, materialize, mix, pack_sorted, release, scratch_path, unpack_sorted
+from .common import NONBLANK, Words, blocks, byte_list, input_bytes, materialize, mix, pack_sorted, release, scratch_path, text_slices, unpack_sorted
 from .components import components
 
 SKETCH_BITS = 19
@@ -39,7 +39,7 @@ NEIGHBOURS = 6
 
 def shingle_sets(texts: list[bytes], words: int):
     """(index, sorted distinct shingle hashes) of each text that has a word."""
-    for s, e in blocks([len(t) for t in texts], 1 << 21):
+    for s, e in blocks([len(t) for t in texts], 1 << 20):
         w = Words(texts[s:e], NONBLANK)
         first, h = w.ngrams(words)
         cut = np.searchsorted(w.doc[first], np.arange(e - s + 1))
@@ -112,9 +112,9 @@ ENTRIES = "bucket int, h binary, index_ binary, pos binary, nodes binary, size_
 def _entries(docs: DataFrame, words: int, percent: int, sketch, buckets: int) -> DataFrame:
     def send(batches):
         counts = sketch.value
-        for b in batches:
+        for texts in (t for b in batches for t in text_slices(b.column("text"), 16 << 20)):
             seen, out = set(), []
-            for _, u in shingle_sets(byte_list(b.column("text")), words):
+            for _, u in shingle_sets(texts, words):
                 sig = signature(u)
                 if sig in seen:
                     continue
@@ -214,19 +214,20 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs whose sets link. Suffix filter: what the sets can share in each of 64 hash ranges, then the sets."""
 
     def check(batches):
-        for pdf in batches:
+        for batch in batches:
             keep = []
-            for x, y in zip(pdf["sa"], pdf["sb"]):
-                u, v = unpack_sorted(x), unpack_sorted(y)
+            for x, y in zip(batch.column("sa"), batch.column("sb")):
+                u, v = unpack_sorted(x.as_buffer()), unpack_sorted(y.as_buffer())
                 need = percent * (len(u) + len(v))
                 edges = np.arange(1, RANGES, dtype=np.uint64) << np.uint64(58)
                 cu, cv = np.diff(np.searchsorted(u, edges), prepend=0, append=len(u)), np.diff(np.searchsorted(v, edges), prepend=0, append=len(v))
                 keep.append(np.minimum(cu, cv).sum() * (100 + percent) >= need and len(np.intersect1d(u, v, assume_unique=True)) * (100 + percent) >= need)
-            yield pdf.loc[np.array(keep, bool), ["a", "b"]]
+            keep = pa.array(keep, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(keep) for c in ("a", "b")], names=["a", "b"])
 
     with_a = pairs.select("a", "b").join(sets.select(F.col("sig").alias("a"), F.col("data").alias("sa")), "a")
     with_b = with_a.join(sets.select(F.col("sig").alias("b"), F.col("data").alias("sb")), "b")
-    return with_b.select("a", "b", "sa", "sb").mapInPandas(check, "a long, b long")
+    return with_b.select("a", "b", "sa", "sb").mapInArrow(check, "a long, b long")
 
 
 def link_documents(docs: DataFrame, percent: int = 75, words: int = 5) -> DataFrame:
@@ -246,36 +247,42 @@ def link_documents(docs: DataFrame, percent: int = 75, words: int = 5) -> DataFr
                 yield pd.DataFrame({"bucket": r.bucket, "sig": np.frombuffer(r.nodes, np.int64)})
 
     held = groups.select("bucket", "nodes").mapInPandas(nodes, "bucket int, sig long")
-    wanted = spark.sparkContext.broadcast(_bitmap(held))  # fixed size: 2**23 bits
-
-    def gather(batches):
-        bits = wanted.value
-        for b in batches:
-            seen, out = set(), []
-            for _, u in shingle_sets(byte_list(b.column("text")), words):
-                s = signature(u)
-                at = s & ((1 << FILTER_BITS) - 1)
-                if s not in seen and bits[at >> 3] >> (7 - (at & 7)) & 1:
-                    seen.add(s)
-                    out.append((s, pack_sorted(u)))
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.binary())], names=["sig", "data"])
-
-    name = f"jaccard_sets_{uuid.uuid4().hex}"
     parts = int(max(12, n_bytes // (32 << 20)))
-    (docs.select("text").mapInArrow(gather, "sig long, data binary").repartition(parts, "sig").dropDuplicates(["sig"])
-        .write.bucketBy(parts, "sig").option("compression", "zstd").option("path", scratch_path(spark, "jaccard-sets")).saveAsTable(name))
-    sets = spark.table(name)
-    release(spark)
+
+    def sets_of(pairs):
+        """Sets of the nodes in ``pairs``, bucketed by node, from one scan of the texts."""
+        wanted = spark.sparkContext.broadcast(_bitmap(pairs.select(F.explode(F.array("a", "b")).alias("sig"))))  # fixed size: 2**23 bits
+
+        def gather(batches):
+            bits = wanted.value
+            for b in batches:
+                seen = set()
+                for texts in text_slices(b.column("text"), 4 << 20):
+                    out = []
+                    for _, u in shingle_sets(texts, words):
+                        s = signature(u)
+                        at = s & ((1 << FILTER_BITS) - 1)
+                        if s not in seen and bits[at >> 3] >> (7 - (at & 7)) & 1:
+                            seen.add(s)
+                            out.append((s, pack_sorted(u)))
+                    yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.binary())], names=["sig", "data"])
+
+        name = f"jaccard_sets_{uuid.uuid4().hex}"
+        (docs.select("text").mapInArrow(gather, "sig long, data binary").repartition(parts, "sig").dropDuplicates(["sig"])
+            .write.bucketBy(parts, "sig").option("compression", "zstd").option("path", scratch_path(spark, "jaccard-sets")).saveAsTable(name))
+        release(spark)
+        return spark.table(name)
 
     def near(batches):
         for pdf in batches:
             for r in pdf.itertuples():
                 yield _pairs(r, percent, None)
 
-    ab = groups.mapInPandas(near, PAIRS).groupBy("a", "b").agg(F.sum("c").alias("c"))
+    ab = groups.mapInPandas(near, PAIRS).groupBy("a", "b").agg(F.sum("c").alias("c"), F.first("na").alias("na"), F.first("nb").alias("nb"))
+    ab = ab.filter(F.col("c") * 40 >= F.least("na", "nb"))  # only which pairs come first; the last round leaves none out
     best = lambda x, y: ab.groupBy(F.col(x).alias("x")).agg(F.max(F.struct("c", F.col(y).alias("y"))).alias("m")).select(F.least("x", "m.y").alias("a"), F.greatest("x", "m.y").alias("b"))
     first = materialize(best("a", "b").unionByName(best("b", "a")).distinct(), "jaccard-first")
-    links = materialize(_verified(first, sets, percent), "jaccard-links")
+    links = materialize(_verified(first, sets_of(first), percent), "jaccard-links")
     label = components(links, max_steps=2)
     release(spark)
 
@@ -287,9 +294,12 @@ def link_documents(docs: DataFrame, percent: int = 75, words: int = 5) -> DataFr
     at = held.join(label, held["sig"] == label["node"]).select("bucket", "node", "component")
     rest = groups.groupBy("bucket").cogroup(at.groupBy("bucket")).applyInPandas(cross, PAIRS)
     rest = rest.groupBy("a", "b").agg(F.sum("c").alias("c"), F.max("pa").alias("pa"), F.max("pb").alias("pb"), F.first("na").alias("na"), F.first("nb").alias("nb"))
+    # all shared shingles of the prefix that ends first are counted in c; what follows it is at most n - prefix
+    after = lambda n: F.ceil(F.col(n) * percent / 100) - 1
+    rest = rest.filter((F.col("c") + F.greatest(after("na"), after("nb"))) * (100 + percent) >= percent * (F.col("na") + F.col("nb")))
     rest = rest.filter((F.col("c") + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) - 1) * (100 + percent) >= percent * (F.col("na") + F.col("nb")))
     rest = materialize(rest.select("a", "b").join(first, ["a", "b"], "left_anti"), "jaccard-rest")
-    links = links.unionByName(materialize(_verified(rest, sets, percent), "jaccard-links"))
+    links = links.unionByName(materialize(_verified(rest, sets_of(rest), percent), "jaccard-links"))
     label = components(links)
     release(spark)
 
