@@ -8,7 +8,8 @@
 * First round: within a shingle, nodes are paired with their next neighbours by size only, and each node
   verifies its most promising pair. Links found merge nodes into components.
 * Last round, exact: every pair of nodes in different components that shares a prefix shingle and passes the
-  length, positional and suffix filters is verified once, from the full sets. Pairs inside a component need no
+  length, positional, parity (how many shingles two sets differ by at least) and suffix filters is verified once,
+  from the full sets. Pairs inside a component need no
   test, as they change no component. So large groups of near copies never expand into all pairs, and
   no link between components is lost.
 
@@ -31,9 +32,10 @@ from pyspark.sql import functions as F
 from .common import NONBLANK, Words, blocks, byte_list, input_bytes, materialize, mix, pack_sorted, release, scratch_path, text_slices, unpack_sorted
 from .components import components
 
-SKETCH_BITS = 19
+SKETCH_BITS = 21
 FILTER_BITS = 23
 RANGES = 64
+PARITY = 512
 NEIGHBOURS = 6
 
 
@@ -54,25 +56,29 @@ def signature(u: np.ndarray) -> int:
     return int(mix(np.array([np.sum(mix(u), dtype=np.uint64) + np.uint64(len(u))]))[0].astype(np.int64))
 
 
+def parity_bits(u: np.ndarray) -> bytes:
+    """For each of PARITY hash ranges whether an odd number of shingles falls there: sets differ by as many shingles at least as bits."""
+    return np.packbits(np.bincount((u >> np.uint64(64 - 9)).astype(np.int64), minlength=PARITY) & 1).tobytes()
+
+
 def prefix_length(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
 def _summaries(docs: DataFrame, words: int) -> DataFrame:
-    """One scan: doc rows (doc_id, size, sig) and slices of the count sketch, told apart by ``slice``."""
+    """One scan: doc rows (doc_id, size, sig, parity bits as n) and slices of the count sketch, told apart by ``slice``."""
     slots, step = 1 << SKETCH_BITS, 1 << 16
 
     def scan(batches):
         total = np.zeros(slots, np.int64)
         for b in batches:
             texts, ids = byte_list(b.column("text")), b.column("doc_id").to_pylist()
-            size, sig = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64)
+            size, sig, bits = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64), [None] * len(ids)
             for i, u in shingle_sets(texts, words):
                 size[i], sig[i] = len(u), signature(u)
-                total += np.bincount((u >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=slots) if len(u) > 50_000 else 0
-                if len(u) <= 50_000:
-                    np.add.at(total, (u >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
-            yield pa.RecordBatch.from_pydict({"slice": pa.nulls(len(ids), pa.int32()), "n": pa.nulls(len(ids), pa.binary()), "doc_id": pa.array(ids, pa.int64()), "size": size, "sig": sig})
+                bits[i] = parity_bits(u)
+                np.add.at(total, (u >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
+            yield pa.RecordBatch.from_pydict({"slice": pa.nulls(len(ids), pa.int32()), "n": pa.array(bits, pa.binary()), "doc_id": pa.array(ids, pa.int64()), "size": size, "sig": sig})
         out = [(k, total[k * step : (k + 1) * step].astype("<u4").tobytes()) for k in range(slots // step)] if total.any() else []
         none = pa.nulls(len(out), pa.int64())
         yield pa.RecordBatch.from_pydict({"slice": pa.array([k for k, _ in out], pa.int32()), "n": pa.array([x for _, x in out], pa.binary()), "doc_id": none, "size": none, "sig": none})
@@ -85,7 +91,7 @@ def _sketch(scanned: DataFrame) -> np.ndarray:
         total = sum(np.frombuffer(x, "<u4").astype(np.int64) for x in pdf["n"])
         return pdf.head(1)[["slice"]].assign(n=[np.minimum(total, 2**31 - 1).astype("<i4").tobytes()])
 
-    rows = scanned.filter("slice is not null").select("slice", "n").groupBy("slice").applyInPandas(add, "slice int, n binary").collect()  # 2**19 counts
+    rows = scanned.filter("slice is not null").select("slice", "n").groupBy("slice").applyInPandas(add, "slice int, n binary").collect()  # 2**21 counts
     out = np.zeros(1 << SKETCH_BITS, np.int32)
     for r in rows:
         out[r["slice"] << 16 : (r["slice"] + 1) << 16] = np.frombuffer(r["n"], "<i4")
@@ -158,7 +164,7 @@ def _shared(pdf: pd.DataFrame) -> pd.DataFrame:
 PAIRS = "a long, b long, c long, pa long, pb long, na long, nb long"
 
 
-def _pairs(row, percent: int, label: dict | None) -> pd.DataFrame:
+def _pairs(row, percent: int, label: tuple | None, bits: np.ndarray | None = None) -> pd.DataFrame:
     """Pairs within each shingle of a bucket, one row per pair: shared shingles and last positions.
 
     Without labels: next neighbours by size only. With labels: all pairs with different labels.
@@ -167,15 +173,19 @@ def _pairs(row, percent: int, label: dict | None) -> pd.DataFrame:
     order = np.lexsort((sig, n, h))
     h, sig, n, pos = h[order], sig[order], n[order], pos[order]
     group = np.cumsum(np.concatenate([[0], (h[1:] != h[:-1]).astype(np.int64)]))
-    own = np.fromiter((label.get(x, x) for x in sig.tolist()), np.int64, len(sig)) if label is not None else None
+    if label is not None:
+        at = np.searchsorted(label[0], sig)
+        own = label[1][at]
+    else:
+        own = at = None
     out = []
     if own is not None:  # shingles whose nodes are all in one component need no pair
         low, high = np.full(group[-1] + 1, np.iinfo(np.int64).max), np.full(group[-1] + 1, np.iinfo(np.int64).min)
         np.minimum.at(low, group, own)
         np.maximum.at(high, group, own)
         keep = (low < high)[group]
-        sig, n, pos, group, own = sig[keep], n[keep], pos[keep], group[keep], own[keep]
-    i, k = np.arange(len(sig)), 0
+        sig, n, pos, group, own, at = sig[keep], n[keep], pos[keep], group[keep], own[keep], at[keep]
+    i, k, rows = np.arange(len(sig)), 0, 0
     while len(i) and (own is not None or k < NEIGHBOURS):
         k += 1
         i = i[i + k < len(sig)]
@@ -184,14 +194,21 @@ def _pairs(row, percent: int, label: dict | None) -> pd.DataFrame:
         i, j = i[ok], j[ok]
         at_most = np.minimum(pos[i], pos[j]) + 1 + np.minimum(n[i] - pos[i], n[j] - pos[j]) - 1
         take = at_most * (100 + percent) >= percent * (n[i] + n[j])
+        take &= pos[i] < n[i] + (-2 * percent * n[i]) // (100 + percent) + 1  # the smaller set (i) shares in its shorter prefix
         if own is not None:
             take &= own[i] != own[j]
         p, q = i[take], j[take]
+        if own is not None and len(p):
+            differ = np.bitwise_count(bits[at[p]] ^ bits[at[q]]).sum(1).astype(np.int64)
+            fine = differ * (100 + percent) <= (100 - percent) * (n[p] + n[q])
+            p, q = p[fine], q[fine]
         swap = sig[p] > sig[q]
         p, q = np.where(swap, q, p), np.where(swap, p, q)
         out.append(np.stack([sig[p], sig[q], pos[p], pos[q], n[p], n[q], np.ones(len(p), np.int64)], axis=1))
-        if len(out) > 64:
+        rows += len(p)
+        if rows > 400_000:
             out = [_merge(np.concatenate(out))]
+            rows = -len(out[0])  # merge again after as many new rows as there are merged ones
     t = _merge(np.concatenate(out)) if out else np.zeros((0, 7), np.int64)
     return pd.DataFrame(t, columns=["a", "b", "pa", "pb", "na", "nb", "c"])[["a", "b", "c", "pa", "pb", "na", "nb"]]
 
@@ -236,8 +253,8 @@ def link_documents(docs: DataFrame, percent: int = 75, words: int = 5) -> DataFr
     n_docs, n_bytes = input_bytes(docs)
     buckets = int(max(12, n_bytes // (24 << 20)))
     scanned = materialize(_summaries(docs, words), "jaccard-scan")
-    info = scanned.filter("doc_id is not null or size is not null").select("doc_id", F.col("size").alias("n_shingles"), "sig")
-    sketch = spark.sparkContext.broadcast(_sketch(scanned))  # fixed size: 2**19 counts
+    info = scanned.filter("doc_id is not null or size is not null").select("doc_id", F.col("size").alias("n_shingles"), "sig", F.col("n").alias("bits"))
+    sketch = spark.sparkContext.broadcast(_sketch(scanned))  # fixed size: 2**21 counts
     groups = materialize(_entries(docs, words, percent, sketch, buckets).groupBy("bucket").applyInPandas(_shared, ENTRIES), "jaccard-groups")
     release(spark)
 
@@ -283,15 +300,18 @@ def link_documents(docs: DataFrame, percent: int = 75, words: int = 5) -> DataFr
     best = lambda x, y: ab.groupBy(F.col(x).alias("x")).agg(F.max(F.struct("c", F.col(y).alias("y"))).alias("m")).select(F.least("x", "m.y").alias("a"), F.greatest("x", "m.y").alias("b"))
     first = materialize(best("a", "b").unionByName(best("b", "a")).distinct(), "jaccard-first")
     links = materialize(_verified(first, sets_of(first), percent), "jaccard-links")
-    label = components(links, max_steps=2)
+    label = components(links)
     release(spark)
 
-    def cross(key, entries, labels):
-        known = dict(zip(labels["node"].tolist(), labels["component"].tolist()))
-        out = [_pairs(r, percent, known) for r in entries.itertuples()]
+    def cross(key, entries, nodes):
+        nodes = nodes.drop_duplicates("sig").sort_values("sig")
+        known = nodes["sig"].to_numpy(), nodes["component"].to_numpy()
+        bits = np.frombuffer(b"".join(nodes["bits"]), np.uint64).reshape(len(nodes), -1)
+        out = [_pairs(r, percent, known, bits) for r in entries.itertuples()]
         return pd.concat(out) if out else pd.DataFrame(columns=["a", "b", "c", "pa", "pb", "na", "nb"])
 
-    at = held.join(label, held["sig"] == label["node"]).select("bucket", "node", "component")
+    known = info.filter("n_shingles > 0").groupBy("sig").agg(F.first("bits").alias("bits")).join(label.withColumnRenamed("node", "sig"), "sig", "left")
+    at = held.join(known, "sig").select("bucket", "sig", F.coalesce("component", "sig").alias("component"), "bits")
     rest = groups.groupBy("bucket").cogroup(at.groupBy("bucket")).applyInPandas(cross, PAIRS)
     rest = rest.groupBy("a", "b").agg(F.sum("c").alias("c"), F.max("pa").alias("pa"), F.max("pb").alias("pb"), F.first("na").alias("na"), F.first("nb").alias("nb"))
     # all shared shingles of the prefix that ends first are counted in c; what follows it is at most n - prefix
