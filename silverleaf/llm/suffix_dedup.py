@@ -17,7 +17,7 @@ fingerprint of those bytes, never by the bytes themselves.
 Results are decided by 64-bit fingerprints: for n sorted suffixes the chance that any byte is removed wrongly
 is below n*n / 2**65.
 
-Defined cases: null or empty text -> nothing removed, digest of zero bytes; texts under 50 bytes are kept;
+Defined cases: rows without doc_id come before none and after none, so they keep everything; null or empty text -> nothing removed, digest of zero bytes; texts under 50 bytes are kept;
 rows repeating a doc_id never remove each other (only a smaller id removes); an empty table gives no rows;
 other columns of the input are ignored.
 """
@@ -152,6 +152,7 @@ def remove_repeats(docs: DataFrame, chunk_bytes: int = 4 << 20, blocks: int = 2)
     ``blocks`` is the number of parts of the suffix space that are sorted one after the other.
     """
     spark = docs.sparkSession
+    docs, no_id = docs.filter("doc_id is not null"), docs.filter("doc_id is null")
     n_docs, n_bytes = input_bytes(docs)
     chunks = max(1, min(n_docs, -(-n_bytes // chunk_bytes)))
     buckets = max(blocks, 12, chunks // 3) // blocks * blocks
@@ -221,7 +222,10 @@ def remove_repeats(docs: DataFrame, chunk_bytes: int = 4 << 20, blocks: int = 2)
             rows.append((int(c.ids[i]), len(t), sum(e - s for s, e in spans), len(spans), digest.hexdigest(), ",".join(f"{s}:{e}" for s, e in spans)))
         return pd.DataFrame(rows, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "removed"])
 
-    return by_chunk.cogroup(found.groupBy("chunk")).applyInPandas(finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed string")
+    out = by_chunk.cogroup(found.groupBy("chunk")).applyInPandas(finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed string")
+    text = F.coalesce("text", F.lit(""))
+    zero = F.lit(0).cast("long")
+    return out.unionByName(no_id.select(F.col("doc_id").cast("long").alias("doc_id"), F.octet_length(text).cast("long").alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), F.sha2(text, 256).alias("kept_sha256"), F.lit("").alias("removed")))
 
 
 def op1_suffix_dedup(spark, sf_dir) -> DataFrame:
