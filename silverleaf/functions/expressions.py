@@ -25,6 +25,72 @@ def shrink_quad(v: Column, f: float) -> Column:
     return F.transform(v, lambda p: F.struct((p["x"] + (cx - p["x"]) * f).alias("x"), (p["y"] + (cy - p["y"]) * f).alias("y")))
 
 
+def grow_quad(v: Column, margin: float = 5.0) -> Column:
+    """Every corner (TL, TR, BR, BL) moved outward by ``margin`` on both axes, truncated to whole numbers."""
+    cut = lambda c: F.when(c < 0, F.ceil(c)).otherwise(F.floor(c)).cast("int")
+    sides = ((-1, -1), (1, -1), (1, 1), (-1, 1))
+    return F.array(*[F.struct(cut(v[i]["x"] + sx * margin).alias("x"), cut(v[i]["y"] + sy * margin).alias("y")) for i, (sx, sy) in enumerate(sides)])
+
+
+def blend(c: Column, mask: Column, value: Column, alpha: float = 0.45) -> Column:
+    """Channel mixed with ``value`` where the mask is set, truncated."""
+    return F.when(mask, F.floor(c * (1.0 - alpha) + value * alpha).cast("int")).otherwise(c)
+
+
+#: Colours of items, by index.
+PALETTE = ((0, 255, 0), (255, 0, 0), (0, 170, 255), (255, 0, 255), (255, 220, 0))
+
+
+def palette(index: Column) -> Column:
+    """array(r, g, b) of a 1-based index, cyclic."""
+    return F.element_at(F.array(*[F.array(*map(F.lit, c)) for c in PALETTE]), (F.pmod(index - 1, F.lit(len(PALETTE))) + 1).cast("int"))
+
+
+def rgb_to_lab(r: Column, g: Column, b: Column) -> tuple[Column, Column, Column]:
+    """L scaled to 0..255, a and b moved by 128, as doubles (sRGB primaries, D65 white)."""
+
+    def linear(c):
+        c = c / 255.0
+        return F.when(c > 0.04045, F.pow((c + 0.055) / 1.055, F.lit(2.4))).otherwise(c / 12.92)
+
+    def bend(t):
+        return F.when(t > 0.008856, F.cbrt(t)).otherwise(7.787 * t + 16.0 / 116.0)
+
+    r, g, b = linear(r), linear(g), linear(b)
+    x = (0.412453 * r + 0.357580 * g + 0.180423 * b) / 0.950456
+    y = 0.212671 * r + 0.715160 * g + 0.072169 * b
+    z = (0.019334 * r + 0.119193 * g + 0.950227 * b) / 1.088754
+    light = F.when(y > 0.008856, 116.0 * F.cbrt(y) - 16.0).otherwise(903.3 * y)
+    return light * 255.0 / 100.0, 500.0 * (bend(x) - bend(y)) + 128.0, 200.0 * (bend(y) - bend(z)) + 128.0
+
+
+def lab_to_rgb(light: Column, a: Column, b: Column) -> tuple[Column, Column, Column]:
+    """The reverse of ``rgb_to_lab``, as doubles in 0..255."""
+    light = light * 100.0 / 255.0
+    fy = F.when(light > 7.9996, (light + 16.0) / 116.0).otherwise(7.787 * (light / 903.3) + 16.0 / 116.0)
+    y = F.when(light > 7.9996, fy * fy * fy).otherwise(light / 903.3)
+    back = lambda f: F.when(f > 0.206893, f * f * f).otherwise((f - 16.0 / 116.0) / 7.787)
+    x, z = back(fy + (a - 128.0) / 500.0) * 0.950456, back(fy - (b - 128.0) / 200.0) * 1.088754
+
+    def curve(c):
+        c = F.least(F.lit(1.0), F.greatest(F.lit(0.0), c))
+        return 255.0 * F.when(c > 0.0031308, 1.055 * F.pow(c, F.lit(1.0 / 2.4)) - 0.055).otherwise(12.92 * c)
+
+    return (curve(3.240479 * x - 1.537150 * y - 0.498535 * z), curve(-0.969256 * x + 1.875991 * y + 0.041556 * z), curve(0.055648 * x - 0.204043 * y + 1.057311 * z))
+
+
+def build_request(url: Column, model: str, prompt: str, max_tokens: int = 1024, thinking_budget: int = 0) -> Column:
+    """JSON body of a chat request with one image; the thinking budget is sent only if it is positive."""
+    image = F.struct(F.lit("image_url").alias("type"), F.struct(url.alias("url")).alias("image_url"), F.lit(65536).alias("min_pixels"), F.lit(2621440).alias("max_pixels"))
+    system = F.struct(F.lit("system").alias("role"), F.lit(prompt).alias("content"))
+    user = F.struct(F.lit("user").alias("role"), F.array(image).alias("content"))
+    extra = [F.lit(thinking_budget > 0).alias("enable_thinking")] + ([F.lit(thinking_budget).alias("thinking_budget")] if thinking_budget > 0 else [])
+    messages = F.concat(F.lit("["), F.to_json(system), F.lit(","), F.to_json(user), F.lit("]"))
+    tail = F.to_json(F.struct(F.lit(max_tokens).alias("max_tokens"), *extra))
+    head = F.to_json(F.struct(F.lit(model).alias("model")))
+    return F.concat(F.substring(head, F.lit(1), F.length(head) - 1), F.lit(',"messages":'), messages, F.lit(","), F.substring(tail, F.lit(2), F.length(tail)))
+
+
 def rectify_quality(v: Column, aspect: float = 1.35) -> Column:
     """Product of opposite side ratios and of the closeness of the mean aspect to ``aspect``."""
     side = lambda a, b: F.sqrt(F.pow(v[a]["x"] - v[b]["x"], 2) + F.pow(v[a]["y"] - v[b]["y"], 2))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -70,3 +72,69 @@ def nearest_edge(points: DataFrame, lines: DataFrame) -> DataFrame:
     """Each point with the nearest of its group's lines (group_id, edges array of a, b, c); the first edge wins ties."""
     d = F.transform("edges", lambda e, i: F.struct((F.abs(e["a"] * F.col("x") + e["b"] * F.col("y") + e["c"]) / F.sqrt(e["a"] * e["a"] + e["b"] * e["b"])).alias("d"), i.alias("edge")))
     return points.join(lines, "group_id").withColumn("near", F.array_min(d)).select("group_id", "pid", F.col("near.edge").alias("edge"), F.col("near.d").alias("d"))
+
+
+def sort_by_angle(points: DataFrame) -> DataFrame:
+    """(group_id, v): the few corners of each group in order of their angle about the mean."""
+    w = Window.partitionBy("group_id")
+    angle = F.atan2(F.col("y") - F.avg("y").over(w), F.col("x") - F.avg("x").over(w))
+    out = points.withColumn("angle", angle).groupBy("group_id").agg(F.sort_array(F.collect_list(F.struct("angle", "x", "y"))).alias("v"))
+    return out.select("group_id", F.transform("v", lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"))).alias("v"))
+
+
+def extremes(points: DataFrame) -> DataFrame:
+    """(group_id, p1..p4): leftmost point, the point farthest from it, and those farthest to either side of the line through both.
+
+    Ties go to the smaller y for p1, else to the larger x, then y. If p2 is nearer than 1, all four are p1.
+    Three aggregates joined back by key; none gathers a group.
+    """
+    p = F.struct("x", "y")
+    first = points.groupBy("group_id").agg(F.min(p).alias("p1"))
+    dx, dy = F.col("x") - F.col("p1.x"), F.col("y") - F.col("p1.y")
+    pair = points.join(first, "group_id").groupBy("group_id", "p1").agg(F.max(F.struct((dx * dx + dy * dy).alias("d2"), p.alias("p"))).alias("m"))
+    pair = pair.select("group_id", "p1", F.col("m.p").alias("p2"), F.col("m.d2").alias("d2"))
+    vx, vy = F.col("p2.x") - F.col("p1.x"), F.col("p2.y") - F.col("p1.y")
+    side = vx * dy - vy * dx
+    out = points.join(pair, "group_id").groupBy("group_id", "p1", "p2", "d2").agg(F.max(F.struct(side.alias("s"), p.alias("p")))["p"].alias("p3"), F.max(F.struct((-side).alias("s"), p.alias("p")))["p"].alias("p4"))
+    return out.select("group_id", "p1", *[F.when(F.col("d2") < 1, F.col("p1")).otherwise(F.col(k)).alias(k) for k in ("p2", "p3", "p4")])
+
+
+def farthest_pair(points: DataFrame) -> DataFrame:
+    """(group_id, d2, p, q): the two points farthest apart, p before q; ties to the largest coordinates. Only hull corners are compared."""
+
+    def best(key, pdf):
+        pts = sorted(zip(pdf["x"], pdf["y"]))
+        top = (0.0, pts[-1], pts[-1])
+        for i, p in enumerate(pts):
+            for q in pts[i + 1 :]:
+                top = max(top, ((q[0] - p[0]) * (q[0] - p[0]) + (q[1] - p[1]) * (q[1] - p[1]), p, q))
+        return pd.DataFrame([(key[0], top[0], *top[1], *top[2])], columns=["group_id", "d2", "px", "py", "qx", "qy"])
+
+    return convex_hull(points).groupBy("group_id").applyInPandas(best, "group_id long, d2 double, px double, py double, qx double, qy double")
+
+
+def min_area_rect(points: DataFrame) -> DataFrame:
+    """(group_id, area, v): smallest rectangle around the points, one side along a hull edge; corners in order of angle.
+
+    The hull is of fixed order; edges meet hull corners by key, and the smallest area wins, ties to the first edge.
+    """
+
+    def rects(key, pdf):
+        hull = _hull(list(zip(pdf["x"], pdf["y"])))
+        best = (math.inf, [hull[0]] * 4)
+        for i, a in enumerate(hull):
+            b = hull[(i + 1) % len(hull)]
+            n = math.hypot(b[0] - a[0], b[1] - a[1])
+            if n == 0:
+                best = (0.0, [a] * 4)
+                continue
+            ux, uy = (b[0] - a[0]) / n, (b[1] - a[1]) / n
+            s, t = [p[0] * ux + p[1] * uy for p in hull], [p[1] * ux - p[0] * uy for p in hull]
+            area = (max(s) - min(s)) * (max(t) - min(t))
+            if area < best[0]:
+                best = (area, [(k * ux - m * uy, k * uy + m * ux) for k, m in ((min(s), min(t)), (max(s), min(t)), (max(s), max(t)), (min(s), max(t)))])
+        cx, cy = sum(p[0] for p in best[1]) / 4, sum(p[1] for p in best[1]) / 4
+        v = sorted(best[1], key=lambda p: (math.atan2(p[1] - cy, p[0] - cx), p))
+        return pd.DataFrame([(key[0], best[0], [{"x": x, "y": y} for x, y in v])], columns=["group_id", "area", "v"])
+
+    return convex_hull(points).groupBy("group_id").applyInPandas(rects, "group_id long, area double, v array<struct<x:double,y:double>>")

@@ -5,10 +5,14 @@ Cells are rows (image_id, mask_id, cell) or (image_id, y, x). Null keys belong t
 
 from __future__ import annotations
 
+import math
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .labelling import edge_cells
+
 
 def mask_and(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.intersect(b)
@@ -73,32 +77,71 @@ def largest_mask(cells: DataFrame) -> DataFrame:
     return size.groupBy("image_id").agg(best.alias("m")).select("image_id", (-F.col("m.minus")).alias("mask_id"), F.col("m.n").alias("n"))
 
 
+def mask_not(a: DataFrame, height: int, width: int) -> DataFrame:
+    """Cells of the image's grid that are not set, for images that have a set cell."""
+    grid = a.select("image_id").distinct().select("image_id", F.explode(F.sequence(F.lit(0), F.lit(height - 1))).alias("y")).select("image_id", "y", F.explode(F.sequence(F.lit(0), F.lit(width - 1))).alias("x"))
+    return grid.join(a.select("image_id", "y", "x"), ["image_id", "y", "x"], "left_anti")
+
+
+def union_instances(cells: DataFrame) -> DataFrame:
+    """One mask of all instances of an image."""
+    return cells.select("image_id", "y", "x").distinct()
+
+
+def centroid(cells: DataFrame, by: list[str]) -> DataFrame:
+    return cells.groupBy(*by).agg(F.avg("x").alias("cx"), F.avg("y").alias("cy"))
+
+
+def threshold_detections(found: DataFrame, cells: DataFrame, threshold: float, mask_threshold: float = 0.5) -> DataFrame:
+    """Cells above ``mask_threshold`` of the detections (image_id, mask_id, score) above ``threshold``."""
+    kept = found.filter(F.col("score") > threshold).select("image_id", "mask_id")
+    return cells.filter(F.col("p") > mask_threshold).join(kept, ["image_id", "mask_id"], "left_semi")
+
+
+def fill_where(px: DataFrame, mask: DataFrame, colour: tuple[int, int, int] = (240, 240, 240)) -> DataFrame:
+    """Pixels with ``colour`` where the mask is set, and ``filled``."""
+    hit = px.join(mask.select("image_id", "y", "x").distinct().withColumn("filled", F.lit(True)), ["image_id", "y", "x"], "left")
+    hit = hit.withColumn("filled", F.coalesce("filled", F.lit(False)))
+    return hit.withColumns({c: F.when(F.col("filled"), v).otherwise(F.col(c)) for c, v in zip("rgb", colour)})
+
+
 def ellipse(radius: int) -> list[tuple[int, int]]:
-    """Offsets (dy, dx) of a round kernel of width 2 * radius + 1."""
-    return [(dy, dx) for dy in range(-radius, radius + 1) for dx in range(-radius, radius + 1) if dy * dy + dx * dx <= radius * radius + radius]
+    """Offsets (dy, dx) of a round kernel of width 2 * radius + 1: in each row as far as the rounded half chord."""
+    return [(dy, dx) for dy in range(-radius, radius + 1) for dx in range(-radius, radius + 1) if abs(dx) <= round(math.sqrt(radius * radius - dy * dy))]
 
 
-def dilate(cells: DataFrame, radius: int, height: int, width: int) -> DataFrame:
-    """(image_id, y, x) within the round kernel of a set cell. Rows grow by the kernel, then merge map-side."""
+def _spread(cells: DataFrame, radius: int, height: int, width: int) -> DataFrame:
     offsets = F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in ellipse(radius)])
     moved = cells.select("image_id", "y", "x", F.explode(offsets).alias("o")).select("image_id", (F.col("y") + F.col("o.dy")).alias("y"), (F.col("x") + F.col("o.dx")).alias("x"))
     return moved.filter((F.col("y") >= 0) & (F.col("x") >= 0) & (F.col("y") < height) & (F.col("x") < width)).distinct()
 
 
+def dilate(cells: DataFrame, radius: int, height: int, width: int) -> DataFrame:
+    """(image_id, y, x) within the round kernel of a set cell.
+
+    Only edge cells are spread: from a set cell to a cell that it reaches, steps toward the latter stay in the kernel, and
+    the last set cell on the way is an edge cell that reaches it too. So rows grow with the outline, not with the area.
+    """
+    own = cells.select("image_id", "y", "x").distinct()
+    return own.unionByName(_spread(edge_cells(own).filter("own"), radius, height, width)).distinct()
+
+
 def erode(cells: DataFrame, radius: int, height: int, width: int) -> DataFrame:
-    """Cells whose whole kernel is set; outside the grid counts as set."""
-    grid = cells.select("image_id").distinct().select("image_id", F.explode(F.sequence(F.lit(0), F.lit(height - 1))).alias("y")).select("image_id", "y", F.explode(F.sequence(F.lit(0), F.lit(width - 1))).alias("x"))
-    return cells.distinct().subtract(dilate(grid.subtract(cells.select("image_id", "y", "x")), radius, height, width))
+    """Cells whose whole kernel is set; outside the grid counts as set. Only missing neighbours of set cells are spread (see ``dilate``)."""
+    own = cells.select("image_id", "y", "x").distinct()
+    gaps = edge_cells(own).filter("not own").filter((F.col("y") >= 0) & (F.col("x") >= 0) & (F.col("y") < height) & (F.col("x") < width))
+    return own.join(_spread(gaps, radius, height, width), ["image_id", "y", "x"], "left_anti")
 
 
 def within_distance(a: DataFrame, b: DataFrame, r: int) -> DataFrame:
-    """Cells of ``a`` nearer than ``r`` to a cell of ``b``: a bucketed range join on cells of size ``r``."""
+    """Cells of ``a`` nearer than ``r`` to a cell of ``b``: a bucketed range semi-join on squares of size ``r``; a cell leaves it at its first match."""
     near = F.array(F.lit(-1), F.lit(0), F.lit(1))
     left = a.select("image_id", "y", "x", F.floor(F.col("y") / r).alias("gy"), F.floor(F.col("x") / r).alias("gx"))
     right = b.distinct().select("image_id", F.col("y").alias("by"), F.col("x").alias("bx"), F.explode(near).alias("i")).select("*", F.explode(near).alias("j"))
-    right = right.select("image_id", "by", "bx", (F.floor(F.col("by") / r) + F.col("i")).alias("gy"), (F.floor(F.col("bx") / r) + F.col("j")).alias("gx"))
+    right = right.select(F.col("image_id").alias("i_"), "by", "bx", (F.floor(F.col("by") / r) + F.col("i")).alias("hy"), (F.floor(F.col("bx") / r) + F.col("j")).alias("hx"))
     d2 = (F.col("y") - F.col("by")) * (F.col("y") - F.col("by")) + (F.col("x") - F.col("bx")) * (F.col("x") - F.col("bx"))
-    return left.join(right, ["image_id", "gy", "gx"]).filter(d2 < r * r).select("image_id", "y", "x").distinct()
+    on = (F.col("image_id") == F.col("i_")) & (F.col("gy") == F.col("hy")) & (F.col("gx") == F.col("hx")) & (d2 < r * r)
+    return left.distinct().join(right, on, "left_semi").select("image_id", "y", "x")
 
 
 def number_items(items: DataFrame) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Rasters as pixel rows (image_id, y, x, channels): blocks, white balance, regions, blur, resampling."""
+"""Rasters as pixel rows (image_id, y, x, channels): blocks, white balance, regions, blur, sharpening."""
 
 from __future__ import annotations
 
@@ -49,8 +49,8 @@ def region_stats(px: DataFrame, by: list[str]) -> DataFrame:
 
 
 def blur(px: DataFrame, col: str, sigma: float, height: int, width: int) -> DataFrame:
-    """Gaussian blur in two passes with mirrored borders (edge pixel not repeated)."""
-    r = max(1, math.ceil(3 * sigma))
+    """Gaussian blur in two passes, borders mirrored with the edge pixel repeated; the kernel reaches four deviations."""
+    r = max(1, round(4 * sigma))
     w = [math.exp(-(i * i) / (2 * sigma * sigma)) for i in range(-r, r + 1)]
     w = [x / sum(w) for x in w]
     taps = F.array(*[F.struct(F.lit(i - r).alias("d"), F.lit(x).alias("w")) for i, x in enumerate(w)])
@@ -58,10 +58,10 @@ def blur(px: DataFrame, col: str, sigma: float, height: int, width: int) -> Data
     def one(df: DataFrame, axis: str, n: int, value: str) -> DataFrame:
         # a target t takes source mirror(t + d); pixels near a border also reach targets by mirroring
         spread = df.select("*", F.explode(taps).alias("k"))
-        at = F.array_distinct(F.array(F.col(axis) - F.col("k.d"), -F.col(axis) - F.col("k.d"), F.lit(2 * (n - 1)) - F.col(axis) - F.col("k.d")))
+        at = F.array_distinct(F.array(F.col(axis) - F.col("k.d"), -F.col(axis) - 1 - F.col("k.d"), F.lit(2 * n - 1) - F.col(axis) - F.col("k.d")))
         spread = spread.withColumn("t", F.explode(F.filter(at, lambda t: (t >= 0) & (t < n))))
         src = F.col("t") + F.col("k.d")
-        mirrored = F.when(src < 0, -src).when(src > n - 1, 2 * (n - 1) - src).otherwise(src)
+        mirrored = F.when(src < 0, -src - 1).when(src > n - 1, 2 * n - 1 - src).otherwise(src)
         spread = spread.filter(mirrored == F.col(axis))
         other = "x" if axis == "y" else "y"
         return spread.groupBy("image_id", other, F.col("t").alias(axis)).agg(F.sum(F.col(value) * F.col("k.w")).alias("v"))
@@ -70,7 +70,12 @@ def blur(px: DataFrame, col: str, sigma: float, height: int, width: int) -> Data
     return one(rows, "y", height, "v").select("image_id", "y", "x", F.col("v").alias("blur"))
 
 
-def unsharp(px: DataFrame, col: str, height: int, width: int, sigma: float = 1.0, amount: float = 0.45, threshold: float = 3.0) -> DataFrame:
+def unsharp(px: DataFrame, col: str, height: int, width: int, mode: str = "low", sigma: float = 1.0, amount: float = 0.45, threshold: float = 3.0) -> DataFrame:
+    """Adds ``sharp``: the channel plus ``amount`` of its detail where that reaches ``threshold``; mode 'off' leaves the channel as it is."""
+    if mode == "off":
+        return px.withColumn("sharp", F.col(col))
+    if mode != "low":
+        raise ValueError(f"unknown mode: {mode}")
     soft = blur(px, col, sigma, height, width)
     detail = F.col(col) - F.col("blur")
     detail = F.when(F.abs(detail) < threshold, 0.0).otherwise(detail)

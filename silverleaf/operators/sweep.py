@@ -44,3 +44,12 @@ def select_step(steps: DataFrame, n_steps: int, offset: int = 0) -> DataFrame:
     """The step before the first reject (the last if none), moved by ``offset`` within bounds."""
     stop = F.coalesce(F.min(F.when(F.col("decision") == "reject", F.col("ti"))), F.lit(n_steps)) - 1
     return steps.groupBy("image_id").agg(F.least(F.lit(n_steps - 1), F.greatest(F.lit(0), stop + offset)).alias("chosen"))
+
+
+def step_change(steps: DataFrame, at: int, offset: int) -> DataFrame:
+    """Cells of the mask at step ``at`` and ``offset`` steps on (within bounds), and the difference."""
+    last = F.max("ti")
+    to = F.least(last, F.greatest(F.lit(0), F.lit(at + offset)))
+    n = F.map_from_entries(F.collect_list(F.struct("ti", "n_cur")))  # one entry for each step
+    out = steps.groupBy("image_id").agg(n.alias("n"), to.alias("to"))
+    return out.select("image_id", F.col("n")[at].alias("n_from"), F.element_at("n", F.col("to")).alias("n_to")).withColumn("change", F.col("n_to") - F.col("n_from"))

@@ -167,7 +167,7 @@ def _cells(spark, d):
 for _name, _sql in (("and", "SELECT * FROM m INTERSECT SELECT * FROM k"), ("or", "SELECT * FROM m UNION SELECT * FROM k"), ("minus", "SELECT * FROM m EXCEPT SELECT * FROM k"), ("xor", "(SELECT * FROM m EXCEPT SELECT * FROM k) UNION ALL (SELECT * FROM k EXCEPT SELECT * FROM m)")):
     query(f"mask_{_name}", f"{MASKS} {_sql}")(lambda spark, d, f=getattr(masks, f"mask_{_name}"): f(*_cells(spark, d)))
 
-OFFSETS = "o AS (SELECT dy, dx FROM (SELECT unnest(range(-3, 4)) dy) CROSS JOIN (SELECT unnest(range(-3, 4)) dx) WHERE dy * dy + dx * dx <= 12)"
+OFFSETS = "o AS (SELECT dy, dx FROM (SELECT unnest(range(-3, 4)) dy) CROSS JOIN (SELECT unnest(range(-3, 4)) dx) WHERE abs(dx) <= round(sqrt(9 - dy * dy)))"
 
 
 @query("dilate", f"{MASKS}, {OFFSETS} SELECT DISTINCT image_id, CAST(y + dy AS INT) y, CAST(x + dx AS INT) x FROM m CROSS JOIN o WHERE y + dy BETWEEN 0 AND 79 AND x + dx BETWEEN 0 AND 79")
@@ -175,7 +175,7 @@ def dilate(spark, d):
     return masks.dilate(_cells(spark, d)[0], 3, V.HEIGHT, V.WIDTH)
 
 
-@query("erode", f"WITH {V.RASTER}, m AS (SELECT DISTINCT image_id, y, x FROM raster WHERE p > 0.02), {OFFSETS.replace('-3, 4', '-1, 2').replace('12', '2')}, g AS (SELECT image_id, y, x FROM (SELECT DISTINCT image_id FROM m), (SELECT unnest(range(0, 80)) y), (SELECT unnest(range(0, 80)) x)), n AS (SELECT g.* FROM g ANTI JOIN m USING (image_id, y, x)) SELECT m.* FROM m WHERE NOT EXISTS (SELECT 1 FROM n JOIN o ON true WHERE n.image_id = m.image_id AND n.y = m.y + dy AND n.x = m.x + dx)")
+@query("erode", f"WITH {V.RASTER}, m AS (SELECT DISTINCT image_id, y, x FROM raster WHERE p > 0.02), {OFFSETS.replace('-3, 4', '-1, 2').replace('9 -', '1 -')}, g AS (SELECT image_id, y, x FROM (SELECT DISTINCT image_id FROM m), (SELECT unnest(range(0, 80)) y), (SELECT unnest(range(0, 80)) x)), n AS (SELECT g.* FROM g ANTI JOIN m USING (image_id, y, x)) SELECT m.* FROM m WHERE NOT EXISTS (SELECT 1 FROM n JOIN o ON true WHERE n.image_id = m.image_id AND n.y = m.y + dy AND n.x = m.x + dx)")
 def erode(spark, d):
     return masks.erode(V.raster(spark, d).filter("p > 0.02").select("image_id", "y", "x"), 1, V.HEIGHT, V.WIDTH)
 
@@ -235,8 +235,8 @@ def reorient(spark, d):
     return rasters.reorient(V.raster(spark, d).select("image_id", "y", "x", "v"), F.col("image_id") % 8 + 1, V.HEIGHT, V.WIDTH).select("image_id", "y", "x", "v")
 
 
-GAUSS = "k AS (SELECT d, exp(-(d * d) / 2.0e0) / (SELECT sum(exp(-(t.e * t.e) / 2.0e0)) FROM (SELECT unnest(range(-3, 4)) e) t) wt FROM (SELECT unnest(range(-3, 4)) d))"
-MIRROR = lambda c: f"CASE WHEN {c} < 0 THEN -({c}) WHEN {c} > 79 THEN 158 - ({c}) ELSE {c} END"
+GAUSS = "k AS (SELECT d, exp(-(d * d) / 2.0e0) / (SELECT sum(exp(-(t.e * t.e) / 2.0e0)) FROM (SELECT unnest(range(-4, 5)) e) t) wt FROM (SELECT unnest(range(-4, 5)) d))"
+MIRROR = lambda c: f"CASE WHEN {c} < 0 THEN -({c}) - 1 WHEN {c} > 79 THEN 159 - ({c}) ELSE {c} END"
 BLUR = f"WITH {V.RASTER}, {GAUSS}, h AS (SELECT t.image_id, t.y, t.x, sum(s.v * wt) v FROM raster t CROSS JOIN k JOIN raster s ON s.image_id = t.image_id AND s.y = t.y AND s.x = {MIRROR('t.x + d')} GROUP BY ALL), b AS (SELECT t.image_id, t.y, t.x, sum(s.v * wt) v FROM h t CROSS JOIN k JOIN h s ON s.image_id = t.image_id AND s.x = t.x AND s.y = {MIRROR('t.y + d')} GROUP BY ALL)"
 
 
@@ -361,3 +361,6 @@ def nearest_edge(spark, d):
 def hopping_stats(spark, d):
     out = streams.hopping_stats(V.table(spark, d, "events"))
     return out.select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n", F.round(F.col("mean") * F.col("n"), 2).alias("total"), F.round("var", 1).alias("var"))
+
+
+from . import print_queries  # noqa: E402, F401  (adds its queries to the two dictionaries)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Image file endings.
@@ -39,6 +41,11 @@ def sample_rows(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
     return df.orderBy(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string"))), key).limit(n)
 
 
+def output_names(df: DataFrame, index: Column) -> DataFrame:
+    """Adds the names of what is written for an input: annotated image, item of an index, report."""
+    return df.withColumn("annotated", F.concat("stem", F.lit("_annotated"))).withColumn("item", F.concat("stem", F.format_string("_p%02d", index))).withColumn("report", F.concat("stem", F.lit("_report")))
+
+
 def scan_rasters(spark: SparkSession, path: str) -> DataFrame:
     """Pixels (path, y, x, r, g, b) of the readable images."""
 
@@ -67,6 +74,15 @@ def write_rasters(df: DataFrame, path: str, by: str = "stage") -> None:
     df.write.mode("overwrite").partitionBy(by).parquet(path)
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to a new table in the folder that all executors share: cuts lineage and survives lost executors."""
+    spark = df.sparkSession
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
+    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def save_stage(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 
