@@ -7,6 +7,8 @@
   hash range (bucket) and each bucket keeps the shingles that two nodes share.
 * First round: within a shingle, nodes are paired with their next neighbours by size only, and each node
   verifies its most promising pair. Links found merge nodes into components.
+* Merge rounds: the same again between neighbours of different components, for nodes whose sets are at hand,
+  until no link is found or ``MERGE_ROUNDS`` are done. They only make the last round smaller.
 * Last round, exact: every pair of nodes in different components that shares a prefix shingle and passes the
   length, positional, parity (how many shingles two sets differ by at least) and suffix filters is verified once,
   from the full sets. Pairs inside a component need no
@@ -37,6 +39,7 @@ FILTER_BITS = 23
 RANGES = 64
 PARITY = 512
 NEIGHBOURS = 6
+MERGE_ROUNDS = 3
 
 
 def shingle_sets(texts: list[bytes], words: int):
@@ -164,10 +167,10 @@ def _shared(pdf: pd.DataFrame) -> pd.DataFrame:
 PAIRS = "a long, b long, c long, pa long, pb long, na long, nb long"
 
 
-def _pairs(row, percent: int, label: tuple | None, bits: np.ndarray | None = None) -> pd.DataFrame:
+def _pairs(row, percent: int, label: tuple | None, bits: np.ndarray | None = None, every: bool = False) -> pd.DataFrame:
     """Pairs within each shingle of a bucket, one row per pair: shared shingles and last positions.
 
-    Without labels: next neighbours by size only. With labels: all pairs with different labels.
+    Next neighbours by size only or, with ``every``, all. With labels: those with different labels.
     """
     h, sig, n, pos = _unpack(row)
     order = np.lexsort((sig, n, h))
@@ -186,7 +189,7 @@ def _pairs(row, percent: int, label: tuple | None, bits: np.ndarray | None = Non
         keep = (low < high)[group]
         sig, n, pos, group, own, at = sig[keep], n[keep], pos[keep], group[keep], own[keep], at[keep]
     i, k, rows = np.arange(len(sig)), 0, 0
-    while len(i) and (own is not None or k < NEIGHBOURS):
+    while len(i) and (every or k < NEIGHBOURS):
         k += 1
         i = i[i + k < len(sig)]
         j = i + k
@@ -295,30 +298,49 @@ def link_documents(docs: DataFrame, percent: int = 75, words: int = 5) -> DataFr
             for r in pdf.itertuples():
                 yield _pairs(r, percent, None)
 
-    ab = groups.mapInPandas(near, PAIRS).groupBy("a", "b").agg(F.sum("c").alias("c"), F.first("na").alias("na"), F.first("nb").alias("nb"))
-    ab = ab.filter(F.col("c") * 40 >= F.least("na", "nb"))  # only which pairs come first; the last round leaves none out
-    best = lambda x, y: ab.groupBy(F.col(x).alias("x")).agg(F.max(F.struct("c", F.col(y).alias("y"))).alias("m")).select(F.least("x", "m.y").alias("a"), F.greatest("x", "m.y").alias("b"))
-    first = materialize(best("a", "b").unionByName(best("b", "a")).distinct(), "jaccard-first")
-    links = materialize(_verified(first, sets_of(first), percent), "jaccard-links")
+    def promising(ab):
+        """The pair with most shared shingles of each node."""
+        ab = ab.groupBy("a", "b").agg(F.sum("c").alias("c"), F.first("na").alias("na"), F.first("nb").alias("nb"))
+        ab = ab.filter(F.col("c") * 40 >= F.least("na", "nb"))  # only which pairs come first; the last round leaves none out
+        best = lambda x, y: ab.groupBy(F.col(x).alias("x")).agg(F.max(F.struct("c", F.col(y).alias("y"))).alias("m")).select(F.least("x", "m.y").alias("a"), F.greatest("x", "m.y").alias("b"))
+        return best("a", "b").unionByName(best("b", "a")).distinct()
+
+    known = info.filter("n_shingles > 0").groupBy("sig").agg(F.first("bits").alias("bits"))
+
+    def across(label, every):
+        """Pairs of nodes in different components, by bucket."""
+
+        def cross(key, entries, nodes):
+            nodes = nodes.drop_duplicates("sig").sort_values("sig")
+            own = nodes["sig"].to_numpy(), nodes["component"].to_numpy()
+            bits = np.frombuffer(b"".join(nodes["bits"]), np.uint64).reshape(len(nodes), -1)
+            out = [_pairs(r, percent, own, bits, every) for r in entries.itertuples()]
+            return pd.concat(out) if out else pd.DataFrame(columns=["a", "b", "c", "pa", "pb", "na", "nb"])
+
+        at = held.join(known.join(label.withColumnRenamed("node", "sig"), "sig", "left"), "sig").select("bucket", "sig", F.coalesce("component", "sig").alias("component"), "bits")
+        return groups.groupBy("bucket").cogroup(at.groupBy("bucket")).applyInPandas(cross, PAIRS)
+
+    tried = materialize(promising(groups.mapInPandas(near, PAIRS)), "jaccard-first")
+    sets = sets_of(tried)
+    links = materialize(_verified(tried, sets, percent), "jaccard-links")
     label = components(links)
     release(spark)
+    for _ in range(MERGE_ROUNDS):
+        has = lambda c: sets.select(F.col("sig").alias(c))
+        more = across(label, False).join(has("a"), "a", "left_semi").join(has("b"), "b", "left_semi").join(tried, ["a", "b"], "left_anti")
+        more = materialize(promising(more), "jaccard-more")
+        found = materialize(_verified(more, sets, percent), "jaccard-links")
+        tried = tried.unionByName(more)
+        if found.isEmpty():
+            break
+        links = links.unionByName(found)
+        label = components(links)
+        release(spark)
 
-    def cross(key, entries, nodes):
-        nodes = nodes.drop_duplicates("sig").sort_values("sig")
-        known = nodes["sig"].to_numpy(), nodes["component"].to_numpy()
-        bits = np.frombuffer(b"".join(nodes["bits"]), np.uint64).reshape(len(nodes), -1)
-        out = [_pairs(r, percent, known, bits) for r in entries.itertuples()]
-        return pd.concat(out) if out else pd.DataFrame(columns=["a", "b", "c", "pa", "pb", "na", "nb"])
-
-    known = info.filter("n_shingles > 0").groupBy("sig").agg(F.first("bits").alias("bits")).join(label.withColumnRenamed("node", "sig"), "sig", "left")
-    at = held.join(known, "sig").select("bucket", "sig", F.coalesce("component", "sig").alias("component"), "bits")
-    rest = groups.groupBy("bucket").cogroup(at.groupBy("bucket")).applyInPandas(cross, PAIRS)
-    rest = rest.groupBy("a", "b").agg(F.sum("c").alias("c"), F.max("pa").alias("pa"), F.max("pb").alias("pb"), F.first("na").alias("na"), F.first("nb").alias("nb"))
-    # all shared shingles of the prefix that ends first are counted in c; what follows it is at most n - prefix
-    after = lambda n: F.ceil(F.col(n) * percent / 100) - 1
-    rest = rest.filter((F.col("c") + F.greatest(after("na"), after("nb"))) * (100 + percent) >= percent * (F.col("na") + F.col("nb")))
+    rest = across(label, True).groupBy("a", "b").agg(F.sum("c").alias("c"), F.max("pa").alias("pa"), F.max("pb").alias("pb"), F.first("na").alias("na"), F.first("nb").alias("nb"))
+    # shared shingles that c leaves out come after those it counts, in both sets
     rest = rest.filter((F.col("c") + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) - 1) * (100 + percent) >= percent * (F.col("na") + F.col("nb")))
-    rest = materialize(rest.select("a", "b").join(first, ["a", "b"], "left_anti"), "jaccard-rest")
+    rest = materialize(rest.select("a", "b").join(tried, ["a", "b"], "left_anti"), "jaccard-rest")
     links = links.unionByName(materialize(_verified(rest, sets_of(rest), percent), "jaccard-links"))
     label = components(links)
     release(spark)

@@ -243,3 +243,34 @@ def test_pipeline_stages(spark, tmp_path):
         n = docs.count()
     assert n == docs.select("doc_id").distinct().count()
     assert corpus_pipeline.run(spark, d).select("doc_id").distinct().count() == n
+
+
+def test_jaccard_links_between_fragments_of_a_family(spark):
+    """Families just above and below the threshold: components equal those of all pairs compared."""
+    import random
+
+    from silverleaf.llm.jaccard_join import link_documents
+
+    rng, rows = random.Random(5), []
+    for family in range(3):
+        base = [f"w{family}x{i}" for i in range(100)]
+        for k in range(40):
+            words = list(base)
+            for at in rng.sample(range(100), rng.choice((1, 2, 2, 3))):
+                words[at] = f"v{rng.randrange(10**9)}"
+            rows.append((family * 100 + k, " ".join(words)))
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(96)} for i, t in rows}
+    root = {i: i for i, _ in rows}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in sets:
+        for j in sets:
+            if i < j and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    got = {r.doc_id: r.component_id for r in link_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: find(i) for i in sets}
