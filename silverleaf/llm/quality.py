@@ -62,7 +62,7 @@ def features(texts: list[bytes]) -> np.ndarray:
                 float(size.mean()) / 10,
                 float(size.std()) / 10,
                 len(set(lines)) / len(lines),
-                len(zlib.compress(t[:65536], 1)) / min(len(t), 65536),
+                len(zlib.compress(t, 1)) / len(t),
                 np.log1p(len(t) / len(lines)) / 10,
             ]
     return out
