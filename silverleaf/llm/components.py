@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize, release
+
+EDGES_A_FILE = 500_000
 
 
 def _large_star(e: DataFrame) -> DataFrame:
@@ -28,10 +30,14 @@ def components(links: DataFrame, max_steps: int | None = None) -> DataFrame:
     """
     e = links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     stamp = lambda d: tuple(d.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-    e = materialize(e, "links")
+    parts = max(12, links.count() // EDGES_A_FILE)  # edges never outnumber links, so neither do files
+    e = materialize(e.coalesce(parts), "links")
     last, step = stamp(e), 0
     while last[0] and (max_steps is None or step < max_steps):
-        e = materialize(_small_star(_large_star(e)), "links")
+        before, e = e, materialize(_small_star(_large_star(e)).coalesce(parts), "links")
+        discard(before)
+        if step % 2:
+            release(e.sparkSession)
         now, step = stamp(e), step + 1
         if now == last:
             break
