@@ -3,7 +3,8 @@
 Base kinds (assign, access, hex) come from fixed patterns. Besides, every long enough string of secret
 characters with a digit and a letter that stands in a sensitive context (a sensitive word within the
 40 characters before it) is a candidate. A compressor is primed with a dictionary of common identifiers and the
-code around the candidate; the bytes by which the output grows when the candidate is appended are its novelty.
+code around the candidate, less all that repeats 16 or more characters of the candidate: copies of a secret must
+not make each other predictable. The bytes by which the output grows when the candidate is appended are its novelty.
 Strings whose novelty per character is near that of random ones are reported as kind ``novel``, unless a base
 span overlaps them.
 
@@ -26,7 +27,8 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
 #: Words that make a context sensitive.
 SENSITIVE = re.compile(r"(?i:password|passwd|secret|token|api_?key|credential|private|auth|bearer|signature|akia)", re.ASCII)
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+SHORTEST = 16
+CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=-]{{{SHORTEST},}}")
 #: Common identifiers that prime the compressor.
 IDENTIFIERS = " ".join(
     "access account admin api api_key apikey auth authorization bearer client client_id client_secret config connection "
@@ -50,6 +52,22 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
+def without_copies(text: str, start: int, end: int, side: slice, part: str) -> str:
+    """text[start:end] less every run of SHORTEST or more characters that ``part`` holds too, also if an end cuts it.
+
+    Runs are sought in text[side]. Characters of ``part`` are those of a candidate, so every run lies in one.
+    """
+    grams = {part[i : i + SHORTEST] for i in range(len(part) - SHORTEST + 1)}
+    out, last = [], start
+    for m in CANDIDATE.finditer(text, max(side.start, start - SHORTEST + 1), min(side.stop, end + SHORTEST - 1)):
+        for i in range(m.start(), m.end() - SHORTEST + 1):
+            if text[i : i + SHORTEST] in grams:
+                if i > last:
+                    out.append(text[last:min(i, end)])
+                last = max(last, i + SHORTEST)
+    return " ".join([*out, text[last:end]])
+
+
 class Novelty:
     def __init__(self):
         import zstandard
@@ -58,11 +76,12 @@ class Novelty:
 
     def __call__(self, text: str, start: int, end: int) -> float:
         """Marginal compressed bytes of text[start:end], per character."""
-        around = (text[max(0, start - AROUND) : start] + " " + text[end : end + AROUND]).encode()
+        part, before, after = text[start:end], slice(0, start), slice(end, len(text))
+        around = (without_copies(text, max(0, start - AROUND), start, before, part) + " " + without_copies(text, end, min(len(text), end + AROUND), after, part)).encode()
         primed = self.z.ZstdCompressionDict(IDENTIFIERS + b" " + around, dict_type=self.z.DICT_TYPE_RAWCONTENT)
         small = lambda b: len(self.z.ZstdCompressor(level=3, dict_data=primed, write_content_size=False, write_checksum=False).compress(b))
-        lead = text[max(0, start - CONTEXT) : start].encode()
-        return (small(lead + text[start:end].encode()) - small(lead)) / (end - start)
+        lead = without_copies(text, max(0, start - CONTEXT), start, before, part).encode()
+        return (small(lead + part.encode()) - small(lead)) / (end - start)
 
 
 def novel_spans(text: str, base: list, novelty: Novelty) -> list[tuple[int, int, int]]:

@@ -229,6 +229,27 @@ def test_secrets(spark):
     assert "abcdefghijkl12" not in red[1] and "0123456789abcdef0" not in red[1] and red[4] == "clean text" and red[2] is None
 
 
+def test_repeated_secrets_are_reported_each(spark):
+    """Copies close by, within another string, across the end of the surrounding text and next to a base span."""
+    rng = np.random.default_rng(7)
+    chars = np.array(list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"))
+    rows, copies = [], []
+    for n in (20, 32, 40):
+        for _ in range(10):
+            t = "a1" + "".join(rng.choice(chars, n - 2))
+            curl = f"curl -H 'Authorization: Bearer {t}' https://host/x\n"
+            for text in (curl, curl * 2, curl * 3, f"bearer {t} bearer {t}", f"bearer x/{t} then\nbearer {t} end", *[curl + "." * k + curl for k in (310, 322, 334, 346)], f"token={t}\n{curl}"):
+                rows.append((len(rows), text))
+                copies.append(text.count(t))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.n_assign + r.n_novel for r in secret_scan.scan(docs).collect()}
+    assert [got[i] for i in range(len(rows))] == copies
+    red = {r.doc_id: r.text for r in secret_scan.redact(docs).collect()}
+    assert all(red[i].count("[SECRET]") == n for i, n in enumerate(copies))
+    plain = [(0, "bearer abcdefghijklmnopqrstuvwxyz0123456789 " * 3)]
+    assert secret_scan.scan(spark.createDataFrame(plain, "doc_id long, text string")).first().n_novel == 0
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline
 
