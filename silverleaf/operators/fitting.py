@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import expressions as X
+
 
 def _hull(points: list[tuple[float, float]]) -> list[tuple[float, float]]:
     pts = sorted(set(points))
@@ -68,6 +70,69 @@ def consensus_line(points: DataFrame, keys: list[str], trials: int, seed: int, s
     return best.join(refit.select(*keys, F.col("m").alias("rm"), F.col("b").alias("rb")), keys, "left").select(*keys, "inliers", F.coalesce("rm", "m").alias("m"), F.coalesce("rb", "b").alias("b"))
 
 
+def along_axes(points: DataFrame, orient: str = "orient") -> DataFrame:
+    """``points`` with x and y swapped where ``orient`` is 'v', so that the fits give x = m y + b on vertical sides."""
+    flat = F.col(orient) == "h"
+    return points.withColumns({"x": F.when(flat, F.col("x")).otherwise(F.col("y")), "y": F.when(flat, F.col("y")).otherwise(F.col("x"))})
+
+
+def start_lines(quads: DataFrame) -> DataFrame:
+    """(group_id, edge, orient, m, b): the four sides of each quad (group_id, v) in order top, right, bottom, left."""
+    side = lambda i: X.line_from_points(F.col("v")[i]["x"], F.col("v")[i]["y"], F.col("v")[(i + 1) % 4]["x"], F.col("v")[(i + 1) % 4]["y"])
+    return quads.select("group_id", F.posexplode(F.array(*[side(i) for i in range(4)])).alias("edge", "line")).select("group_id", "edge", "line.*")
+
+
+def _least_norm_line(points: DataFrame, keys: list[str]) -> DataFrame:
+    """Like ``fit_line``; where all x are equal, of the lines of least error the one with the smallest m^2 + b^2."""
+    x, y = F.avg("x"), F.avg("y")
+    return points.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.regr_slope("y", "x"), x * y / (x * x + 1.0)).alias("m"), F.coalesce(F.regr_intercept("y", "x"), y / (x * x + 1.0)).alias("b"))
+
+
+def robust_lines(points: DataFrame, starts: DataFrame, seed: int, trials: int = 500, sample: int = 5, near: float = 80.0, reach: float = 5.0) -> DataFrame:
+    """(group_id, edge, orient, inliers, m, b): each line of ``starts``, fitted anew to the points nearest to it.
+
+    Points go to the start line nearest along its axis, the first of equals, if nearer than ``near``. With fewer than
+    five the start line stays. Else min(trials, 10 n) samples, chosen as in ``consensus_line``, give a line each; the
+    one with most points within ``reach`` along the axis wins, the first of equals, or the start line if none has any.
+    It is fitted again to those points if they are at least three. ``inliers`` is their number.
+    """
+    keys = ["group_id", "edge"]
+    off = lambda m, b: F.abs(F.col("y") - (m * F.col("x") + b))
+    sides = starts.groupBy("group_id").agg(F.sort_array(F.collect_list(F.struct("edge", "orient", "m", "b"))).alias("lines"))
+    cross = lambda e: F.when(e["orient"] == "h", off(e["m"], e["b"])).otherwise(F.abs(F.col("x") - (e["m"] * F.col("y") + e["b"])))
+    own = points.join(sides, "group_id").withColumn("at", F.array_min(F.transform("lines", lambda e: F.struct(cross(e).alias("d"), e["edge"].alias("edge"), e["orient"].alias("orient")))))
+    own = along_axes(own.select("group_id", "pid", "x", "y", "at.*").filter(F.col("d") < near)).select(*keys, "pid", "x", "y")
+    own = own.join(own.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter("n >= 5"), keys)
+
+    t = own.withColumn("trial", F.explode(F.sequence(F.lit(0), (F.least(F.lit(trials), 10 * F.col("n")) - 1).cast("int"))))
+    key = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("trial").cast("string"), F.col("pid").cast("string")))
+    t = t.withColumn("rn", F.row_number().over(Window.partitionBy(*keys, "trial").orderBy(key, "pid"))).filter(F.col("rn") <= sample)
+    tried = _least_norm_line(t, [*keys, "trial"]).groupBy(*keys).agg(F.collect_list(F.struct("trial", "m", "b")).alias("tried"))  # at most ``trials`` each
+    votes = own.join(tried, keys).select(*keys, "x", "y", F.explode("tried").alias("l")).filter(off(F.col("l.m"), F.col("l.b")) < reach).groupBy(*keys, "l").agg(F.count(F.lit(1)).alias("votes"))
+    best = votes.groupBy(*keys).agg(F.max(F.struct("votes", -F.col("l.trial"), "l"))["l"].alias("l"))
+    model = starts.join(best, keys, "left").select(*keys, "orient", F.coalesce("l.m", "m").alias("m"), F.coalesce("l.b", "b").alias("b"))
+    refit = _least_norm_line(own.join(model, keys).filter(off(F.col("m"), F.col("b")) < reach).select(*keys, "x", "y"), keys)
+    enough = F.col("n") >= 3
+    new = refit.select(*keys, "n", F.col("m").alias("rm"), F.col("b").alias("rb"))
+    return model.join(new, keys, "left").select(*keys, "orient", F.coalesce("n", F.lit(0)).alias("inliers"), F.when(enough, F.col("rm")).otherwise(F.col("m")).alias("m"), F.when(enough, F.col("rb")).otherwise(F.col("b")).alias("b"))
+
+
+def quad_fit(points: DataFrame, quads: DataFrame, seed: int, **limits) -> DataFrame:
+    """(group_id, tl, tr, br, bl): corners where the robust lines of the four sides meet; near parallel ones keep the corner of ``quads``."""
+    flat = F.col("orient") == "h"
+    general = F.struct("edge", F.when(flat, F.col("m")).otherwise(1.0).alias("a"), F.when(flat, -1.0).otherwise(-F.col("m")).alias("b"), F.when(flat, F.col("b")).otherwise(-F.col("b")).alias("c"))
+    lines = robust_lines(points, start_lines(quads), seed, **limits).groupBy("group_id").agg(F.sort_array(F.collect_list(general)).alias("e"))
+
+    def meet(i, j, corner):
+        p, q = F.col("e")[i], F.col("e")[j]
+        det = p["a"] * q["b"] - q["a"] * p["b"]
+        x, y = F.try_divide(p["b"] * q["c"] - q["b"] * p["c"], det), F.try_divide(q["a"] * p["c"] - p["a"] * q["c"], det)
+        return F.when(F.abs(det) >= 1e-9, F.struct(x.alias("x"), y.alias("y"))).otherwise(F.col("v")[corner])
+
+    corners = F.array(*[meet(i, j, k) for k, (i, j) in enumerate([(0, 3), (0, 1), (2, 1), (2, 3)])])
+    return order_quad(quads.join(lines, "group_id").select("group_id", F.explode(corners).alias("p")).select("group_id", "p.x", "p.y"))
+
+
 def nearest_edge(points: DataFrame, lines: DataFrame) -> DataFrame:
     """Each point with the nearest of its group's lines (group_id, edges array of a, b, c); the first edge wins ties."""
     d = F.transform("edges", lambda e, i: F.struct((F.abs(e["a"] * F.col("x") + e["b"] * F.col("y") + e["c"]) / F.sqrt(e["a"] * e["a"] + e["b"] * e["b"])).alias("d"), i.alias("edge")))

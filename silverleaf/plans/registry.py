@@ -306,6 +306,47 @@ def consensus_line(spark, d):
     return out.select("group_id", "side", "inliers", r4("m").alias("m"), F.round("b", 3).alias("b"))
 
 
+@query("fit_line_sides", f"WITH {V.CONTOUR}, c AS (SELECT group_id, side, CASE WHEN side % 2 = 0 THEN x ELSE y END u, CASE WHEN side % 2 = 0 THEN y ELSE x END w FROM contour) SELECT group_id, side, count(*) n, round(regr_slope(w, u), 4) m, round(regr_intercept(w, u), 4) b FROM c GROUP BY ALL")
+def fit_line_sides(spark, d):
+    c = V.contour(spark, d).withColumn("orient", F.when(F.col("side") % 2 == 0, "h").otherwise("v"))
+    return fitting.fit_line(fitting.along_axes(c), ["group_id", "side"]).select("group_id", "side", "n", r4("m").alias("m"), r4("b").alias("b"))
+
+
+NORM = "coalesce(regr_slope(w, u), avg(w) * avg(u) / (avg(u) * avg(u) + 1)) m, coalesce(regr_intercept(w, u), avg(w) / (avg(u) * avg(u) + 1)) b"
+QUAD_LINES = f"""{V.CONTOUR}, {V.QUADS}, init AS ({' UNION ALL '.join(f"SELECT quad_id - 1 group_id, {i} edge, x{i} xa, y{i} ya, x{(i + 1) % 4} xb, y{(i + 1) % 4} yb FROM quads WHERE quad_id <= 10" for i in range(4))}),
+ sl AS (SELECT *, abs(xb - xa) > abs(yb - ya) flat, CASE WHEN abs(xb - xa) > abs(yb - ya) THEN (yb - ya) / (xb - xa) ELSE coalesce((xb - xa) / nullif(yb - ya, 0), 0) END m FROM init),
+ st AS (SELECT group_id, edge, flat, m, CASE WHEN flat THEN ya - m * xa ELSE xa - m * ya END b FROM sl),
+ axes AS (SELECT c.group_id, edge, pid, m, b, CASE WHEN flat THEN x ELSE y END u, CASE WHEN flat THEN y ELSE x END w FROM contour c JOIN st USING (group_id)),
+ near AS (SELECT group_id, edge, pid, u, w FROM (SELECT *, abs(w - (m * u + b)) d FROM axes QUALIFY row_number() OVER (PARTITION BY group_id, pid ORDER BY d, edge) = 1) WHERE d < 80),
+ own AS (SELECT *, count(*) OVER (PARTITION BY group_id, edge) n FROM near QUALIFY n >= 5),
+ s AS (SELECT * FROM (SELECT *, unnest(range(least(500, 10 * n))) trial FROM own) QUALIFY row_number() OVER (PARTITION BY group_id, edge, trial ORDER BY md5('42|' || trial || '|' || pid), pid) <= 5),
+ l AS (SELECT group_id, edge, trial, {NORM} FROM s GROUP BY ALL),
+ v AS (SELECT group_id, edge, trial, m, b, count(*) k FROM own JOIN l USING (group_id, edge) WHERE abs(w - (m * u + b)) < 5 GROUP BY ALL),
+ best AS (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY group_id, edge ORDER BY k DESC, trial) = 1),
+ model AS (SELECT st.group_id, st.edge, flat, coalesce(best.m, st.m) sm, coalesce(best.b, st.b) sb FROM st LEFT JOIN best USING (group_id, edge)),
+ refit AS (SELECT group_id, edge, count(*) n, {NORM} FROM own JOIN model USING (group_id, edge) WHERE abs(w - (sm * u + sb)) < 5 GROUP BY ALL),
+ lines AS (SELECT group_id, edge, flat, coalesce(n, 0) inliers, CASE WHEN n >= 3 THEN m ELSE sm END m, CASE WHEN n >= 3 THEN b ELSE sb END b FROM model LEFT JOIN refit USING (group_id, edge))"""
+
+
+def _start_quads(spark, d):
+    return V.quads(spark, d).filter("quad_id <= 10").select((F.col("quad_id") - 1).alias("group_id"), "v")
+
+
+@query("robust_lines", f"WITH {QUAD_LINES} SELECT group_id, edge, CASE WHEN flat THEN 'h' ELSE 'v' END orient, inliers, round(m, 4) m, round(b, 3) b FROM lines")
+def robust_lines(spark, d):
+    out = fitting.robust_lines(V.contour(spark, d), fitting.start_lines(_start_quads(spark, d)), 42)
+    return out.select("group_id", "edge", "orient", "inliers", r4("m").alias("m"), F.round("b", 3).alias("b"))
+
+
+MEET = " UNION ALL ".join(f"SELECT group_id, CASE WHEN abs(det) >= 1e-9 THEN px ELSE x{k} END x, CASE WHEN abs(det) >= 1e-9 THEN py ELSE y{k} END y FROM (SELECT p.group_id, p.a * q.b - q.a * p.b det, (p.b * q.c - q.b * p.c) / nullif(det, 0) px, (q.a * p.c - p.a * q.c) / nullif(det, 0) py FROM g p JOIN g q USING (group_id) WHERE p.edge = {i} AND q.edge = {j}) JOIN quads ON quad_id = group_id + 1" for k, (i, j) in enumerate([(0, 3), (0, 1), (2, 1), (2, 3)]))
+
+
+@query("quad_fit", f"WITH {QUAD_LINES}, g AS (SELECT group_id, edge, CASE WHEN flat THEN m ELSE 1 END a, CASE WHEN flat THEN -1 ELSE -m END b, CASE WHEN flat THEN b ELSE -b END c FROM lines), p AS ({MEET}), r AS (SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY x + y, x, y) a, row_number() OVER (PARTITION BY group_id ORDER BY x - y DESC, x DESC, y DESC) b, row_number() OVER (PARTITION BY group_id ORDER BY x + y DESC, x DESC, y DESC) c, row_number() OVER (PARTITION BY group_id ORDER BY x - y, x, y) e FROM p) SELECT group_id, " + ", ".join(f"round(max({z}) FILTER (WHERE {k} = 1), 3) {n}{z}" for k, n in zip("abce", ("tl", "tr", "br", "bl")) for z in "xy") + " FROM r GROUP BY 1")
+def quad_fit(spark, d):
+    out = fitting.quad_fit(V.contour(spark, d), _start_quads(spark, d), 42)
+    return out.select("group_id", *[F.round(F.col(f"{n}.{z}"), 3).alias(f"{n}{z}") for n in ("tl", "tr", "br", "bl") for z in "xy"])
+
+
 @query("convex_hull")
 def convex_hull(spark, d):
     return fitting.convex_hull(V.contour(spark, d))

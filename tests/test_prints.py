@@ -27,3 +27,72 @@ def test_min_area_rect_of_a_turned_rectangle(spark):
     pts = [(1, x * c - y * s, x * s + y * c) for x in range(5) for y in range(3)]
     r = fitting.min_area_rect(spark.createDataFrame(pts, "group_id long, x double, y double")).first()
     assert abs(r.area - 8) < 1e-9 and len(r.v) == 4
+
+
+def quad_by_hand(points, quad, seed=42):
+    """The reference's fit of four lines with numpy, with samples by hash: corners in order top left, right, bottom right, left."""
+    import hashlib
+
+    lines = []
+    for (x1, y1), (x2, y2) in zip(quad, quad[1:] + quad[:1]):
+        flat = abs(x2 - x1) > abs(y2 - y1)
+        m = (y2 - y1) / (x2 - x1) if flat else (x2 - x1) / (y2 - y1)
+        lines.append((flat, m, y1 - m * x1 if flat else x1 - m * y1))
+    turn = lambda p, flat: (p[1], p[2]) if flat else (p[2], p[1])
+    own, out = [[] for _ in lines], []
+    for p in points:
+        d = [abs(turn(p, f)[1] - m * turn(p, f)[0] - b) for f, m, b in lines]
+        own[int(np.argmin(d))].append((p, min(d)))
+    for (flat, m, b), pts in zip(lines, own):
+        pts = [(p[0], *turn(p, flat)) for p, d in pts if d < 80]
+        u, w = np.array([p[1] for p in pts]), np.array([p[2] for p in pts])
+        solve = lambda k: np.linalg.lstsq(np.column_stack([u[k], np.ones(len(u[k]))]), w[k], rcond=None)[0]
+        if len(pts) >= 5:
+            top = 0
+            for t in range(min(500, 10 * len(pts))):
+                at = sorted(range(len(pts)), key=lambda i: (hashlib.md5(f"{seed}|{t}|{pts[i][0]}".encode()).hexdigest(), pts[i][0]))[:5]
+                a, c = solve(at)
+                n = int(np.sum(np.abs(w - (a * u + c)) < 5))
+                if n > top:
+                    top, m, b = n, a, c
+            near = np.abs(w - (m * u + b)) < 5
+            if near.sum() >= 3:
+                m, b = solve(near)
+        out.append((m, b))
+    corners = []
+    for k, (h, v) in enumerate([(0, 3), (0, 1), (2, 1), (2, 3)]):
+        (mh, bh), (mv, bv) = out[h], out[v]
+        x = (mv * bh + bv) / (1 - mv * mh) if abs(1 - mv * mh) >= 1e-9 else None
+        corners.append(quad[k] if x is None else (x, mh * x + bh))
+    return out, corners
+
+
+def test_quad_fit_matches_brute_force(spark):
+    """Noisy sides with outliers; a side of four points; a right side whose points lie at one height; parallel lines."""
+    rng, pts, quads = np.random.default_rng(8), [], {}
+    for g, tilt in enumerate((0.0, 0.04, -0.03, 0.02)):
+        quads[g] = [(55.0, 110.0), (750.0, 95.0), (740.0, 1015.0), (60.0, 1030.0)]
+        for side in range(4):
+            n = 4 if (g, side) == (1, 2) else 24
+            for i in range(n):
+                t, e = (0.5 if (g, side) == (2, 1) else i / n), rng.normal(0, 1.5) + (float(rng.uniform(-60, 60)) if i % 4 == 0 else 0)
+                x, y = [(60 + 680 * t, 100 + e), (745 + e, 100 + 920 * t), (60 + 680 * t, 1022 + e), (58 + e, 100 + 920 * t)][side]
+                pts.append((g, len(pts), float(x - tilt * y), float(y + tilt * x)))
+    quads[4] = [(0.0, 0.0), (100.0, 99.999), (200.0, 200.0), (150.0, 250.0)]  # no points
+    p = spark.createDataFrame(pts, "group_id long, pid long, x double, y double").repartition(5)
+    q = spark.createDataFrame([(g, v) for g, v in quads.items()], "group_id long, v array<struct<x:double,y:double>>")
+    lines = {(r.group_id, r.edge): (r.m, r.b) for r in fitting.robust_lines(p, fitting.start_lines(q), 42).collect()}
+    fit = {r.group_id: [tuple(r[k]) for k in ("tl", "tr", "br", "bl")] for r in fitting.quad_fit(p, q, 42).collect()}
+    assert set(fit) == set(quads) and len(lines) == 20
+    for g in range(4):
+        want, corners = quad_by_hand([r[1:] for r in pts if r[0] == g], quads[g])
+        assert np.allclose([lines[g, e] for e in range(4)], want, rtol=1e-6, atol=1e-6)
+        order = [min(corners, key=lambda c: c[0] + c[1]), max(corners, key=lambda c: c[0] - c[1]), max(corners, key=lambda c: c[0] + c[1]), min(corners, key=lambda c: c[0] - c[1])]
+        assert np.allclose(fit[g], order, rtol=1e-6, atol=1e-5)
+    assert np.allclose(fit[0], [(60, 100), (745, 100), (745, 1022), (58, 1022)], atol=5)
+
+
+def test_fit_line_on_vertical_sides(spark):
+    p = spark.createDataFrame([(1, "v", 2.0 + 0.5 * y, float(y)) for y in range(6)] + [(2, "h", float(x), 1.0 - x) for x in range(6)], "group_id long, orient string, x double, y double")
+    got = {r.group_id: (round(r.m, 9), round(r.b, 9)) for r in fitting.fit_line(fitting.along_axes(p), ["group_id"]).collect()}
+    assert got == {1: (0.5, 2.0), 2: (-1.0, 1.0)}
