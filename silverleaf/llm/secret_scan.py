@@ -1,8 +1,8 @@
 """Secret scan: fixed patterns, and strings that a dictionary-primed zstandard compressor cannot shorten.
 
 Base kinds (assign, access, hex) come from fixed patterns. Besides, every long enough string of secret
-characters with a digit and a letter that stands in a sensitive context (a sensitive word within the
-40 characters before it) is a candidate. A compressor is primed with a dictionary of common identifiers and the
+characters that stands in a sensitive context (a sensitive word within the 40 characters before or after it) is a
+candidate; long words and paths are too, as novelty alone decides. A compressor is primed with a dictionary of common identifiers and the
 code around the candidate, less all that repeats 16 or more characters of the candidate: copies of a secret must
 not make each other predictable. The bytes by which the output grows when the candidate is appended are its novelty.
 Strings whose novelty per character is near that of random ones are reported as kind ``novel``, unless a base
@@ -90,10 +90,9 @@ def novel_spans(text: str, base: list, novelty: Novelty) -> list[tuple[int, int,
         return out
     for m in CANDIDATE.finditer(text):
         s, e = m.span()
-        part = m[0]
-        if not (any(c.isdigit() for c in part) and any(c.isalpha() for c in part)) or any(a < e and s < b for a, _, b in base):
+        if any(a < e and s < b for a, _, b in base):
             continue
-        if SENSITIVE.search(text, max(0, s - CONTEXT), s) and novelty(text, s, e) >= NOVELTY:
+        if (SENSITIVE.search(text, max(0, s - CONTEXT), s) or SENSITIVE.search(text, e, e + CONTEXT)) and novelty(text, s, e) >= NOVELTY:
             out.append((s, 3, e))
     return out
 

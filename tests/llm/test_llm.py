@@ -250,6 +250,12 @@ def test_repeated_secrets_are_reported_each(spark):
     assert secret_scan.scan(spark.createDataFrame(plain, "doc_id long, text string")).first().n_novel == 0
 
 
+def test_secrets_of_letters_or_digits_and_words_after(spark):
+    texts = ["Bearer qWeRtYuIoPaSdFgHjKlZxCvB", "token 8392-0174-6510-9827-3645", "q7Gx9Lw2Zt8Rb4Vn6Kc1 is the password", "bearer " + "=" * 40, "q7Gx9Lw2Zt8Rb4Vn6Kc1 " + "." * 40 + "password", "bearer abcdefghijklmnopqrstuvwxyz"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: r.n_novel for r in secret_scan.scan(docs).collect()} == {0: 1, 1: 1, 2: 1, 3: 0, 4: 0, 5: 0}
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline
 
