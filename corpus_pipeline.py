@@ -22,12 +22,22 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest doc_id stays, once."""
-    docs = docs.select(*COLUMNS)
-    own = link_documents(docs)
-    gone = own.filter("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti")
-    return kept.filter("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.filter("doc_id is null")).select(*COLUMNS)
+    """Of each group of linked rows the one with the smallest doc_id stays (null last, then by a hash of the text), once.
+
+    Rows, not ids, are linked: texts that share an id are judged each, and rows without an id are linked too. Texts
+    without words are linked to none; of those, one row for each doc_id and text stays.
+    """
+    docs = materialize(docs.select(*COLUMNS).withColumn("row", F.monotonically_increasing_id()), "near-rows")
+    links = link_documents(docs.select(F.col("row").alias("doc_id"), "text")).select(F.col("doc_id").alias("row"), "n_shingles", F.col("component_id").alias("group"))
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", F.xxhash64("text").alias("hash"), "row")
+    rows = docs.select("row", order.alias("order")).join(links, "row")
+    some = rows.filter("n_shingles > 0")
+    first = some.groupBy("group").agg(F.min("order").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    gone = some.join(first, "group").filter(F.col("row") != F.col("first.row")).select("row")
+    blank = docs.filter(F.coalesce("text", F.lit("")).rlike(r"\A[\x20\t-\r]*\z")).select("row", "doc_id", "text")
+    one = blank.groupBy("doc_id", "text").agg(F.min("row").alias("first"))
+    gone = gone.unionByName(blank.select("row").join(one.select(F.col("first").alias("row")), "row", "left_anti"))
+    return docs.join(gone, "row", "left_anti").select(*COLUMNS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ Results are decided by 64-bit fingerprints: for n sorted suffixes the chance tha
 is below n*n / 2**65.
 
 Defined cases: rows without doc_id come before none and after none, so they keep everything; null or empty text -> nothing removed, digest of zero bytes; texts under 50 bytes are kept;
-rows repeating a doc_id never remove each other (only a smaller id removes); an empty table gives no rows;
+rows repeating a doc_id never remove each other (only a smaller id removes), and each of their texts is judged for itself; an empty table gives no rows;
 other columns of the input are ignored.
 """
 
@@ -41,6 +41,14 @@ COVER = np.array([1, 5, 11, 24, 25, 27])
 SAMPLE_BYTES = LENGTH - PERIOD + 1
 
 
+#: doc_id and first 16 bytes of the text's digest.
+COPY = np.dtype([("id", "<i8"), ("key", "V16")])
+
+
+def _text_key(text: bytes) -> bytes:
+    return hashlib.sha256(text).digest()[:16]
+
+
 def _window_hash(prefix: np.ndarray, n: int, length: int) -> np.ndarray:
     m = n - length + 1
     return mix((prefix[length : length + m] - prefix[:m]) * powers(MULT, n + 1)[1][:m])
@@ -49,11 +57,11 @@ def _window_hash(prefix: np.ndarray, n: int, length: int) -> np.ndarray:
 class _Chunk:
     """Text of the documents of a chunk that are not copies, end to end, and what is derived from it."""
 
-    def __init__(self, pdf: pd.DataFrame, copies: set):
+    def __init__(self, pdf: pd.DataFrame, copies: dict):
         pdf = pdf.sort_values("doc_id", kind="stable")
         self.ids = pdf["doc_id"].to_numpy()
         self.texts = [b"" if t is None else t.encode() for t in pdf["text"]]
-        self.copy = np.array([i in copies for i in self.ids], bool)
+        self.copy = np.array([i in copies and _text_key(t) in copies[i] for i, t in zip(self.ids, self.texts)], bool)
         live = [b"" if c else t for t, c in zip(self.texts, self.copy)]
         size = np.fromiter(map(len, live), np.int64, len(live))
         self.start = np.concatenate([[0], np.cumsum(size)])
@@ -108,8 +116,13 @@ def _side(pdf: pd.DataFrame, kind: str) -> list:
     return [] if pdf.empty else pdf[pdf["kind"] == kind].sort_values("bucket")["data"].tolist()
 
 
-def _copies(side: pd.DataFrame) -> set:
-    return {int(i) for blob in _side(side, "copy") for i in np.frombuffer(blob, "<i8")}
+def _copies(side: pd.DataFrame) -> dict:
+    """doc_id -> text keys of its rows that are copies; other texts of the id are none."""
+    out: dict = {}
+    for blob in _side(side, "copy"):
+        for i, key in np.frombuffer(blob, COPY).tolist():
+            out.setdefault(i, set()).add(key)
+    return out
 
 
 def _bits(blobs: list, bucket_sizes: list) -> np.ndarray:
@@ -164,8 +177,8 @@ def remove_repeats(docs: DataFrame, chunk_bytes: int = 4 << 20, blocks: int = 2)
 
     digest = text.select("chunk", "doc_id", F.sha2("text", 256).alias("digest"))
     first = digest.filter(F.col("digest").isNotNull()).groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    copies = (digest.join(first, "digest").filter("doc_id > first_id").groupBy("chunk").agg(F.collect_list("doc_id").alias("ids"))
-        .mapInPandas(lambda it: (pd.DataFrame({"chunk": p["chunk"], "kind": "copy", "bucket": 0, "data": [np.asarray(x, "<i8").tobytes() for x in p["ids"]]}) for p in it), SIDE))
+    copies = (digest.join(first, "digest").filter("doc_id > first_id").groupBy("chunk").agg(F.collect_list("doc_id").alias("ids"), F.collect_list("digest").alias("keys"))
+        .mapInPandas(lambda it: (pd.DataFrame({"chunk": p["chunk"], "kind": "copy", "bucket": 0, "data": [b"".join(int(i).to_bytes(8, "little", signed=True) + bytes.fromhex(k[:32]) for i, k in zip(*x)) for x in zip(p["ids"], p["keys"])]}) for p in it), SIDE))
     copies = materialize(copies, "suffix-copies")
 
     def send_ranks(key, pdf, side):

@@ -256,6 +256,39 @@ def test_secrets_of_letters_or_digits_and_words_after(spark):
     assert {r.doc_id: r.n_novel for r in secret_scan.scan(docs).collect()} == {0: 1, 1: 1, 2: 1, 3: 0, 4: 0, 5: 0}
 
 
+def test_suffix_dedup_judges_each_text_of_an_id(spark):
+    rng = np.random.default_rng(9)
+    a, b, c = (" ".join(rng.choice(WORDS, 40)) for _ in range(3))
+    rows = [(1, a), (5, a), (5, b), (5, a), (7, c), (7, b), (9, a)]
+    got = sorted((r.doc_id, r.n_bytes, r.n_removed) for r in suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    gone = [0, len(a), 0, len(a), 0, len(b), len(a)]
+    assert got == sorted((i, len(t), n) for (i, t), n in zip(rows, gone))
+
+
+def test_near_duplicates_judges_rows(spark):
+    """Repeated and missing ids against all pairs compared: one row of each group, one of each blank (doc_id, text)."""
+    import corpus_pipeline
+
+    rng = np.random.default_rng(10)
+    base = [" ".join(f"u{k}x{i}" for i in rng.permutation(90)) for k in range(7)]
+    near = [t + " tail" for t in base]
+    rows = [(1, base[0]), (4, base[0]), (4, base[1]), (4, near[0]), (2, near[1]), (6, base[2]), (6, base[2]), (6, base[3]), (None, base[4]), (None, base[4]), (None, near[4]),
+            (None, base[5]), (8, near[5]), (9, base[6]), (9, near[6]), (3, ""), (3, ""), (3, None), (10, " "), (None, ""), (None, "")]
+    got = sorted(map(str, ((r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3), "").collect())))
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in ((t or "").split() for _, t in rows)]
+    group = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            same = rows[i] == rows[j] if not sets[i] else 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])
+            if same:
+                old, new = group[i], group[j]
+                group = [new if g == old else g for g in group]
+    kept = [[rows[i] for i in range(len(rows)) if group[i] == g] for g in set(group)]
+    least = [[r for r in own if (r[0] is None, r[0] or 0) == min((x[0] is None, x[0] or 0) for x in own)] for own in kept]
+    assert len(got) == len(least)
+    assert all(sum(str(r) in got for r in {*own}) == 1 for own in least)
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline
 
