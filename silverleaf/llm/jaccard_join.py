@@ -4,21 +4,24 @@
   set, so copies of any number are one node from the start.
 * Shingles are ordered rare first, by a fixed-size count sketch over all documents, then by hash. Two sets
   that link share a shingle within their prefixes of n - ceil(0.75 n) + 1 shingles. Prefix entries are packed by
-  hash range (bucket) and each bucket keeps the shingles that two nodes share.
-* First round: within a shingle, nodes are paired with their next neighbours by size only, and each node
-  verifies its most promising pair. Links found merge nodes into components.
-* Merge rounds: the same again between neighbours of different components, for nodes whose sets are at hand,
-  until no link is found or ``MERGE_ROUNDS`` are done. They only make the last round smaller.
-* Last round, exact: every pair of nodes in different components that shares a prefix shingle and passes the
-  length, positional, parity (how many shingles two sets differ by at least) and suffix filters is verified once,
-  from the full sets. Pairs inside a component need no
-  test, as they change no component. So large groups of near copies never expand into all pairs, and
-  no link between components is lost.
+  hash range (bucket) and each bucket keeps the shingles that two nodes share. Only nodes left there can link; their
+  full sets are stored once, by node.
+* Merge rounds: a node is paired, per shingle, with one pivot (of the largest component there, the node whose shared
+  shingle comes first) and with its next neighbour by size, so pairs are linear in the entries. The two most
+  frequent pairs of each node that pass the length and positional filters and were not tried are verified, and
+  links join nodes into components. Rounds only make the last step smaller.
+* Last step, exact: whatever still shares a prefix shingle across components and passes the filters gives one row
+  (node, other component) - not one for each member. The component's members are cut into blocks of bounded size. A
+  node is compared with a block's union first: if it shares too little with that, no member can link. Else it is
+  compared with the members, and stops at the first that links. Pairs inside a component need no test, as they
+  change no component. So groups of near copies never expand into all pairs, and no link between components is lost.
+* Each comparison runs a length filter, a suffix filter (what two sets can share in each of 64 hash ranges), then
+  the full sets.
 
 Defined cases: null, empty or blank text -> empty set, linked with nothing; under 5 words the whole sequence is one
-shingle; rows that repeat a doc_id carry the same text and get the same component; an empty table gives no
-rows; other columns are ignored. 64-bit hashes decide: the chance of a wrong result is about n*n / 2**65 for n
-distinct shingles of two compared sets, or n nodes.
+shingle; rows that repeat a doc_id are judged each by its own text; rows without doc_id link too, and get the least
+doc_id of their component, null if it has none; an empty table gives no rows; other columns are ignored. 64-bit
+hashes decide: the chance of a wrong result is about n*n / 2**65 for n distinct shingles of two compared sets, or n nodes.
 """
 
 from __future__ import annotations
@@ -28,18 +31,25 @@ import uuid
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import NONBLANK, Words, blocks, byte_list, input_bytes, materialize, mix, pack_sorted, release, scratch_path, text_slices, unpack_sorted
+from .common import NONBLANK, Words, blocks, byte_list, delete_path, discard, input_bytes, materialize, mix, pack_sorted, release, scratch_path, text_slices, unpack_sorted
 from .components import components
 
 SKETCH_BITS = 21
 FILTER_BITS = 23
 RANGES = 64
-PARITY = 512
-NEIGHBOURS = 6
 MERGE_ROUNDS = 3
+#: Pairs of a node that are verified in a merge round.
+TRIES = 2
+#: A block of a component's members holds about so many shingles (8 bytes each); a block meets about so many nodes at a time.
+BLOCK_SHINGLES = 1 << 15
+BLOCK_NODES = 128
+#: (node, component) rows in one group of the comparison.
+ROWS_A_GROUP = 64
+#: Stands for a missing doc_id in the order of nodes.
+NO_ID = 2**63 - 1
 
 
 def shingle_sets(texts: list[bytes], words: int):
@@ -59,29 +69,23 @@ def signature(u: np.ndarray) -> int:
     return int(mix(np.array([np.sum(mix(u), dtype=np.uint64) + np.uint64(len(u))]))[0].astype(np.int64))
 
 
-def parity_bits(u: np.ndarray) -> bytes:
-    """For each of PARITY hash ranges whether an odd number of shingles falls there: sets differ by as many shingles at least as bits."""
-    return np.packbits(np.bincount((u >> np.uint64(64 - 9)).astype(np.int64), minlength=PARITY) & 1).tobytes()
-
-
 def prefix_length(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
 def _summaries(docs: DataFrame, words: int) -> DataFrame:
-    """One scan: doc rows (doc_id, size, sig, parity bits as n) and slices of the count sketch, told apart by ``slice``."""
+    """One scan: doc rows (doc_id, size, sig) and slices of the count sketch, told apart by ``slice``."""
     slots, step = 1 << SKETCH_BITS, 1 << 16
 
     def scan(batches):
         total = np.zeros(slots, np.int64)
         for b in batches:
             texts, ids = byte_list(b.column("text")), b.column("doc_id").to_pylist()
-            size, sig, bits = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64), [None] * len(ids)
+            size, sig = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64)
             for i, u in shingle_sets(texts, words):
                 size[i], sig[i] = len(u), signature(u)
-                bits[i] = parity_bits(u)
                 np.add.at(total, (u >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
-            yield pa.RecordBatch.from_pydict({"slice": pa.nulls(len(ids), pa.int32()), "n": pa.array(bits, pa.binary()), "doc_id": pa.array(ids, pa.int64()), "size": size, "sig": sig})
+            yield pa.RecordBatch.from_pydict({"slice": pa.nulls(len(ids), pa.int32()), "n": pa.nulls(len(ids), pa.binary()), "doc_id": pa.array(ids, pa.int64()), "size": size, "sig": sig})
         out = [(k, total[k * step : (k + 1) * step].astype("<u4").tobytes()) for k in range(slots // step)] if total.any() else []
         none = pa.nulls(len(out), pa.int64())
         yield pa.RecordBatch.from_pydict({"slice": pa.array([k for k, _ in out], pa.int32()), "n": pa.array([x for _, x in out], pa.binary()), "doc_id": none, "size": none, "sig": none})
@@ -164,90 +168,149 @@ def _shared(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame([(int(pdf["bucket"].iloc[0]), *row)], columns=["bucket", "h", "index_", "pos", "nodes", "size_"])
 
 
-PAIRS = "a long, b long, c long, pa long, pb long, na long, nb long"
-
-
-def _pairs(row, percent: int, label: tuple | None, bits: np.ndarray | None = None, every: bool = False) -> pd.DataFrame:
-    """Pairs within each shingle of a bucket, one row per pair: shared shingles and last positions.
-
-    Next neighbours by size only or, with ``every``, all. With labels: those with different labels.
-    """
-    h, sig, n, pos = _unpack(row)
-    order = np.lexsort((sig, n, h))
-    h, sig, n, pos = h[order], sig[order], n[order], pos[order]
-    group = np.cumsum(np.concatenate([[0], (h[1:] != h[:-1]).astype(np.int64)]))
-    if label is not None:
-        at = np.searchsorted(label[0], sig)
-        own = label[1][at]
-    else:
-        own = at = None
+PAIRS = "x long, c long, n long"
+
+
+def _passes(pi, pj, ni, nj, percent: int):
+    """Length and positional filters of pairs that share a shingle at positions pi, pj of sets of ni, nj shingles."""
+    swap = ni > nj
+    pi, pj, ni, nj = np.where(swap, pj, pi), np.where(swap, pi, pj), np.where(swap, nj, ni), np.where(swap, ni, nj)
+    at_most = np.minimum(pi, pj) + np.minimum(ni - pi, nj - pj)
+    fine = (100 * ni >= percent * nj) & (at_most * (100 + percent) >= percent * (ni + nj))
+    return fine & (pi < ni + (-2 * percent * ni) // (100 + percent) + 1)  # the smaller set shares in its shorter prefix
+
+
+def _runs(*keys) -> np.ndarray:
+    """Start of each run of equal keys, and the end."""
+    new = np.ones(len(keys[0]), bool)
+    new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+    return np.append(np.flatnonzero(new), len(new))
+
+
+class _Groups:
+    """Entries of a bucket in shingles whose nodes are of several components: shingle, node, size, position, component."""
+
+    def __init__(self, row, label: pd.DataFrame):
+        h, sig, n, pos = _unpack(row)
+        own = sig.copy()
+        if len(label):
+            label = label.drop_duplicates("sig").sort_values("sig")
+            keys = label["sig"].to_numpy()
+            at = np.minimum(np.searchsorted(keys, sig), len(keys) - 1)
+            own = np.where(keys[at] == sig, label["component"].to_numpy()[at], sig)
+        _, which = np.unique(own, return_inverse=True)
+        nodes_of = np.bincount(which[np.unique(sig, return_index=True)[1]], minlength=which.max() + 1 if len(which) else 0)
+        order = np.lexsort((pos, own, -nodes_of[which], h))  # the bucket's largest component first
+        self.sig, self.n, self.pos, self.own = sig[order], n[order], pos[order], own[order]
+        edge = _runs(h[order])
+        size = np.diff(edge)
+        group = np.repeat(np.arange(len(size)), size)
+        several = self.own[edge[:-1]] != self.own[edge[1:] - 1]
+        keep = several[group]
+        self.sig, self.n, self.pos, self.own, group = (x[keep] for x in (self.sig, self.n, self.pos, self.own, group))
+        edge = _runs(group) if len(group) else np.zeros(1, np.int64)
+        self.first = np.repeat(edge[:-1], np.diff(edge))  # of each entry, the first of its shingle
+        self.group = group
+
+    def merge_pairs(self, percent: int) -> pd.DataFrame:
+        """Each node with the pivot of its shingle and with its next neighbour by size."""
+        out = []
+        i = np.arange(len(self.sig))
+        by_size = np.lexsort((self.sig, self.n, self.group))
+        for x, c in ((i, self.first), (by_size[1:], by_size[:-1]), (by_size[:-1], by_size[1:])):
+            t = (self.group[x] == self.group[c]) & (self.own[x] != self.own[c])
+            x, c = x[t], c[t]
+            t = _passes(self.pos[x], self.pos[c], self.n[x], self.n[c], percent)
+            out.append(np.stack([self.sig[x[t]], self.sig[c[t]]], axis=1))
+        return _counted(out)
+
+    def across(self, percent: int, step: int = 1 << 20) -> pd.DataFrame:
+        """(node, component) for every pair of entries of a shingle in different components that passes the filters; the component is that which comes first."""
+        edge = _runs(self.group, self.own) if len(self.sig) else np.zeros(1, np.int64)
+        before = np.repeat(edge[:-1], np.diff(edge)) - self.first  # entries of components that come before
+        out, x = [], np.flatnonzero(before)
+        for s, e in blocks(before[x].tolist(), step):
+            part = x[s:e]
+            k = before[part]
+            left = np.repeat(part, k)
+            right = np.repeat(self.first[part], k) + np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
+            t = _passes(self.pos[left], self.pos[right], self.n[left], self.n[right], percent)
+            out.append(np.unique(np.stack([self.sig[left[t]], self.own[right[t]]], axis=1), axis=0))
+        return _counted(out)
+
+
+def _counted(pairs: list) -> pd.DataFrame:
+    t = np.concatenate(pairs) if pairs else np.zeros((0, 2), np.int64)
+    t = t[np.lexsort((t[:, 1], t[:, 0]))]
+    edge = _runs(t[:, 0], t[:, 1]) if len(t) else np.zeros(1, np.int64)
+    return pd.DataFrame({"x": t[edge[:-1], 0], "c": t[edge[:-1], 1], "n": np.diff(edge)})
+
+
+_EDGES = np.arange(1, RANGES, dtype=np.uint64) << np.uint64(58)
+
+
+class _Set:
+    def __init__(self, data):
+        self.u = unpack_sorted(data)
+        self.ranges = np.diff(np.searchsorted(self.u, _EDGES), prepend=0, append=len(self.u))
+
+    def links(self, other: _Set, percent: int) -> bool:
+        need = percent * (len(self.u) + len(other.u))
+        if 100 * min(len(self.u), len(other.u)) < percent * max(len(self.u), len(other.u)):
+            return False
+        if np.minimum(self.ranges, other.ranges).sum() * (100 + percent) < need:
+            return False
+        return len(np.intersect1d(self.u, other.u, assume_unique=True)) * (100 + percent) >= need
+
+
+def _first_links(nodes: pd.DataFrame, members: pd.DataFrame, percent: int) -> list:
+    """(x, y) for each node x of a unit and the first member y of its block that it links with."""
+    ys = [_Set(d) for d in members["data"]]
+    union, least = None, min(len(y.u) for y in ys)
+    if len(ys) > 4:
+        union = np.unique(np.concatenate([y.u for y in ys]))
     out = []
-    if own is not None:  # shingles whose nodes are all in one component need no pair
-        low, high = np.full(group[-1] + 1, np.iinfo(np.int64).max), np.full(group[-1] + 1, np.iinfo(np.int64).min)
-        np.minimum.at(low, group, own)
-        np.maximum.at(high, group, own)
-        keep = (low < high)[group]
-        sig, n, pos, group, own, at = sig[keep], n[keep], pos[keep], group[keep], own[keep], at[keep]
-    i, k, rows = np.arange(len(sig)), 0, 0
-    while len(i) and (every or k < NEIGHBOURS):
-        k += 1
-        i = i[i + k < len(sig)]
-        j = i + k
-        ok = (group[i] == group[j]) & (100 * n[i] >= percent * n[j])
-        i, j = i[ok], j[ok]
-        at_most = np.minimum(pos[i], pos[j]) + 1 + np.minimum(n[i] - pos[i], n[j] - pos[j]) - 1
-        take = at_most * (100 + percent) >= percent * (n[i] + n[j])
-        take &= pos[i] < n[i] + (-2 * percent * n[i]) // (100 + percent) + 1  # the smaller set (i) shares in its shorter prefix
-        if own is not None:
-            take &= own[i] != own[j]
-        p, q = i[take], j[take]
-        if own is not None and len(p):
-            differ = np.bitwise_count(bits[at[p]] ^ bits[at[q]]).sum(1).astype(np.int64)
-            fine = differ * (100 + percent) <= (100 - percent) * (n[p] + n[q])
-            p, q = p[fine], q[fine]
-        swap = sig[p] > sig[q]
-        p, q = np.where(swap, q, p), np.where(swap, p, q)
-        out.append(np.stack([sig[p], sig[q], pos[p], pos[q], n[p], n[q], np.ones(len(p), np.int64)], axis=1))
-        rows += len(p)
-        if rows > 400_000:
-            out = [_merge(np.concatenate(out))]
-            rows = -len(out[0])  # merge again after as many new rows as there are merged ones
-    t = _merge(np.concatenate(out)) if out else np.zeros((0, 7), np.int64)
-    return pd.DataFrame(t, columns=["a", "b", "pa", "pb", "na", "nb", "c"])[["a", "b", "c", "pa", "pb", "na", "nb"]]
-
-
-def _merge(t: np.ndarray) -> np.ndarray:
-    """One row per pair (a, b): largest positions, sizes, and the sum of the counts."""
-    order = np.lexsort((t[:, 1], t[:, 0]))
-    t = t[order]
-    if not len(t):
-        return t
-    first = np.flatnonzero(np.concatenate([[True], (t[1:, 0] != t[:-1, 0]) | (t[1:, 1] != t[:-1, 1])]))
-    out = t[first].copy()
-    for c in (2, 3):
-        out[:, c] = np.maximum.reduceat(t[:, c], first)
-    out[:, 6] = np.add.reduceat(t[:, 6], first)
+    for x, low, data in zip(nodes["x"], nodes["low"], nodes["data"]):
+        s = _Set(data)
+        if union is not None:
+            need = percent * (len(s.u) + max(least, -(-percent * len(s.u) // 100)))
+            at = np.minimum(np.searchsorted(union, s.u), len(union) - 1)
+            if np.count_nonzero(union[at] == s.u) * (100 + percent) < need:
+                continue
+        for y, low_y, other in zip(members["y"], members["low"], ys):
+            if s.links(other, percent):
+                out.append((x, low, y, low_y))
+                break
     return out
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose sets link. Suffix filter: what the sets can share in each of 64 hash ranges, then the sets."""
+def _linked(pairs: DataFrame, label: DataFrame | None, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, la, b, lb) of rows (x, c): node x with members of component c, or with node c itself if there are no labels.
 
-    def check(batches):
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("sa"), batch.column("sb")):
-                u, v = unpack_sorted(x.as_buffer()), unpack_sorted(y.as_buffer())
-                need = percent * (len(u) + len(v))
-                edges = np.arange(1, RANGES, dtype=np.uint64) << np.uint64(58)
-                cu, cv = np.diff(np.searchsorted(u, edges), prepend=0, append=len(u)), np.diff(np.searchsorted(v, edges), prepend=0, append=len(v))
-                keep.append(np.minimum(cu, cv).sum() * (100 + percent) >= need and len(np.intersect1d(u, v, assume_unique=True)) * (100 + percent) >= need)
-            keep = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(c).filter(keep) for c in ("a", "b")], names=["a", "b"])
-
-    with_a = pairs.select("a", "b").join(sets.select(F.col("sig").alias("a"), F.col("data").alias("sa")), "a")
-    with_b = with_a.join(sets.select(F.col("sig").alias("b"), F.col("data").alias("sb")), "b")
-    return with_b.select("a", "b", "sa", "sb").mapInArrow(check, "a long, b long")
+    Units (component, block, part of the nodes) are bounded in size and dealt by hash to groups of a few.
+    """
+    groups = max(1, pairs.count() // ROWS_A_GROUP)
+    own = sets.select(F.col("sig").alias("y"), F.col("sig").alias("c"), "size")
+    if label is not None:
+        of = label.select(F.col("node").alias("y"), "component")
+        own = own.join(of, "y", "left").select("y", F.coalesce("component", "y").alias("c"), "size")
+    asked = pairs.groupBy("c").agg(F.count(F.lit(1)).alias("nx"))
+    cuts = own.groupBy("c").agg(F.sum("size").alias("ny")).join(asked, "c").select(
+        "c", F.ceil(F.col("ny") / BLOCK_SHINGLES).cast("int").alias("nb"), F.ceil(F.col("nx") / BLOCK_NODES).cast("int").alias("nxs"))
+    spread = lambda n, name: F.explode(F.sequence(F.lit(0), F.col(n) - 1)).alias(name)
+    dealt = lambda df: df.withColumn("unit", F.pmod(F.xxhash64("c", "block", "part"), F.lit(groups)).cast("int"))
+    data = sets.select("sig", "data", "low")
+    left = own.join(cuts, "c").select("c", "y", F.pmod(F.xxhash64("y"), "nb").cast("int").alias("block"), spread("nxs", "part"))
+    left = dealt(left).join(data.withColumnRenamed("sig", "y"), "y")
+    right = pairs.join(cuts, "c").select("c", "x", F.pmod(F.xxhash64("x"), "nxs").cast("int").alias("part"), spread("nb", "block"))
+    right = dealt(right).join(data.withColumnRenamed("sig", "x"), "x")
+
+    def compare(members, nodes):
+        held = dict(list(members.groupby(["c", "block", "part"])))
+        found = [link for key, own in nodes.groupby(["c", "block", "part"]) if key in held for link in _first_links(own, held[key], percent)]
+        return pd.DataFrame(found, columns=["a", "la", "b", "lb"]).astype("int64")
+
+    return left.groupBy("unit").cogroup(right.groupBy("unit")).applyInPandas(compare, "a long, la long, b long, lb long")
 
 
 def link_documents(docs: DataFrame, percent: int = 75, words: int = 5) -> DataFrame:
@@ -256,7 +319,7 @@ def link_documents(docs: DataFrame, percent: int = 75, words: int = 5) -> DataFr
     n_docs, n_bytes = input_bytes(docs)
     buckets = int(max(12, n_bytes // (24 << 20)))
     scanned = materialize(_summaries(docs, words), "jaccard-scan")
-    info = scanned.filter("doc_id is not null or size is not null").select("doc_id", F.col("size").alias("n_shingles"), "sig", F.col("n").alias("bits"))
+    info = scanned.filter("size is not null").select("doc_id", F.col("size").alias("n_shingles"), "sig")
     sketch = spark.sparkContext.broadcast(_sketch(scanned))  # fixed size: 2**21 counts
     groups = materialize(_entries(docs, words, percent, sketch, buckets).groupBy("bucket").applyInPandas(_shared, ENTRIES), "jaccard-groups")
     release(spark)
@@ -267,92 +330,87 @@ def link_documents(docs: DataFrame, percent: int = 75, words: int = 5) -> DataFr
                 yield pd.DataFrame({"bucket": r.bucket, "sig": np.frombuffer(r.nodes, np.int64)})
 
     held = groups.select("bucket", "nodes").mapInPandas(nodes, "bucket int, sig long")
-    parts = int(max(12, n_bytes // (32 << 20)))
-
-    def sets_of(pairs):
-        """Sets of the nodes in ``pairs``, bucketed by node, from one scan of the texts."""
-        wanted = spark.sparkContext.broadcast(_bitmap(pairs.select(F.explode(F.array("a", "b")).alias("sig"))))  # fixed size: 2**23 bits
-
-        def gather(batches):
-            bits = wanted.value
-            for b in batches:
-                seen = set()
-                for texts in text_slices(b.column("text"), 4 << 20):
-                    out = []
-                    for _, u in shingle_sets(texts, words):
-                        s = signature(u)
-                        at = s & ((1 << FILTER_BITS) - 1)
-                        if s not in seen and bits[at >> 3] >> (7 - (at & 7)) & 1:
-                            seen.add(s)
-                            out.append((s, pack_sorted(u)))
-                    yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.binary())], names=["sig", "data"])
-
-        name = f"jaccard_sets_{uuid.uuid4().hex}"
-        (docs.select("text").mapInArrow(gather, "sig long, data binary").repartition(parts, "sig").dropDuplicates(["sig"])
-            .write.bucketBy(parts, "sig").option("compression", "zstd").option("path", scratch_path(spark, "jaccard-sets")).saveAsTable(name))
-        release(spark)
-        return spark.table(name)
+    known = info.filter("n_shingles > 0").groupBy("sig").agg(F.coalesce(F.min("doc_id"), F.lit(NO_ID)).alias("low"))
+    sets, drop_sets = _stored_sets(docs, words, held.select("sig").distinct(), known, int(max(12, n_bytes // (32 << 20))))
 
-    def near(batches):
-        for pdf in batches:
-            for r in pdf.itertuples():
-                yield _pairs(r, percent, None)
-
-    def promising(ab):
-        """The pair with most shared shingles of each node."""
-        ab = ab.groupBy("a", "b").agg(F.sum("c").alias("c"), F.first("na").alias("na"), F.first("nb").alias("nb"))
-        ab = ab.filter(F.col("c") * 40 >= F.least("na", "nb"))  # only which pairs come first; the last round leaves none out
-        best = lambda x, y: ab.groupBy(F.col(x).alias("x")).agg(F.max(F.struct("c", F.col(y).alias("y"))).alias("m")).select(F.least("x", "m.y").alias("a"), F.greatest("x", "m.y").alias("b"))
-        return best("a", "b").unionByName(best("b", "a")).distinct()
+    def crossing(label, how):
+        """Pairs (x, c) of nodes, or nodes and components, by bucket, from shingles that several components share."""
+        if label is None:
+            def alone(batches):
+                for pdf in batches:
+                    for r in pdf.itertuples():
+                        yield how(_Groups(r, pd.DataFrame()))
 
-    known = info.filter("n_shingles > 0").groupBy("sig").agg(F.first("bits").alias("bits"))
+            return groups.mapInPandas(alone, PAIRS)
 
-    def across(label, every):
-        """Pairs of nodes in different components, by bucket."""
+        def cross(entries, own):
+            return pd.concat([how(_Groups(r, own)) for r in entries.itertuples()] or [_counted([])])
 
-        def cross(key, entries, nodes):
-            nodes = nodes.drop_duplicates("sig").sort_values("sig")
-            own = nodes["sig"].to_numpy(), nodes["component"].to_numpy()
-            bits = np.frombuffer(b"".join(nodes["bits"]), np.uint64).reshape(len(nodes), -1)
-            out = [_pairs(r, percent, own, bits, every) for r in entries.itertuples()]
-            return pd.concat(out) if out else pd.DataFrame(columns=["a", "b", "c", "pa", "pb", "na", "nb"])
-
-        at = held.join(known.join(label.withColumnRenamed("node", "sig"), "sig", "left"), "sig").select("bucket", "sig", F.coalesce("component", "sig").alias("component"), "bits")
+        at = held.join(label.select(F.col("node").alias("sig"), "component"), "sig")
         return groups.groupBy("bucket").cogroup(at.groupBy("bucket")).applyInPandas(cross, PAIRS)
 
-    tried = materialize(promising(groups.mapInPandas(near, PAIRS)), "jaccard-first")
-    sets = sets_of(tried)
-    links = materialize(_verified(tried, sets, percent), "jaccard-links")
-    label = components(links)
-    release(spark)
+    label = tried = links = None
     for _ in range(MERGE_ROUNDS):
-        has = lambda c: sets.select(F.col("sig").alias(c))
-        more = across(label, False).join(has("a"), "a", "left_semi").join(has("b"), "b", "left_semi").join(tried, ["a", "b"], "left_anti")
-        more = materialize(promising(more), "jaccard-more")
-        found = materialize(_verified(more, sets, percent), "jaccard-links")
-        tried = tried.unionByName(more)
+        pairs = crossing(label, lambda g: g.merge_pairs(percent)).groupBy("x", "c").agg(F.sum("n").alias("n"))
+        if tried is not None:
+            pairs = pairs.join(tried, ["x", "c"], "left_anti")
+        best = Window.partitionBy("x").orderBy(F.desc("n"), "c")
+        pairs = materialize(pairs.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= TRIES).select("x", "c"), "jaccard-pairs")
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        found = materialize(_linked(pairs, None, sets, percent), "jaccard-links")
+        links = found if links is None else links.unionByName(found)
         if found.isEmpty():
             break
-        links = links.unionByName(found)
         label = components(links)
         release(spark)
 
-    rest = across(label, True).groupBy("a", "b").agg(F.sum("c").alias("c"), F.max("pa").alias("pa"), F.max("pb").alias("pb"), F.first("na").alias("na"), F.first("nb").alias("nb"))
-    # shared shingles that c leaves out come after those it counts, in both sets
-    rest = rest.filter((F.col("c") + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) - 1) * (100 + percent) >= percent * (F.col("na") + F.col("nb")))
-    rest = materialize(rest.select("a", "b").join(tried, ["a", "b"], "left_anti"), "jaccard-rest")
-    links = links.unionByName(materialize(_verified(rest, sets_of(rest), percent), "jaccard-links"))
+    rest = materialize(crossing(label, lambda g: g.across(percent)).select("x", "c").distinct(), "jaccard-rest")
+    links = links.unionByName(materialize(_linked(rest, label, sets, percent), "jaccard-links"))
     label = components(links)
+    drop_sets()
+    for done in (groups, rest):
+        discard(done)
     release(spark)
 
-    node = info.groupBy("sig", "n_shingles").agg(F.min("doc_id").alias("low")).filter("n_shingles > 0").join(label.withColumnRenamed("node", "sig"), "sig", "left")
-    node = node.withColumn("component", F.coalesce("component", "sig"))
-    least = node.groupBy("component").agg(F.min("low").alias("component_id"))
-    of = node.join(least, "component").select("sig", "component_id")
-    some = info.filter("n_shingles > 0").join(of, "sig").select("doc_id", "n_shingles", "component_id")
+    least = known.join(label.select(F.col("node").alias("sig"), F.col("low").alias("least")), "sig", "left").select("sig", F.nullif(F.coalesce("least", "low"), F.lit(NO_ID)).alias("component_id"))
+    some = info.filter("n_shingles > 0").join(least, "sig").select("doc_id", "n_shingles", "component_id")
     return some.unionByName(info.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
 
+def _stored_sets(docs: DataFrame, words: int, wanted: DataFrame, known: DataFrame, parts: int):
+    """Table (sig, size, data, low) of the sets of the nodes in ``wanted``, bucketed by node, and how to drop it. One scan of the texts."""
+    spark = docs.sparkSession
+    wanted = materialize(wanted, "jaccard-wanted")
+    may = spark.sparkContext.broadcast(_bitmap(wanted))  # fixed size: 2**23 bits
+
+    def gather(batches):
+        bits = may.value
+        for b in batches:
+            seen = set()
+            for texts in text_slices(b.column("text"), 4 << 20):
+                out = []
+                for _, u in shingle_sets(texts, words):
+                    s = signature(u)
+                    at = s & ((1 << FILTER_BITS) - 1)
+                    if s not in seen and bits[at >> 3] >> (7 - (at & 7)) & 1:
+                        seen.add(s)
+                        out.append((s, len(u), pack_sorted(u)))
+                yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in out], kind) for c, kind in enumerate((pa.int64(), pa.int64(), pa.binary()))], names=["sig", "size", "data"])
+
+    name, path = f"jaccard_sets_{uuid.uuid4().hex}", scratch_path(spark, "jaccard-sets")
+    found = docs.select("text").mapInArrow(gather, "sig long, size long, data binary").repartition(parts, "sig").dropDuplicates(["sig"])
+    low = wanted.join(known, "sig")
+    (found.join(low, "sig").coalesce(parts).write.bucketBy(parts, "sig").option("compression", "zstd").option("path", path).saveAsTable(name))
+    discard(wanted)
+    release(spark)
+
+    def drop():
+        spark.sql(f"drop table {name}")
+        delete_path(spark, path)
+
+    return spark.table(name), drop
+
+
 def _bitmap(held: DataFrame) -> np.ndarray:
     def partial(batches):
         bits, any_ = np.zeros(1 << FILTER_BITS, bool), False
