@@ -4,8 +4,10 @@
   set, so copies of any number are one node from the start.
 * Shingles are ordered rare first, by a fixed-size count sketch over all documents, then by hash. Two sets
   that link share a shingle within their prefixes of n - ceil(0.75 n) + 1 shingles. Prefix entries are packed by
-  hash range (bucket) and each bucket keeps the shingles that two nodes share. Only nodes left there can link; their
-  full sets are stored once, by node.
+  hash range (bucket) and each bucket keeps the shingles that two nodes share.
+* Count filter: of the shingles up to the end of both prefixes, two sets share only those found here, so nodes that
+  meet in shingles of few holders only (``FEW``) need enough of them; others cannot link and go. Full sets are
+  stored once, by node, for the nodes left.
 * Merge rounds: a node is paired, per shingle, with one pivot (of the largest component there, the node whose shared
   shingle comes first) and with its next neighbour by size, so pairs are linear in the entries. The two most
   frequent pairs of each node that pass the length and positional filters and were not tried are verified, and
@@ -48,6 +50,8 @@ BLOCK_SHINGLES = 1 << 15
 BLOCK_NODES = 128
 #: (node, component) rows in one group of the comparison.
 ROWS_A_GROUP = 64
+#: Up to so many nodes of a shingle the count filter looks at pairs; nodes of a shingle with more stay.
+FEW = 16
 #: Stands for a missing doc_id in the order of nodes.
 NO_ID = 2**63 - 1
 
@@ -171,13 +175,70 @@ def _shared(pdf: pd.DataFrame) -> pd.DataFrame:
 PAIRS = "x long, c long, n long"
 
 
-def _passes(pi, pj, ni, nj, percent: int):
-    """Length and positional filters of pairs that share a shingle at positions pi, pj of sets of ni, nj shingles."""
+def _passes(pi, pj, ni, nj, percent: int, each: bool = False):
+    """Length and positional filters of pairs that share a shingle at positions pi, pj of sets of ni, nj shingles.
+
+    Linked sets pass at their first common shingle or, with ``each``, at every one.
+    """
     swap = ni > nj
     pi, pj, ni, nj = np.where(swap, pj, pi), np.where(swap, pi, pj), np.where(swap, nj, ni), np.where(swap, ni, nj)
     at_most = np.minimum(pi, pj) + np.minimum(ni - pi, nj - pj)
     fine = (100 * ni >= percent * nj) & (at_most * (100 + percent) >= percent * (ni + nj))
-    return fine & (pi < ni + (-2 * percent * ni) // (100 + percent) + 1)  # the smaller set shares in its shorter prefix
+    return fine if each else fine & (pi < ni + (-2 * percent * ni) // (100 + percent) + 1)  # the smaller set shares in its shorter prefix
+
+
+def _few(row, percent: int) -> pd.DataFrame:
+    """Pairs (a, b) of nodes in shingles with ``FEW`` nodes at most and how many they share; (a, a) for nodes of other shingles."""
+    h, sig, n, pos = _unpack(row)
+    order = np.lexsort((sig, n, h))
+    sig, n, pos = sig[order], n[order], pos[order]
+    size = np.diff(_runs(h[order]))
+    group, held = np.repeat(np.arange(len(size)), size), np.repeat(size, size)
+    out = []
+    for k in range(1, FEW):
+        i = np.flatnonzero((group[: len(group) - k] == group[k:]) & (held[: len(group) - k] <= FEW))
+        j = i + k
+        t = _passes(pos[i], pos[j], n[i], n[j], percent, each=True)
+        out.append(np.stack([sig[i[t]], sig[j[t]], n[i[t]], n[j[t]]], axis=1))
+    many, at = np.unique(sig[held > FEW], return_index=True)
+    own = n[held > FEW][at]
+    t = np.concatenate([*out, np.stack([many, many, own, own], axis=1)])
+    swap = t[:, 0] > t[:, 1]
+    t[swap] = t[swap][:, [1, 0, 3, 2]]
+    t = t[np.lexsort((t[:, 1], t[:, 0]))]
+    edge = _runs(t[:, 0], t[:, 1]) if len(t) else np.zeros(1, np.int64)
+    first = t[edge[:-1]]
+    return pd.DataFrame({"a": first[:, 0], "b": first[:, 1], "na": first[:, 2], "nb": first[:, 3], "c": np.diff(edge)})
+
+
+def _wanted(groups: DataFrame, percent: int) -> DataFrame:
+    """Nodes (sig) that the count filter leaves."""
+
+    def run(batches):
+        for pdf in batches:
+            for r in pdf.itertuples():
+                yield _few(r, percent)
+
+    pairs = groups.mapInPandas(run, "a long, b long, na long, nb long, c long").groupBy("a", "b").agg(F.sum("c").alias("c"), F.first("na").alias("na"), F.first("nb").alias("nb"))
+    after = F.ceil(F.greatest("na", "nb") * percent / 100) - 1  # shingles behind the prefix
+    fine = (F.col("a") == F.col("b")) | ((F.col("c") + after) * (100 + percent) >= percent * (F.col("na") + F.col("nb")))
+    return pairs.filter(fine).select(F.explode(F.array("a", "b")).alias("sig")).distinct()
+
+
+def _only(groups: DataFrame, held: DataFrame) -> DataFrame:
+    """``groups`` with the nodes in ``held`` (bucket, sig) only."""
+
+    def keep(entries, own):
+        if own.empty or entries.empty:
+            return pd.DataFrame(columns=["bucket", "h", "index_", "pos", "nodes", "size_"])
+        nodes, out = np.unique(own["sig"].to_numpy()), []
+        for r in entries.itertuples():
+            h, sig, n, pos = _unpack(r)
+            t = np.isin(sig, nodes)
+            out.append((r.bucket, *_pack(h[t], sig[t], n[t], pos[t])))
+        return _shared(pd.DataFrame(out, columns=["bucket", "h", "index_", "pos", "nodes", "size_"]))
+
+    return groups.groupBy("bucket").cogroup(held.groupBy("bucket")).applyInPandas(keep, ENTRIES)
 
 
 def _runs(*keys) -> np.ndarray:
@@ -265,45 +326,45 @@ class _Set:
 
 def _first_links(nodes: pd.DataFrame, members: pd.DataFrame, percent: int) -> list:
     """(x, y) for each node x of a unit and the first member y of its block that it links with."""
-    ys = [_Set(d) for d in members["data"]]
+    ys = [_Set(d) for d in members["data_y"]]
     union, least = None, min(len(y.u) for y in ys)
     if len(ys) > 4:
         union = np.unique(np.concatenate([y.u for y in ys]))
     out = []
-    for x, low, data in zip(nodes["x"], nodes["low"], nodes["data"]):
+    for x, low, data in zip(nodes["x"], nodes["low"], nodes["data_x"]):
         s = _Set(data)
         if union is not None:
             need = percent * (len(s.u) + max(least, -(-percent * len(s.u) // 100)))
             at = np.minimum(np.searchsorted(union, s.u), len(union) - 1)
             if np.count_nonzero(union[at] == s.u) * (100 + percent) < need:
                 continue
-        for y, low_y, other in zip(members["y"], members["low"], ys):
+        for y, low_y, other in zip(members["y"], members["low_y"], ys):
             if s.links(other, percent):
                 out.append((x, low, y, low_y))
                 break
     return out
 
 
-def _linked(pairs: DataFrame, label: DataFrame | None, sets: DataFrame, percent: int) -> DataFrame:
+def _linked(pairs: DataFrame, label: DataFrame | None, nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links (a, la, b, lb) of rows (x, c): node x with members of component c, or with node c itself if there are no labels.
 
     Units (component, block, part of the nodes) are bounded in size and dealt by hash to groups of a few.
     """
     groups = max(1, pairs.count() // ROWS_A_GROUP)
-    own = sets.select(F.col("sig").alias("y"), F.col("sig").alias("c"), "size")
+    own = nodes.select(F.col("sig").alias("y"), F.col("sig").alias("c"), "size", F.col("low").alias("low_y"))
     if label is not None:
         of = label.select(F.col("node").alias("y"), "component")
-        own = own.join(of, "y", "left").select("y", F.coalesce("component", "y").alias("c"), "size")
+        own = own.join(of, "y", "left").select("y", F.coalesce("component", "y").alias("c"), "size", "low_y")
     asked = pairs.groupBy("c").agg(F.count(F.lit(1)).alias("nx"))
     cuts = own.groupBy("c").agg(F.sum("size").alias("ny")).join(asked, "c").select(
         "c", F.ceil(F.col("ny") / BLOCK_SHINGLES).cast("int").alias("nb"), F.ceil(F.col("nx") / BLOCK_NODES).cast("int").alias("nxs"))
     spread = lambda n, name: F.explode(F.sequence(F.lit(0), F.col(n) - 1)).alias(name)
     dealt = lambda df: df.withColumn("unit", F.pmod(F.xxhash64("c", "block", "part"), F.lit(groups)).cast("int"))
-    data = sets.select("sig", "data", "low")
-    left = own.join(cuts, "c").select("c", "y", F.pmod(F.xxhash64("y"), "nb").cast("int").alias("block"), spread("nxs", "part"))
-    left = dealt(left).join(data.withColumnRenamed("sig", "y"), "y")
-    right = pairs.join(cuts, "c").select("c", "x", F.pmod(F.xxhash64("x"), "nxs").cast("int").alias("part"), spread("nb", "block"))
-    right = dealt(right).join(data.withColumnRenamed("sig", "x"), "x")
+    left = own.join(cuts, "c").select("c", "y", "low_y", F.pmod(F.xxhash64("y"), "nb").cast("int").alias("block"), spread("nxs", "part"))
+    left = dealt(left).join(sets.select(F.col("sig").alias("y"), F.col("data").alias("data_y")), "y")
+    right = pairs.join(cuts, "c").join(nodes.select(F.col("sig").alias("x"), "low"), "x")
+    right = right.select("c", "x", "low", F.pmod(F.xxhash64("x"), "nxs").cast("int").alias("part"), spread("nb", "block"))
+    right = dealt(right).join(sets.select(F.col("sig").alias("x"), F.col("data").alias("data_x")), "x")
 
     def compare(members, nodes):
         held = dict(list(members.groupby(["c", "block", "part"])))
@@ -329,9 +390,13 @@ def link_documents(docs: DataFrame, percent: int = 75, words: int = 5) -> DataFr
             for r in pdf.itertuples():
                 yield pd.DataFrame({"bucket": r.bucket, "sig": np.frombuffer(r.nodes, np.int64)})
 
-    held = groups.select("bucket", "nodes").mapInPandas(nodes, "bucket int, sig long")
-    known = info.filter("n_shingles > 0").groupBy("sig").agg(F.coalesce(F.min("doc_id"), F.lit(NO_ID)).alias("low"))
-    sets, drop_sets = _stored_sets(docs, words, held.select("sig").distinct(), known, int(max(12, n_bytes // (32 << 20))))
+    holders = lambda g: g.select("bucket", "nodes").mapInPandas(nodes, "bucket int, sig long")
+    known = info.filter("n_shingles > 0").groupBy("sig").agg(F.coalesce(F.min("doc_id"), F.lit(NO_ID)).alias("low"), F.first("n_shingles").alias("size"))
+    live = materialize(_wanted(groups, percent).join(known, "sig"), "jaccard-nodes")
+    every, groups = groups, materialize(_only(groups, holders(groups).join(live.select("sig"), "sig")), "jaccard-groups")
+    discard(every)
+    held = holders(groups)
+    sets, drop_sets = _stored_sets(docs, words, live, int(max(12, n_bytes // (32 << 20))))
 
     def crossing(label, how):
         """Pairs (x, c) of nodes, or nodes and components, by bucket, from shingles that several components share."""
@@ -357,7 +422,7 @@ def link_documents(docs: DataFrame, percent: int = 75, words: int = 5) -> DataFr
         best = Window.partitionBy("x").orderBy(F.desc("n"), "c")
         pairs = materialize(pairs.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= TRIES).select("x", "c"), "jaccard-pairs")
         tried = pairs if tried is None else tried.unionByName(pairs)
-        found = materialize(_linked(pairs, None, sets, percent), "jaccard-links")
+        found = materialize(_linked(pairs, None, live, sets, percent), "jaccard-links")
         links = found if links is None else links.unionByName(found)
         if found.isEmpty():
             break
@@ -365,10 +430,10 @@ def link_documents(docs: DataFrame, percent: int = 75, words: int = 5) -> DataFr
         release(spark)
 
     rest = materialize(crossing(label, lambda g: g.across(percent)).select("x", "c").distinct(), "jaccard-rest")
-    links = links.unionByName(materialize(_linked(rest, label, sets, percent), "jaccard-links"))
+    links = links.unionByName(materialize(_linked(rest, label, live, sets, percent), "jaccard-links"))
     label = components(links)
     drop_sets()
-    for done in (groups, rest):
+    for done in (groups, rest, live):
         discard(done)
     release(spark)
 
@@ -377,11 +442,10 @@ def link_documents(docs: DataFrame, percent: int = 75, words: int = 5) -> DataFr
     return some.unionByName(info.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
 
-def _stored_sets(docs: DataFrame, words: int, wanted: DataFrame, known: DataFrame, parts: int):
-    """Table (sig, size, data, low) of the sets of the nodes in ``wanted``, bucketed by node, and how to drop it. One scan of the texts."""
+def _stored_sets(docs: DataFrame, words: int, wanted: DataFrame, parts: int):
+    """Table (sig, data) of the sets of the nodes in ``wanted``, bucketed by node, and how to drop it. One scan of the texts."""
     spark = docs.sparkSession
-    wanted = materialize(wanted, "jaccard-wanted")
-    may = spark.sparkContext.broadcast(_bitmap(wanted))  # fixed size: 2**23 bits
+    may = spark.sparkContext.broadcast(_bitmap(wanted.select("sig")))  # fixed size: 2**23 bits
 
     def gather(batches):
         bits = may.value
@@ -394,14 +458,12 @@ def _stored_sets(docs: DataFrame, words: int, wanted: DataFrame, known: DataFram
                     at = s & ((1 << FILTER_BITS) - 1)
                     if s not in seen and bits[at >> 3] >> (7 - (at & 7)) & 1:
                         seen.add(s)
-                        out.append((s, len(u), pack_sorted(u)))
-                yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in out], kind) for c, kind in enumerate((pa.int64(), pa.int64(), pa.binary()))], names=["sig", "size", "data"])
+                        out.append((s, pack_sorted(u)))
+                yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in out], kind) for c, kind in enumerate((pa.int64(), pa.binary()))], names=["sig", "data"])
 
     name, path = f"jaccard_sets_{uuid.uuid4().hex}", scratch_path(spark, "jaccard-sets")
-    found = docs.select("text").mapInArrow(gather, "sig long, size long, data binary").repartition(parts, "sig").dropDuplicates(["sig"])
-    low = wanted.join(known, "sig")
-    (found.join(low, "sig").coalesce(parts).write.bucketBy(parts, "sig").option("compression", "zstd").option("path", path).saveAsTable(name))
-    discard(wanted)
+    found = docs.select("text").mapInArrow(gather, "sig long, data binary").repartition(parts, "sig").dropDuplicates(["sig"])
+    found.write.bucketBy(parts, "sig").option("compression", "zstd").option("path", path).saveAsTable(name)
     release(spark)
 
     def drop():
