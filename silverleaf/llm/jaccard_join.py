@@ -9,11 +9,11 @@
   meet in shingles of few holders only (``FEW``) need enough of them; others cannot link and go. Full sets are
   stored once, by node, for the nodes left.
 * Merge rounds: a node is paired, per shingle, with one pivot (of the largest component there, the node whose shared
-  shingle comes first) and with its next neighbour by size, so pairs are linear in the entries. The two most
-  frequent pairs of each node that pass the length and positional filters and were not tried are verified, and
+  shingle comes first) and with its next neighbour by size, so pairs are linear in the entries. The most
+  frequent pair of each node that passes the length and positional filters and was not tried is verified, and
   links join nodes into components. Rounds only make the last step smaller.
 * Last step, exact: whatever still shares a prefix shingle across components and passes the filters gives one row
-  (node, other component) - not one for each member. The component's members are cut into blocks of bounded size. A
+  (node, other component) - not one for each member - if it passes the count filter too. The component's members are cut into blocks of bounded size. A
   node is compared with a block's union first: if it shares too little with that, no member can link. Else it is
   compared with the members, and stops at the first that links. Pairs inside a component need no test, as they
   change no component. So groups of near copies never expand into all pairs, and no link between components is lost.
@@ -44,7 +44,9 @@ FILTER_BITS = 23
 RANGES = 64
 MERGE_ROUNDS = 3
 #: Pairs of a node that are verified in a merge round.
-TRIES = 2
+TRIES = 1
+#: In merge rounds a pair shares one prefix shingle for so many of its node's shingles at least; the last step has no such bound.
+MERGE_SHARE = 50
 #: A block of a component's members holds about so many shingles (8 bytes each); a block meets about so many nodes at a time.
 BLOCK_SHINGLES = 1 << 15
 BLOCK_NODES = 128
@@ -172,7 +174,7 @@ def _shared(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame([(int(pdf["bucket"].iloc[0]), *row)], columns=["bucket", "h", "index_", "pos", "nodes", "size_"])
 
 
-PAIRS = "x long, c long, n long"
+PAIRS = "x long, c long, size long, n long, first long, low long, high long"
 
 
 def _passes(pi, pj, ni, nj, percent: int, each: bool = False):
@@ -211,6 +213,12 @@ def _few(row, percent: int) -> pd.DataFrame:
     return pd.DataFrame({"a": first[:, 0], "b": first[:, 1], "na": first[:, 2], "nb": first[:, 3], "c": np.diff(edge)})
 
 
+def _enough(shared: str, na: str, nb: str, percent: int):
+    """Count filter: what two sets share up to the end of both prefixes, and all that follows, can make them link."""
+    after = F.ceil(F.greatest(na, nb) * percent / 100) - 1
+    return (F.col(shared) + after) * (100 + percent) >= percent * (F.col(na) + F.col(nb))
+
+
 def _wanted(groups: DataFrame, percent: int) -> DataFrame:
     """Nodes (sig) that the count filter leaves."""
 
@@ -220,9 +228,7 @@ def _wanted(groups: DataFrame, percent: int) -> DataFrame:
                 yield _few(r, percent)
 
     pairs = groups.mapInPandas(run, "a long, b long, na long, nb long, c long").groupBy("a", "b").agg(F.sum("c").alias("c"), F.first("na").alias("na"), F.first("nb").alias("nb"))
-    after = F.ceil(F.greatest("na", "nb") * percent / 100) - 1  # shingles behind the prefix
-    fine = (F.col("a") == F.col("b")) | ((F.col("c") + after) * (100 + percent) >= percent * (F.col("na") + F.col("nb")))
-    return pairs.filter(fine).select(F.explode(F.array("a", "b")).alias("sig")).distinct()
+    return pairs.filter((F.col("a") == F.col("b")) | _enough("c", "na", "nb", percent)).select(F.explode(F.array("a", "b")).alias("sig")).distinct()
 
 
 def _only(groups: DataFrame, held: DataFrame) -> DataFrame:
@@ -282,11 +288,15 @@ class _Groups:
             t = (self.group[x] == self.group[c]) & (self.own[x] != self.own[c])
             x, c = x[t], c[t]
             t = _passes(self.pos[x], self.pos[c], self.n[x], self.n[c], percent)
-            out.append(np.stack([self.sig[x[t]], self.sig[c[t]]], axis=1))
-        return _counted(out)
+            out.append(self._rows(x[t], self.sig[c[t]], np.ones(t.sum(), bool), self.n[c[t]]))
+        return _summed(out)
 
     def across(self, percent: int, step: int = 1 << 20) -> pd.DataFrame:
-        """(node, component) for every pair of entries of a shingle in different components that passes the filters; the component is that which comes first."""
+        """(node, component) for every two entries of a shingle in different components; the component is that which comes first.
+
+        ``n``: shingles of the node that the component shares, ``first``: with a pair of entries that passes the filters,
+        ``low`` and ``high``: sizes of sets in such pairs.
+        """
         edge = _runs(self.group, self.own) if len(self.sig) else np.zeros(1, np.int64)
         before = np.repeat(edge[:-1], np.diff(edge)) - self.first  # entries of components that come before
         out, x = [], np.flatnonzero(before)
@@ -295,16 +305,30 @@ class _Groups:
             k = before[part]
             left = np.repeat(part, k)
             right = np.repeat(self.first[part], k) + np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
-            t = _passes(self.pos[left], self.pos[right], self.n[left], self.n[right], percent)
-            out.append(np.unique(np.stack([self.sig[left[t]], self.own[right[t]]], axis=1), axis=0))
-        return _counted(out)
-
-
-def _counted(pairs: list) -> pd.DataFrame:
-    t = np.concatenate(pairs) if pairs else np.zeros((0, 2), np.int64)
+            t = _passes(self.pos[left], self.pos[right], self.n[left], self.n[right], percent, each=True)
+            left, right = left[t], right[t]
+            first = _passes(self.pos[left], self.pos[right], self.n[left], self.n[right], percent)
+            order = np.lexsort((self.own[right], left))
+            left, right, first = left[order], right[order], first[order]
+            at = _runs(left, self.own[right])[:-1] if len(left) else np.zeros(0, np.int64)
+            if len(at):  # one row for each entry and component
+                n = self.n[right]
+                out.append(self._rows(left[at], self.own[right[at]], np.logical_or.reduceat(first, at), np.minimum.reduceat(n, at), np.maximum.reduceat(n, at)))
+        return _summed(out)
+
+    def _rows(self, x, c, first, low, high=None) -> np.ndarray:
+        return np.stack([self.sig[x], c, self.n[x], np.ones(len(x), np.int64), first.astype(np.int64), low, low if high is None else high], axis=1)
+
+
+def _summed(rows: list) -> pd.DataFrame:
+    t = np.concatenate(rows) if rows else np.zeros((0, 7), np.int64)
     t = t[np.lexsort((t[:, 1], t[:, 0]))]
-    edge = _runs(t[:, 0], t[:, 1]) if len(t) else np.zeros(1, np.int64)
-    return pd.DataFrame({"x": t[edge[:-1], 0], "c": t[edge[:-1], 1], "n": np.diff(edge)})
+    at = _runs(t[:, 0], t[:, 1])[:-1] if len(t) else np.zeros(0, np.int64)
+    out = t[at].copy()
+    if len(at):
+        for col, how in ((3, np.add), (4, np.maximum), (5, np.minimum), (6, np.maximum)):
+            out[:, col] = how.reduceat(t[:, col], at)
+    return pd.DataFrame(out, columns=["x", "c", "size", "n", "first", "low", "high"])
 
 
 _EDGES = np.arange(1, RANGES, dtype=np.uint64) << np.uint64(58)
@@ -409,14 +433,14 @@ def link_documents(docs: DataFrame, percent: int = 75, words: int = 5) -> DataFr
             return groups.mapInPandas(alone, PAIRS)
 
         def cross(entries, own):
-            return pd.concat([how(_Groups(r, own)) for r in entries.itertuples()] or [_counted([])])
+            return pd.concat([how(_Groups(r, own)) for r in entries.itertuples()] or [_summed([])])
 
         at = held.join(label.select(F.col("node").alias("sig"), "component"), "sig")
         return groups.groupBy("bucket").cogroup(at.groupBy("bucket")).applyInPandas(cross, PAIRS)
 
     label = tried = links = None
     for _ in range(MERGE_ROUNDS):
-        pairs = crossing(label, lambda g: g.merge_pairs(percent)).groupBy("x", "c").agg(F.sum("n").alias("n"))
+        pairs = crossing(label, lambda g: g.merge_pairs(percent)).groupBy("x", "c").agg(F.sum("n").alias("n"), F.first("size").alias("size")).filter(F.col("n") * MERGE_SHARE >= F.col("size"))
         if tried is not None:
             pairs = pairs.join(tried, ["x", "c"], "left_anti")
         best = Window.partitionBy("x").orderBy(F.desc("n"), "c")
@@ -429,7 +453,11 @@ def link_documents(docs: DataFrame, percent: int = 75, words: int = 5) -> DataFr
         label = components(links)
         release(spark)
 
-    rest = materialize(crossing(label, lambda g: g.across(percent)).select("x", "c").distinct(), "jaccard-rest")
+    rest = crossing(label, lambda g: g.across(percent)).groupBy("x", "c").agg(
+        F.first("size").alias("size"), F.sum("n").alias("n"), F.max("first").alias("first"), F.min("low").alias("low"), F.max("high").alias("high"))
+    # what the filter asks for rises with the other set's size up to the node's own and falls beyond, so the ends decide
+    rest = rest.filter("first > 0").filter(_enough("n", "size", "low", percent) | _enough("n", "size", "high", percent))
+    rest = materialize(rest.select("x", "c"), "jaccard-rest")
     links = links.unionByName(materialize(_linked(rest, label, live, sets, percent), "jaccard-links"))
     label = components(links)
     drop_sets()
