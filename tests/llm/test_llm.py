@@ -159,6 +159,34 @@ def test_ann_is_exact_on_few_vectors(spark):
     assert set(got) == {q for q, _ in v if q % 20 == 0}
 
 
+def test_ann_recall_at_the_registered_defaults(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(3000, 32))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    x[100:700] = x[100]  # a hot vector
+    v = [(i, a.tolist()) for i, a in enumerate(x)]
+    df = spark.createDataFrame(v, "vec_id long, embedding array<double>")
+    queries = df.filter("vec_id % 20 = 0").unionByName(spark.createDataFrame([v[40], v[40], (40, v[41][1])], df.schema))
+    got = defaultdict(list)
+    for r in ann.search(df, queries).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.rank, r.vec_id, r.score))
+    assert len(got.pop(40)) == 40  # an id with two vectors has two results, its repeated row none of its own
+    hit = []
+    for q, rows in got.items():
+        s = np.round(x @ x[q], 12)
+        best = [i for i in np.lexsort((np.arange(len(x)), -s)) if i != q][:20]
+        assert [r for r, _, _ in rows] == list(range(1, 21)) and all(abs(x[i] @ x[q] - sc) < 1e-12 for _, i, sc in rows)
+        hit.append(len({i for _, i, _ in rows} & set(best)) / 20)
+    assert np.mean(hit) >= 0.9 and all(h == 1 for q, h in zip(got, hit) if 100 <= q < 700)
+    assert ann.search(df.limit(0), df.limit(0)).count() == 0
+    exact = defaultdict(set)
+    for r in ann.search(df, df.filter("vec_id % 200 = 0"), probe_share=1.0, rerank=None).collect():
+        exact[r.query_id].add(r.vec_id)
+    for q, found in exact.items():
+        s = np.round(x @ x[q], 12)
+        assert found == set([i for i in np.lexsort((np.arange(len(x)), -s)) if i != q][:20])
+
+
 def test_jaccard_join(docs, rows, none):
     sets = {}
     for i, t in rows:
