@@ -144,18 +144,33 @@ def canonical_query(url: Column) -> Column:
     return F.array_join(F.array_sort(F.transform(F.filter(F.split(query, "&"), lambda p: p != ""), part)), "&")
 
 
-def extract_json(text: Column) -> Column:
-    """The JSON object in a text: the text itself, or from its first '{' to its last '}'; null if there is none."""
-    clean = F.trim(F.regexp_replace(text, "[\\x00-\\x1f]", " "))
+#: White space at either end, as Unicode has it, and the separators U+001C to U+001F.
+EDGE_BLANKS = "(?U)^[\\s\\x1c-\\x1f]+|[\\s\\x1c-\\x1f]+$"
+
+
+def strip(c: Column) -> Column:
+    return F.regexp_replace(c, EDGE_BLANKS, "")
+
+
+def clean_json(text: Column) -> Column:
+    """Text without outer white space, control characters as blanks, so that strings that hold them can be parsed."""
+    return F.regexp_replace(strip(text), "[\\x00-\\x1f]", " ")
+
+
+def parse_object(clean: Column) -> Column:
+    """The JSON object in a clean text: the text itself or, if it is no JSON, from its first '{' to its last '}'; null if there is none."""
     last = F.length(clean) - F.instr(F.reverse(clean), "}") + 1
     inner = F.substring(clean, F.instr(clean, "{"), F.greatest(last - F.instr(clean, "{") + 1, F.lit(0)))
-    v = F.coalesce(F.try_parse_json(clean), F.try_parse_json(F.when((F.instr(clean, "{") > 0) & (F.instr(clean, "}") > 0), inner)))
-    return F.when(F.schema_of_variant(v).startswith("OBJECT"), v)
+    return F.coalesce(F.try_parse_json(clean), F.try_parse_json(F.when((F.instr(clean, "{") > 0) & (F.instr(clean, "}") > 0), inner)))
 
 
-def normalize_date(s: Column) -> Column:
-    """YYYY.MM.DD or MM.DD (leap day allowed) that is a date, else null."""
-    t = F.trim(s)
+def normalize_date(t: Column) -> Column:
+    """YYYY.MM.DD or MM.DD (leap day allowed) that is a date, else null; ``t`` without outer white space."""
     full = t.rlike("^[0-9]{4}\\.[0-9]{2}\\.[0-9]{2}$") & ~t.startswith("0000") & F.try_to_date(t, "yyyy.MM.dd").isNotNull()
     short = t.rlike("^[0-9]{2}\\.[0-9]{2}$") & F.try_to_date(F.concat(F.lit("2000."), t), "yyyy.MM.dd").isNotNull()
     return F.when(full | short, t)
+
+
+def round_half_even(c: Column, digits: int) -> Column:
+    """Rounded to ``digits``, halves to the even neighbour, as report fields are."""
+    return F.bround(c, digits)

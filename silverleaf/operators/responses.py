@@ -5,37 +5,45 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.expressions import extract_json, normalize_date, scale_box
+from ..functions.expressions import clean_json, normalize_date, parse_object, scale_box, strip
+
+
+def _once(df: DataFrame, **columns) -> DataFrame:
+    """``df`` with columns behind a generator, which the optimiser doesn't merge with its readers: each is computed once a row."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))))
 
 
 def validate_responses(df: DataFrame) -> DataFrame:
     """Adds reason (null: valid), outcome, box (pixels) and date. First broken rule wins; a date that is none is kept as data.
 
-    Contract: an object with keys among reasoning and Date, Date null or {bbox: four numbers in order within [0, 1000], text}.
+    Contract: an object with keys among reasoning (string or null) and Date, Date null or {bbox: four numbers in order within
+    [0, 1000], text: a string that is not blank}. A repeated key makes the object unreadable: ``no object``.
     """
-    v = df.withColumn("v", extract_json(F.col("raw_text")))
-    get = lambda path, kind: F.try_variant_get("v", path, kind)
-    text = F.to_json("v")
-    keys = F.json_object_keys(text)
-    inner = F.get_json_object(text, "$.Date")
-    kinds = [F.schema_of_variant(F.try_variant_get("v", f"$.Date.bbox[{i}]", "variant")) for i in range(4)]
-    v = v.select("*", keys.alias("keys"), F.json_object_keys(inner).alias("date_keys"), inner.alias("inner"), *[get(f"$.Date.bbox[{i}]", "double").alias(f"c{i}") for i in range(4)],
-                 F.size(get("$.Date.bbox", "array<variant>")).alias("n_box"), F.array(*kinds).alias("kinds"), F.trim(get("$.Date.text", "string")).alias("text"))
-    c = [F.col(f"c{i}") for i in range(4)]
-    number = F.forall("kinds", lambda k: k.isNotNull() & ~k.isin("BOOLEAN", "VOID", "STRING"))
-    bad = (F.when(F.col("v").isNull(), "no object")
-        .when(F.size(F.array_except("keys", F.array(F.lit("reasoning"), F.lit("Date")))) > 0, "extra key")
-        .when(~F.array_contains("keys", "Date"), "no date key")
-        .when(F.col("inner").isNull(), None)
-        .when(F.col("date_keys").isNull() | (F.size(F.array_except(F.array(F.lit("bbox"), F.lit("text")), "date_keys")) > 0) | (F.size("date_keys") != 2), "date keys")
-        .when(F.col("n_box") != 4, "box length").when(~number, "box type")
-        .when(~((c[0] >= 0) & (c[0] < c[2]) & (c[2] <= 1000) & (c[1] >= 0) & (c[1] < c[3]) & (c[3] <= 1000)), "box range")
-        .when(F.coalesce(F.length("text"), F.lit(0)) == 0, "blank text"))
-    date = normalize_date(F.col("text"))
-    ok = F.col("reason").isNull() & F.col("inner").isNotNull()
-    out = v.withColumn("reason", bad)
-    return out.select(*df.columns, "reason", F.when(ok, scale_box(F.array(*c), F.col("width"), F.col("height"))).alias("box"), F.when(ok, date).alias("date"),
-                      F.when(F.col("reason").isNotNull(), "failed").when(~ok, "null").when(date.isNull(), "unreadable").otherwise("date").alias("outcome"))
+    kind = lambda c: F.schema_of_variant(c)
+    get = lambda c, path, what: F.try_variant_get(c, path, what)
+    rows = _once(df, r_clean=clean_json(F.col("raw_text")))
+    rows = _once(rows, r_all=parse_object(F.col("r_clean")))
+    rows = _once(rows, r_kind=kind("r_all"), r_keys=F.json_object_keys(F.to_json("r_all")), r_why=kind(get("r_all", "$.reasoning", "variant")), r_item=get("r_all", "$.Date", "variant"))
+    rows = _once(rows, r_item_kind=kind("r_item"), r_item_keys=F.json_object_keys(F.to_json("r_item")), r_box=get("r_item", "$.bbox", "array<variant>"), r_text=get("r_item", "$.text", "variant"))
+    rows = _once(rows, r_kinds=F.transform("r_box", kind), r_xy=F.transform("r_box", lambda x: get(x, "$", "double")), r_date=F.when(kind("r_text") == "STRING", strip(get("r_text", "$", "string"))))
+    c = [F.try_element_at("r_xy", F.lit(i + 1)) for i in range(4)]
+    number = F.forall("r_kinds", lambda k: k.isin("BIGINT", "DOUBLE", "FLOAT") | k.startswith("DECIMAL"))
+    inside = (c[0] >= 0) & (c[0] < c[2]) & (c[2] <= 1000) & (c[1] >= 0) & (c[1] < c[3]) & (c[3] <= 1000)
+    is_null = F.col("r_item_kind") == "VOID"
+    holds = lambda x: F.coalesce(x, F.lit(False))
+    bad = (F.when(~holds(F.col("r_kind").startswith("OBJECT")), "no object")
+        .when(F.size(F.array_except("r_keys", F.array(F.lit("reasoning"), F.lit("Date")))) > 0, "extra key")
+        .when(~F.array_contains("r_keys", "Date"), "no date key")
+        .when(~F.coalesce(F.col("r_why").isin("STRING", "VOID"), F.lit(True)), "reasoning type")
+        .when(is_null, None)
+        .when(~holds(F.array_sort("r_item_keys") == F.array(F.lit("bbox"), F.lit("text"))), "date keys")
+        .when(F.coalesce(F.size("r_box"), F.lit(-1)) != 4, "box length").when(~holds(number), "box type")
+        .when(~holds(inside), "box range")
+        .when(F.coalesce(F.length("r_date"), F.lit(0)) == 0, "blank text"))
+    rows = _once(rows, r_reason=bad, r_good=normalize_date(F.col("r_date")))
+    ok = F.col("r_reason").isNull() & ~is_null
+    return rows.select(*df.columns, F.col("r_reason").alias("reason"), F.when(ok, scale_box(F.col("r_xy"), F.col("width"), F.col("height"))).alias("box"), F.when(ok, F.col("r_good")).alias("date"),
+                       F.when(F.col("r_reason").isNotNull(), "failed").when(~ok, "null").when(F.col("r_good").isNull(), "unreadable").otherwise("date").alias("outcome"))
 
 
 def split_valid(validated: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -43,7 +51,12 @@ def split_valid(validated: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def plan_resume(inputs: DataFrame, outputs: DataFrame, audit: DataFrame, raw: DataFrame) -> DataFrame:
-    """image_id, status: todo, or for finished inputs audited, recovered (raw text is there) or skipped_existing."""
+    """image_id, status: todo, or for finished inputs audited, recovered (raw text is there) or skipped_existing.
+
+    An audit row with a column ``raw_result`` counts only if that is not null: without a result there is nothing to keep.
+    """
+    if "raw_result" in audit.columns:
+        audit = audit.filter("raw_result is not null")
     mark = lambda df, c: df.select("image_id").distinct().withColumn(c, F.lit(True))
     all_ = inputs.join(mark(outputs, "o"), "image_id", "left").join(mark(audit, "a"), "image_id", "left").join(mark(raw, "r"), "image_id", "left")
     return all_.select("image_id", F.when(F.col("o").isNull(), "todo").when(F.col("a"), "audited").when(F.col("r"), "recovered").otherwise("skipped_existing").alias("status"))
@@ -68,8 +81,9 @@ def run_summary(reports: DataFrame) -> DataFrame:
     return reports.agg(F.count(F.lit(1)).alias("image_count"), F.sum("item_count").alias("item_count"), F.sum("error_count").alias("error_count"))
 
 
-def flatten_envelope(df: DataFrame) -> DataFrame:
-    """Items of envelopes {Success, Code, Data: {Items: [...]}} that report success."""
+def flatten_envelope(df: DataFrame, instance_id: str | None = None) -> DataFrame:
+    """Items of envelopes {Success, Code, Data: {Items: [...]}} that report success; of one instance only, if it is named."""
     item = "array<struct<InstanceID:string,Currency:string,RemainingAmount:string,Status:string>>"
     e = df.select(F.from_json("text", f"Success boolean, Code string, Data struct<Items:{item}>").alias("e")).filter("e.Success and e.Code = 'Success'")
-    return e.select(F.inline("e.Data.Items")).toDF("instance_id", "currency", "remaining_amount", "status")
+    out = e.select(F.inline("e.Data.Items")).toDF("instance_id", "currency", "remaining_amount", "status")
+    return out if instance_id is None else out.filter(F.col("instance_id") == instance_id)

@@ -101,11 +101,22 @@ def scan_assets(spark, d):
     return files.with_names(V.table(spark, d, "pages"), "url").filter(F.col("ext").isin("html", "htm", "png")).select("page_id", "name")
 
 
-@query("natural_order", "SELECT * FROM (SELECT CASE WHEN p_partkey % 3 = 0 THEN CAST(p_partkey AS VARCHAR) ELSE p_name END stem, p_partkey FROM part) ORDER BY CASE WHEN regexp_matches(stem, '^[0-9]+$') THEN 0 ELSE 1 END, TRY_CAST(stem AS BIGINT), lower(stem), stem, p_partkey LIMIT 50")
+STEMS = "SELECT CASE WHEN p_partkey % 3 = 0 THEN CAST(p_partkey AS VARCHAR) ELSE p_name END stem, p_partkey FROM part"
+NATURAL = "CASE WHEN regexp_matches(stem, '^[0-9]+$') THEN 0 ELSE 1 END, TRY_CAST(stem AS DECIMAL(38, 0)), lower(stem), stem, p_partkey"
+
+
+def _stems(spark, d):
+    return V.table(spark, d, "part").select(F.when(F.col("p_partkey") % 3 == 0, F.col("p_partkey").cast("string")).otherwise(F.col("p_name")).alias("stem"), "p_partkey").withColumn("name", F.col("stem"))
+
+
+@query("natural_order", f"SELECT stem, p_partkey, row_number() OVER (ORDER BY {NATURAL}) AS rank FROM ({STEMS})")
 def natural_order(spark, d):
-    p = V.table(spark, d, "part").select(F.when(F.col("p_partkey") % 3 == 0, F.col("p_partkey").cast("string")).otherwise(F.col("p_name")).alias("stem"), "p_partkey").withColumn("name", F.col("stem"))
-    digits = F.col("stem").rlike("^[0-9]+$")
-    return files.limit_inputs(p.orderBy(F.when(digits, 0).otherwise(1), F.when(digits, F.col("stem").try_cast("bigint")), F.lower("name"), "name", "p_partkey"), 50).select("stem", "p_partkey")
+    return files.natural_rank(_stems(spark, d), "p_partkey").select("stem", "p_partkey", "rank")
+
+
+@query("limit_inputs", f"SELECT * FROM ({STEMS}) ORDER BY {NATURAL} LIMIT 50")
+def limit_inputs(spark, d):
+    return files.limit_inputs(files.natural_order(_stems(spark, d), "p_partkey"), 50).select("stem", "p_partkey")
 
 
 @query("sample_rows", "SELECT o_orderkey FROM orders ORDER BY md5('42|' || o_orderkey), o_orderkey LIMIT 500")

@@ -20,15 +20,42 @@ def with_names(df: DataFrame, path: str = "path") -> DataFrame:
 
 
 def scan_assets(spark: SparkSession, path: str, exts: tuple[str, ...] = EXTENSIONS) -> DataFrame:
-    """Image files of a folder, in natural order; contents are never read."""
+    """Image files of a folder, in natural order; contents are never read. A path that names a single file of another kind is an error."""
+    ending = path.rstrip("/").rpartition("/")[2].rpartition(".")
+    if ending[1] and ending[2].lower() not in exts and _is_file(spark, path):
+        raise ValueError(f"not an image file: {path}")
     files = spark.read.format("binaryFile").load(path).select("path", "length", F.col("modificationTime").alias("mtime"))
     return natural_order(with_names(files).filter(F.col("ext").isin(*exts)))
 
 
-def natural_order(df: DataFrame) -> DataFrame:
+def _is_file(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    return fs.exists(at) and fs.getFileStatus(at).isFile()
+
+
+def path_order(df: DataFrame) -> DataFrame:
+    return df.orderBy("path")
+
+
+def natural_rank(df: DataFrame, *ties: str) -> DataFrame:
+    """``df`` with ``rank``, the place of a row in natural order (from 1): the rows sorted, then counted by partition."""
+    placed = natural_order(df, *ties).withColumn("at", F.monotonically_increasing_id())
+    part, place = F.shiftright("at", 33), F.col("at").bitwiseAND((1 << 33) - 1)
+    placed = written(placed.withColumn("part", part).withColumn("place", place).drop("at"), "natural-order")
+    before, total = [], 0
+    for r in placed.groupBy("part").agg(F.count(F.lit(1)).alias("n")).orderBy("part").collect():  # one row for each sorted partition
+        before += [F.lit(r["part"]), F.lit(total)]
+        total += r["n"]
+    if not before:
+        return df.withColumn("rank", F.lit(1).cast("long"))
+    return placed.withColumn("rank", F.create_map(*before)[F.col("part")].cast("long") + F.col("place") + 1).drop("part", "place")
+
+
+def natural_order(df: DataFrame, *ties: str) -> DataFrame:
     """Stems of digits first, by number; the others by lower-case name."""
     digits = F.col("stem").rlike("^[0-9]+$")
-    return df.orderBy(F.when(digits, 0).otherwise(1), F.when(digits, F.col("stem").try_cast("decimal(38,0)")), F.lower("name"), "name")
+    return df.orderBy(F.when(digits, 0).otherwise(1), F.when(digits, F.col("stem").try_cast("decimal(38,0)")), F.lower("name"), "name", *ties)
 
 
 def limit_inputs(df: DataFrame, n: int) -> DataFrame:
@@ -66,8 +93,12 @@ def scan_responses(spark: SparkSession, path: str) -> DataFrame:
     return with_names(files).select(F.col("stem").alias("image_id"), "raw_text")
 
 
-def scan_audit(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    return spark.read.schema(schema).json(path, multiLine=True)
+def scan_audit(spark: SparkSession, path: str, schema: str, key: str = "image_id") -> DataFrame:
+    """Records of audit lists (JSON arrays): those that are objects with a key; of each key the last of its list."""
+    lists = spark.read.text(path, wholetext=True).select(F.posexplode(F.try_variant_get(F.try_parse_json("value"), "$", "array<variant>")).alias("pos", "r"))
+    records = lists.filter(F.schema_of_variant("r").startswith("OBJECT")).select("pos", F.try_variant_get("r", "$", f"struct<{schema}>").alias("r"))
+    records = records.filter(F.col(f"r.{key}").isNotNull())
+    return records.groupBy(F.col(f"r.{key}").alias("k")).agg(F.max_by("r", "pos").alias("r")).select("r.*")
 
 
 def write_rasters(df: DataFrame, path: str, by: str = "stage") -> None:
@@ -83,9 +114,10 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def save_stage(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").parquet(path)
+def save_stage(df: DataFrame, root: str, stage: str, key: str = "image_id", buckets: int = 64) -> None:
+    """A stage's table under ``root``, in folders by a bucket of its key, so that a later stage can read a part."""
+    df.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")).repartition(buckets, "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{root}/{stage}")
 
 
-def load_stage(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+def load_stage(spark: SparkSession, root: str, stage: str) -> DataFrame:
+    return spark.read.parquet(f"{root}/{stage}").drop("bucket")

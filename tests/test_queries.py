@@ -87,3 +87,43 @@ def test_sources(spark, tmp_path):
     with pytest.raises(ValueError):
         files.limit_inputs(spark.range(3), 0)
     assert files.scan_responses(spark, str(tmp_path / "x.txt")).first().image_id == "x"
+
+
+def test_response_contract(spark):
+    from silverleaf.operators.responses import flatten_envelope, plan_resume, validate_responses
+
+    box = '{"Date":{"bbox":[%s],"text":%s}}'
+    cases = [
+        (box % ("[1],2,3,4", '"02.29"'), "box type"), (box % ('1,2,{"a":1},4', '"02.29"'), "box type"), (box % ("1,2,null,4", '"a"'), "box type"), (box % ("1,2,true,4", '"a"'), "box type"),
+        (box % ("1,2,3", '"a"'), "box length"), ('{"Date":{"bbox":7,"text":"a"}}', "box length"), (box % ("5,2,3,4", '"a"'), "box range"), (box % ("1,2,3,4", "5"), "blank text"), (box % ("1,2,3,4", '" \\n"'), "blank text"),
+        ('{"reasoning":5,"Date":null}', "reasoning type"), ('{"a":1,"Date":null}', "extra key"), ('{"reasoning":"x"}', "no date key"), ('{"Date":5}', "date keys"), (box % ("1,2,3,4", '"12.31","more":1'), "date keys"),
+        ("[1]", "no object"), ("", "no object"), (None, "no object"), ('{"Date":null,"Date":null}', "no object"), ('{"Date":null}', None), (box % ("1,2,3,4", '"\\t02.29\\u00a0"'), None), ("x " + box % ("1.5,2,3,4", '"2021.02.30"') + " y", None)]
+    df = spark.createDataFrame([(i, t, 800, 1272) for i, (t, _) in enumerate(cases)], "i int, raw_text string, width int, height int")
+    got = {r.i: r for r in validate_responses(df).collect()}
+    assert {i: got[i].reason for i in got} == {i: why for i, (_, why) in enumerate(cases)}
+    assert [got[i].outcome for i in (18, 19, 20)] == ["null", "date", "unreadable"] and got[19].date == "02.29" and got[19].box == [0, 2, 3, 6]
+    ids = spark.createDataFrame([(1,), (2,)], "image_id long")
+    audit = spark.createDataFrame([(1, "x"), (2, None)], "image_id long, raw_result string")
+    assert {r.image_id: r.status for r in plan_resume(ids, ids, audit, ids).collect()} == {1: "audited", 2: "recovered"}
+    e = spark.createDataFrame([('{"Success":true,"Code":"Success","Data":{"Items":[{"InstanceID":"a"},{"InstanceID":"b"}]}}',)], "text string")
+    assert [r.instance_id for r in flatten_envelope(e, "b").collect()] == ["b"]
+
+
+def test_sources_and_stages(spark, tmp_path):
+    """Plain path order, audit lists (malformed records out, last wins), stages and half-even rounding."""
+    from pyspark.sql import functions as F
+
+    from silverleaf.functions.expressions import round_half_even
+    from silverleaf.sources import files
+
+    for name in ("b.png", "a.PNG", "10.jpg", "notes.txt"):
+        (tmp_path / name).write_bytes(b"x")
+    assert [r.name for r in files.path_order(files.scan_assets(spark, str(tmp_path))).collect()] == sorted(["b.png", "a.PNG", "10.jpg"])
+    with pytest.raises(ValueError):
+        files.scan_assets(spark, str(tmp_path / "notes.txt"))
+    (tmp_path / "audit.json").write_text('[{"image_id":"a","status":"old"},{"image_id":"a","status":"new"},{"status":"lost"},5]')
+    assert [(r.image_id, r.status) for r in files.scan_audit(spark, str(tmp_path / "audit.json"), "image_id string, status string").collect()] == [("a", "new")]
+    df = spark.createDataFrame([(i, i * 2) for i in range(50)], "image_id long, v long")
+    files.save_stage(df, str(tmp_path / "stages"), "one")
+    assert sorted(map(tuple, files.load_stage(spark, str(tmp_path / "stages"), "one").select("image_id", "v").collect())) == [(i, i * 2) for i in range(50)]
+    assert [r[0] for r in spark.sql("select explode(array(0.5d, 1.5d, 2.5d)) x").select(round_half_even(F.col("x"), 0)).collect()] == [0.0, 2.0, 2.0]
