@@ -49,13 +49,36 @@ def _text_key(text: bytes) -> bytes:
     return hashlib.sha256(text).digest()[:16]
 
 
-def _window_hash(prefix: np.ndarray, n: int, length: int) -> np.ndarray:
-    m = n - length + 1
-    return mix((prefix[length : length + m] - prefix[:m]) * powers(MULT, n + 1)[1][:m])
+def _runs(values: np.ndarray) -> np.ndarray:
+    """Starts of the runs of equal values."""
+    new = np.ones(len(values), bool)
+    new[1:] = values[1:] != values[:-1]
+    return np.flatnonzero(new)
+
+
+class _Sorted:
+    """Values in order: the distinct ones, and of each the first and last document of the chunk that has it."""
+
+    def __init__(self, values: np.ndarray, doc: np.ndarray):
+        self.order = np.argsort(values)
+        ordered = values[self.order]
+        start = _runs(ordered)
+        self.count = np.diff(start, append=len(values))
+        self.keys = ordered[start]
+        self.doc = doc[self.order]
+        self.low = np.minimum.reduceat(self.doc, start) if len(start) else self.doc
+        self.high = np.maximum.reduceat(self.doc, start) if len(start) else self.doc
+
+    def spread(self, of_keys: np.ndarray) -> np.ndarray:
+        """What belongs to keys, for every value in order."""
+        return np.repeat(of_keys, self.count)
 
 
 class _Chunk:
-    """Text of the documents of a chunk that are not copies, end to end, and what is derived from it."""
+    """Text of the documents of a chunk that are not copies, end to end, and what is derived from it.
+
+    Hashes are taken only at sampled positions and at candidates, so a pass costs little more than one prefix sum a byte.
+    """
 
     def __init__(self, pdf: pd.DataFrame, copies: dict):
         pdf = pdf.sort_values("doc_id", kind="stable")
@@ -63,44 +86,43 @@ class _Chunk:
         self.texts = [b"" if t is None else t.encode() for t in pdf["text"]]
         self.copy = np.array([i in copies and _text_key(t) in copies[i] for i, t in zip(self.ids, self.texts)], bool)
         live = [b"" if c else t for t, c in zip(self.texts, self.copy)]
-        size = np.fromiter(map(len, live), np.int64, len(live))
-        self.start = np.concatenate([[0], np.cumsum(size)])
+        self.size = np.fromiter(map(len, live), np.int64, len(live))
+        self.start = np.concatenate([[0], np.cumsum(self.size)])
         buf = np.frombuffer(b"".join(live), np.uint8)
         self.n = len(buf)
-        rank = np.unique(self.ids, return_inverse=True)[1]
-        self.doc = np.repeat(rank.astype(np.int32), size)
+        self.row = np.repeat(np.arange(len(live), dtype=np.int32), self.size)  # of each byte
+        self.rank = np.unique(self.ids, return_inverse=True)[1].astype(np.int32)  # of each row: its document
         self.prefix = prefix_hash(BYTE_VALUES[buf])
-        at = np.arange(self.n, dtype=np.int64)
-        left = np.repeat(self.start[1:], size) - at  # bytes to the end of the document
-        own = at - np.repeat(self.start[:-1], size)
-        self.left = left
-        ok = np.zeros(PERIOD, bool)
-        ok[COVER] = True
-        self.at = np.flatnonzero(ok[own % PERIOD] & (left >= SAMPLE_BYTES))
-        h = _window_hash(self.prefix, self.n, SAMPLE_BYTES)[self.at] if len(self.at) else np.zeros(0, np.uint64)
-        self.ranks, self.inverse = np.unique(h >> np.uint64(24), return_inverse=True)
-
-    def several(self, keys: int, inverse: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For each key the first and last document of the chunk that has it."""
-        low = np.full(keys, np.iinfo(np.int32).max, np.int32)
-        high = np.full(keys, -1, np.int32)
-        np.minimum.at(low, inverse, doc)
-        np.maximum.at(high, inverse, doc)
-        return low, high
-
-    def candidates(self, shared: np.ndarray) -> np.ndarray:
-        """Starts of 50-byte strings with a sampled rank that occurs in a second document."""
-        low, high = self.several(len(self.ranks), self.inverse, self.doc[self.at])
-        hit = self.at[(shared | (low < high))[self.inverse]]
-        mark = np.zeros(self.n + PERIOD + 1, np.int32)
-        mark[hit] = 1
-        total = np.concatenate([[0], np.cumsum(mark)])
-        return np.flatnonzero((total[PERIOD : PERIOD + self.n] > total[: self.n]) & (self.left >= LENGTH))
 
-    def fingerprints(self, shared: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at = self.candidates(shared)
-        h = _window_hash(self.prefix, self.n, LENGTH)[at] if len(at) else np.zeros(0, np.uint64)
-        return at, h
+    def hashes(self, at: np.ndarray, length: int) -> np.ndarray:
+        return mix((self.prefix[at + length] - self.prefix[at]) * powers(MULT, self.n + 1)[1][at])
+
+    def samples(self) -> tuple[np.ndarray, _Sorted]:
+        """Sampled positions, and the ranks of their strings in order."""
+        last = self.size - SAMPLE_BYTES  # last start in each row
+        k = np.maximum(last + PERIOD, 0) // PERIOD * len(COVER)
+        j = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
+        own = j // len(COVER) * PERIOD + COVER[j % len(COVER)]
+        fine = own <= np.repeat(last, k)
+        at = (own + np.repeat(self.start[:-1], k))[fine]
+        return at, _Sorted(self.hashes(at, SAMPLE_BYTES) >> np.uint64(24), self.rank[self.row[at]])
+
+    def candidates(self, shared: np.ndarray, at: np.ndarray, ranks: _Sorted) -> np.ndarray:
+        """Starts of 50-byte strings with a sampled rank that occurs in a second document."""
+        hit = np.sort(at[ranks.order[ranks.spread(shared | (ranks.low < ranks.high))]])
+        if not len(hit):
+            return hit
+        new = np.flatnonzero(np.concatenate([[True], hit[1:] - hit[:-1] > PERIOD]))  # each hit covers the PERIOD starts up to it
+        lo = np.maximum(hit[new] - PERIOD + 1, 0)
+        n = hit[np.append(new[1:], len(hit)) - 1] + 1 - lo
+        out = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
+        return out[self.start[self.row[out] + 1] - out >= LENGTH]
+
+    def suffixes(self, shared_bits: list, buckets: int) -> tuple[np.ndarray, _Sorted]:
+        at, ranks = self.samples()
+        shared = _bits(shared_bits, [len(v) for _, v in _split(ranks.keys, 40, buckets)])
+        at = self.candidates(shared, at, ranks)
+        return at, _Sorted(self.hashes(at, LENGTH), self.rank[self.row[at]])
 
 
 def _split(values: np.ndarray, bits: int, buckets: int, lo: int = 0, hi: int | None = None):
@@ -130,11 +152,6 @@ def _bits(blobs: list, bucket_sizes: list) -> np.ndarray:
     return np.concatenate(parts) if parts else np.zeros(0, bool)
 
 
-def _shared(chunk: _Chunk, side: pd.DataFrame, buckets: int) -> np.ndarray:
-    sizes = [len(v) for _, v in _split(chunk.ranks, 40, buckets)]
-    return _bits(_side(side, "rank"), sizes)
-
-
 def _seen(pdf: pd.DataFrame, kind: str, earlier: bool) -> pd.DataFrame:
     """Per chunk a bit for each value of this bucket: in another chunk (or only: in an earlier one)."""
     pdf = pdf.sort_values("chunk")
@@ -183,7 +200,7 @@ def remove_repeats(docs: DataFrame, chunk_bytes: int = 4 << 20, blocks: int = 2)
 
     def send_ranks(key, pdf, side):
         c = _Chunk(pdf, _copies(side))
-        rows = [(key[0], b, pack_sorted(v)) for b, v in _split(c.ranks, 40, buckets)]
+        rows = [(key[0], b, pack_sorted(v)) for b, v in _split(c.samples()[1].keys, 40, buckets)]
         return pd.DataFrame(rows, columns=["chunk", "bucket", "data"])
 
     by_chunk = text.groupBy("chunk")
@@ -197,8 +214,8 @@ def remove_repeats(docs: DataFrame, chunk_bytes: int = 4 << 20, blocks: int = 2)
     def sender(lo, hi):
         def send(key, pdf, own):
             c = _Chunk(pdf, _copies(own))
-            h = np.unique(c.fingerprints(_shared(c, own, buckets))[1])
-            rows = [(key[0], b, pack_sorted(v)) for b, v in _split(h, 64, buckets, lo, hi)]
+            keys = c.suffixes(_side(own, "rank"), buckets)[1].keys
+            rows = [(key[0], b, pack_sorted(v)) for b, v in _split(keys, 64, buckets, lo, hi)]
             return pd.DataFrame(rows, columns=["chunk", "bucket", "data"])
 
         return send
@@ -210,23 +227,19 @@ def remove_repeats(docs: DataFrame, chunk_bytes: int = 4 << 20, blocks: int = 2)
 
     def finish(key, pdf, own):
         c = _Chunk(pdf, _copies(own))
-        at, h = c.fingerprints(_shared(c, own, buckets))
-        keys, inverse = np.unique(h, return_inverse=True)
-        earlier = _bits(_side(own, "suffix"), [len(v) for _, v in _split(keys, 64, buckets)])
-        low, _ = c.several(len(keys), inverse, c.doc[at])
-        hit = at[earlier[inverse] | (c.doc[at] > low[inverse])] if len(at) else at
-        step = np.zeros(c.n + LENGTH + 1, np.int32)
-        step[hit] += 1
-        np.subtract.at(step, hit + LENGTH, 1)
-        gone = np.cumsum(step[: c.n]) > 0
+        at, suffixes = c.suffixes(_side(own, "rank"), buckets)
+        earlier = _bits(_side(own, "suffix"), [len(v) for _, v in _split(suffixes.keys, 64, buckets)])
+        hit = np.sort(at[suffixes.order[suffixes.spread(earlier) | (suffixes.doc > suffixes.spread(suffixes.low))]])
+        row = c.row[hit]
+        new = np.flatnonzero(np.concatenate([[True], (hit[1:] > hit[:-1] + LENGTH) | (row[1:] != row[:-1])])) if len(hit) else hit
+        lo, hi, row = hit[new], hit[np.append(new[1:], len(hit)) - 1] + LENGTH if len(hit) else hit, row[new]
+        cut = np.searchsorted(row, np.arange(len(c.texts) + 1))
         rows = []
         for i, t in enumerate(c.texts):
             if c.copy[i]:
                 spans = [(0, len(t))] if len(t) >= LENGTH else []
             else:
-                g = gone[c.start[i] : c.start[i + 1]]
-                edge = np.diff(g.astype(np.int8), prepend=0, append=0) if g.any() else np.zeros(0, np.int8)
-                spans = list(zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist()))
+                spans = [(x - int(c.start[i]), y - int(c.start[i])) for x, y in zip(lo[cut[i] : cut[i + 1]].tolist(), hi[cut[i] : cut[i + 1]].tolist())]
             digest, last = hashlib.sha256(), 0
             for s, e in spans:
                 digest.update(t[last:s])
