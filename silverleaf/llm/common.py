@@ -70,6 +70,13 @@ def byte_list(arr) -> list[bytes]:
     return [b"" if x is None else x for x in arr.cast(pa.binary()).to_pylist()]
 
 
+def with_columns(batch: pa.RecordBatch, schema: str, **columns) -> pa.RecordBatch:
+    """A record batch of the columns that ``schema`` (name type, ...) lists: those given here, else those of ``batch`` as they are, so nulls and large ids stay."""
+    kinds = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "double": pa.float64(), "binary": pa.binary()}
+    names = [x.split() for x in schema.split(",")]
+    return pa.RecordBatch.from_arrays([pa.array(columns[n], kinds[k]) if n in columns else batch.column(n).cast(kinds[k]) for n, k in names], names=[n for n, _ in names])
+
+
 def text_slices(arr, limit: int):
     """Lists of UTF-8 texts of an Arrow column, each of about ``limit`` bytes."""
     arr = arr.cast(pa.binary())

@@ -22,15 +22,17 @@ import bisect
 import zlib
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, with_columns
 from .token_counts import tokenizer_path, transducer
 
 END_ID = 2
-SALT = 64
+PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
+#: Salted parts of a length follow the corpus, one for about PART_PIECES pieces, so a hot length is never one task. At most
+#: MOST_PARTS, as the driver reads a count for each length and part; a part grows beyond that, and Spark's window spills it.
+PART_PIECES, MOST_PARTS = 100_000, 2048
 
 
 def _dominant(counts: dict, sizes: list, a: int, room: int) -> tuple[int, ...] | None:
@@ -141,27 +143,28 @@ def token_pieces(docs: DataFrame, path: str, capacity: int, end_id: int) -> Data
 
     def cut(batches):
         t, end = transducer(path), np.asarray([end_id], "<u4").tobytes()
-        for pdf in batches:
+        for b in batches:
             out = []
-            for i, text in zip(pdf["doc_id"], pdf["text"]):
+            for i, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
                 ids = t.ids(text or "") + end
                 n = len(ids) // 4
                 edges = [0, *range(n % capacity or capacity, n + 1, capacity)] if n > capacity else [0, n]
                 out += [(i, k, s, e - s, zlib.crc32(ids[4 * s : 4 * e])) for k, (s, e) in enumerate(zip(edges, edges[1:]))]
-            yield pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
+            yield with_columns(b, PIECES, **{c: [x[k] for x in out] for k, c in enumerate(("doc_id", "piece", "start", "length", "ids_crc32"))})
 
-    return docs.select("doc_id", "text").mapInPandas(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return docs.select("doc_id", "text").mapInArrow(cut, PIECES)
 
 
 def pack(docs: DataFrame, path: str | None = None, capacity: int = 1024, end_id: int = END_ID) -> DataFrame:
     pieces = materialize(token_pieces(docs, path or tokenizer_path(), capacity, end_id), "packing-pieces")
-    pieces = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SALT)).cast("int"))
-    sums = pieces.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n")).collect()  # at most capacity * SALT rows
+    salts = min(MOST_PARTS, max(16, -(-pieces.count() // PART_PIECES)))
+    pieces = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)).cast("int"))
+    sums = pieces.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n")).collect()  # at most capacity * MOST_PARTS rows
     parts: dict[int, dict[int, int]] = {}
     for r in sums:
         parts.setdefault(r["length"], {})[r["salt"]] = r["n"]
     plan, fixed = plan_packing({s: sum(p.values()) for s, p in parts.items()}, capacity)
-    before = {s: np.cumsum([0, *[p.get(k, 0) for k in range(SALT)]]) for s, p in parts.items()}
+    before = {s: np.cumsum([0, *[p.get(k, 0) for k in range(salts)]]) for s, p in parts.items()}
     places: dict[int, list] = {}
     base = 0
     for n, sets in plan:
@@ -175,9 +178,9 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = 1024, end_id:
     places = {s: np.asarray(v, np.int64) for s, v in places.items()}
 
     def deal(batches):
-        for pdf in batches:
-            seq, off = np.zeros(len(pdf), np.int64), np.zeros(len(pdf), np.int64)
-            length, salt, number = (pdf[c].to_numpy() for c in ("length", "salt", "number"))
+        for b in batches:
+            seq, off = np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows, np.int64)
+            length, salt, number = (b.column(c).to_numpy() for c in ("length", "salt", "number"))
             for s in np.unique(length):
                 at = np.flatnonzero(length == s)
                 rank = before[s][salt[at]] + number[at] - 1
@@ -185,10 +188,10 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = 1024, end_id:
                 slot = rank - row[:, 0]
                 seq[at] = row[:, 2] + slot // row[:, 3]
                 off[at] = row[:, 4] + slot % row[:, 3] * s
-            yield pdf[["doc_id", "piece", "start", "length", "ids_crc32"]].assign(sequence_id=seq, offset=off)
+            yield with_columns(b, PIECES + ", sequence_id long, offset long", sequence_id=seq, offset=off)
 
     window = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")
-    return pieces.withColumn("number", F.row_number().over(window)).mapInPandas(deal, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return pieces.withColumn("number", F.row_number().over(window)).mapInArrow(deal, PIECES + ", sequence_id long, offset long")
 
 
 def op5_best_fit_packing(spark, sf_dir) -> DataFrame:

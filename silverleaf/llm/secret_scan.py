@@ -18,10 +18,12 @@ from __future__ import annotations
 import hashlib
 import re
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import with_columns
+
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
@@ -103,20 +105,21 @@ def joined(spans: list) -> str:
 
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, n_novel, base_spans, spans."""
+    schema = "doc_id long, n_assign long, n_access long, n_hex long, n_novel long, base_spans string, spans string"
 
     def run(batches):
         novelty = Novelty()
-        for pdf in batches:
+        for b in batches:
             rows = []
-            for i, text in zip(pdf["doc_id"], pdf["text"]):
+            for text in b.column("text").to_pylist():
                 text = text or ""
                 base = base_spans(text)
                 novel = novel_spans(text, base, novelty)
                 n = [sum(k == j for _, k, _ in base) for j in range(3)]
-                rows.append((i, *n, len(novel), joined(base), joined(sorted(base + novel))))
-            yield pd.DataFrame(rows, columns=["doc_id", "n_assign", "n_access", "n_hex", "n_novel", "base_spans", "spans"])
+                rows.append((*n, len(novel), joined(base), joined(sorted(base + novel))))
+            yield with_columns(b, schema, **{c: [x[k] for x in rows] for k, c in enumerate(("n_assign", "n_access", "n_hex", "n_novel", "base_spans", "spans"))})
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n_assign long, n_access long, n_hex long, n_novel long, base_spans string, spans string")
+    return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
 def redact(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
@@ -124,9 +127,9 @@ def redact(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
 
     def run(batches):
         novelty = Novelty()
-        for pdf in batches:
+        for b in batches:
             out = []
-            for text in pdf["text"]:
+            for text in b.column("text").to_pylist():
                 if text:
                     base = base_spans(text)
                     parts, last = [], 0
@@ -136,9 +139,9 @@ def redact(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
                             last = e
                     text = "".join(parts) + text[last:]
                 out.append(text)
-            yield pdf.assign(text=out)
+            yield b.set_column(b.schema.get_field_index("text"), "text", pa.array(out, b.schema.field("text").type))
 
-    return docs.mapInPandas(run, docs.schema)
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op10_secret_scan(spark, sf_dir) -> DataFrame:

@@ -8,8 +8,8 @@ with a faster encoder of the same vocabulary (the library itself for other kinds
 and kept in a bounded table.
 
 A chunk of text that was cut anywhere has the state map (head, count, tail): the open fragment at either
-end, and the tokens emitted between. Maps compose associatively, count(a . b) = a + count(tail_a head_b) + b,
-so a long text is counted as a parallel prefix scan over its chunks.
+end, and the tokens emitted between. Maps compose associatively, count(a . b) = a + count(tail_a head_b) + b.
+Every text, of any length, is cut into chunks whose maps are composed pairwise, level by level, as in a prefix scan.
 
 Defined cases: null or empty text -> 0 tokens; special strings inside a text are treated as the library does
 by default; white space only, or text without blanks, is a single fragment; repeated rows are counted each;
@@ -21,10 +21,11 @@ from __future__ import annotations
 import json
 from struct import pack
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import with_columns
+
 #: Compiled transitions kept per Python worker.
 MAX_TRANSITIONS = 900_000
 _WORKER: dict = {}
@@ -145,6 +146,13 @@ class Transducer:
             return a[0], count + self.number(joint[:-1]), joint[-1]
         return a[0], count + self.number(joint), b[2]
 
+    def scan(self, text: str, chunk_chars: int) -> int:
+        """Tokens of a text: maps of its chunks, composed pairwise as a prefix scan would."""
+        level = [self.chunk_map(text[i : i + chunk_chars]) for i in range(0, len(text) or 1, chunk_chars)]
+        while len(level) > 1:
+            level = [self.compose(*level[i : i + 2]) if i + 1 < len(level) else level[i] for i in range(0, len(level), 2)]
+        return self.closed(level[0])
+
     def closed(self, m: tuple) -> int:
         return self.number(fragments(m[0])) if m[2] is None else self.number([*fragments(m[0]), m[2]]) + m[1]
 
@@ -155,35 +163,18 @@ def transducer(path: str) -> Transducer:
     return _WORKER[path]
 
 
-def count_tokens(docs: DataFrame, path: str | None = None, limit: int = 1024, chunk_chars: int = 1 << 20) -> DataFrame:
-    """doc_id, n_bytes, n_tokens, over_limit. Texts over ``chunk_chars`` are scanned in parallel chunks."""
+def count_tokens(docs: DataFrame, path: str | None = None, limit: int = 1024, chunk_chars: int = 1 << 14) -> DataFrame:
+    """doc_id, n_bytes, n_tokens, over_limit. Every text is counted as the composition of the maps of its chunks."""
     path = path or tokenizer_path()
+    schema = "doc_id long, n_bytes long, n_tokens long"
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("n_bytes", F.octet_length("text").cast("long"))
 
-    def whole(batches):
+    def count(batches):
         t = transducer(path)
-        for pdf in batches:
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_bytes": pdf["n_bytes"], "n_tokens": [t.number(fragments(x)) for x in pdf["text"]]})
+        for b in batches:
+            yield with_columns(b, schema, n_tokens=[t.scan(x, chunk_chars) for x in b.column("text").to_pylist()])
 
-    def maps(batches):
-        t = transducer(path)
-        for pdf in batches:
-            m = [t.chunk_map(x) for x in pdf["part"]]
-            yield pdf[["row", "doc_id", "n_bytes", "at"]].assign(head=[x[0] for x in m], n=[x[1] for x in m], tail=[x[2] for x in m])
-
-    def scan(pdf):
-        t, pdf = transducer(path), pdf.sort_values("at")
-        level = [(h, int(n), None if tail is None or tail != tail else tail) for h, n, tail in zip(pdf["head"], pdf["n"], pdf["tail"])]
-        while len(level) > 1:  # pairwise, as a scan would
-            level = [t.compose(*level[i : i + 2]) if i + 1 < len(level) else level[i] for i in range(0, len(level), 2)]
-        return pdf.head(1)[["doc_id", "n_bytes"]].assign(n_tokens=t.closed(level[0]))
-
-    schema = "doc_id long, n_bytes long, n_tokens long"
-    short = rows.filter(F.length("text") <= chunk_chars).mapInPandas(whole, schema)
-    cut = F.expr(f"transform(sequence(0, cast((length(text) - 1) / {chunk_chars} as int)), i -> struct(i as at, substring(text, i * {chunk_chars} + 1, {chunk_chars}) as part))")
-    long = (rows.filter(F.length("text") > chunk_chars).withColumn("row", F.monotonically_increasing_id()).select("row", "doc_id", "n_bytes", F.inline(cut))
-        .mapInPandas(maps, "row long, doc_id long, n_bytes long, at int, head string, n long, tail string").groupBy("row", "n_bytes").applyInPandas(scan, schema))
-    return short.unionByName(long).withColumn("over_limit", F.col("n_tokens") > limit)
+    return rows.mapInArrow(count, schema).withColumn("over_limit", F.col("n_tokens") > limit)
 
 
 def op3_token_counts(spark, sf_dir) -> DataFrame:

@@ -10,7 +10,8 @@
 
 Defined cases: null or empty text, or text without words, has no segment and gets the training rate of texts without
 segments; repeated rows are scored each; rows without a label, or with both labels null, do not train; an empty table gives no
-rows, and without training rows every score is 0; other columns stay.
+rows, and without training rows every score is 0; other columns stay (columns
+named toxicity or toxic_spans are replaced).
 """
 
 from __future__ import annotations
@@ -84,19 +85,20 @@ def maximal_segments(score: np.ndarray) -> list[tuple[int, int, float]]:
     if not len(at):
         return []
     total = np.concatenate([[0.0], np.cumsum(score)])
-    held: list[tuple[int, int, float, float]] = []  # start, end, sum before, sum after
-    for i in at.tolist():
-        s, e, left, right = i, i + 1, total[i], total[i + 1]
-        while held:
-            j = len(held) - 1
+    before, after = total[at].tolist(), total[at + 1].tolist()
+    held: list[tuple[int, int, float, float, int]] = []  # start, end, sum before, sum after, nearest earlier one with a smaller sum before
+    for i, left, right in zip(at.tolist(), before, after):
+        s, e, j = i, i + 1, len(held) - 1
+        while True:
             while j >= 0 and held[j][2] >= left:
-                j -= 1
+                j = held[j][4]
             if j < 0 or held[j][3] >= right:
                 break
             s, left = held[j][0], held[j][2]
             del held[j:]
-        held.append((s, e, left, right))
-    return [(s, e, r - left) for s, e, left, r in held]
+            j -= 1
+        held.append((s, e, left, right, j))
+    return [(s, e, r - left) for s, e, left, r, _ in held]
 
 
 def _statistics(texts: list[bytes], score: np.ndarray, lam: float):

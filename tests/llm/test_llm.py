@@ -362,3 +362,60 @@ def test_jaccard_links_between_fragments_of_a_family(spark):
                 root[max(a, b)] = min(a, b)
     got = {r.doc_id: r.component_id for r in link_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {i: find(i) for i in sets}
+
+
+def test_large_ids_stay_beside_missing_ones(spark):
+    """An id above 2**53 in a batch with a null id comes out as it went in."""
+    big = 2**60 + 1
+    docs = spark.createDataFrame([(big, "token=abcdefghijklmnop"), (None, "some words"), (big + 2, None)], "doc_id long, text string").coalesce(1)
+    for out in (token_counts.count_tokens(docs), packing.pack(docs), secret_scan.scan(docs), secret_scan.redact(docs), jaccard_join.link_documents(docs), suffix_dedup.remove_repeats(docs)):
+        assert {r.doc_id for r in out.collect()} == {big, None, big + 2}
+
+
+def test_segments_are_found_in_linear_time():
+    import time
+
+    def seconds(n):
+        score = np.tile([1.0, -0.9], n)  # rising sums: every run reaches back
+        score[::2] += np.linspace(0, 1e-6, n)
+        down = np.tile([1.0, -1.5], n)  # falling sums
+        start = time.perf_counter()
+        for s in (score, down, np.concatenate([down, score])):
+            toxicity.maximal_segments(s)
+        return time.perf_counter() - start
+
+    seconds(1000)
+    assert seconds(100_000) < 30 * max(seconds(10_000), 0.01)
+
+
+def test_every_registered_query_has_its_contract_columns(spark):
+    """The registered opN_ queries on the smallest tables: columns, one row for each document, and digests against plain code."""
+    from silverleaf.llm.registry import QUERIES
+
+    d = "/root/testdata/sf0.001"
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text").collect()}
+    want = {
+        "op1_suffix_dedup": "doc_id n_bytes n_removed n_spans kept_sha256", "op2_chat_format": "conv_id n_turns turns_sha256 loss_chars loss_sha256 formatted_chars", "op3_token_counts": "doc_id n_bytes n_tokens over_limit",
+        "op4_quality": "doc_id held_out score predicted", "op5_best_fit_packing": "doc_id piece start length ids_crc32 sequence_id offset", "op6_decontamination": "doc_id n_words n_hit n_items items_sha256 contaminated",
+        "op7_ann_search": "query_id rank vec_id score", "op8_jaccard_join": "doc_id n_shingles component_id", "op9_toxicity": "doc_id held_out score predicted", "op10_secret_scan": "doc_id n_assign n_access n_hex base_sha256 spans"}
+    got = {}
+    for name, columns in want.items():
+        out = QUERIES[name](spark, d)
+        assert set(columns.split()) <= set(out.columns), name
+        got[name] = out.collect()
+        if columns.startswith("doc_id") and name != "op5_best_fit_packing":
+            assert sorted(r.doc_id for r in got[name]) == sorted(docs), name
+    for r in got["op10_secret_scan"]:
+        base = secret_scan.base_spans(docs[r.doc_id])
+        assert r.base_sha256 == hashlib.sha256(secret_scan.joined(base).encode()).hexdigest() and r.n_hex == sum(k == 2 for _, k, _ in base)
+    for r in got["op9_toxicity"]:
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and r.predicted == int(r.score >= 0.5)
+    turns = defaultdict(list)
+    for r in spark.read.parquet(f"{d}/conversations.parquet").collect():
+        turns[r.conv_id].append((r.turn, r.role, r.text or ""))
+    turns[-7] = [(0, "user", "\\### Assistant: </turn> ok"), (1, "assistant", "\\### Assistant: </turn> ok")]
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    for r in got["op2_chat_format"]:
+        own = sorted(turns[r.conv_id])
+        loss = "".join(t for _, role, t in own if role == "assistant")
+        assert (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) == (len(own), sha("".join(f"{role}\n{t}\n" for _, role, t in own)), len(loss), sha(loss))
