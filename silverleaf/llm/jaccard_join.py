@@ -13,7 +13,7 @@
   frequent pair of each node that passes the length and positional filters and was not tried is verified, and
   links join nodes into components. Rounds only make the last step smaller.
 * Last step, exact: whatever still shares a prefix shingle across components and passes the filters gives one row
-  (node, other component) - not one for each member - if it passes the count filter too. The component's members are cut into blocks of bounded size. A
+  (node, other component) - not one for each member. The component's members are cut into blocks of bounded size. A
   node is compared with a block's union first: if it shares too little with that, no member can link. Else it is
   compared with the members, and stops at the first that links. Pairs inside a component need no test, as they
   change no component. So groups of near copies never expand into all pairs, and no link between components is lost.
@@ -174,7 +174,7 @@ def _shared(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame([(int(pdf["bucket"].iloc[0]), *row)], columns=["bucket", "h", "index_", "pos", "nodes", "size_"])
 
 
-PAIRS = "x long, c long, size long, n long, first long, low long, high long"
+PAIRS = "x long, c long, size long, n long"
 
 
 def _passes(pi, pj, ni, nj, percent: int, each: bool = False):
@@ -288,15 +288,11 @@ class _Groups:
             t = (self.group[x] == self.group[c]) & (self.own[x] != self.own[c])
             x, c = x[t], c[t]
             t = _passes(self.pos[x], self.pos[c], self.n[x], self.n[c], percent)
-            out.append(self._rows(x[t], self.sig[c[t]], np.ones(t.sum(), bool), self.n[c[t]]))
+            out.append(np.stack([self.sig[x[t]], self.sig[c[t]], self.n[x[t]], np.ones(t.sum(), np.int64)], axis=1))
         return _summed(out)
 
     def across(self, percent: int, step: int = 1 << 20) -> pd.DataFrame:
-        """(node, component) for every two entries of a shingle in different components; the component is that which comes first.
-
-        ``n``: shingles of the node that the component shares, ``first``: with a pair of entries that passes the filters,
-        ``low`` and ``high``: sizes of sets in such pairs.
-        """
+        """(node, component) for every two entries of a shingle in different components that pass the filters; the component is that which comes first."""
         edge = _runs(self.group, self.own) if len(self.sig) else np.zeros(1, np.int64)
         before = np.repeat(edge[:-1], np.diff(edge)) - self.first  # entries of components that come before
         out, x = [], np.flatnonzero(before)
@@ -305,30 +301,22 @@ class _Groups:
             k = before[part]
             left = np.repeat(part, k)
             right = np.repeat(self.first[part], k) + np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
-            t = _passes(self.pos[left], self.pos[right], self.n[left], self.n[right], percent, each=True)
+            t = _passes(self.pos[left], self.pos[right], self.n[left], self.n[right], percent)
             left, right = left[t], right[t]
-            first = _passes(self.pos[left], self.pos[right], self.n[left], self.n[right], percent)
-            order = np.lexsort((self.own[right], left))
-            left, right, first = left[order], right[order], first[order]
-            at = _runs(left, self.own[right])[:-1] if len(left) else np.zeros(0, np.int64)
-            if len(at):  # one row for each entry and component
-                n = self.n[right]
-                out.append(self._rows(left[at], self.own[right[at]], np.logical_or.reduceat(first, at), np.minimum.reduceat(n, at), np.maximum.reduceat(n, at)))
+            rows = np.stack([self.sig[left], self.own[right], self.n[left], np.ones(len(left), np.int64)], axis=1)
+            out.append(_summed([rows]).to_numpy())
         return _summed(out)
 
-    def _rows(self, x, c, first, low, high=None) -> np.ndarray:
-        return np.stack([self.sig[x], c, self.n[x], np.ones(len(x), np.int64), first.astype(np.int64), low, low if high is None else high], axis=1)
-
 
 def _summed(rows: list) -> pd.DataFrame:
-    t = np.concatenate(rows) if rows else np.zeros((0, 7), np.int64)
+    """One row for each (x, c), with the sum of ``n``."""
+    t = np.concatenate(rows) if rows else np.zeros((0, 4), np.int64)
     t = t[np.lexsort((t[:, 1], t[:, 0]))]
     at = _runs(t[:, 0], t[:, 1])[:-1] if len(t) else np.zeros(0, np.int64)
     out = t[at].copy()
     if len(at):
-        for col, how in ((3, np.add), (4, np.maximum), (5, np.minimum), (6, np.maximum)):
-            out[:, col] = how.reduceat(t[:, col], at)
-    return pd.DataFrame(out, columns=["x", "c", "size", "n", "first", "low", "high"])
+        out[:, 3] = np.add.reduceat(t[:, 3], at)
+    return pd.DataFrame(out, columns=["x", "c", "size", "n"])
 
 
 _EDGES = np.arange(1, RANGES, dtype=np.uint64) << np.uint64(58)
@@ -453,11 +441,7 @@ def link_documents(docs: DataFrame, percent: int = 75, words: int = 5) -> DataFr
         label = components(links)
         release(spark)
 
-    rest = crossing(label, lambda g: g.across(percent)).groupBy("x", "c").agg(
-        F.first("size").alias("size"), F.sum("n").alias("n"), F.max("first").alias("first"), F.min("low").alias("low"), F.max("high").alias("high"))
-    # what the filter asks for rises with the other set's size up to the node's own and falls beyond, so the ends decide
-    rest = rest.filter("first > 0").filter(_enough("n", "size", "low", percent) | _enough("n", "size", "high", percent))
-    rest = materialize(rest.select("x", "c"), "jaccard-rest")
+    rest = materialize(crossing(label, lambda g: g.across(percent)).select("x", "c").distinct(), "jaccard-rest")
     links = links.unionByName(materialize(_linked(rest, label, live, sets, percent), "jaccard-links"))
     label = components(links)
     drop_sets()
