@@ -392,8 +392,9 @@ def link_documents(docs: DataFrame, percent: int = 75, words: int = 5) -> DataFr
     n_docs, n_bytes = input_bytes(docs)
     buckets = int(max(12, n_bytes // (24 << 20)))
     scanned = materialize(_summaries(docs, words), "jaccard-scan")
-    info = scanned.filter("size is not null").select("doc_id", F.col("size").alias("n_shingles"), "sig")
     sketch = spark.sparkContext.broadcast(_sketch(scanned))  # fixed size: 2**21 counts
+    info = materialize(scanned.filter("size is not null").select("doc_id", F.col("size").alias("n_shingles"), "sig"), "jaccard-docs")
+    discard(scanned)  # with the tasks' slices of the sketch
     groups = materialize(_entries(docs, words, percent, sketch, buckets).groupBy("bucket").applyInPandas(_shared, ENTRIES), "jaccard-groups")
     release(spark)
 
