@@ -197,7 +197,7 @@ def _few(row, percent: int) -> pd.DataFrame:
     size = np.diff(_runs(h[order]))
     group, held = np.repeat(np.arange(len(size)), size), np.repeat(size, size)
     out = []
-    for k in range(1, FEW):
+    for k in range(1, min(FEW, len(group))):
         i = np.flatnonzero((group[: len(group) - k] == group[k:]) & (held[: len(group) - k] <= FEW))
         j = i + k
         t = _passes(pos[i], pos[j], n[i], n[j], percent, each=True)
