@@ -6,6 +6,7 @@ from .ann import op7_ann_search
 from .chat_format import op2_chat_format
 from .decontaminate import op6_decontamination
 from .jaccard_join import op8_jaccard_join
+from .oracles import ORACLE_SQL  # noqa: F401
 from .packing import op5_best_fit_packing
 from .quality import op4_quality
 from .secret_scan import op10_secret_scan
@@ -14,4 +15,3 @@ from .token_counts import op3_token_counts
 from .toxicity import op9_toxicity
 
 QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_chat_format, op3_token_counts, op4_quality, op5_best_fit_packing, op6_decontamination, op7_ann_search, op8_jaccard_join, op9_toxicity, op10_secret_scan)}
-ORACLE_SQL: dict[str, str] = {}
