@@ -6,7 +6,8 @@ candidate; long words and paths are too, as novelty alone decides. A compressor
 code around the candidate, less all that repeats 16 or more characters of the candidate: copies of a secret must
 not make each other predictable. The bytes by which the output grows when the candidate is appended are its novelty.
 Strings whose novelty per character is near that of random ones are reported as kind ``novel``, unless a base
-span overlaps them.
+span overlaps them. Base spans are measured the same way and stay whatever their novelty; ``scan`` gives the
+marginal bytes of every span it reports.
 
 Defined cases: null or empty text -> no spans; offsets are code points, end exclusive; equal matches are
 reported each where they stand; repeated rows are scanned each; an empty table gives no rows; other columns are
@@ -78,12 +79,15 @@ class Novelty:
 
     def __call__(self, text: str, start: int, end: int) -> float:
         """Marginal compressed bytes of text[start:end], per character."""
+        return self.marginal(text, start, end) / (end - start)
+
+    def marginal(self, text: str, start: int, end: int) -> int:
         part, before, after = text[start:end], slice(0, start), slice(end, len(text))
         around = (without_copies(text, max(0, start - AROUND), start, before, part) + " " + without_copies(text, end, min(len(text), end + AROUND), after, part)).encode()
         primed = self.z.ZstdCompressionDict(IDENTIFIERS + b" " + around, dict_type=self.z.DICT_TYPE_RAWCONTENT)
         small = lambda b: len(self.z.ZstdCompressor(level=3, dict_data=primed, write_content_size=False, write_checksum=False).compress(b))
         lead = without_copies(text, max(0, start - CONTEXT), start, before, part).encode()
-        return (small(lead + part.encode()) - small(lead)) / (end - start)
+        return small(lead + part.encode()) - small(lead)
 
 
 def novel_spans(text: str, base: list, novelty: Novelty) -> list[tuple[int, int, int]]:
@@ -104,8 +108,8 @@ def joined(spans: list) -> str:
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """doc_id, n_assign, n_access, n_hex, n_novel, base_spans, spans."""
-    schema = "doc_id long, n_assign long, n_access long, n_hex long, n_novel long, base_spans string, spans string"
+    """doc_id, n_assign, n_access, n_hex, n_novel, base_spans, spans, and the marginal bytes of each of the spans (novel_bytes)."""
+    schema = "doc_id long, n_assign long, n_access long, n_hex long, n_novel long, base_spans string, spans string, novel_bytes string"
 
     def run(batches):
         novelty = Novelty()
@@ -116,8 +120,10 @@ def scan(docs: DataFrame) -> DataFrame:
                 base = base_spans(text)
                 novel = novel_spans(text, base, novelty)
                 n = [sum(k == j for _, k, _ in base) for j in range(3)]
-                rows.append((*n, len(novel), joined(base), joined(sorted(base + novel))))
-            yield with_columns(b, schema, **{c: [x[k] for x in rows] for k, c in enumerate(("n_assign", "n_access", "n_hex", "n_novel", "base_spans", "spans"))})
+                spans = sorted(base + novel)
+                marginal = ",".join(str(novelty.marginal(text, s, e)) for s, _, e in spans)
+                rows.append((*n, len(novel), joined(base), joined(spans), marginal))
+            yield with_columns(b, schema, **{c: [x[k] for x in rows] for k, c in enumerate(("n_assign", "n_access", "n_hex", "n_novel", "base_spans", "spans", "novel_bytes"))})
 
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
@@ -148,4 +154,4 @@ def op10_secret_scan(spark, sf_dir) -> DataFrame:
     from .common import table
 
     out = scan(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base_spans", 256).alias("base_sha256"), "spans")
+    return out.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base_spans", 256).alias("base_sha256"), "spans", "novel_bytes")
