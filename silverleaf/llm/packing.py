@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, with_columns
-from .token_counts import tokenizer_path, transducer
+from .token_counts import FragmentIds, in_worker, tokenizer_path
 
 END_ID = 2
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -142,7 +142,7 @@ def token_pieces(docs: DataFrame, path: str, capacity: int, end_id: int) -> Data
     """doc_id, piece, start, length, ids_crc32 of every piece of every document."""
 
     def cut(batches):
-        t, end = transducer(path), np.asarray([end_id], "<u4").tobytes()
+        t, end = in_worker(FragmentIds, path), np.asarray([end_id], "<u4").tobytes()
         for b in batches:
             out = []
             for i, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):

@@ -1,19 +1,16 @@
-"""Token counts and token ids by a compiled finite-state view of a byte-level BPE tokenizer.
+"""Token counts by a compiled transducer (``token_automaton``), and token ids by a table of fragments.
 
-A blank (U+0020) that follows a character which is no white space always starts a new token, whatever stands
-to its left, and what stands left of it is tokenized the same whatever follows. These blanks cut a text into
-fragments that are tokenized alone. The compiled transducer has one state (between fragments); each fragment
-is a transition that emits a fixed number of tokens (or fixed ids). Transitions are compiled when first seen,
-with a faster encoder of the same vocabulary (the library itself for other kinds of files and for special strings),
-and kept in a bounded table.
+Counts: every text, of any length, is cut into chunks; the state maps of the chunks, found by running the transducer,
+compose associatively and are composed pairwise, level by level, as in a prefix scan.
 
-A chunk of text that was cut anywhere has the state map (head, count, tail): the open fragment at either
-end, and the tokens emitted between. Maps compose associatively, count(a . b) = a + count(tail_a head_b) + b.
-Every text, of any length, is cut into chunks whose maps are composed pairwise, level by level, as in a prefix scan.
+Ids (for packing): a blank (U+0020) that follows a character which is no white space always starts a new token, and what
+stands left of it is tokenized the same whatever follows. These blanks cut a text into fragments that are tokenized alone,
+when first seen, with a faster encoder of the same vocabulary (the library itself for other kinds of files and for special
+strings), and kept in a bounded table.
 
 Defined cases: null or empty text -> 0 tokens; special strings inside a text are treated as the library does
-by default; white space only, or text without blanks, is a single fragment; repeated rows are counted each;
-an empty table gives no rows; other columns of the input are ignored.
+by default; repeated rows are counted each; an empty table gives no rows; other columns of the input are ignored;
+a tokenizer that is no plain byte-level BPE has no transducer: ValueError.
 """
 
 from __future__ import annotations
@@ -25,9 +22,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import with_columns
+from .token_automaton import Automaton
 
-#: Compiled transitions kept per Python worker.
-MAX_TRANSITIONS = 900_000
+#: Fragments whose ids are kept in a Python worker.
+MAX_FRAGMENTS = 900_000
 _WORKER: dict = {}
 
 
@@ -72,8 +70,8 @@ def quick_encoder(path: str):
     return tiktoken.Encoding("quick", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
 
-class Transducer:
-    """Fragment -> emitted ids (little-endian uint32) and their number."""
+class FragmentIds:
+    """Fragment -> its ids (little-endian uint32)."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -84,13 +82,11 @@ class Transducer:
         self.quick = quick_encoder(path)
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.emit: dict[str, bytes] = {}
-        self.count: dict[str, int] = {}
 
-    def compile(self, parts, ids: bool) -> None:
-        known = self.emit if ids else self.count
-        new = [p for p in set(parts) if p not in known]
-        if len(known) + len(new) > MAX_TRANSITIONS:
-            known.clear()
+    def compile(self, parts) -> None:
+        new = [p for p in set(parts) if p not in self.emit]
+        if len(self.emit) + len(new) > MAX_FRAGMENTS:
+            self.emit.clear()
             new = list(set(parts))
         for s in range(0, len(new), 4096):
             part = new[s : s + 4096]
@@ -101,66 +97,22 @@ class Transducer:
                 for i, p in enumerate(part):
                     if any(x in p for x in self.special):
                         done[i] = self.library.encode(p, add_special_tokens=False).ids
-            if ids:
-                known.update((p, pack(f"<{len(e)}I", *e)) for p, e in zip(part, done))
-            else:
-                known.update(zip(part, map(len, done)))
-
-    def number(self, parts: list[str]) -> int:
-        try:
-            return sum(map(self.count.__getitem__, parts))
-        except KeyError:
-            self.compile(parts, False)
-            return sum(map(self.count.__getitem__, parts))
+            self.emit.update((p, pack(f"<{len(e)}I", *e)) for p, e in zip(part, done))
 
     def ids(self, text: str) -> bytes:
         parts = fragments(text)
         try:
             return b"".join(map(self.emit.__getitem__, parts))
         except KeyError:
-            self.compile(parts, True)
+            self.compile(parts)
             return b"".join(map(self.emit.__getitem__, parts))
 
-    def chunk_map(self, chunk: str) -> tuple[str, int, str | None]:
-        """(head, tokens between, tail); tail is None if the chunk is one open fragment."""
-        parts = fragments(chunk)
-        if len(parts) < 2:
-            return chunk, 0, None
-        return parts[0], self.number(parts[1:-1]), parts[-1]
-
-    def compose(self, a: tuple, b: tuple) -> tuple:
-        """State map of the text a + b."""
-        if a[2] is None or b[2] is None or a[2][-1:].isspace() or not b[0].startswith(" "):
-            left = a[0] if a[2] is None else a[2]
-            joint = fragments(left + b[0])
-        else:
-            joint = [a[2], *fragments(b[0])]
-        # joint holds the seam; its ends stay open where a or b is one fragment
-        first, last = a[2] is None, b[2] is None
-        count = a[1] + b[1]
-        if first and last:
-            return (joint[0] if joint else "", count + self.number(joint[1:-1]), joint[-1]) if len(joint) > 1 else ("".join(joint), count, None)
-        if first:
-            return joint[0] if joint else "", count + self.number(joint[1:]), b[2]
-        if last:
-            return a[0], count + self.number(joint[:-1]), joint[-1]
-        return a[0], count + self.number(joint), b[2]
-
-    def scan(self, text: str, chunk_chars: int) -> int:
-        """Tokens of a text: maps of its chunks, composed pairwise as a prefix scan would."""
-        level = [self.chunk_map(text[i : i + chunk_chars]) for i in range(0, len(text) or 1, chunk_chars)]
-        while len(level) > 1:
-            level = [self.compose(*level[i : i + 2]) if i + 1 < len(level) else level[i] for i in range(0, len(level), 2)]
-        return self.closed(level[0])
-
-    def closed(self, m: tuple) -> int:
-        return self.number(fragments(m[0])) if m[2] is None else self.number([*fragments(m[0]), m[2]]) + m[1]
-
-
-def transducer(path: str) -> Transducer:
-    if path not in _WORKER:
-        _WORKER[path] = Transducer(path)
-    return _WORKER[path]
+
+def in_worker(kind, path: str):
+    """One ``kind(path)`` for a Python worker."""
+    if (kind, path) not in _WORKER:
+        _WORKER[kind, path] = kind(path)
+    return _WORKER[kind, path]
 
 
 def count_tokens(docs: DataFrame, path: str | None = None, limit: int = 1024, chunk_chars: int = 1 << 14) -> DataFrame:
@@ -170,7 +122,7 @@ def count_tokens(docs: DataFrame, path: str | None = None, limit: int = 1024, ch
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("n_bytes", F.octet_length("text").cast("long"))
 
     def count(batches):
-        t = transducer(path)
+        t = in_worker(Automaton, path)
         for b in batches:
             yield with_columns(b, schema, n_tokens=[t.scan(x, chunk_chars) for x in b.column("text").to_pylist()])
 

@@ -78,15 +78,52 @@ def test_token_counts(docs, rows, none):
     assert token_counts.count_tokens(none).count() == 0
 
 
-@pytest.mark.parametrize("text", ["a <|endoftext|> b", "  x\n\n y  \t z", "it's 's 't", "   ", "a\x1f b", "\n 'll ''t", "x　 y"])
-def test_chunk_maps_compose(text):
-    t = token_counts.Transducer(token_counts.tokenizer_path())
-    want = len(t.library.encode(text, add_special_tokens=False).ids)
+@pytest.fixture(scope="module")
+def automaton():
+    from silverleaf.llm.token_automaton import Automaton
+
+    return Automaton(token_counts.tokenizer_path())
+
+
+@pytest.fixture(scope="module")
+def library():
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(token_counts.tokenizer_path())
+
+
+@pytest.mark.parametrize("text", ["a <|endoftext|> b", "  x\n\n y  \t z", "it's 's 't", "   ", "a\x1f b", "\n 'll ''t", "x　 y", "", "'", "'r", "he'rt 'l' 'v", "aaaaaaaaaaaaaaaaaaaa"])
+def test_chunk_maps_compose(automaton, library, text):
+    want = len(library.encode(text, add_special_tokens=False).ids)
     for n in range(1, len(text) + 1):
-        maps = [t.chunk_map(text[i : i + n]) for i in range(0, len(text), n)]
-        while len(maps) > 1:
-            maps = [t.compose(*maps[:2]), *maps[2:]]
-        assert t.closed(maps[0]) == want
+        assert automaton.scan(text, n) == want
+    part = text.replace("<|endoftext|>", "")
+    maps = [automaton.chunk_map(part[i : i + 2]) for i in range(0, len(part), 2)]
+    left, right = maps[:], maps[:]
+    while len(left) > 1:  # associative: from the left and from the right
+        left = [automaton.compose(*left[:2]), *left[2:]]
+        right = [*right[:-2], automaton.compose(*right[-2:])]
+    assert not maps or automaton.apply(left[0]) == automaton.apply(right[0]) == len(library.encode(part, add_special_tokens=False).ids)
+
+
+def test_automaton_is_the_library(automaton, library, monkeypatch):
+    from silverleaf.llm import token_automaton
+
+    rng = np.random.default_rng(5)
+    signs = ["a", "e", "s", "t", "r", "l", "v", "re", "'", "'s", " ", "  ", "\n", "\t", "1", "22", "!", "..", "é", "ü", "Straße", "日", "本", "\u3000", "\xa0", "\x1f", "\u200b", "🙂", "the", "ing", "<|endoftext|>", "ZQ", "xxxxx", "==", "-", "\u0301", "٣", "Ⅷ", "\x85"]
+    texts = ["".join(rng.choice(signs, int(rng.integers(0, 30)))) for _ in range(4000)] + ["".join(map(chr, rng.integers(32, 127, 200))) for _ in range(200)]
+    want = [len(e.ids) for e in library.encode_batch(texts, add_special_tokens=False)]
+    assert [automaton.scan(x, 7) for x in texts] == want
+    monkeypatch.setattr(token_automaton, "MAX_STATES", 50)  # compiled afresh over and over
+    monkeypatch.setattr(token_automaton, "MAX_VIEWS", 50)
+    assert [automaton.scan(x, 1 << 14) for x in texts[:300]] == want[:300]
+
+
+def test_automaton_keeps_tokens_apart_as_bpe_does(automaton):
+    rng = np.random.default_rng(6)
+    ids = list(automaton.byte_ids.values()) + list(range(256, 50256))
+    for x, y in rng.choice(ids, (3000, 2)).tolist():
+        assert automaton.apart(x, y) == (automaton.merge([automaton.byte_ids[c] for i in (x, y) for c in automaton.bytes_of[i]]) == [x, y])
 
 
 def test_packing(docs, rows, none):
