@@ -127,3 +127,35 @@ def test_sources_and_stages(spark, tmp_path):
     files.save_stage(df, str(tmp_path / "stages"), "one")
     assert sorted(map(tuple, files.load_stage(spark, str(tmp_path / "stages"), "one").select("image_id", "v").collect())) == [(i, i * 2) for i in range(50)]
     assert [r[0] for r in spark.sql("select explode(array(0.5d, 1.5d, 2.5d)) x").select(round_half_even(F.col("x"), 0)).collect()] == [0.0, 2.0, 2.0]
+
+
+def png(rows, channels):
+    """A PNG file of 8-bit samples: gray (1), RGB (3) or RGBA (4)."""
+    import struct
+    import zlib
+
+    def part(kind, data):
+        return struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+
+    head = struct.pack(">IIBBBBB", len(rows[0]) // channels, len(rows), 8, {1: 0, 3: 2, 4: 6}[channels], 0, 0, 0)
+    return b"\x89PNG\r\n\x1a\n" + part(b"IHDR", head) + part(b"IDAT", zlib.compress(b"".join(b"\0" + bytes(r) for r in rows))) + part(b"IEND", b"")
+
+
+def test_rasters_from_files_and_back(spark, tmp_path):
+    from silverleaf.sources import files
+
+    folder = tmp_path / "images"
+    folder.mkdir()
+    (folder / "rgb.png").write_bytes(png([[1, 2, 3, 4, 5, 6], [7, 8, 9, 10, 11, 12], [255, 0, 128, 0, 0, 0]], 3))
+    (folder / "gray.png").write_bytes(png([[9, 200]], 1))
+    (folder / "alpha.png").write_bytes(png([[1, 2, 3, 255]], 4))
+    (folder / "broken.png").write_bytes(b"no image")
+    got = files.scan_rasters(spark, str(folder)).selectExpr("substring_index(path, '/', -1) as name", "y", "x", "r", "g", "b")
+    want = [("rgb.png", y, x, *p) for y, row in enumerate([[(1, 2, 3), (4, 5, 6)], [(7, 8, 9), (10, 11, 12)], [(255, 0, 128), (0, 0, 0)]]) for x, p in enumerate(row)]
+    want += [("gray.png", 0, 0, 9, 9, 9), ("gray.png", 0, 1, 200, 200, 200), ("alpha.png", 0, 0, 1, 2, 3)]
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    out = str(tmp_path / "out")
+    files.write_rasters(got.withColumn("stage", got.name), out)
+    assert sorted(map(tuple, spark.read.parquet(out).filter("stage = 'gray.png'").select("name", "y", "x", "r", "g", "b").collect())) == sorted(w for w in want if w[0] == "gray.png")
+    files.write_rasters(got.filter("name = 'rgb.png'").withColumn("stage", got.name), out)
+    assert spark.read.parquet(out).count() == 6
