@@ -2,13 +2,22 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import expressions as X
+from ..sources.files import written
+
+#: Points of a group that travel in one row.
+BLOCK = 4096
+#: Of the sequence of draws, modulo 2**64.
+MULTIPLIER = 6364136223846793005
 
 
 def _hull(points: list[tuple[float, float]]) -> list[tuple[float, float]]:
@@ -54,20 +63,120 @@ def fit_line(points: DataFrame, keys: list[str]) -> DataFrame:
     return points.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.regr_slope("y", "x").alias("m"), F.regr_intercept("y", "x").alias("b"))
 
 
-def consensus_line(points: DataFrame, keys: list[str], trials: int, seed: int, sample: int = 5, reach: float = 5.0) -> DataFrame:
-    """Robust y = m x + b per group: lines through hash-chosen samples, most points within ``reach``, refit on those.
+def numbered_blocks(points: DataFrame, keys: list[str], size: int = BLOCK) -> DataFrame:
+    """The points of each group, numbered from 0 and gathered in blocks: (keys, n, first, pid, x, y), the last three arrays.
+
+    A group of n points gets ceil(n / size) blocks, by pid modulo that number, so a large group lies in many rows and no
+    window sorts it; ``first`` is the number of a block's first point.
+    """
+    counts = points.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    rows = points.join(counts, keys).withColumn("block", F.pmod("pid", F.ceil(F.col("n") / size)))
+    blocks = rows.groupBy(*keys, "n", "block").agg(F.sort_array(F.collect_list(F.struct("pid", "x", "y"))).alias("p"))
+    before = Window.partitionBy(*keys).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    return blocks.select(*keys, "n", F.coalesce(F.sum(F.size("p")).over(before), F.lit(0)).cast("long").alias("first"), *[F.col(f"p.{c}").alias(c) for c in ("x", "y")])
+
+
+def _draws(key: str, n: int, seed: int, trials: int, sample: int) -> np.ndarray:
+    """[trials, sample] numbers of points, one from each of ``sample`` equal shares of 0..n-1: a multiplicative sequence that starts at a digest of seed and key."""
+    edges = np.arange(sample + 1) * n // sample
+    start = int(hashlib.sha256(f"{seed}|{key}".encode()).hexdigest()[:12], 16) + 1
+    h = (np.uint64(start) + np.arange(min(trials, 10 * n) * sample, dtype=np.uint64)) * np.uint64(MULTIPLIER) >> np.uint64(16)
+    return edges[:-1] + h.astype(np.int64).reshape(-1, sample) % np.diff(edges)
+
+
+def _least_norm(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Least-squares m and b of each row's points; where all x are equal, the line of least error with the smallest m^2 + b^2."""
+    mx, my = x.mean(1), y.mean(1)
+    dx = x - mx[:, None]
+    sxx, sxy = (dx * dx).sum(1), (dx * (y - my[:, None])).sum(1)
+    flat = (x == x[:, :1]).all(1)
+    m = np.where(flat, mx * my / (mx * mx + 1), sxy / np.where(flat, 1, sxx))
+    return m, np.where(flat, my / (mx * mx + 1), my - m * mx)
+
+
+def _values(batch: pa.RecordBatch, keys: list[str]) -> list[str]:
+    return ["|".join(map(str, k)) for k in zip(*(batch.column(k).to_pylist() for k in keys))]
+
+
+def consensus_lines(points: DataFrame, keys: list[str], seed: int, trials: int = 500, sample: int = 5, reach: float = 5.0) -> DataFrame:
+    """(keys, n, trial, votes, m, b): for each group of ``sample`` points or more the line y = m x + b that most points are nearer to than ``reach`` along y.
 
-    Samples depend on md5(seed, trial, point) only, so results do not change with partitioning. Ties go to the first trial.
+    Where no line has a vote, the first trial's is given with 0 votes. min(trials, 10 n) lines are tried, each through ``sample`` points addressed by number: one from each of ``sample``
+    equal shares of the group's numbers, so at most trials * sample points are ever drawn. Ties go to the first trial.
+    Groups travel as blocks (see ``numbered_blocks``): rows follow the points, not points times trials. Draws depend on
+    seed, keys, trial and n only, not on partitioning.
     """
-    t = points.withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(trials - 1))))
-    key = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("trial").cast("string"), F.col("pid").cast("string")))
-    t = t.withColumn("rn", F.row_number().over(Window.partitionBy(*keys, "trial").orderBy(key, "pid"))).filter(F.col("rn") <= sample)
-    lines = fit_line(t, [*keys, "trial"]).filter("m is not null").select(*keys, "trial", "m", "b")
-    off = F.abs(F.col("y") - F.col("m") * F.col("x") - F.col("b")) / F.sqrt(1.0 + F.col("m") * F.col("m"))
-    votes = points.join(lines, keys).withColumn("fits", (off < reach).cast("int")).groupBy(*keys, "trial", "m", "b").agg(F.sum("fits").alias("inliers"))
-    best = votes.groupBy(*keys).agg(F.max(F.struct("inliers", (-F.col("trial")).alias("order"), "m", "b")).alias("v")).select(*keys, F.col("v.inliers").alias("inliers"), F.col("v.m").alias("m"), F.col("v.b").alias("b"))
-    refit = fit_line(points.join(best, keys).filter(off < reach).select(*keys, "x", "y"), keys)
-    return best.join(refit.select(*keys, F.col("m").alias("rm"), F.col("b").alias("rb")), keys, "left").select(*keys, "inliers", F.coalesce("rm", "m").alias("m"), F.coalesce("rb", "b").alias("b"))
+    drawn = trials * sample
+    blocks = written(numbered_blocks(points, keys).filter(F.col("n") >= sample), "blocks")
+    schema = {f.name: f.dataType.simpleString() for f in blocks.schema.fields}
+    named = ", ".join(f"{k} {schema[k]}" for k in keys)
+    fields = lambda b, names: [b.column(c) for c in names]
+    lists = lambda values, kind: pa.array([v.tolist() for v in values], pa.list_(kind))
+
+    def pick(batches):
+        """Of each block the points that any trial draws."""
+        for b in batches:
+            at, x, y = [], [], []
+            for key, n, first, bx, by in zip(_values(b, keys), *(c.to_pylist() for c in fields(b, ["n", "first", "x", "y"]))):
+                own = np.arange(first, first + len(bx))
+                if n > drawn:
+                    own = np.intersect1d(own, _draws(key, n, seed, trials, sample))
+                at.append(own)
+                x.append(np.array(bx, float)[own - first])
+                y.append(np.array(by, float)[own - first])
+            yield pa.RecordBatch.from_arrays([*fields(b, [*keys, "n"]), lists(at, pa.int64()), lists(x, pa.float64()), lists(y, pa.float64())], names=[*keys, "n", "at", "x", "y"])
+
+    def solve(batches):
+        """The lines of each group, in order of trial."""
+        for b in batches:
+            ms, bs = [], []
+            for key, n, p in zip(_values(b, keys), b.column("n").to_pylist(), b.column("p").to_pylist()):
+                at, x, y = (np.concatenate([np.array(q[c]) for q in p]) for c in ("at", "x", "y"))
+                order = np.argsort(at)
+                own = order[np.searchsorted(at[order], _draws(key, n, seed, trials, sample))]
+                m, c = _least_norm(x[own], y[own])
+                ms.append(m)
+                bs.append(c)
+            yield pa.RecordBatch.from_arrays([*fields(b, keys), lists(ms, pa.float64()), lists(bs, pa.float64())], names=[*keys, "m", "b"])
+
+    def vote(batches):
+        """Votes of a block: the best trial alone if the block is the whole group, else all trials."""
+        for b in batches:
+            rows, trial, votes, ms, bs = [], [], [], [], []
+            for i, (n, x, y, m, c) in enumerate(zip(*(v.to_pylist() for v in fields(b, ["n", "x", "y", "m", "b"])))):
+                x, y, m, c = (np.array(v, float) for v in (x, y, m, c))
+                step = max(1, (1 << 22) // len(x))
+                k = np.concatenate([(np.abs(y - (m[s : s + step, None] * x + c[s : s + step, None])) < reach).sum(1) for s in range(0, len(m), step)])
+                own = np.arange(len(m)) if len(x) < n else np.array([k.argmax()])
+                own = own[(k[own] > 0) | (own == 0)] if len(own) > 1 else own
+                rows += [i] * len(own)
+                trial += own.tolist()
+                votes += k[own].tolist()
+                ms += m[own].tolist()
+                bs += c[own].tolist()
+            yield pa.RecordBatch.from_arrays([*(b.column(c).take(pa.array(rows, pa.int64())) for c in [*keys, "n"]), pa.array(trial, pa.int32()), pa.array(votes, pa.int64()), pa.array(ms, pa.float64()), pa.array(bs, pa.float64())], names=[*keys, "n", "trial", "votes", "m", "b"])
+
+    picked = blocks.mapInArrow(pick, f"{named}, n long, at array<long>, x array<double>, y array<double>")
+    pool = picked.groupBy(*keys, "n").agg(F.collect_list(F.struct("at", "x", "y")).alias("p"))  # at most trials * sample points
+    lines = pool.mapInArrow(solve, f"{named}, m array<double>, b array<double>")
+    votes = blocks.select(*keys, "n", "x", "y").join(lines, keys).mapInArrow(vote, f"{named}, n long, trial int, votes long, m double, b double")
+    total = votes.groupBy(*keys, "n", "trial", "m", "b").agg(F.sum("votes").alias("votes"))
+    return total.groupBy(*keys, "n").agg(F.max(F.struct("votes", (-F.col("trial")).alias("order"), "m", "b")).alias("v")).select(*keys, "n", (-F.col("v.order")).alias("trial"), "v.votes", "v.m", "v.b")
+
+
+def refit_lines(points: DataFrame, lines: DataFrame, keys: list[str], reach: float, least: int = 3) -> DataFrame:
+    """``lines`` (keys, m, b, ...) fitted anew to the points nearer than ``reach`` along y, if they are ``least`` or more; ``inliers`` is their number."""
+    off = F.abs(F.col("y") - (F.col("m") * F.col("x") + F.col("b")))
+    new = _least_norm_line(points.join(lines.select(*keys, "m", "b"), keys).filter(off < reach).select(*keys, "x", "y"), keys)
+    out = lines.join(new.select(*keys, F.col("n").alias("inliers"), F.col("m").alias("rm"), F.col("b").alias("rb")), keys, "left")
+    enough = F.col("inliers") >= least
+    return out.withColumns({"inliers": F.coalesce("inliers", F.lit(0)).cast("long"), "m": F.when(enough, F.col("rm")).otherwise(F.col("m")), "b": F.when(enough, F.col("rb")).otherwise(F.col("b"))}).drop("rm", "rb")
+
+
+def consensus_line(points: DataFrame, keys: list[str], seed: int, trials: int = 500, sample: int = 5, reach: float = 5.0) -> DataFrame:
+    """(keys, inliers, m, b): the robust line of each group of five points or more, fitted again to the points near it; groups where no line has a vote have none."""
+    best = consensus_lines(points, keys, seed, trials, sample, reach).filter("votes > 0").select(*keys, "m", "b")
+    return refit_lines(points, best, keys, reach).select(*keys, "inliers", "m", "b")
 
 
 def along_axes(points: DataFrame, orient: str = "orient") -> DataFrame:
@@ -92,9 +201,8 @@ def robust_lines(points: DataFrame, starts: DataFrame, seed: int, trials: int =
     """(group_id, edge, orient, inliers, m, b): each line of ``starts``, fitted anew to the points nearest to it.
 
     Points go to the start line nearest along its axis, the first of equals, if nearer than ``near``. With fewer than
-    five the start line stays. Else min(trials, 10 n) samples, chosen as in ``consensus_line``, give a line each; the
-    one with most points within ``reach`` along the axis wins, the first of equals, or the start line if none has any.
-    It is fitted again to those points if they are at least three. ``inliers`` is their number.
+    five the start line stays, with no inliers. Else the line of ``consensus_lines`` takes its place if
+    it has a vote. It is fitted again to the points within ``reach`` if they are at least three. ``inliers`` is their number.
     """
     keys = ["group_id", "edge"]
     off = lambda m, b: F.abs(F.col("y") - (m * F.col("x") + b))
@@ -102,19 +210,11 @@ def robust_lines(points: DataFrame, starts: DataFrame, seed: int, trials: int =
     cross = lambda e: F.when(e["orient"] == "h", off(e["m"], e["b"])).otherwise(F.abs(F.col("x") - (e["m"] * F.col("y") + e["b"])))
     own = points.join(sides, "group_id").withColumn("at", F.array_min(F.transform("lines", lambda e: F.struct(cross(e).alias("d"), e["edge"].alias("edge"), e["orient"].alias("orient")))))
     own = along_axes(own.select("group_id", "pid", "x", "y", "at.*").filter(F.col("d") < near)).select(*keys, "pid", "x", "y")
-    own = own.join(own.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter("n >= 5"), keys)
-
-    t = own.withColumn("trial", F.explode(F.sequence(F.lit(0), (F.least(F.lit(trials), 10 * F.col("n")) - 1).cast("int"))))
-    key = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("trial").cast("string"), F.col("pid").cast("string")))
-    t = t.withColumn("rn", F.row_number().over(Window.partitionBy(*keys, "trial").orderBy(key, "pid"))).filter(F.col("rn") <= sample)
-    tried = _least_norm_line(t, [*keys, "trial"]).groupBy(*keys).agg(F.collect_list(F.struct("trial", "m", "b")).alias("tried"))  # at most ``trials`` each
-    votes = own.join(tried, keys).select(*keys, "x", "y", F.explode("tried").alias("l")).filter(off(F.col("l.m"), F.col("l.b")) < reach).groupBy(*keys, "l").agg(F.count(F.lit(1)).alias("votes"))
-    best = votes.groupBy(*keys).agg(F.max(F.struct("votes", -F.col("l.trial"), "l"))["l"].alias("l"))
-    model = starts.join(best, keys, "left").select(*keys, "orient", F.coalesce("l.m", "m").alias("m"), F.coalesce("l.b", "b").alias("b"))
-    refit = _least_norm_line(own.join(model, keys).filter(off(F.col("m"), F.col("b")) < reach).select(*keys, "x", "y"), keys)
-    enough = F.col("n") >= 3
-    new = refit.select(*keys, "n", F.col("m").alias("rm"), F.col("b").alias("rb"))
-    return model.join(new, keys, "left").select(*keys, "orient", F.coalesce("n", F.lit(0)).alias("inliers"), F.when(enough, F.col("rm")).otherwise(F.col("m")).alias("m"), F.when(enough, F.col("rb")).otherwise(F.col("b")).alias("b"))
+    own = written(own, "side-points")
+    best = consensus_lines(own, keys, seed, trials, sample, reach).select(*keys, F.when(F.col("votes") > 0, F.struct("m", "b")).alias("best"), F.lit(True).alias("tried"))
+    model = starts.join(best, keys, "left").select(*keys, "orient", "tried", F.coalesce("best.m", "m").alias("m"), F.coalesce("best.b", "b").alias("b"))
+    tried = refit_lines(own, model.filter("tried"), keys, reach)
+    return tried.unionByName(model.filter("tried is null").withColumn("inliers", F.lit(0).cast("long"))).select(*keys, "orient", "inliers", "m", "b")
 
 
 def quad_fit(points: DataFrame, quads: DataFrame, seed: int, **limits) -> DataFrame:

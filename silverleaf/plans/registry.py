@@ -304,16 +304,32 @@ def order_quad(spark, d):
     return fitting.order_quad(V.contour(spark, d)).select("group_id", F.col("tl.x").alias("tlx"), F.col("tl.y").alias("tly"), F.col("tr.x").alias("trx"), F.col("br.y").alias("bry"), F.col("bl.x").alias("blx"))
 
 
-@query("fit_line", f"WITH {V.CONTOUR} SELECT group_id, side, count(*) n, round(regr_slope(y, x), 4) m, round(regr_intercept(y, x), 4) b FROM contour WHERE side % 2 = 0 GROUP BY ALL")
+NORM = "coalesce(regr_slope(w, u), avg(w) * avg(u) / (avg(u) * avg(u) + 1)) m, coalesce(regr_intercept(w, u), avg(w) / (avg(u) * avg(u) + 1)) b"
+
+
+def consensus_sql(keys: str, reach: float, block: int = fitting.BLOCK) -> str:
+    """CTEs from ``own`` (keys, pid, u, w) to ``best`` (keys, trial, k, m, b): five numbered points a trial, most votes, first trial."""
+    text = " || '|' || ".join(keys.split(", "))
+    draw = " UNION ALL ".join(f"SELECT {keys}, n, trial, n * {j} // 5 + CAST((start + 5 * trial + {j}) * {fitting.MULTIPLIER}::HUGEINT % 18446744073709551616::HUGEINT // 65536 AS BIGINT) % (n * {j + 1} // 5 - n * {j} // 5) AS spot FROM tr" for j in range(5))
+    return f""" sized AS (SELECT *, count(*) OVER (PARTITION BY {keys}) n FROM own QUALIFY n >= 5),
+ num AS (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY pid % CAST(ceil(n / {block}.0e0) AS BIGINT), pid) - 1 AS spot FROM sized),
+ tr AS (SELECT *, unnest(range(least(500, 10 * n))) trial FROM (SELECT DISTINCT {keys}, n, CAST('0x' || substr(sha256('42|' || {text}), 1, 12) AS HUGEINT) + 1 AS start FROM sized)),
+ dr AS ({draw}), l AS (SELECT {keys}, trial, {NORM} FROM dr JOIN num USING ({keys}, spot) GROUP BY ALL),
+ v AS (SELECT {keys}, trial, m, b, count(*) k FROM sized JOIN l USING ({keys}) WHERE abs(w - (m * u + b)) < {reach} GROUP BY ALL),
+ best AS (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY {keys} ORDER BY k DESC, trial) = 1)"""
+
+
+@query("fit_line", f"WITH {V.CONTOUR} SELECT group_id, side, count(*) n, round(CASE WHEN var_pop(x) > 0 THEN regr_slope(y, x) END, 4) m, round(CASE WHEN var_pop(x) > 0 THEN regr_intercept(y, x) END, 4) b FROM contour GROUP BY ALL")
 def fit_line(spark, d):
-    return fitting.fit_line(V.contour(spark, d).filter("side % 2 = 0"), ["group_id", "side"]).select("group_id", "side", "n", r4("m").alias("m"), r4("b").alias("b"))
+    return fitting.fit_line(V.contour(spark, d), ["group_id", "side"]).select("group_id", "side", "n", r4("m").alias("m"), r4("b").alias("b"))
 
 
-@query("consensus_line", f"""WITH {V.CONTOUR}, c AS (SELECT * FROM contour WHERE side % 2 = 0), s AS (SELECT *, row_number() OVER (PARTITION BY group_id, side, trial ORDER BY md5('42|' || trial || '|' || pid), pid) rn FROM c CROSS JOIN (SELECT unnest(range(0, 12)) trial)),
- l AS (SELECT group_id, side, trial, regr_slope(y, x) m, regr_intercept(y, x) b FROM s WHERE rn <= 5 GROUP BY ALL), v AS (SELECT c.group_id, c.side, trial, m, b, count(*) FILTER (WHERE abs(y - m * x - b) / sqrt(1.0e0 + m * m) < 5.0e0) inliers FROM c JOIN l USING (group_id, side) WHERE m IS NOT NULL GROUP BY ALL),
- best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY group_id, side ORDER BY inliers DESC, trial) rn FROM v) WHERE rn = 1) SELECT c.group_id, c.side, inliers, round(regr_slope(c.y, c.x), 4) m, round(regr_intercept(c.y, c.x), 3) b FROM c JOIN best USING (group_id, side) WHERE abs(c.y - m * c.x - b) / sqrt(1.0e0 + m * m) < 5.0e0 GROUP BY ALL""")
+@query("consensus_line", f"""WITH {V.OUTLINE}, own AS (SELECT group_id, side, pid, CASE WHEN side % 2 = 0 THEN x ELSE y END u, CASE WHEN side % 2 = 0 THEN y ELSE x END w FROM outline),{consensus_sql("group_id, side", 5)},
+ near AS (SELECT group_id, side, u, w, best.m bm, best.b bb FROM own JOIN best USING (group_id, side) WHERE abs(w - (best.m * u + best.b)) < 5),
+ r AS (SELECT group_id, side, any_value(bm) bm, any_value(bb) bb, count(*) n, {NORM} FROM near GROUP BY ALL) SELECT group_id, side, n inliers, round(CASE WHEN n >= 3 THEN m ELSE bm END, 4) + 0 m, round(CASE WHEN n >= 3 THEN b ELSE bb END, 3) + 0 b FROM r""")
 def consensus_line(spark, d):
-    out = fitting.consensus_line(V.contour(spark, d).filter("side % 2 = 0"), ["group_id", "side"], 12, 42)
+    c = V.outline(spark, d).withColumn("orient", F.when(F.col("side") % 2 == 0, "h").otherwise("v"))
+    out = fitting.consensus_line(fitting.along_axes(c).drop("orient"), ["group_id", "side"], 42)
     return out.select("group_id", "side", "inliers", r4("m").alias("m"), F.round("b", 3).alias("b"))
 
 
@@ -323,29 +339,31 @@ def fit_line_sides(spark, d):
     return fitting.fit_line(fitting.along_axes(c), ["group_id", "side"]).select("group_id", "side", "n", r4("m").alias("m"), r4("b").alias("b"))
 
 
-NORM = "coalesce(regr_slope(w, u), avg(w) * avg(u) / (avg(u) * avg(u) + 1)) m, coalesce(regr_intercept(w, u), avg(w) / (avg(u) * avg(u) + 1)) b"
-QUAD_LINES = f"""{V.CONTOUR}, {V.QUADS}, init AS ({' UNION ALL '.join(f"SELECT quad_id - 1 group_id, {i} edge, x{i} xa, y{i} ya, x{(i + 1) % 4} xb, y{(i + 1) % 4} yb FROM quads WHERE quad_id <= 10" for i in range(4))}),
+def quad_lines_sql(points: str, quads: str, near: float, reach: float) -> str:
+    """CTEs from ``points`` (group_id, pid, x, y) and ``quads`` (group_id, x0, y0, ... x3, y3) to ``lines``, as ``robust_lines`` gives them."""
+    side = " UNION ALL ".join(f"SELECT group_id, {i} edge, x{i} xa, y{i} ya, x{(i + 1) % 4} xb, y{(i + 1) % 4} yb FROM {quads}" for i in range(4))
+    return f"""init AS ({side}),
  sl AS (SELECT *, abs(xb - xa) > abs(yb - ya) flat, CASE WHEN abs(xb - xa) > abs(yb - ya) THEN (yb - ya) / (xb - xa) ELSE coalesce((xb - xa) / nullif(yb - ya, 0), 0) END m FROM init),
  st AS (SELECT group_id, edge, flat, m, CASE WHEN flat THEN ya - m * xa ELSE xa - m * ya END b FROM sl),
- axes AS (SELECT c.group_id, edge, pid, m, b, CASE WHEN flat THEN x ELSE y END u, CASE WHEN flat THEN y ELSE x END w FROM contour c JOIN st USING (group_id)),
- near AS (SELECT group_id, edge, pid, u, w FROM (SELECT *, abs(w - (m * u + b)) d FROM axes QUALIFY row_number() OVER (PARTITION BY group_id, pid ORDER BY d, edge) = 1) WHERE d < 80),
- own AS (SELECT *, count(*) OVER (PARTITION BY group_id, edge) n FROM near QUALIFY n >= 5),
- s AS (SELECT * FROM (SELECT *, unnest(range(least(500, 10 * n))) trial FROM own) QUALIFY row_number() OVER (PARTITION BY group_id, edge, trial ORDER BY md5('42|' || trial || '|' || pid), pid) <= 5),
- l AS (SELECT group_id, edge, trial, {NORM} FROM s GROUP BY ALL),
- v AS (SELECT group_id, edge, trial, m, b, count(*) k FROM own JOIN l USING (group_id, edge) WHERE abs(w - (m * u + b)) < 5 GROUP BY ALL),
- best AS (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY group_id, edge ORDER BY k DESC, trial) = 1),
+ axes AS (SELECT c.group_id, edge, pid, m, b, CASE WHEN flat THEN x ELSE y END u, CASE WHEN flat THEN y ELSE x END w FROM {points} c JOIN st USING (group_id)),
+ own AS (SELECT group_id, edge, pid, u, w FROM (SELECT *, abs(w - (m * u + b)) d FROM axes QUALIFY row_number() OVER (PARTITION BY group_id, pid ORDER BY d, edge) = 1) WHERE d < {near}),
+ {consensus_sql("group_id, edge", reach)},
  model AS (SELECT st.group_id, st.edge, flat, coalesce(best.m, st.m) sm, coalesce(best.b, st.b) sb FROM st LEFT JOIN best USING (group_id, edge)),
- refit AS (SELECT group_id, edge, count(*) n, {NORM} FROM own JOIN model USING (group_id, edge) WHERE abs(w - (sm * u + sb)) < 5 GROUP BY ALL),
- lines AS (SELECT group_id, edge, flat, coalesce(n, 0) inliers, CASE WHEN n >= 3 THEN m ELSE sm END m, CASE WHEN n >= 3 THEN b ELSE sb END b FROM model LEFT JOIN refit USING (group_id, edge))"""
+ refit AS (SELECT group_id, edge, count(*) n, {NORM} FROM sized JOIN model USING (group_id, edge) WHERE abs(w - (sm * u + sb)) < {reach} GROUP BY ALL),
+ lines AS (SELECT group_id, edge, flat, coalesce(refit.n, 0) inliers, CASE WHEN refit.n >= 3 THEN m ELSE sm END m, CASE WHEN refit.n >= 3 THEN b ELSE sb END b FROM model LEFT JOIN refit USING (group_id, edge))"""
+
+
+START = f"{V.OUTLINE}, {V.QUADS}, start AS (SELECT quad_id - 1 group_id, * FROM quads)"
+QUAD_LINES = f"{START}, {quad_lines_sql('outline', 'start', 80, 5)}"
 
 
 def _start_quads(spark, d):
-    return V.quads(spark, d).filter("quad_id <= 10").select((F.col("quad_id") - 1).alias("group_id"), "v")
+    return V.quads(spark, d).select((F.col("quad_id") - 1).alias("group_id"), "v")
 
 
-@query("robust_lines", f"WITH {QUAD_LINES} SELECT group_id, edge, CASE WHEN flat THEN 'h' ELSE 'v' END orient, inliers, round(m, 4) m, round(b, 3) b FROM lines")
+@query("robust_lines", f"WITH {QUAD_LINES} SELECT group_id, edge, CASE WHEN flat THEN 'h' ELSE 'v' END orient, inliers, round(m, 4) + 0 m, round(b, 3) + 0 b FROM lines")
 def robust_lines(spark, d):
-    out = fitting.robust_lines(V.contour(spark, d), fitting.start_lines(_start_quads(spark, d)), 42)
+    out = fitting.robust_lines(V.outline(spark, d), fitting.start_lines(_start_quads(spark, d)), 42)
     return out.select("group_id", "edge", "orient", "inliers", r4("m").alias("m"), F.round("b", 3).alias("b"))
 
 
@@ -354,7 +372,7 @@ MEET = " UNION ALL ".join(f"SELECT group_id, CASE WHEN abs(det) >= 1e-9 THEN px
 
 @query("quad_fit", f"WITH {QUAD_LINES}, g AS (SELECT group_id, edge, CASE WHEN flat THEN m ELSE 1 END a, CASE WHEN flat THEN -1 ELSE -m END b, CASE WHEN flat THEN b ELSE -b END c FROM lines), p AS ({MEET}), r AS (SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY x + y, x, y) a, row_number() OVER (PARTITION BY group_id ORDER BY x - y DESC, x DESC, y DESC) b, row_number() OVER (PARTITION BY group_id ORDER BY x + y DESC, x DESC, y DESC) c, row_number() OVER (PARTITION BY group_id ORDER BY x - y, x, y) e FROM p) SELECT group_id, " + ", ".join(f"round(max({z}) FILTER (WHERE {k} = 1), 3) {n}{z}" for k, n in zip("abce", ("tl", "tr", "br", "bl")) for z in "xy") + " FROM r GROUP BY 1")
 def quad_fit(spark, d):
-    out = fitting.quad_fit(V.contour(spark, d), _start_quads(spark, d), 42)
+    out = fitting.quad_fit(V.outline(spark, d), _start_quads(spark, d), 42)
     return out.select("group_id", *[F.round(F.col(f"{n}.{z}"), 3).alias(f"{n}{z}") for n in ("tl", "tr", "br", "bl") for z in "xy"])
 
 

@@ -45,8 +45,9 @@ def sets(spark, sf_dir) -> DataFrame:
 SETS = "sets AS (SELECT DISTINCT l_suppkey % 10 image_id, l_suppkey mask_id, l_partkey cell FROM lineitem)"
 
 
-def contour(spark, sf_dir) -> DataFrame:
-    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("pid"), (F.col("o_custkey") % 10).alias("group_id"), (F.col("o_orderkey") % 4).alias("side"),
+def contour(spark, sf_dir, group=None) -> DataFrame:
+    group = F.col("o_custkey") % 10 if group is None else group
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("pid"), group.alias("group_id"), (F.col("o_orderkey") % 4).alias("side"),
         ((F.col("o_orderkey") * 7919) % 101 / 101.0 * 6.0 - 3.0).alias("z"), F.when(F.col("o_orderkey") % 17 == 0, 60.0).otherwise(0.0).alias("o"), (F.floor(F.col("o_orderkey") / 4) % 200 / 200.0).alias("t"))
     z, out, t, s = F.col("z"), F.col("o"), F.col("t"), F.col("side")
     x = F.when(s == 0, 55.0 + 690.0 * t).when(s == 1, 745.0 + z - out).when(s == 2, 745.0 - 690.0 * t).otherwise(55.0 + z + out)
@@ -60,6 +61,13 @@ CONTOUR = """contour AS (SELECT group_id, pid, side,
  FROM (SELECT o_custkey % 10 group_id, o_orderkey pid, o_orderkey % 4 side, (o_orderkey * 7919) % 101 / 101.0e0 * 6.0e0 - 3.0e0 z,
  CASE WHEN o_orderkey % 17 = 0 THEN 60.0e0 ELSE 0.0e0 END o, ((o_orderkey // 4) % 200) / 200.0e0 t FROM orders))"""
 
+def outline(spark, sf_dir) -> DataFrame:
+    """``contour`` with a group for each ten customers, so that groups grow in number and not in size."""
+    return contour(spark, sf_dir, F.floor(F.col("o_custkey") / 10))
+
+
+OUTLINE = CONTOUR.replace("contour AS", "outline AS").replace("o_custkey % 10 group_id", "o_custkey // 10 group_id")
+
 TEMPLATE = [(55.0, 100.0), (745.0, 100.0), (745.0, 1022.0), (55.0, 1022.0)]
 
 

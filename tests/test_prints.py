@@ -29,10 +29,19 @@ def test_min_area_rect_of_a_turned_rectangle(spark):
     assert abs(r.area - 8) < 1e-9 and len(r.v) == 4
 
 
-def quad_by_hand(points, quad, seed=42):
-    """The reference's fit of four lines with numpy, with samples by hash: corners in order top left, right, bottom right, left."""
+def five(key, trial, n):
+    """The numbers of the points that a trial draws, one from each fifth."""
     import hashlib
 
+    start, out = int(hashlib.sha256(key.encode()).hexdigest()[:12], 16) + 1, []
+    for j in range(5):
+        lo, hi = n * j // 5, n * (j + 1) // 5
+        out.append(lo + ((start + 5 * trial + j) * 6364136223846793005 % 2**64 // 2**16) % (hi - lo))
+    return out
+
+
+def quad_by_hand(points, quad, group, seed=42):
+    """The fit of four lines with numpy: corners in order top left, right, bottom right, left."""
     lines = []
     for (x1, y1), (x2, y2) in zip(quad, quad[1:] + quad[:1]):
         flat = abs(x2 - x1) > abs(y2 - y1)
@@ -43,15 +52,14 @@ def quad_by_hand(points, quad, seed=42):
     for p in points:
         d = [abs(turn(p, f)[1] - m * turn(p, f)[0] - b) for f, m, b in lines]
         own[int(np.argmin(d))].append((p, min(d)))
-    for (flat, m, b), pts in zip(lines, own):
+    for edge, ((flat, m, b), pts) in enumerate(zip(lines, own)):
         pts = [(p[0], *turn(p, flat)) for p, d in pts if d < 80]
         u, w = np.array([p[1] for p in pts]), np.array([p[2] for p in pts])
         solve = lambda k: np.linalg.lstsq(np.column_stack([u[k], np.ones(len(u[k]))]), w[k], rcond=None)[0]
         if len(pts) >= 5:
-            top = 0
+            ranked, top = sorted(range(len(pts)), key=lambda i: pts[i][0]), 0
             for t in range(min(500, 10 * len(pts))):
-                at = sorted(range(len(pts)), key=lambda i: (hashlib.md5(f"{seed}|{t}|{pts[i][0]}".encode()).hexdigest(), pts[i][0]))[:5]
-                a, c = solve(at)
+                a, c = solve([ranked[i] for i in five(f"{seed}|{group}|{edge}", t, len(pts))])
                 n = int(np.sum(np.abs(w - (a * u + c)) < 5))
                 if n > top:
                     top, m, b = n, a, c
@@ -85,7 +93,7 @@ def test_quad_fit_matches_brute_force(spark):
     fit = {r.group_id: [tuple(r[k]) for k in ("tl", "tr", "br", "bl")] for r in fitting.quad_fit(p, q, 42).collect()}
     assert set(fit) == set(quads) and len(lines) == 20
     for g in range(4):
-        want, corners = quad_by_hand([r[1:] for r in pts if r[0] == g], quads[g])
+        want, corners = quad_by_hand([r[1:] for r in pts if r[0] == g], quads[g], g)
         assert np.allclose([lines[g, e] for e in range(4)], want, rtol=1e-6, atol=1e-6)
         order = [min(corners, key=lambda c: c[0] + c[1]), max(corners, key=lambda c: c[0] - c[1]), max(corners, key=lambda c: c[0] + c[1]), min(corners, key=lambda c: c[0] - c[1])]
         assert np.allclose(fit[g], order, rtol=1e-6, atol=1e-5)
@@ -96,3 +104,26 @@ def test_fit_line_on_vertical_sides(spark):
     p = spark.createDataFrame([(1, "v", 2.0 + 0.5 * y, float(y)) for y in range(6)] + [(2, "h", float(x), 1.0 - x) for x in range(6)], "group_id long, orient string, x double, y double")
     got = {r.group_id: (round(r.m, 9), round(r.b, 9)) for r in fitting.fit_line(fitting.along_axes(p), ["group_id"]).collect()}
     assert got == {1: (0.5, 2.0), 2: (-1.0, 1.0)}
+
+
+def test_consensus_lines_do_not_depend_on_blocks(spark, monkeypatch):
+    """A group of many blocks, one of few points and one under five: equal to all points in one array."""
+    rng = np.random.default_rng(4)
+    size = {1: 700, 2: 9, 3: 4}
+    pts = [(g, 3 * i - 50, float(x), float(0.25 * x + 7 + rng.normal(0, 1) + (rng.uniform(-90, 90) if i % 3 == 0 else 0))) for g, n in size.items() for i, x in enumerate(rng.uniform(0, 500, n))]
+    monkeypatch.setattr(fitting, "BLOCK", 64)
+    df = spark.createDataFrame(pts, "g long, pid long, x double, y double").repartition(7)
+    assert fitting.numbered_blocks(df, ["g"], 64).filter("g = 1").count() == 11
+    monkeypatch.setattr(fitting.numbered_blocks, "__defaults__", (64,))
+    got = {r["g"]: r for r in fitting.consensus_lines(df, ["g"], 42, trials=40).collect()}
+    assert set(got) == {1, 2}
+    for g in got:
+        blocks = -(-size[g] // 64)
+        own = sorted((p[1] % blocks, *p[1:]) for p in pts if p[0] == g)
+        x, y = np.array([p[2] for p in own]), np.array([p[3] for p in own])
+        best = (0, 0)
+        for t in range(min(40, 10 * len(own))):
+            at = five(f"42|{g}", t, len(own))
+            m, b = np.polyfit(x[at], y[at], 1)
+            best = max(best, (int(np.sum(np.abs(y - m * x - b) < 5)), -t))
+        assert (got[g]["votes"], -got[g]["trial"]) == best
