@@ -28,9 +28,8 @@ def draws(key: Column, seed: int) -> list[Column]:
     return [F.conv(F.substring(digest, 8 * i + 1, 8), 16, 10).cast("long") for i in range(4)]
 
 
-def line_links(text: Column) -> Column:
-    """Lane 0: one link (units, chars) for each line, its line end included."""
-    parts = F.split(text, "\n", -1)
+def line_links(parts: str) -> Column:
+    """Lane 0: one link (units, chars) for each line, its line end included; column ``parts`` holds the text split at line ends."""
     links = F.transform(parts, lambda x, i: F.struct(F.lit(1).cast("long").alias("units"), (F.length(x) + F.when(i + 1 < F.size(parts), 1).otherwise(0)).cast("long").alias("chars")))
     return F.filter(links, lambda x: x["chars"] > 0)
 
@@ -70,7 +69,7 @@ def fill_in_middle(docs: DataFrame, seed: int = 7, rate: int = 100, spm_rate: in
     h = draws(F.col("doc_id"), seed)
     kept = [c for c in docs.columns if c not in OUTPUTS]
     lanes = [f"_lane{i}" for i in range(LANES)]
-    rows = docs.select(*kept, F.coalesce("text", F.lit("")).alias("_text")).select(*kept, "_text", line_links(F.col("_text")).alias(lanes[0]))
+    rows = docs.select(*kept, F.coalesce("text", F.lit("")).alias("_text")).withColumn("_parts", F.split("_text", "\n", -1)).select(*kept, "_text", line_links("_parts").alias(lanes[0]))
     for below, lane in zip(lanes, lanes[1:]):
         rows = rows.withColumn(lane, express_lane(below))
     n = F.size(lanes[0]).cast("long")
