@@ -6,8 +6,8 @@ into families by the likeness of their mean features (average linkage, about the
 regression over the same features predicts the family. For each two languages of a family a linear support vector
 machine is fitted, each in a task of its own, and the language with most votes wins, then the larger sum of margins.
 
-Fitted on a bounded sample: about ``per_language`` labelled texts for each language, those with the smallest hashes of
-their doc_id, one text for each doc_id and language. All texts are scored.
+Fitted on a bounded sample: about ``per_language`` labelled texts for each of the ``languages`` most frequent languages,
+those with the smallest hashes of their doc_id, one text for each doc_id and language. All texts are scored.
 
 Defined cases: null text or no letter -> ``und`` with score 0; rows without lang or doc_id teach nothing; without any
 labelled row every text is ``und``; with one language every text with a letter is that language; repeated rows are
@@ -26,6 +26,7 @@ from .common import blocks, crc_mod, materialize
 
 SLOTS = 4096
 PER_LANGUAGE = 1500
+LANGUAGES = 250
 LETTER = np.zeros(256, bool)
 LETTER[97:123] = LETTER[128:] = True
 
@@ -63,18 +64,19 @@ def families(centroids: np.ndarray, count: int) -> list[int]:
 
 
 def _adam(par: list[np.ndarray], gradient, steps: int, rate: float) -> None:
+    """Minimise in place, in single precision."""
     m, u = [np.zeros_like(p) for p in par], [np.zeros_like(p) for p in par]
     for t in range(1, steps + 1):
         for k, g in enumerate(gradient(*par)):
             m[k] = 0.9 * m[k] + 0.1 * g
             u[k] = 0.999 * u[k] + 0.001 * g * g
-            par[k] -= rate * (m[k] / (1 - 0.9**t)) / (np.sqrt(u[k] / (1 - 0.999**t)) + 1e-8)
+            par[k] -= (rate * (m[k] / (1 - 0.9**t)) / (np.sqrt(u[k] / (1 - 0.999**t)) + 1e-8)).astype(np.float32)
 
 
-def fit_softmax(x: np.ndarray, y: np.ndarray, classes: int, steps: int = 300, rate: float = 0.1, decay: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
+def fit_softmax(x: np.ndarray, y: np.ndarray, classes: int, steps: int = 120, rate: float = 0.1, decay: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
     """(weights [SLOTS, classes], bias) of a softmax regression; classes weigh the same."""
-    weight = (1.0 / np.maximum(np.bincount(y, minlength=classes), 1))[y][:, None] / classes
-    goal = np.eye(classes)[y]
+    weight = ((1.0 / np.maximum(np.bincount(y, minlength=classes), 1))[y][:, None] / classes).astype(np.float32)
+    goal = np.eye(classes, dtype=np.float32)[y]
 
     def gradient(w, b):
         z = x @ w + b
@@ -82,29 +84,30 @@ def fit_softmax(x: np.ndarray, y: np.ndarray, classes: int, steps: int = 300, ra
         g = (p / p.sum(1, keepdims=True) - goal) * weight
         return x.T @ g + decay * w, g.sum(0)
 
-    par = [np.zeros((x.shape[1], classes)), np.zeros(classes)]
+    par = [np.zeros((x.shape[1], classes), np.float32), np.zeros(classes, np.float32)]
     _adam(par, gradient, steps, rate)
     return par[0], par[1]
 
 
-def fit_margin(x: np.ndarray, y: np.ndarray, steps: int = 300, rate: float = 0.1, decay: float = 1e-4) -> tuple[np.ndarray, float]:
+def fit_margin(x: np.ndarray, y: np.ndarray, steps: int = 120, rate: float = 0.1, decay: float = 1e-4) -> tuple[np.ndarray, float]:
     """(weights, bias) of a linear support vector machine with squared hinge loss; y is 1 or -1, both sides weigh the same."""
-    weight = np.where(y > 0, 0.5 / max((y > 0).sum(), 1), 0.5 / max((y < 0).sum(), 1))
+    weight = np.where(y > 0, 0.5 / max((y > 0).sum(), 1), 0.5 / max((y < 0).sum(), 1)).astype(np.float32)
 
     def gradient(w, b):
         g = -2 * y * np.maximum(1 - y * (x @ w + b[0]), 0) * weight
         return x.T @ g + decay * w, np.array([g.sum()])
 
-    par = [np.zeros(x.shape[1]), np.zeros(1)]
+    par = [np.zeros(x.shape[1], np.float32), np.zeros(1, np.float32)]
     _adam(par, gradient, steps, rate)
     return par[0], float(par[1][0])
 
 
-def labelled_sample(docs: DataFrame, fold: int, left_out: int, per_language: int) -> DataFrame:
-    """doc_id, lang, text: about ``per_language`` texts of each language, chosen by a hash of doc_id alone."""
+def labelled_sample(docs: DataFrame, fold: int, left_out: int, per_language: int, languages: int = LANGUAGES) -> DataFrame:
+    """doc_id, lang, text: about ``per_language`` texts of each language, chosen by a hash of doc_id alone; no other text moves."""
     known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (crc_mod("doc_id", fold) != left_out))
-    share = known.groupBy("lang", "doc_id").agg(F.count(F.lit(1)).alias("n")).groupBy("lang").agg((F.lit(float(per_language)) / F.count(F.lit(1))).alias("share"))
-    chosen = known.join(share, "lang").filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.col("share") * (1 << 20))
+    ids = known.groupBy("lang", "doc_id").agg(F.count(F.lit(1)).alias("n")).groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    share = ids.orderBy(F.desc("n"), "lang").limit(languages).select("lang", (per_language / F.col("n")).alias("share"))
+    chosen = known.join(F.broadcast(share), "lang").filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.col("share") * (1 << 20))
     return chosen.groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
 
 
@@ -129,7 +132,7 @@ def fit(sample: DataFrame) -> dict:
 
     def pair(key, pdf):
         pdf = pdf.sort_values(["lang", "doc_id"])
-        w, b = fit_margin(matrix(pdf), np.where(pdf["lang"] == key[0], 1.0, -1.0))
+        w, b = fit_margin(matrix(pdf), np.where(pdf["lang"] == key[0], 1.0, -1.0).astype(np.float32))
         return pd.DataFrame({"one": [key[0]], "other": [key[1]], "w": [w.astype(np.float32).tobytes()], "b": [b]})
 
     rows = materialize(sample.select("doc_id", "lang", "text").mapInArrow(make, "doc_id long, lang string, x binary"), "language-sample")
