@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import expressions as X
-from ..operators import fitting, ink, labelling, masks, rasters, resample, sweep
+from ..operators import fitting, ink, labelling, masks, prints, rasters, resample, sweep
 from ..sources import files
 from ..sources.files import written
+from . import registry as R
 from . import views as V
 from .registry import BLUR, CROSS, MASKS, TH, _cells, _det, query, r4
 
@@ -257,3 +258,46 @@ def output_names(spark, d):
 def move_step(spark, d):
     """What moving one step on from the fourth step changes."""
     return sweep.step_change(sweep.threshold_sweep(V.raster(spark, d), TH), 3, 1)
+
+
+# masks to corners; the main component of mask 1 lies above the blob, so SQL needs no labelling
+SMALL_LIMITS = {"near": 4.013, "reach": 0.617}
+AREA = f"""{V.PRINTS}, own AS (SELECT * FROM prints WHERE mask_id = 1 AND y < 56), size AS (SELECT image_id, count(*) n FROM own GROUP BY 1),
+ edge AS (SELECT image_id group_id, y * 4294967296 + x pid, CAST(x AS DOUBLE) x, CAST(y AS DOUBLE) y FROM own o WHERE (SELECT count(*) FROM own p WHERE p.image_id = o.image_id AND abs(p.y - o.y) + abs(p.x - o.x) = 1) < 4),
+ pts AS (SELECT * FROM edge QUALIFY count(*) OVER (PARTITION BY group_id) >= 8),
+ p1 AS {_TOP('x, y', 'pts')}, d AS (SELECT c.*, (c.x - p1.x) * (c.x - p1.x) + (c.y - p1.y) * (c.y - p1.y) d2 FROM pts c JOIN p1 USING (group_id)), p2 AS {_TOP('d2 DESC, x DESC, y DESC', 'd')},
+ s AS (SELECT c.*, (p2.x - p1.x) * (c.y - p1.y) - (p2.y - p1.y) * (c.x - p1.x) s FROM pts c JOIN p1 USING (group_id) JOIN p2 USING (group_id)), p3 AS {_TOP('s DESC, x DESC, y DESC', 's')}, p4 AS {_TOP('s, x DESC, y DESC', 's')},
+ flat AS (SELECT group_id, min(s) = 0 AND max(s) = 0 flat FROM s GROUP BY 1),
+ ends AS (SELECT * FROM p1 UNION ALL SELECT * FROM p2 UNION ALL SELECT * FROM p3 UNION ALL SELECT * FROM p4), mid AS (SELECT group_id, avg(x) cx, avg(y) cy FROM ends GROUP BY 1),
+ turn AS (SELECT group_id, list({{'x': x, 'y': y}} ORDER BY atan2(y - cy, x - cx), x, y) v FROM ends JOIN mid USING (group_id) GROUP BY 1),
+ rough AS (SELECT group_id, {', '.join(f'v[{i + 1}].{z} {z}{i}' for i in range(4) for z in 'xy')} FROM turn JOIN flat USING (group_id) WHERE NOT flat),
+ inner_ AS (SELECT group_id, {', '.join(f'{z}{i} + (({" + ".join(f"{z}{j}" for j in range(4))}) / 4 - {z}{i}) * 0.03e0 {z}{i}' for i in range(4) for z in 'xy')} FROM rough),
+ ext AS (SELECT p.* FROM pts p JOIN inner_ q USING (group_id) WHERE NOT (least({', '.join(R.CROSS_Q)}) >= 0 OR greatest({', '.join(R.CROSS_Q)}) <= 0)),
+ many AS (SELECT group_id, count(*) n FROM ext GROUP BY 1), far AS (SELECT * FROM ext WHERE group_id IN (SELECT group_id FROM many WHERE n >= 4)),
+ start AS (SELECT rough.* FROM rough JOIN many USING (group_id) WHERE n >= 4), {R.quad_lines_sql('far', 'start', SMALL_LIMITS['near'], SMALL_LIMITS['reach']).replace('own AS', 'side_own AS').replace('FROM own', 'FROM side_own')},
+ {R.meet_sql('start')},
+ fit AS (SELECT group_id image_id, {', '.join(f'coalesce(c.{n}{z}, r.{z}{i}) {z}{i}' for i, n in enumerate(('tl', 'tr', 'br', 'bl')) for z in 'xy')} FROM rough r LEFT JOIN corner c USING (group_id)),
+ err AS (SELECT group_id image_id, 'degenerate contour' error FROM flat WHERE flat UNION ALL SELECT DISTINCT group_id, 'not enough contour points' FROM edge WHERE group_id NOT IN (SELECT group_id FROM pts))"""
+XY = [f"{z}{i}" for i in range(4) for z in "xy"]
+
+
+def _area(spark, d):
+    cells = V.prints(spark, d)
+    own = cells.join(masks.largest_mask(cells.withColumn("cell", F.struct("y", "x"))).select("image_id", "mask_id"), ["image_id", "mask_id"])
+    return prints.mask_to_quad(own.select("image_id", "y", "x"), **SMALL_LIMITS)
+
+
+@query("mask_to_quad", f"WITH {AREA} SELECT image_id, {', '.join(f'round({c}, 3) + 0 {c}' for c in XY)}, coalesce(n, 0) n_exterior, error FROM (SELECT *, NULL error FROM fit UNION ALL SELECT image_id, {', '.join(['NULL'] * 8)}, error FROM err) f LEFT JOIN many ON group_id = image_id")
+def mask_to_quad(spark, d):
+    return _area(spark, d).select("image_id", *[F.round(F.col("v")[int(c[1])][c[0]], 3).alias(c) for c in XY], "n_exterior", "error")
+
+
+OFF = ", ".join(f"sqrt((x{i} - {x}e0) * (x{i} - {x}e0) + (y{i} - {y}e0) * (y{i} - {y}e0))" for i, (x, y) in enumerate(V.SMALL))
+
+
+@query("with_fallback", f"""WITH {AREA}, dev AS (SELECT *, greatest({OFF}) top FROM fit), a AS (SELECT s_suppkey image_id, dev.* EXCLUDE (image_id), CASE WHEN s_suppkey NOT IN (SELECT image_id FROM own) THEN 'no mask' WHEN err.error IS NOT NULL THEN err.error WHEN top > 7.5e0 THEN 'deviation' END error
+ FROM supplier LEFT JOIN dev ON dev.image_id = s_suppkey LEFT JOIN err ON err.image_id = s_suppkey) SELECT image_id, {', '.join(f'round(CASE WHEN error IS NULL THEN {z}{i} ELSE {p[k]}e0 END, 3) + 0 {z}{i}' for i, p in enumerate(V.SMALL) for k, z in enumerate('xy'))}, error IS NOT NULL fallback, error, round(top, 3) max_dev FROM a""")
+def with_fallback(spark, d):
+    images = V.table(spark, d, "supplier").select(F.col("s_suppkey").alias("image_id"))
+    out = prints.image_area(V.prints(spark, d), images, V.SMALL, 7.5, **SMALL_LIMITS)
+    return out.select("image_id", *[F.round(F.col("v")[int(c[1])][c[0]], 3).alias(c) for c in XY], "fallback", "error", F.round("max_dev", 3).alias("max_dev"))

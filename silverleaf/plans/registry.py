@@ -367,10 +367,16 @@ def robust_lines(spark, d):
     return out.select("group_id", "edge", "orient", "inliers", r4("m").alias("m"), F.round("b", 3).alias("b"))
 
 
-MEET = " UNION ALL ".join(f"SELECT group_id, CASE WHEN abs(det) >= 1e-9 THEN px ELSE x{k} END x, CASE WHEN abs(det) >= 1e-9 THEN py ELSE y{k} END y FROM (SELECT p.group_id, p.a * q.b - q.a * p.b det, (p.b * q.c - q.b * p.c) / nullif(det, 0) px, (q.a * p.c - p.a * q.c) / nullif(det, 0) py FROM g p JOIN g q USING (group_id) WHERE p.edge = {i} AND q.edge = {j}) JOIN quads ON quad_id = group_id + 1" for k, (i, j) in enumerate([(0, 3), (0, 1), (2, 1), (2, 3)]))
+def meet_sql(quads: str) -> str:
+    """CTEs from ``lines`` and the quads they started at to ``corner`` (group_id, tlx, tly, ... bly)."""
+    meet = " UNION ALL ".join(f"SELECT group_id, CASE WHEN abs(det) >= 1e-9 THEN px ELSE x{k} END x, CASE WHEN abs(det) >= 1e-9 THEN py ELSE y{k} END y FROM (SELECT p.group_id, p.a * q.b - q.a * p.b det, (p.b * q.c - q.b * p.c) / nullif(p.a * q.b - q.a * p.b, 0) px, (q.a * p.c - p.a * q.c) / nullif(p.a * q.b - q.a * p.b, 0) py FROM side_line p JOIN side_line q USING (group_id) WHERE p.edge = {i} AND q.edge = {j}) JOIN {quads} USING (group_id)" for k, (i, j) in enumerate([(0, 3), (0, 1), (2, 1), (2, 3)]))
+    place = {"a": "x + y, x, y", "b": "x - y DESC, x DESC, y DESC", "c": "x + y DESC, x DESC, y DESC", "e": "x - y, x, y"}
+    return f"""side_line AS (SELECT group_id, edge, CASE WHEN flat THEN m ELSE 1 END a, CASE WHEN flat THEN -1 ELSE -m END b, CASE WHEN flat THEN b ELSE -b END c FROM lines), met AS ({meet}),
+ placed AS (SELECT *, {", ".join(f"row_number() OVER (PARTITION BY group_id ORDER BY {o}) {k}" for k, o in place.items())} FROM met),
+ corner AS (SELECT group_id, {", ".join(f"max({z}) FILTER (WHERE {k} = 1) {n}{z}" for k, n in zip("abce", ("tl", "tr", "br", "bl")) for z in "xy")} FROM placed GROUP BY 1)"""
 
 
-@query("quad_fit", f"WITH {QUAD_LINES}, g AS (SELECT group_id, edge, CASE WHEN flat THEN m ELSE 1 END a, CASE WHEN flat THEN -1 ELSE -m END b, CASE WHEN flat THEN b ELSE -b END c FROM lines), p AS ({MEET}), r AS (SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY x + y, x, y) a, row_number() OVER (PARTITION BY group_id ORDER BY x - y DESC, x DESC, y DESC) b, row_number() OVER (PARTITION BY group_id ORDER BY x + y DESC, x DESC, y DESC) c, row_number() OVER (PARTITION BY group_id ORDER BY x - y, x, y) e FROM p) SELECT group_id, " + ", ".join(f"round(max({z}) FILTER (WHERE {k} = 1), 3) {n}{z}" for k, n in zip("abce", ("tl", "tr", "br", "bl")) for z in "xy") + " FROM r GROUP BY 1")
+@query("quad_fit", f"WITH {QUAD_LINES}, {meet_sql('start')} SELECT group_id, " + ", ".join(f"round({n}{z}, 3) + 0 {n}{z}" for n in ("tl", "tr", "br", "bl") for z in "xy") + " FROM corner")
 def quad_fit(spark, d):
     out = fitting.quad_fit(V.outline(spark, d), _start_quads(spark, d), 42)
     return out.select("group_id", *[F.round(F.col(f"{n}.{z}"), 3).alias(f"{n}{z}") for n in ("tl", "tr", "br", "bl") for z in "xy"])
@@ -408,6 +414,9 @@ def shrink_quad(spark, d):
 CROSS = [f"(x{(i + 1) % 4} - x{i}) * (y - y{i}) - (y{(i + 1) % 4} - y{i}) * (x - x{i})" for i in range(4)]
 
 
+CROSS_Q = [f"(q.x{(i + 1) % 4} - q.x{i}) * (p.y - q.y{i}) - (q.y{(i + 1) % 4} - q.y{i}) * (p.x - q.x{i})" for i in range(4)]
+
+
 @query("points_inside_quad", f"WITH {V.CONTOUR}, {V.QUADS} SELECT group_id, count(*) FILTER (WHERE least({', '.join(CROSS)}) >= 0 OR greatest({', '.join(CROSS)}) <= 0) n FROM contour JOIN quads ON quad_id = group_id + 1 GROUP BY 1")
 def points_inside_quad(spark, d):
     j = V.contour(spark, d).join(V.quads(spark, d), F.col("quad_id") == F.col("group_id") + 1)

@@ -82,6 +82,43 @@ def quads(spark, sf_dir) -> DataFrame:
 QUADS = "quads AS (SELECT c_custkey quad_id, " + ", ".join(f"{x}e0 + (c_custkey * {7 + 2 * i}) % 41 - 20" + (" + CASE WHEN c_custkey % 10 = 0 THEN 400.0e0 ELSE 0.0e0 END" if i == 0 else "") + f" x{i}, {y}e0 + (c_custkey * {8 + 3 * i}) % 41 - 20 y{i}" for i, (x, y) in enumerate(TEMPLATE)) + " FROM customer)"
 
 
+#: The template and its limits on the small grid of ``prints``.
+SMALL = [(x / 20, y / 20) for x, y in TEMPLATE]
+_PRINT = {
+    "slope": "((k % 7) - 3) * 0.03{d}",
+    "tiny": "k % 10 = 1 AND y BETWEEN 10 AND 11 AND x BETWEEN 10 AND 12",
+    "line": "k % 10 = 2 AND y = 20 AND x BETWEEN 5 AND 24",
+    "far": "k % 10 = 3 AND y BETWEEN 5 AND 51 AND x BETWEEN 25 AND 60",
+    "star": "k % 10 = 4 AND ((x = 20 AND y BETWEEN 10 AND 20) OR (abs(x - 20) = y - 20 AND y BETWEEN 20 AND 30))",
+    "print": "k % 10 >= 5 AND y BETWEEN 5 + k % 3 AND 51 - k % 2 AND x >= 3 + k % 4 + {slope} * (y - 5) AND x <= 37 - k % 5 + {slope} * (y - 5)",
+    "blob": "k % 10 >= 3 AND y BETWEEN 58 AND 59 AND x BETWEEN 1 AND 2",
+    "second": "(k % 10 = 3 OR k % 10 >= 5) AND y BETWEEN 55 AND 62 AND x BETWEEN 40 AND 44",
+}
+
+
+def _print_rule(d: str) -> tuple[str, str]:
+    """Conditions of mask 1 and mask 2 for image k; ``d`` marks double literals."""
+    rule = {k: v.replace("{slope}", f"({_PRINT['slope']})").replace("{d}", d) for k, v in _PRINT.items()}
+    return " OR ".join(f"({rule[k]})" for k in ("tiny", "line", "far", "star", "print", "blob")), rule["second"]
+
+
+def prints(spark, sf_dir) -> DataFrame:
+    """image_id, mask_id, y, x: one 64 x 64 grid for each supplier, with no mask, a tiny one, a line, one far off, a star of thin arms, or a tilted print; with a loose blob and a smaller second mask."""
+    one, two = _print_rule("D")
+    grid = table(spark, sf_dir, "supplier").selectExpr("s_suppkey AS k").selectExpr("k", "explode(sequence(0, 63)) AS y").selectExpr("*", "explode(sequence(0, 63)) AS x")
+    mask = F.expr(f"filter(array(CASE WHEN {one} THEN 1L END, CASE WHEN {two} THEN 2L END), m -> m IS NOT NULL)")
+    return grid.select(F.col("k").alias("image_id"), F.explode(mask).alias("mask_id"), "y", "x")
+
+
+def _prints_sql() -> str:
+    one, two = _print_rule("e0")
+    grid = "SELECT s_suppkey k, y, unnest(range(64)) x FROM (SELECT s_suppkey, unnest(range(64)) y FROM supplier)"
+    return f"grid AS ({grid}), prints AS (SELECT k image_id, 1 mask_id, y, x FROM grid WHERE {one} UNION ALL SELECT k, 2, y, x FROM grid WHERE {two})"
+
+
+PRINTS = _prints_sql()
+
+
 def responses(spark, sf_dir) -> DataFrame:
     o = table(spark, sf_dir, "orders")
     d = F.date_format("o_orderdate", "yyyy.MM.dd")

@@ -127,3 +127,21 @@ def test_consensus_lines_do_not_depend_on_blocks(spark, monkeypatch):
             m, b = np.polyfit(x[at], y[at], 1)
             best = max(best, (int(np.sum(np.abs(y - m * x - b) < 5)), -t))
         assert (got[g]["votes"], -got[g]["trial"]) == best
+
+
+def test_mask_to_quad_branches(spark):
+    from silverleaf.operators import prints
+    from silverleaf.plans import registry, views
+
+    sf_dir = "/root/testdata/sf0.001"
+    quads = {r["image_id"]: r for r in registry.QUERIES["mask_to_quad"](spark, sf_dir).collect()}
+    assert 10 not in quads and quads[1]["error"] == prints.FEW_POINTS and quads[2]["error"] == prints.DEGENERATE
+    assert quads[4]["n_exterior"] == 3 and sorted((quads[4][f"x{i}"], quads[4][f"y{i}"]) for i in range(4)) == [(10, 30), (20, 10), (30, 30), (30, 30)]
+    final = {r["image_id"]: r for r in registry.QUERIES["with_fallback"](spark, sf_dir).collect()}
+    errors = {k: r["error"] for k, r in final.items()}
+    assert errors == {1: prints.FEW_POINTS, 2: prints.DEGENERATE, 3: prints.DEVIATION, 4: prints.DEVIATION, 10: prints.NO_MASK} | dict.fromkeys(range(5, 10))
+    assert all((r["x0"], r["y2"]) == (2.75, 51.1) for r in final.values() if r["fallback"]) and final[3]["max_dev"] > 7.5
+    empty = spark.createDataFrame([], "image_id long, y int, x int")
+    assert prints.mask_to_quad(empty).count() == 0
+    images = spark.createDataFrame([(1,), (1,), (2,)], "image_id long")
+    assert [(r["image_id"], r["error"]) for r in prints.with_fallback(prints.mask_to_quad(empty), images, views.SMALL).orderBy("image_id").collect()] == [(1, prints.NO_MASK), (2, prints.NO_MASK)]
