@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 
 from .common import blocks, crc_mod, materialize
 
-SLOTS = 4096
-PER_LANGUAGE = 1500
+SLOTS = 2048
+PER_LANGUAGE = 1000
 LANGUAGES = 250
 LETTER = np.zeros(256, bool)
 LETTER[97:123] = LETTER[128:] = True
@@ -35,7 +35,7 @@ def features(texts: list[str | None]) -> np.ndarray:
     """[rows, SLOTS] float32, rows of unit length or zero."""
     raw = [(t or "").lower().encode("utf-8", "ignore") for t in texts]
     out = np.zeros((len(raw), SLOTS), np.float32)
-    for s, e in ((a, b) for lo, hi in blocks([len(t) for t in raw], 1 << 21) for a, b in ((i, min(i + 256, hi)) for i in range(lo, hi, 256))):
+    for s, e in ((a, b) for lo, hi in blocks([len(t) for t in raw], 1 << 20) for a, b in ((i, min(i + 256, hi)) for i in range(lo, hi, 256))):
         buf = np.frombuffer(b" " + b" ".join(raw[s:e]) + b" ", np.uint8)
         doc = np.repeat(np.arange(e - s), [len(t) + 1 for t in raw[s:e]])
         doc = np.append(doc, e - s - 1)
@@ -46,7 +46,7 @@ def features(texts: list[str | None]) -> np.ndarray:
         for n in range(1, 5):
             run = run[: len(buf) - n + 1] | (buf[n - 1 :] << np.uint64(8 * (n - 1)))
             own = (doc[: len(run)] == doc[n - 1 :]) & (run != 32)
-            slot = ((run + np.uint64(n)) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(52)
+            slot = ((run + np.uint64(n)) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(53)
             total += np.bincount(doc[: len(run)][own] * SLOTS + slot[own].astype(np.int64), minlength=len(total))
         x = np.sqrt(total.reshape(e - s, SLOTS))
         out[s:e] = x / np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-12)
@@ -181,8 +181,8 @@ def predict_language(docs: DataFrame, model: dict) -> DataFrame:
     def run(batches):
         for b in batches:
             names, langs, scores = shared.value["names"], [], []
-            for s in range(0, b.num_rows if names else 0, 1024):
-                lang, score = decide(features(b.column("text").slice(s, 1024).to_pylist()), shared.value)
+            for s in range(0, b.num_rows if names else 0, 512):
+                lang, score = decide(features(b.column("text").slice(s, 512).to_pylist()), shared.value)
                 langs.append(lang)
                 scores.append(score)
             pred = pa.array([names[i] for i in np.concatenate(langs)] if langs else ["und"] * b.num_rows, pa.string())
