@@ -7,10 +7,10 @@ from __future__ import annotations
 
 import math
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.files import discard, folder, written
 from .labelling import edge_cells
 
 
@@ -42,33 +42,92 @@ def min_area(cells: DataFrame, images: DataFrame, ratio: float) -> DataFrame:
 def pairwise_iou(cells: DataFrame, least: float) -> DataFrame:
     """(image_id, a, b, iou) of mask pairs of one image with an overlap ratio above ``least`` and shared cells.
 
-    Pairs meet on shared cells, never as a product, and pairs whose sizes alone rule them out are dropped before counting.
+    From a half on, pairs meet on the rare cells of their prefixes only (``overlap_candidates``) and are counted once
+    each. Below, a prefix holds most of a mask and would rule out next to nothing, so pairs meet on all shared cells;
+    either way pairs whose sizes alone rule them out go before counting, and no product of masks is made.
     """
     c = cells.distinct()
     size = mask_area(c, ["image_id", "mask_id"])
-    c = c.join(size, ["image_id", "mask_id"])
-    a, b = (c.select("image_id", "cell", F.col("mask_id").alias(k), F.col("n").alias(f"n{k}")) for k in "ab")
-    meet = a.join(b, ["image_id", "cell"]).filter((F.col("a") < F.col("b")) & (F.least("na", "nb") > F.greatest("na", "nb") * least))
+    if least >= 0.5:
+        pairs = overlap_candidates(c, size, least)
+        left = pairs.join(c.withColumnRenamed("mask_id", "a"), ["image_id", "a"])
+        meet = left.join(c.withColumnRenamed("mask_id", "b"), ["image_id", "b", "cell"])
+    else:
+        c = c.join(size, ["image_id", "mask_id"])
+        a, b = (c.select("image_id", "cell", F.col("mask_id").alias(k), F.col("n").alias(f"n{k}")) for k in "ab")
+        meet = a.join(b, ["image_id", "cell"]).filter((F.col("a") < F.col("b")) & (F.least("na", "nb") > F.greatest("na", "nb") * least))
     both = meet.groupBy("image_id", "a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("k"))
     return both.withColumn("iou", F.col("k") / (F.col("na") + F.col("nb") - F.col("k"))).filter(F.col("iou") > least).select("image_id", "a", "b", "iou")
 
 
+def mask_prefixes(cells: DataFrame, sizes: DataFrame, least: float) -> DataFrame:
+    """(image_id, mask_id, n, cell, at): the first n - ceil(n * least) + 1 cells of each mask, rarest in its image first; ``at`` counts from 0.
+
+    Two masks with an overlap ratio of ``least`` or more share a cell of both prefixes.
+    """
+    often = cells.groupBy("image_id", "cell").agg(F.count(F.lit(1)).alias("often"))
+    told = cells.join(often, ["image_id", "cell"]).join(sizes, ["image_id", "mask_id"])
+    at = F.row_number().over(Window.partitionBy("image_id", "mask_id").orderBy("often", "cell")) - 1
+    return told.withColumn("at", at).filter(F.col("at") < F.col("n") - F.ceil(F.col("n") * least) + 1).select("image_id", "mask_id", "n", "cell", "at")
+
+
+def overlap_candidates(cells: DataFrame, sizes: DataFrame, least: float) -> DataFrame:
+    """(image_id, a, b, na, nb): pairs of masks that share a prefix cell at positions from which ``least`` can still be reached."""
+    p = mask_prefixes(cells, sizes, least)
+    a, b = (p.select("image_id", "cell", F.col("mask_id").alias(k), F.col("n").alias(f"n{k}"), F.col("at").alias(f"at{k}")) for k in "ab")
+    reach = F.least(F.col("na") - F.col("ata"), F.col("nb") - F.col("atb"))
+    fits = (F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.greatest("na", "nb") * least) & (reach * (1 + least) >= (F.col("na") + F.col("nb")) * least)
+    return a.join(b, ["image_id", "cell"]).filter(fits).select("image_id", "a", "b", "na", "nb").distinct()
+
+
+def distinct_masks(cells: DataFrame) -> DataFrame:
+    """(image_id, mask_id, n): of masks of one image with equal cells the one with the smallest id. Rests on two 64-bit sums of hashes."""
+    one = F.sum(F.xxhash64("cell").cast("decimal(38,0)"))
+    marks = cells.groupBy("image_id", "mask_id").agg(F.count(F.lit(1)).alias("n"), one.alias("one"), F.bit_xor(F.xxhash64("cell", F.lit(1))).alias("two"))
+    return marks.groupBy("image_id", "n", "one", "two").agg(F.min("mask_id").alias("mask_id")).select("image_id", "mask_id", "n")
+
+
 def suppress(cells: DataFrame, iou: float) -> DataFrame:
-    """Masks kept when larger ones go first and any mask over ``iou`` with a kept one is dropped; ties to the smaller id."""
-    size = mask_area(cells, ["image_id", "mask_id"])
-    pairs = pairwise_iou(cells, iou)
-    edges = pairs.select("image_id", F.col("a").alias("mask_id"), F.col("b").alias("other")).unionByName(pairs.select("image_id", F.col("b").alias("mask_id"), F.col("a").alias("other")))
-    rows = size.join(edges, ["image_id", "mask_id"], "left")
-
-    def keep(pdf: pd.DataFrame) -> pd.DataFrame:
-        near = pdf.dropna(subset=["other"]).groupby("mask_id")["other"].agg(set).to_dict()
-        kept: set = set()
-        for m in pdf.drop_duplicates("mask_id").sort_values(["n", "mask_id"], ascending=[False, True])["mask_id"]:
-            if not near.get(m, set()) & kept:
-                kept.add(m)
-        return pdf.drop_duplicates("mask_id").query("mask_id in @kept")[["image_id", "mask_id", "n"]]
-
-    return rows.groupBy("image_id").applyInPandas(keep, "image_id long, mask_id long, n long")
+    """Masks kept when larger ones go first and any mask over ``iou`` (below 1) with a kept one is dropped; ties to the smaller id.
+
+    Equal masks are one before any pairs are made, as all but the first of them go. The rest is settled in rounds on the
+    table of overlaps (``settle``), so no task holds the masks of an image.
+    """
+    cells = written(cells.distinct(), "mask-cells")
+    first = written(distinct_masks(cells), "masks")
+    own = cells.join(first.select("image_id", "mask_id"), ["image_id", "mask_id"], "left_semi")
+    pairs = pairwise_iou(own, iou)
+    size = first.select("image_id", "mask_id", "n")
+    pairs = pairs.join(size.select("image_id", F.col("mask_id").alias("a"), F.col("n").alias("na")), ["image_id", "a"]).join(size.select("image_id", F.col("mask_id").alias("b"), F.col("n").alias("nb")), ["image_id", "b"])
+    ahead = F.col("na") >= F.col("nb")  # a is the smaller id
+    edges = pairs.select("image_id", F.when(ahead, F.col("a")).otherwise(F.col("b")).alias("high"), F.when(ahead, F.col("b")).otherwise(F.col("a")).alias("low"))
+    return first.join(settle(edges), ["image_id", "mask_id"], "left_anti").select("image_id", "mask_id", "n")
+
+
+def settle(edges: DataFrame) -> DataFrame:
+    """(image_id, mask_id): the nodes that drop out of the directed, acyclic edges (image_id, high, low) when a node is kept unless a kept one points at it.
+
+    A node is decided once all that point at it are. Each round keeps the nodes that none undecided points at, drops
+    those they point at, and goes on with the edges between the rest; rounds are as many as the longest run of decisions
+    that wait for each other, few unless edges form long chains.
+    """
+    node = lambda df, k: df.select("image_id", F.col(k).alias("mask_id")).distinct()
+    edges, dropped = written(edges, "overlaps"), []
+    while True:
+        kept = node(edges, "high").join(node(edges, "low"), ["image_id", "mask_id"], "left_anti")
+        gone = written(node(edges.join(kept.withColumnRenamed("mask_id", "high"), ["image_id", "high"], "left_semi"), "low"), "dropped")
+        dropped.append(gone)
+        if gone.isEmpty():
+            break
+        rest = edges
+        for k in ("high", "low"):
+            rest = rest.join(gone.withColumnRenamed("mask_id", k), ["image_id", k], "left_anti")
+        rest = written(rest.select("image_id", "high", "low"), "overlaps")
+        discard(edges)
+        edges = rest
+    discard(edges)
+    paths = [p for p in map(folder, dropped) if p]
+    return edges.sparkSession.read.schema(dropped[0].schema).parquet(*paths) if paths else dropped[0]
 
 
 def largest_mask(cells: DataFrame) -> DataFrame:

@@ -151,10 +151,14 @@ def largest_mask(spark, d):
     return masks.largest_mask(V.sets(spark, d))
 
 
-IOU = f"""WITH RECURSIVE {V.SETS}, a AS (SELECT image_id, mask_id, count(*) n FROM sets GROUP BY ALL), k AS (SELECT s.image_id, s.mask_id a, t.mask_id b, count(*) k FROM sets s JOIN sets t ON s.image_id = t.image_id AND s.cell = t.cell AND s.mask_id < t.mask_id GROUP BY ALL),
+def iou_sql(sets: str) -> str:
+    return f"""WITH RECURSIVE {sets}, a AS (SELECT image_id, mask_id, count(*) n FROM sets GROUP BY ALL), k AS (SELECT s.image_id, s.mask_id a, t.mask_id b, count(*) k FROM sets s JOIN sets t ON s.image_id = t.image_id AND s.cell = t.cell AND s.mask_id < t.mask_id GROUP BY ALL),
  iou AS (SELECT k.image_id, k.a, k.b, k / (p.n + q.n - k)::DOUBLE iou FROM k JOIN a p ON p.image_id = k.image_id AND p.mask_id = k.a JOIN a q ON q.image_id = k.image_id AND q.mask_id = k.b)"""
 
 
+IOU = iou_sql(V.SETS)
+
+
 @query("pairwise_iou", IOU + " SELECT image_id, a, b, round(iou, 4) iou FROM iou WHERE iou > 0.15")
 def pairwise_iou(spark, d):
     return masks.pairwise_iou(V.sets(spark, d), 0.15).withColumn("iou", r4("iou"))
@@ -167,6 +171,14 @@ def suppress(spark, d):
     return masks.suppress(V.sets(spark, d), 0.15)
 
 
+@query("suppress_documents", iou_sql(V.SHINGLES) + """, e AS (SELECT * FROM iou WHERE iou > 0.85), o AS (SELECT mask_id, row_number() OVER (ORDER BY n DESC, mask_id) rn FROM a WHERE mask_id IN (SELECT a FROM e UNION SELECT b FROM e)),
+ near AS (SELECT x.rn, list(y.rn) earlier FROM (SELECT a p, b q FROM e UNION ALL SELECT b, a FROM e) JOIN o x ON x.mask_id = p JOIN o y ON y.mask_id = q WHERE y.rn < x.rn GROUP BY 1), step AS (SELECT 0::BIGINT rn, []::BIGINT[] kept
+ UNION ALL SELECT o.rn, CASE WHEN list_has_any(coalesce(earlier, []), s.kept) THEN s.kept ELSE list_append(s.kept, o.rn) END FROM step s JOIN o ON o.rn = s.rn + 1 LEFT JOIN near ON near.rn = o.rn), f AS (SELECT unnest(arg_max(kept, rn)) rn FROM step)
+ SELECT a.mask_id, a.n FROM a LEFT JOIN o USING (mask_id) WHERE o.rn IS NULL OR o.rn IN (SELECT rn FROM f)""")
+def suppress_documents(spark, d):
+    return masks.suppress(V.shingles(spark, d), 0.85).select("mask_id", "n")
+
+
 MASKS = f"WITH {V.RASTER}, m AS (SELECT DISTINCT image_id, y, x FROM raster WHERE p > 0.9), k AS (SELECT DISTINCT image_id, y, x FROM raster WHERE v > 215)"
 
 

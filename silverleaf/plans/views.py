@@ -45,6 +45,17 @@ def sets(spark, sf_dir) -> DataFrame:
 SETS = "sets AS (SELECT DISTINCT l_suppkey % 10 image_id, l_suppkey mask_id, l_partkey cell FROM lineitem)"
 
 
+def shingles(spark, sf_dir) -> DataFrame:
+    """image_id, mask_id, cell: documents as masks over the hashes of their three-word shingles, all in one image."""
+    words = table(spark, sf_dir, "documents").select("doc_id", F.filter(F.split(F.lower("text"), "[ \\t\\r\\n]+"), lambda w: w != "").alias("w")).filter(F.size("w") >= 3)
+    three = F.transform(F.sequence(F.lit(1), F.size("w") - 2), lambda i: F.xxhash64(F.array_join(F.slice("w", i, 3), " ")))
+    return words.select(F.lit(0).cast("long").alias("image_id"), F.col("doc_id").alias("mask_id"), F.explode(F.array_distinct(three)).alias("cell"))
+
+
+SHINGLES = """sets AS (SELECT DISTINCT 0 image_id, doc_id mask_id, unnest(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' '))) cell
+ FROM (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[ \\t\\r\\n]+'), lambda x: x <> '') w FROM documents) WHERE len(w) >= 3)"""
+
+
 def contour(spark, sf_dir, group=None) -> DataFrame:
     group = F.col("o_custkey") % 10 if group is None else group
     o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("pid"), group.alias("group_id"), (F.col("o_orderkey") % 4).alias("side"),

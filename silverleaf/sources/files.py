@@ -114,6 +114,20 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def folder(df: DataFrame) -> str | None:
+    """The folder of a table that ``written`` made; None if it has no file."""
+    return next((f.rpartition("/")[0] for f in df.inputFiles()[:1]), None)
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a table that ``written`` made, once nothing reads it any more."""
+    path = folder(df)
+    if path:
+        spark = df.sparkSession
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def save_stage(df: DataFrame, root: str, stage: str, key: str = "image_id", buckets: int = 64) -> None:
     """A stage's table under ``root``, in folders by a bucket of its key, so that a later stage can read a part."""
     df.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")).repartition(buckets, "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{root}/{stage}")

@@ -136,7 +136,7 @@ def test_mask_to_quad_branches(spark):
     sf_dir = "/root/testdata/sf0.001"
     quads = {r["image_id"]: r for r in registry.QUERIES["mask_to_quad"](spark, sf_dir).collect()}
     assert 10 not in quads and quads[1]["error"] == prints.FEW_POINTS and quads[2]["error"] == prints.DEGENERATE
-    assert quads[4]["n_exterior"] == 3 and sorted((quads[4][f"x{i}"], quads[4][f"y{i}"]) for i in range(4)) == [(10, 30), (20, 10), (30, 30), (30, 30)]
+    assert quads[4]["n_exterior"] == 3 and sorted((quads[4][f"x{i}"], quads[4][f"y{i}"]) for i in range(4)) == [(10, 30), (20, 10), (20, 10), (30, 30)]
     final = {r["image_id"]: r for r in registry.QUERIES["with_fallback"](spark, sf_dir).collect()}
     errors = {k: r["error"] for k, r in final.items()}
     assert errors == {1: prints.FEW_POINTS, 2: prints.DEGENERATE, 3: prints.DEVIATION, 4: prints.DEVIATION, 10: prints.NO_MASK} | dict.fromkeys(range(5, 10))

@@ -159,3 +159,40 @@ def test_rasters_from_files_and_back(spark, tmp_path):
     assert sorted(map(tuple, spark.read.parquet(out).filter("stage = 'gray.png'").select("name", "y", "x", "r", "g", "b").collect())) == sorted(w for w in want if w[0] == "gray.png")
     files.write_rasters(got.filter("name = 'rgb.png'").withColumn("stage", got.name), out)
     assert spark.read.parquet(out).count() == 6
+
+
+def _greedy(sets, iou):
+    kept = []
+    for m in sorted(sets, key=lambda m: (-len(sets[m]), m)):
+        if all(len(sets[m] & sets[k]) / len(sets[m] | sets[k]) <= iou for k in kept):
+            kept.append(m)
+    return set(kept)
+
+
+def test_prefix_pairs_and_rounds_match_brute_force(spark):
+    """Masks near the threshold, a chain in which each decision waits for the one before, many copies of one mask, and an empty table."""
+    import random
+
+    from silverleaf.operators import masks
+
+    rng, sets = random.Random(2), {}
+    for base in range(12):
+        cells = rng.sample(range(300), 40)
+        for _ in range(6):
+            sets[len(sets)] = set(cells[rng.randrange(0, 6) :]) | set(rng.sample(range(300), rng.randrange(0, 5)))
+    for i in range(30):  # each overlaps the next one alone
+        sets[200 + i] = set(range(1000 + 3 * i, 1000 + 3 * i + 60 - i % 2))
+    for i in range(50):
+        sets[300 + i] = set(range(5000, 5020))
+    rows = [(1, m, c) for m in sets for c in sets[m]]
+    df = spark.createDataFrame(rows + rows[:40], "image_id long, mask_id long, cell long").repartition(5)
+    own = {m: s for m, s in sets.items() if m < 300}
+    for iou in (0.5, 0.85):
+        want = {(a, b) for a in own for b in own if a < b and len(own[a] & own[b]) / len(own[a] | own[b]) > iou}
+        got = masks.pairwise_iou(df.filter("mask_id < 300"), iou)
+        assert {(r["a"], r["b"]) for r in got.collect()} == want
+    for iou in (0.15, 0.5, 0.85):
+        assert {r["mask_id"] for r in masks.suppress(df, iou).collect()} == _greedy(sets, iou)
+    sizes = masks.mask_area(df, ["image_id", "mask_id"])
+    assert masks.overlap_candidates(df.distinct(), sizes, 0.85).count() < 0.5 * 50 * 49 / 2 + 2 * len(want) + 50 * 49 / 2
+    assert masks.suppress(df.limit(0), 0.85).count() == 0
