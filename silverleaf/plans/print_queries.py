@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import expressions as X
-from ..operators import fitting, ink, labelling, masks, prints, rasters, resample, sweep
+from ..operators import fitting, ink, labelling, masks, prints, rasters, resample, runs, sweep
 from ..sources import files
 from ..sources.files import written
 from . import registry as R
@@ -301,3 +301,63 @@ def with_fallback(spark, d):
     images = V.table(spark, d, "supplier").select(F.col("s_suppkey").alias("image_id"))
     out = prints.image_area(V.prints(spark, d), images, V.SMALL, 7.5, **SMALL_LIMITS)
     return out.select("image_id", *[F.round(F.col("v")[int(c[1])][c[0]], 3).alias(c) for c in XY], "fallback", "error", F.round("max_dev", 3).alias("max_dev"))
+
+
+# run-length masks: cells of one print against those of the next one, moved onto it; SQL works on cells and joins them into runs
+NEXT = f"{V.PRINTS}, a AS (SELECT DISTINCT image_id, y, x FROM prints WHERE image_id % 2 = 0), b AS (SELECT DISTINCT image_id + 1 AS image_id, y, x FROM prints WHERE image_id % 2 = 1)"
+
+
+def _as_runs(cells: str) -> str:
+    return f"SELECT image_id, y, CAST(min(x) AS INT) x0, CAST(max(x) + 1 AS INT) x1 FROM (SELECT *, x - row_number() OVER (PARTITION BY image_id, y ORDER BY x) k FROM ({cells})) GROUP BY image_id, y, k"
+
+
+def _two_masks(spark, d):
+    """The masks of even images, and those of odd images under the next number, as runs."""
+    cells = V.prints(spark, d)
+    odd = cells.filter("image_id % 2 = 1").withColumn("image_id", F.col("image_id") + 1)
+    return labelling.mask_runs(cells.filter("image_id % 2 = 0")), labelling.mask_runs(odd)
+
+
+@query("runs_and", f"WITH {NEXT} {_as_runs('SELECT * FROM a INTERSECT SELECT * FROM b')}")
+def runs_and(spark, d):
+    return runs.runs_and(*_two_masks(spark, d))
+
+
+@query("runs_or", f"WITH {NEXT} {_as_runs('SELECT * FROM a UNION SELECT * FROM b')}")
+def runs_or(spark, d):
+    return runs.runs_or(*_two_masks(spark, d))
+
+
+@query("runs_minus", f"WITH {NEXT} {_as_runs('SELECT * FROM a EXCEPT SELECT * FROM b')}")
+def runs_minus(spark, d):
+    return runs.runs_minus(*_two_masks(spark, d))
+
+
+@query("runs_xor", f"WITH {NEXT} {_as_runs('(SELECT * FROM a EXCEPT SELECT * FROM b) UNION (SELECT * FROM b EXCEPT SELECT * FROM a)')}")
+def runs_xor(spark, d):
+    return runs.runs_xor(*_two_masks(spark, d))
+
+
+@query("runs_not", f"WITH {V.PRINTS} {_as_runs('SELECT k image_id, y, x FROM grid EXCEPT SELECT image_id, y, x FROM prints')}")
+def runs_not(spark, d):
+    images = V.table(spark, d, "supplier").select(F.col("s_suppkey").alias("image_id"), F.lit(64).alias("height"), F.lit(64).alias("width"))
+    return runs.runs_not(labelling.mask_runs(V.prints(spark, d)), images)
+
+
+def _mask_runs(spark, d):
+    """Prints as runs, four to an image."""
+    cells = V.prints(spark, d).filter("mask_id = 1").select((F.floor(F.col("image_id") / 20) * 5 + F.col("image_id") % 5).alias("image_id"), F.col("image_id").alias("mask_id"), "y", "x")
+    return runs.normalize_runs(cells.withColumns({"x0": F.col("x"), "x1": F.col("x") + 1}), ["mask_id"])
+
+
+SHARED = f"{V.PRINTS}, m AS (SELECT (image_id // 20) * 5 + image_id % 5 AS image_id, image_id mask_id, y, x FROM prints WHERE mask_id = 1), n AS (SELECT image_id, mask_id, count(*) n FROM m GROUP BY ALL)"
+
+
+@query("run_area", f"WITH {SHARED} SELECT * FROM n")
+def run_area(spark, d):
+    return runs.run_area(_mask_runs(spark, d), ["image_id", "mask_id"])
+
+
+@query("run_iou", f"WITH {SHARED}, k AS (SELECT p.image_id, p.mask_id a, q.mask_id b, count(*) k FROM m p JOIN m q USING (image_id, y, x) WHERE p.mask_id < q.mask_id GROUP BY ALL), i AS (SELECT k.image_id, a, b, k / (p.n + q.n - k)::DOUBLE iou FROM k JOIN n p ON p.image_id = k.image_id AND p.mask_id = a JOIN n q ON q.image_id = k.image_id AND q.mask_id = b) SELECT image_id, a, b, round(iou, 4) iou FROM i WHERE iou > 0.5")
+def run_iou(spark, d):
+    return runs.run_iou(_mask_runs(spark, d), 0.5).withColumn("iou", r4("iou"))

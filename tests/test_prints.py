@@ -135,13 +135,46 @@ def test_mask_to_quad_branches(spark):
 
     sf_dir = "/root/testdata/sf0.001"
     quads = {r["image_id"]: r for r in registry.QUERIES["mask_to_quad"](spark, sf_dir).collect()}
-    assert 10 not in quads and quads[1]["error"] == prints.FEW_POINTS and quads[2]["error"] == prints.DEGENERATE
+    assert 0 not in quads and quads[1]["error"] == prints.FEW_POINTS and quads[2]["error"] == prints.DEGENERATE
     assert quads[4]["n_exterior"] == 3 and sorted((quads[4][f"x{i}"], quads[4][f"y{i}"]) for i in range(4)) == [(10, 30), (20, 10), (20, 10), (30, 30)]
     final = {r["image_id"]: r for r in registry.QUERIES["with_fallback"](spark, sf_dir).collect()}
     errors = {k: r["error"] for k, r in final.items()}
-    assert errors == {1: prints.FEW_POINTS, 2: prints.DEGENERATE, 3: prints.DEVIATION, 4: prints.DEVIATION, 10: prints.NO_MASK} | dict.fromkeys(range(5, 10))
+    assert errors == {1: prints.FEW_POINTS, 2: prints.DEGENERATE, 3: prints.DEVIATION, 4: prints.DEVIATION, 0: prints.NO_MASK} | dict.fromkeys(range(5, 10))
     assert all((r["x0"], r["y2"]) == (2.75, 51.1) for r in final.values() if r["fallback"]) and final[3]["max_dev"] > 7.5
     empty = spark.createDataFrame([], "image_id long, y int, x int")
     assert prints.mask_to_quad(empty).count() == 0
     images = spark.createDataFrame([(1,), (1,), (2,)], "image_id long")
     assert [(r["image_id"], r["error"]) for r in prints.with_fallback(prints.mask_to_quad(empty), images, views.SMALL).orderBy("image_id").collect()] == [(1, prints.NO_MASK), (2, prints.NO_MASK)]
+
+
+def test_run_algebra_equals_cells(spark):
+    """Overlapping, touching, repeated, empty and null runs; several masks an image; runs over many tiles."""
+    import operator
+
+    from silverleaf.operators import runs
+
+    rng = np.random.default_rng(3)
+    made = [[(int(rng.integers(0, 3)), int(rng.integers(0, 4)), int(rng.integers(0, 5)), x := int(rng.integers(-20, 180)), x + int(rng.integers(-1, 60))) for _ in range(60)] for _ in range(2)]
+    schema = "image_id int, mask_id int, y int, x0 int, x1 int"
+    extra = [(0, 0, 0, None, 5), (0, 0, 0, 5, None), (None, 0, 0, 1, 5), (1, 1, 1, 9, 9)]
+    a, b = (spark.createDataFrame(rows + rows[:5] + extra, schema).repartition(4) for rows in made)
+    cells = [{(i, y, x) for i, _, y, x0, x1 in rows for x in range(x0, x1)} for rows in made]
+    for fn, op in ((runs.runs_and, operator.and_), (runs.runs_or, operator.or_), (runs.runs_minus, operator.sub), (runs.runs_xor, operator.xor)):
+        got = fn(a, b)
+        told = [tuple(r) for r in got.collect()]
+        assert {(i, y, x) for i, y, x0, x1 in told for x in range(x0, x1)} == op(*cells)
+        ends = {(i, y, x1) for i, y, _, x1 in told}
+        assert not any((i, y, x0) in ends for i, y, x0, _ in told)  # maximal
+        assert got.groupBy().sum().count() == 1 and runs.run_cells(got).count() == len(op(*cells))
+    images = spark.createDataFrame([(0, 5, 150), (7, 2, 3), (8, 0, 9)], "image_id int, height int, width int")
+    want = {(0, y, x) for y in range(5) for x in range(150)} - cells[0] | {(7, y, x) for y in range(2) for x in range(3)}
+    assert {(r["image_id"], r["y"], x) for r in runs.runs_not(a, images).collect() for x in range(r["x0"], r["x1"])} == want
+    own = {}
+    for i, m, y, x0, x1 in made[0]:
+        own.setdefault((i, m), set()).update((y, x) for x in range(x0, x1))
+    own = {k: v for k, v in own.items() if v}
+    assert {(r["image_id"], r["mask_id"]): r["n"] for r in runs.run_area(a, ["image_id", "mask_id"]).collect()} == {k: len(v) for k, v in own.items()}
+    iou = {(i, m, n): len(own[i, m] & own[j, n]) / len(own[i, m] | own[j, n]) for i, m in own for j, n in own if i == j and m < n}
+    got = {(r["image_id"], r["a"], r["b"]): r["iou"] for r in runs.run_iou(a, 0.1, tile=16).collect()}
+    assert got == {k: v for k, v in iou.items() if v > 0.1} and got
+    assert runs.run_iou(a.limit(0), 0.1).count() == 0
