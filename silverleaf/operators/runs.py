@@ -7,18 +7,18 @@ an image, ``by`` names the columns that tell them apart.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 ROW = ["image_id", "y"]
 
 
-def _sweep(ends: DataFrame, keys: list[str], set_: Column) -> DataFrame:
-    """Maximal runs of the places where ``set_`` (of the depths a and b) holds; ``ends`` has keys, x and the steps da, db of both depths."""
+def _sweep(ends: DataFrame, keys: list[str], set_: str) -> DataFrame:
+    """Maximal runs of the places where the condition ``set_`` on the depths a and b holds; ``ends`` has keys, x and the steps da, db of both depths."""
     steps = ends.groupBy(*keys, "x").agg(F.sum("da").alias("da"), F.sum("db").alias("db"))
     along = Window.partitionBy(*keys).orderBy("x")
     upto = along.rowsBetween(Window.unboundedPreceding, 0)
-    state = steps.select(*keys, "x", F.sum("da").over(upto).alias("a"), F.sum("db").over(upto).alias("b")).select(*keys, "x", set_.alias("on"))
+    state = steps.select(*keys, "x", F.sum("da").over(upto).alias("a"), F.sum("db").over(upto).alias("b")).select(*keys, "x", F.expr(set_).alias("on"))
     edge = state.withColumn("was", F.coalesce(F.lag("on").over(along), F.lit(False))).filter("on <> was")  # from here on and off take turns
     runs = edge.withColumn("x1", F.lead("x").over(along)).filter("on")
     return runs.select(*keys, F.col("x").alias("x0"), "x1")
@@ -30,33 +30,30 @@ def _ends(runs: DataFrame, keys: list[str], a: int, b: int) -> DataFrame:
     return end("x0", 1).unionByName(end("x1", -1))
 
 
-def _both(a: DataFrame, b: DataFrame, keys: list[str], set_: Column) -> DataFrame:
+def _both(a: DataFrame, b: DataFrame, keys: list[str], set_: str) -> DataFrame:
     return _sweep(_ends(a, keys, 1, 0).unionByName(_ends(b, keys, 0, 1)), keys, set_)
 
 
-A, B = F.col("a") > 0, F.col("b") > 0
-
-
 def normalize_runs(runs: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Maximal runs of each mask."""
     keys = [*(by or []), *ROW]
-    return _sweep(_ends(runs, keys, 1, 0), keys, A)
+    return _sweep(_ends(runs, keys, 1, 0), keys, "a > 0")
 
 
 def runs_and(a: DataFrame, b: DataFrame, by: list[str] | None = None) -> DataFrame:
-    return _both(a, b, [*(by or []), *ROW], A & B)
+    return _both(a, b, [*(by or []), *ROW], "a > 0 AND b > 0")
 
 
 def runs_or(a: DataFrame, b: DataFrame, by: list[str] | None = None) -> DataFrame:
-    return _both(a, b, [*(by or []), *ROW], A | B)
+    return _both(a, b, [*(by or []), *ROW], "a > 0 OR b > 0")
 
 
 def runs_minus(a: DataFrame, b: DataFrame, by: list[str] | None = None) -> DataFrame:
-    return _both(a, b, [*(by or []), *ROW], A & ~B)
+    return _both(a, b, [*(by or []), *ROW], "a > 0 AND b <= 0")
 
 
 def runs_xor(a: DataFrame, b: DataFrame, by: list[str] | None = None) -> DataFrame:
-    return _both(a, b, [*(by or []), *ROW], A != B)
+    return _both(a, b, [*(by or []), *ROW], "(a > 0) <> (b > 0)")
 
 
 def runs_not(a: DataFrame, images: DataFrame) -> DataFrame:

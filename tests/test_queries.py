@@ -49,18 +49,55 @@ def test_hull_holds_all_points(spark):
             assert min(cross) > -1e-6 or max(cross) < 1e-6
 
 
-def test_streams_match_batch(spark, tmp_path):
+ANSWERS = {"null": '{"Date":null}', "none": "no object", "leap": '{"Date":{"bbox":[1,2,3,4],"text":"02.29"}}', "full": '{"Date":{"bbox":[1,2,3,4],"text":"2024.01.05"}}'}
+#: (file, time of change, image, answer); c comes twice in one file
+ARRIVALS = [("1", 100, [("a", "null")]), ("2", 200, [("a", "leap"), ("b", "none")]), ("3", 300, [("b", "full"), ("c", "none"), (None, "null")]), ("4", 250, [("a", "none"), ("c", "full")]), ("5", 400, [("a", "none")]), ("0", 50, [("d", "full"), ("a", "full")])]
+LAST = {"a": "no object", "b": None, "c": "no object", "d": None}
+SCHEMA = "image_id string, raw_text string, width int, height int"
+
+
+def _deliver(folder, files):
     import json
+    import os
+
+    for name, at, rows in files:
+        path = folder / f"{name}.json"
+        path.write_text("\n".join(json.dumps({"image_id": i, "raw_text": ANSWERS[a], "width": 800, "height": 1272}) for i, a in rows))
+        os.utime(path, (at + 1_700_000_000, at + 1_700_000_000))
+
 
-    from silverleaf.streaming.streams import hopping_stats, stream_responses
+@pytest.mark.parametrize("order", [[0, 1, 2, 3, 4, 5], [4, 2, 5, 1, 3, 0]])
+def test_ingestion_upserts(spark, tmp_path, order):
+    """One row for each image whatever the order of files and batches, with a late old file at the end and a batch that runs again."""
+    from silverleaf.streaming import streams
 
-    src = tmp_path / "in"
+    src, out = tmp_path / "in", str(tmp_path / "out")
     src.mkdir()
-    for i, t in enumerate(['{"Date":null}', "no object", '{"Date":{"bbox":[1,2,3,4],"text":"02.29"}}']):
-        (src / f"{i}.json").write_text(json.dumps({"raw_text": t, "width": 800, "height": 1272}))
-    stream_responses(spark, str(src), str(tmp_path / "out"), str(tmp_path / "ck"), "raw_text string, width int, height int").awaitTermination()
-    got = sorted(r.outcome for r in spark.read.parquet(str(tmp_path / "out")).collect())
-    assert got == ["date", "failed", "null"]
+    assert streams.read_table(spark, out) is None
+    for step in (order[:2], order[2:3], order[3:]):
+        _deliver(src, [ARRIVALS[i] for i in step])
+        streams.stream_responses(spark, str(src), out, str(tmp_path / "ck"), SCHEMA, buckets=4, per_batch=2).awaitTermination()
+
+    def state():
+        return [sorted(map(repr, df.collect())) for df in streams.read_table(spark, out)]
+
+    audit, quarantine = streams.read_table(spark, out)
+    assert {r["image_id"]: r["reason"] for df in (audit, quarantine) for r in df.collect() if r["image_id"]} == LAST
+    assert audit.filter("image_id is not null").count() + quarantine.filter("image_id is not null").count() == 4
+    assert {r["image_id"]: r["date"] for r in audit.collect()} == {"b": "2024.01.05", "d": "2024.01.05", None: None}
+    before = state()
+    last = max(streams._versions(spark, out).values())
+    again = spark.createDataFrame([("a", ANSWERS["none"], 800, 1272)], SCHEMA).selectExpr("*", "timestamp_seconds(1700000400) AS order_time", "'5.json' AS order_file", "xxhash64(image_id, raw_text, width, height) AS order_hash")
+    streams.merge_batch(streams.validate_responses(again), out, last + 1, "image_id", 4)
+    streams.merge_batch(streams.validate_responses(again), out, last + 1, "image_id", 4)
+    assert state() == before
+    streams.drop_old(spark, out)
+    assert state() == before
+
+
+def test_streams_match_batch(spark, tmp_path):
+    from silverleaf.streaming.streams import hopping_stats
+
     events = spark.read.parquet(f"{DIR}/events.parquet").select("ts", "value")
     events.write.parquet(str(tmp_path / "ev"))
     q = hopping_stats(spark.readStream.schema(events.schema).parquet(str(tmp_path / "ev"))).writeStream.outputMode("update").format("memory").queryName("hops").trigger(availableNow=True).start()
