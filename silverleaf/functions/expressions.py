@@ -144,8 +144,8 @@ def canonical_query(url: Column) -> Column:
     return F.array_join(F.array_sort(F.transform(F.filter(F.split(query, "&"), lambda p: p != ""), part)), "&")
 
 
-#: White space at either end, as Unicode has it, and the separators U+001C to U+001F.
-EDGE_BLANKS = "(?U)^[\\s\\x1c-\\x1f]+|[\\s\\x1c-\\x1f]+$"
+#: White space at either end, as Unicode has it, and the separators U+001C to U+001F. A run inside a text is passed over once: nothing in it is a start.
+EDGE_BLANKS = "(?U)^[\\s\\x1c-\\x1f]++|(?<![\\s\\x1c-\\x1f])[\\s\\x1c-\\x1f]++\\z"
 
 
 def strip(c: Column) -> Column:
