@@ -161,7 +161,8 @@ def consensus_lines(points: DataFrame, keys: list[str], seed: int, trials: int =
     lines = pool.mapInArrow(solve, f"{named}, m array<double>, b array<double>")
     votes = blocks.select(*keys, "n", "x", "y").join(lines, keys).mapInArrow(vote, f"{named}, n long, trial int, votes long, m double, b double")
     total = votes.groupBy(*keys, "n", "trial", "m", "b").agg(F.sum("votes").alias("votes"))
-    return total.groupBy(*keys, "n").agg(F.max(F.struct("votes", (-F.col("trial")).alias("order"), "m", "b")).alias("v")).select(*keys, "n", (-F.col("v.order")).alias("trial"), "v.votes", "v.m", "v.b")
+    best = total.groupBy(*keys, "n").agg(F.max(F.struct("votes", (-F.col("trial")).alias("order"), "m", "b")).alias("v")).select(*keys, "n", (-F.col("v.order")).alias("trial"), "v.votes", "v.m", "v.b")
+    return written(best, "lines")  # a row for each group, read more than once
 
 
 def refit_lines(points: DataFrame, lines: DataFrame, keys: list[str], reach: float, least: int = 3) -> DataFrame:
