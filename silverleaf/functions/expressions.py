@@ -157,11 +157,16 @@ def clean_json(text: Column) -> Column:
     return F.regexp_replace(strip(text), "[\\x00-\\x1f]", " ")
 
 
+def between_braces(text: Column) -> Column:
+    """From the first '{' to the last '}'; null if one is missing."""
+    last = F.length(text) - F.instr(F.reverse(text), "}") + 1
+    inner = F.substring(text, F.instr(text, "{"), F.greatest(last - F.instr(text, "{") + 1, F.lit(0)))
+    return F.when((F.instr(text, "{") > 0) & (F.instr(text, "}") > 0), inner)
+
+
 def parse_object(clean: Column) -> Column:
     """The JSON object in a clean text: the text itself or, if it is no JSON, from its first '{' to its last '}'; null if there is none."""
-    last = F.length(clean) - F.instr(F.reverse(clean), "}") + 1
-    inner = F.substring(clean, F.instr(clean, "{"), F.greatest(last - F.instr(clean, "{") + 1, F.lit(0)))
-    return F.coalesce(F.try_parse_json(clean), F.try_parse_json(F.when((F.instr(clean, "{") > 0) & (F.instr(clean, "}") > 0), inner)))
+    return F.coalesce(F.try_parse_json(clean), F.try_parse_json(between_braces(clean)))
 
 
 def normalize_date(t: Column) -> Column:

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.expressions import clean_json, normalize_date, parse_object, scale_box, strip
+from ..functions.expressions import between_braces, clean_json, normalize_date, parse_object, round_half_even, scale_box, strip
 
 
 def _once(df: DataFrame, **columns) -> DataFrame:
@@ -17,7 +17,8 @@ def validate_responses(df: DataFrame) -> DataFrame:
     """Adds reason (null: valid), outcome, box (pixels) and date. First broken rule wins; a date that is none is kept as data.
 
     Contract: an object with keys among reasoning (string or null) and Date, Date null or {bbox: four numbers in order within
-    [0, 1000], text: a string that is not blank}. A repeated key makes the object unreadable: ``no object``.
+    [0, 1000], text: a string that is not blank}. What cannot be read is told apart: ``repeated key`` in an object, ``no json``
+    at all, and ``no object`` for JSON of another kind.
     """
     kind = lambda c: F.schema_of_variant(c)
     get = lambda c, path, what: F.try_variant_get(c, path, what)
@@ -31,7 +32,8 @@ def validate_responses(df: DataFrame) -> DataFrame:
     inside = (c[0] >= 0) & (c[0] < c[2]) & (c[2] <= 1000) & (c[1] >= 0) & (c[1] < c[3]) & (c[3] <= 1000)
     is_null = F.col("r_item_kind") == "VOID"
     holds = lambda x: F.coalesce(x, F.lit(False))
-    bad = (F.when(~holds(F.col("r_kind").startswith("OBJECT")), "no object")
+    twice = F.from_json(between_braces(F.col("r_clean")), "map<string,string>").isNotNull()
+    bad = (F.when(F.col("r_all").isNull(), F.when(holds(twice), "repeated key").otherwise("no json")).when(~holds(F.col("r_kind").startswith("OBJECT")), "no object")
         .when(F.size(F.array_except("r_keys", F.array(F.lit("reasoning"), F.lit("Date")))) > 0, "extra key")
         .when(~F.array_contains("r_keys", "Date"), "no date key")
         .when(~F.coalesce(F.col("r_why").isin("STRING", "VOID"), F.lit(True)), "reasoning type")
@@ -62,13 +64,15 @@ def plan_resume(inputs: DataFrame, outputs: DataFrame, audit: DataFrame, raw: Da
     return all_.select("image_id", F.when(F.col("o").isNull(), "todo").when(F.col("a"), "audited").when(F.col("r"), "recovered").otherwise("skipped_existing").alias("status"))
 
 
-def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
+def upsert(old: DataFrame, new: DataFrame, key: str, order: list[str] | None = None) -> DataFrame:
+    """``old`` with the rows of ``new`` in place of those with their key; of rows of ``new`` with one key the last by ``order``, if it is given, else all."""
+    new = latest(new, [key], order).select(*new.columns) if order else new
     return new.unionByName(old.join(new.select(key), key, "left_anti"))
 
 
 def latest(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The last well-formed record per key."""
-    rest = [c for c in df.columns if c not in keys]
+    rest = [c for c in df.columns if c not in keys]  # the columns of ``order`` among them
     return df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("r")).select(*keys, "r.*")
 
 
@@ -77,6 +81,35 @@ def build_reports(items: DataFrame) -> DataFrame:
     return items.groupBy("image_id").agg(F.sort_array(F.collect_list(F.struct("idx", "name", "error"))).alias("outputs")).select("image_id", "outputs", F.size("outputs").alias("item_count"), F.size(F.filter("outputs", lambda o: o["error"].isNotNull())).alias("error_count"))
 
 
+def report_settings(white_balance: bool, denoise: bool, sharpen: str, strength: tuple[float, float] = (3.5, 6.0)) -> Column:
+    """The settings that head each report, as a struct; what is switched off is null."""
+    on = lambda v: F.lit(v) if denoise else F.lit(None).cast("double" if isinstance(v, float) else "string")
+    steps = F.struct(F.lit(denoise).alias("enabled"), on("LAB per-channel fastNlMeansDenoising").alias("algorithm"), on(strength[0]).alias("l_h"), on(strength[1]).alias("ab_h"), on("after white_balance").alias("position"))
+    edges = F.struct(F.lit(sharpen).alias("mode"), F.lit("after denoise").alias("position"), (F.lit("LAB L-channel unsharp mask") if sharpen != "off" else F.lit(None).cast("string")).alias("algorithm"))
+    return F.struct(F.lit(white_balance).alias("white_balance"), steps.alias("denoise"), edges.alias("sharpen"))
+
+
+def report_json(items: DataFrame, settings: Column) -> DataFrame:
+    """(image_id, report): one JSON text for each image: input, settings, paper_count and its items in order of idx.
+
+    ``items`` has image_id, input, idx, output, vertices and area_vertices (arrays of x, y; rounded to one digit, halves to
+    even), used_area_fallback, white_balance (a struct or null) and error; an item with an error holds index and error only.
+    """
+    keep = {"ignoreNullFields": "false"}
+    corners = lambda c: F.transform(c, lambda p: F.array(round_half_even(p["x"], 1), round_half_even(p["y"], 1)))
+    good = F.to_json(F.struct(F.col("idx").alias("index"), "output", corners("vertices").alias("vertices"), corners("area_vertices").alias("area_vertices"), "used_area_fallback", "white_balance"), keep)
+    text = F.when(F.col("error").isNull(), good).otherwise(F.to_json(F.struct(F.col("idx").alias("index"), "error"), keep))
+    told = items.withColumn("text", text).groupBy("image_id").agg(F.min("input").alias("input"), F.sort_array(F.collect_list(F.struct("idx", "text"))).alias("t"))
+    head, body = F.to_json(F.struct("input"), keep), F.to_json(settings, keep)
+    open_ = lambda c: F.substring(c, F.lit(2), F.length(c) - 2)
+    return told.select("image_id", F.concat(F.lit("{"), open_(head), F.lit(","), open_(body), F.lit(',"paper_count":'), F.size("t").cast("string"), F.lit(',"outputs":['), F.array_join("t.text", ","), F.lit("]}")).alias("report"))
+
+
+def write_reports(reports: DataFrame, path: str) -> None:
+    """Reports as JSON lines."""
+    reports.select("report").write.mode("overwrite").text(path)
+
+
 def run_summary(reports: DataFrame) -> DataFrame:
     return reports.agg(F.count(F.lit(1)).alias("image_count"), F.sum("item_count").alias("item_count"), F.sum("error_count").alias("error_count"))
 

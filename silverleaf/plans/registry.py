@@ -83,6 +83,23 @@ def build_reports(spark, d):
     return _reports(spark, d).select("image_id", F.array_join("outputs.name", ",").alias("names"), "item_count", "error_count")
 
 
+ROUNDED = ", ".join(f"[round_even(x{i}, 1), round_even(y{i}, 1)]" for i in range(4))
+SHRUNK = ", ".join(f"x{i} + ((x0 + x1 + x2 + x3) / 4 - x{i}) * 0.03e0 x{i}, y{i} + ((y0 + y1 + y2 + y3) / 4 - y{i}) * 0.03e0 y{i}" for i in range(4))
+
+
+@query("report_json", f"""WITH {V.QUADS}, s AS (SELECT quad_id, {SHRUNK} FROM quads), i AS (SELECT quad_id // 10 image_id, quad_id % 10 idx, CASE WHEN quad_id % 7 = 0 THEN '{{"index":' || (quad_id % 10) || ',"error":"no mask"}}'
+ ELSE '{{"index":' || (quad_id % 10) || ',"output":"out/' || (quad_id // 10) || '_p0' || (quad_id % 10) || '.png","vertices":' || replace(CAST([{ROUNDED}] AS VARCHAR), ' ', '') || ',"area_vertices":' || CASE WHEN quad_id % 3 = 0 THEN 'null' ELSE replace(CAST([{ROUNDED}] AS VARCHAR), ' ', '') END
+ || ',"used_area_fallback":' || CASE WHEN quad_id % 3 = 0 THEN 'null' ELSE CAST(quad_id % 10 = 0 AS VARCHAR) END || ',"white_balance":' || CASE WHEN quad_id % 3 = 0 THEN 'null' ELSE '{{"white_blocks":' || quad_id || '}}' END || '}}' END t FROM s)
+ SELECT image_id, '{{"input":"scan ' || image_id || '.png","white_balance":true,"denoise":{{"enabled":true,"algorithm":"LAB per-channel fastNlMeansDenoising","l_h":3.5,"ab_h":6.0,"position":"after white_balance"}},"sharpen":{{"mode":"off","position":"after denoise","algorithm":null}},"paper_count":' || count(*) || ',"outputs":[' || string_agg(t, ',' ORDER BY idx) || ']}}' report FROM i GROUP BY image_id""")
+def report_json(spark, d):
+    image, idx = F.floor(F.col("quad_id") / 10), (F.col("quad_id") % 10).cast("int")
+    some = lambda c: F.when(F.col("quad_id") % 3 != 0, c)
+    v = X.shrink_quad(F.col("v"), 0.03)
+    items = V.quads(spark, d).select(image.alias("image_id"), F.concat(F.lit("scan "), image.cast("string"), F.lit(".png")).alias("input"), idx.alias("idx"), F.format_string("out/%d_p%02d.png", image, idx).alias("output"), v.alias("vertices"), some(v).alias("area_vertices"),
+        some(F.col("quad_id") % 10 == 0).alias("used_area_fallback"), some(F.struct(F.col("quad_id").alias("white_blocks"))).alias("white_balance"), F.when(F.col("quad_id") % 7 == 0, "no mask").alias("error"))
+    return responses.report_json(items, responses.report_settings(True, True, "off"))
+
+
 @query("run_summary", REPORT + " SELECT count(*) image_count, CAST(sum(item_count) AS BIGINT) item_count, CAST(sum(error_count) AS BIGINT) error_count FROM r")
 def run_summary(spark, d):
     return responses.run_summary(_reports(spark, d))

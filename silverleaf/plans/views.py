@@ -141,12 +141,12 @@ def responses(spark, sf_dir) -> DataFrame:
     m = F.col("o_orderkey") % 15
     raw = (F.when(m == 0, '{"reasoning":"none","Date":null}').when(m == 1, F.concat(F.lit("note: "), box(F.concat(F.lit("10,20,"), x, F.lit(",60")), text), F.lit(" end"))).when(m == 2, "   ").when(m == 3, "no object here").when(m == 4, "[1,2]")
         .when(m == 5, box(F.lit("10,20,5,60"), F.lit("01.02"))).when(m == 6, box(F.lit("10,20,true,60"), F.lit("01.02"))).when(m == 7, '{"Date":null,"extra":1}').when(m == 8, box(F.lit("10,20,30"), F.lit("01.02")))
-        .when(m == 11, box(F.lit("[10],20,30,60"), F.lit("01.02"))).when(m == 12, '{"reasoning":5,"Date":null}').when(m == 13, '{"Date":{"bbox":[10,20,30,60],"text":5}}')
+        .when(m == 10, '{"Date":null,"Date":null}').when(m == 11, box(F.lit("[10],20,30,60"), F.lit("01.02"))).when(m == 12, '{"reasoning":5,"Date":null}').when(m == 13, '{"Date":{"bbox":[10,20,30,60],"text":5}}')
         .when(m == 14, box(F.concat(F.lit("10.5,20,"), x, F.lit(",1000")), F.concat(F.lit("\\t"), text, F.lit("\\n\\u00a0"))))
         .otherwise(box(F.concat(F.lit("10.5,20,"), x, F.lit(",1000")), F.concat(F.lit(" "), text, F.lit(" ")))))
     return o.select("o_orderkey", raw.alias("raw_text"), F.lit(800).alias("width"), F.lit(1272).alias("height"))
 
 
-RESPONSES = """resp AS (SELECT o_orderkey, m, x, CASE m WHEN 2 THEN 'no object' WHEN 3 THEN 'no object' WHEN 4 THEN 'no object' WHEN 5 THEN 'box range' WHEN 6 THEN 'box type' WHEN 7 THEN 'extra key' WHEN 8 THEN 'box length' WHEN 11 THEN 'box type' WHEN 12 THEN 'reasoning type' WHEN 13 THEN 'blank text' END reason,
+RESPONSES = """resp AS (SELECT o_orderkey, m, x, CASE m WHEN 2 THEN 'no json' WHEN 3 THEN 'no json' WHEN 4 THEN 'no object' WHEN 5 THEN 'box range' WHEN 6 THEN 'box type' WHEN 7 THEN 'extra key' WHEN 8 THEN 'box length' WHEN 10 THEN 'repeated key' WHEN 11 THEN 'box type' WHEN 12 THEN 'reasoning type' WHEN 13 THEN 'blank text' END reason,
  CASE k WHEN 0 THEN strftime(o_orderdate, '%Y.%m.%d') WHEN 1 THEN strftime(o_orderdate, '%m.%d') END date
  FROM (SELECT *, o_orderkey % 15 m, o_orderkey % 4 k, 100 + o_custkey % 800 x FROM orders))"""

@@ -94,9 +94,10 @@ def scan_responses(spark: SparkSession, path: str) -> DataFrame:
 
 
 def scan_audit(spark: SparkSession, path: str, schema: str, key: str = "image_id") -> DataFrame:
-    """Records of audit lists (JSON arrays): those that are objects with a key; of each key the last of its list."""
-    lists = spark.read.text(path, wholetext=True).select(F.posexplode(F.try_variant_get(F.try_parse_json("value"), "$", "array<variant>")).alias("pos", "r"))
-    records = lists.filter(F.schema_of_variant("r").startswith("OBJECT")).select("pos", F.try_variant_get("r", "$", f"struct<{schema}>").alias("r"))
+    """Records of audit lists (JSON arrays): those that are objects with a key; of each key the last of its list; among files the one that was changed last, then by name."""
+    file = F.struct("_metadata.file_modification_time", "_metadata.file_name")
+    lists = spark.read.text(path, wholetext=True).select(file.alias("file"), F.posexplode(F.try_variant_get(F.try_parse_json("value"), "$", "array<variant>")).alias("pos", "r"))
+    records = lists.filter(F.schema_of_variant("r").startswith("OBJECT")).select(F.struct("file", "pos").alias("pos"), F.try_variant_get("r", "$", f"struct<{schema}>").alias("r"))
     records = records.filter(F.col(f"r.{key}").isNotNull())
     return records.groupBy(F.col(f"r.{key}").alias("k")).agg(F.max_by("r", "pos").alias("r")).select("r.*")
 

@@ -52,7 +52,7 @@ def test_hull_holds_all_points(spark):
 ANSWERS = {"null": '{"Date":null}', "none": "no object", "leap": '{"Date":{"bbox":[1,2,3,4],"text":"02.29"}}', "full": '{"Date":{"bbox":[1,2,3,4],"text":"2024.01.05"}}'}
 #: (file, time of change, image, answer); c comes twice in one file
 ARRIVALS = [("1", 100, [("a", "null")]), ("2", 200, [("a", "leap"), ("b", "none")]), ("3", 300, [("b", "full"), ("c", "none"), (None, "null")]), ("4", 250, [("a", "none"), ("c", "full")]), ("5", 400, [("a", "none")]), ("0", 50, [("d", "full"), ("a", "full")])]
-LAST = {"a": "no object", "b": None, "c": "no object", "d": None}
+LAST = {"a": "no json", "b": None, "c": "no json", "d": None}
 SCHEMA = "image_id string, raw_text string, width int, height int"
 
 
@@ -134,11 +134,11 @@ def test_response_contract(spark):
         (box % ("[1],2,3,4", '"02.29"'), "box type"), (box % ('1,2,{"a":1},4', '"02.29"'), "box type"), (box % ("1,2,null,4", '"a"'), "box type"), (box % ("1,2,true,4", '"a"'), "box type"),
         (box % ("1,2,3", '"a"'), "box length"), ('{"Date":{"bbox":7,"text":"a"}}', "box length"), (box % ("5,2,3,4", '"a"'), "box range"), (box % ("1,2,3,4", "5"), "blank text"), (box % ("1,2,3,4", '" \\n"'), "blank text"),
         ('{"reasoning":5,"Date":null}', "reasoning type"), ('{"a":1,"Date":null}', "extra key"), ('{"reasoning":"x"}', "no date key"), ('{"Date":5}', "date keys"), (box % ("1,2,3,4", '"12.31","more":1'), "date keys"),
-        ("[1]", "no object"), ("", "no object"), (None, "no object"), ('{"Date":null,"Date":null}', "no object"), ('{"Date":null}', None), (box % ("1,2,3,4", '"\\t02.29\\u00a0"'), None), ("x " + box % ("1.5,2,3,4", '"2021.02.30"') + " y", None)]
+        ("[1]", "no object"), ("", "no json"), (None, "no json"), ('{"Date":null,"Date":null}', "repeated key"), ('a {"Date":{"bbox":[],"bbox":[],"text":"x"}} b', "repeated key"), ("{]", "no json"), ('{"Date":null}', None), (box % ("1,2,3,4", '"\\t02.29\\u00a0"'), None), ("x " + box % ("1.5,2,3,4", '"2021.02.30"') + " y", None)]
     df = spark.createDataFrame([(i, t, 800, 1272) for i, (t, _) in enumerate(cases)], "i int, raw_text string, width int, height int")
     got = {r.i: r for r in validate_responses(df).collect()}
     assert {i: got[i].reason for i in got} == {i: why for i, (_, why) in enumerate(cases)}
-    assert [got[i].outcome for i in (18, 19, 20)] == ["null", "date", "unreadable"] and got[19].date == "02.29" and got[19].box == [0, 2, 3, 6]
+    assert [got[i].outcome for i in (20, 21, 22)] == ["null", "date", "unreadable"] and got[21].date == "02.29" and got[21].box == [0, 2, 3, 6]
     ids = spark.createDataFrame([(1,), (2,)], "image_id long")
     audit = spark.createDataFrame([(1, "x"), (2, None)], "image_id long, raw_result string")
     assert {r.image_id: r.status for r in plan_resume(ids, ids, audit, ids).collect()} == {1: "audited", 2: "recovered"}
@@ -233,3 +233,36 @@ def test_prefix_pairs_and_rounds_match_brute_force(spark):
     sizes = masks.mask_area(df, ["image_id", "mask_id"])
     assert masks.overlap_candidates(df.distinct(), sizes, 0.85).count() < 0.5 * 50 * 49 / 2 + 2 * len(want) + 50 * 49 / 2
     assert masks.suppress(df.limit(0), 0.85).count() == 0
+
+
+def test_reports_round_halves_to_even_and_keep_errors(spark, tmp_path):
+    import json
+
+    from silverleaf.operators import responses
+
+    corner = "array<struct<x:double,y:double>>"
+    rows = [(1, "a.png", 2, "o2", [(0.25, 0.75)], None, None, None, None), (1, "a.png", 1, None, None, None, None, None, "no \"mask\""), (2, "b.png", 1, "o1", [(1.0, 2.04)], [(0.35, -0.25)], False, (3, [0.5]), None)]
+    items = spark.createDataFrame(rows, f"image_id long, input string, idx int, output string, vertices {corner}, area_vertices {corner}, used_area_fallback boolean, white_balance struct<white_blocks:int,gains_rgb:array<double>>, error string")
+    out = responses.report_json(items, responses.report_settings(False, False, "light"))
+    responses.write_reports(out, str(tmp_path / "r"))
+    got = {r["input"]: r for r in map(json.loads, (r.value for r in spark.read.text(str(tmp_path / "r")).collect()))}
+    assert got["a.png"]["outputs"] == [{"index": 1, "error": 'no "mask"'}, {"index": 2, "output": "o2", "vertices": [[0.2, 0.8]], "area_vertices": None, "used_area_fallback": None, "white_balance": None}]
+    assert got["b.png"]["outputs"][0]["area_vertices"] == [[0.4, -0.2]] and got["b.png"]["outputs"][0]["white_balance"] == {"white_blocks": 3, "gains_rgb": [0.5]}
+    assert got["a.png"]["paper_count"] == 2 and got["a.png"]["denoise"] == {"enabled": False, "algorithm": None, "l_h": None, "ab_h": None, "position": None} and got["a.png"]["sharpen"]["mode"] == "light"
+    assert responses.report_json(items.limit(0), responses.report_settings(True, True, "off")).count() == 0
+
+
+def test_last_record_wins(spark, tmp_path):
+    import os
+
+    from silverleaf.operators import responses
+    from silverleaf.sources import files
+
+    for name, at, text in (("b.json", 100, '[{"image_id":"x","n":1},{"image_id":"x","n":2},5,{"n":9}]'), ("a.json", 200, '[{"image_id":"x","n":3}]'), ("c.json", 50, '[{"image_id":"x","n":4},{"image_id":"y","n":5}]')):
+        (tmp_path / name).write_text(text)
+        os.utime(tmp_path / name, (at, at))
+    assert sorted((r["image_id"], r["n"]) for r in files.scan_audit(spark, str(tmp_path), "image_id string, n int").collect()) == [("x", 3), ("y", 5)]
+    old = spark.createDataFrame([(1, 0, "old"), (2, 0, "old")], "k int, at int, v string")
+    new = spark.createDataFrame([(1, 2, "b"), (1, 1, "a"), (3, 1, "c")], "k int, at int, v string")
+    assert sorted((r["k"], r["v"]) for r in responses.upsert(old, new, "k", ["at"]).collect()) == [(1, "b"), (2, "old"), (3, "c")]
+    assert responses.upsert(old, new, "k").count() == 4
