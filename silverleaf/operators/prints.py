@@ -79,3 +79,18 @@ def image_area(masks: DataFrame, images: DataFrame, template: list[tuple[float,
     cells = masks.withColumn("cell", F.struct("y", "x"))
     own = masks.join(largest_mask(cells.select("image_id", "mask_id", "cell")).select("image_id", "mask_id"), ["image_id", "mask_id"])
     return with_fallback(mask_to_quad(own.select("image_id", "y", "x"), **options), images, template, limit)
+
+
+def points_in_quads(points: DataFrame, quads: DataFrame, cell: float = 64.0) -> DataFrame:
+    """The columns of ``points`` (group_id, x, y, ...) with quad_id, once for each convex quad (group_id, quad_id, v) of their group that holds them, edges included.
+
+    A quad goes to every square of a grid of ``cell`` that its bounding box meets, a point to one, so points meet only
+    the quads near them; choose ``cell`` about as large as the quads. Points and quads with null coordinates meet none.
+    """
+    square = lambda c: F.floor(c / cell).cast("long")
+    side = lambda fn, z: fn(*[F.col("v")[i][z] for i in range(4)])
+    span = lambda z: F.sequence(square(side(F.least, z)), square(side(F.greatest, z)))
+    whole = F.forall("v", lambda p: p["x"].isNotNull() & p["y"].isNotNull()) & (F.size("v") == 4)
+    near = quads.filter(whole).select("group_id", "quad_id", "v", F.explode(span("x")).alias("gx")).select("*", F.explode(span("y")).alias("gy"))
+    own = points.filter("x is not null and y is not null").withColumns({"gx": square(F.col("x")), "gy": square(F.col("y"))})
+    return own.join(near, ["group_id", "gx", "gy"]).filter(X.inside_quad(F.col("x"), F.col("y"), F.col("v"))).select(*points.columns, "quad_id")

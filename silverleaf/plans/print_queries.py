@@ -361,3 +361,9 @@ def run_area(spark, d):
 @query("run_iou", f"WITH {SHARED}, k AS (SELECT p.image_id, p.mask_id a, q.mask_id b, count(*) k FROM m p JOIN m q USING (image_id, y, x) WHERE p.mask_id < q.mask_id GROUP BY ALL), i AS (SELECT k.image_id, a, b, k / (p.n + q.n - k)::DOUBLE iou FROM k JOIN n p ON p.image_id = k.image_id AND p.mask_id = a JOIN n q ON q.image_id = k.image_id AND q.mask_id = b) SELECT image_id, a, b, round(iou, 4) iou FROM i WHERE iou > 0.5")
 def run_iou(spark, d):
     return runs.run_iou(_mask_runs(spark, d), 0.5).withColumn("iou", r4("iou"))
+
+
+@query("points_in_quads", f"WITH {V.CONTOUR}, {V.PATCHES} SELECT p.group_id, quad_id, count(*) n, CAST(sum(pid) AS BIGINT) pids FROM contour p JOIN patches q ON p.group_id = q.group_id WHERE least({', '.join(R.CROSS_Q)}) >= 0 OR greatest({', '.join(R.CROSS_Q)}) <= 0 GROUP BY ALL")
+def points_in_quads(spark, d):
+    hit = prints.points_in_quads(V.contour(spark, d).select("group_id", "pid", "x", "y"), V.patches(spark, d), 100.0)
+    return hit.groupBy("group_id", "quad_id").agg(F.count(F.lit(1)).alias("n"), F.sum("pid").alias("pids"))

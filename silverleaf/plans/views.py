@@ -93,6 +93,16 @@ def quads(spark, sf_dir) -> DataFrame:
 QUADS = "quads AS (SELECT c_custkey quad_id, " + ", ".join(f"{x}e0 + (c_custkey * {7 + 2 * i}) % 41 - 20" + (" + CASE WHEN c_custkey % 10 = 0 THEN 400.0e0 ELSE 0.0e0 END" if i == 0 else "") + f" x{i}, {y}e0 + (c_custkey * {8 + 3 * i}) % 41 - 20 y{i}" for i, (x, y) in enumerate(TEMPLATE)) + " FROM customer)"
 
 
+def patches(spark, sf_dir) -> DataFrame:
+    """group_id, quad_id, v: a tenth of each quad, scattered over its image; ten images, so each has many that overlap."""
+    q = quads(spark, sf_dir)
+    move = lambda p: F.struct((p["x"] * 0.1 + (F.col("quad_id") * 37) % 700).alias("x"), (p["y"] * 0.1 + (F.col("quad_id") * 53) % 950).alias("y"))
+    return q.select((F.col("quad_id") % 10).alias("group_id"), "quad_id", F.transform("v", move).alias("v"))
+
+
+PATCHES = QUADS + ", patches AS (SELECT quad_id % 10 group_id, quad_id, " + ", ".join(f"x{i} * 0.1e0 + (quad_id * 37) % 700 x{i}, y{i} * 0.1e0 + (quad_id * 53) % 950 y{i}" for i in range(4)) + " FROM quads)"
+
+
 #: The template and its limits on the small grid of ``prints``.
 SMALL = [(x / 20, y / 20) for x, y in TEMPLATE]
 _PRINT = {
