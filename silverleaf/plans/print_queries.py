@@ -224,7 +224,21 @@ def farthest_pair(spark, d):
     return fitting.farthest_pair(V.contour(spark, d)).withColumn("d2", F.round("d2", 3))
 
 
-@query("min_area_rect")
+# hull by a stack of points in order, once in each direction; one step of the recursion pushes or pops
+HULL = f"""WITH RECURSIVE {V.CONTOUR}, srt AS (SELECT group_id, list({{'x': x, 'y': y}} ORDER BY x, y) p FROM (SELECT DISTINCT group_id, x, y FROM contour) GROUP BY 1),
+ dir AS (SELECT group_id, 0 h, p FROM srt UNION ALL SELECT group_id, 1, list_reverse(p) FROM srt), step AS (SELECT group_id, h, 1 i, []::STRUCT(x DOUBLE, y DOUBLE)[] s FROM dir
+ UNION ALL SELECT group_id, h, CASE WHEN pop THEN i ELSE i + 1 END, CASE WHEN pop THEN s[1:len(s) - 1] ELSE list_append(s, q) END FROM (SELECT step.*, p[i] q, len(s) > 1 AND (s[-1].x - s[-2].x) * (p[i].y - s[-2].y) - (s[-1].y - s[-2].y) * (p[i].x - s[-2].x) <= 0 pop FROM step JOIN dir USING (group_id, h) WHERE i <= len(p))),
+ half AS (SELECT group_id, h, s[1:len(s) - 1] s FROM step JOIN dir USING (group_id, h) WHERE i = len(p) + 1 QUALIFY row_number() OVER (PARTITION BY group_id, h ORDER BY len(s)) = 1),
+ hull AS (SELECT group_id, list_concat(a.s, b.s) v FROM half a JOIN half b USING (group_id) WHERE a.h = 0 AND b.h = 1)"""
+RECT = """, edge AS (SELECT group_id, v, i, v[i] a, v[i % len(v) + 1] b FROM (SELECT group_id, v, unnest(range(1, len(v) + 1)) i FROM hull)),
+ unit AS (SELECT *, (b.x - a.x) / sqrt((b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y)) ux, (b.y - a.y) / sqrt((b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y)) uy FROM edge),
+ ext AS (SELECT group_id, i, ux, uy, list_transform(v, lambda p: p.x * ux + p.y * uy) s, list_transform(v, lambda p: p.y * ux - p.x * uy) t FROM unit),
+ box AS (SELECT *, list_min(s) s0, list_max(s) s1, list_min(t) t0, list_max(t) t1, (list_max(s) - list_min(s)) * (list_max(t) - list_min(t)) area FROM ext QUALIFY row_number() OVER (PARTITION BY group_id ORDER BY area, i) = 1),
+ c AS (SELECT group_id, area, unnest([{'x': s0 * ux - t0 * uy, 'y': s0 * uy + t0 * ux}, {'x': s1 * ux - t0 * uy, 'y': s1 * uy + t0 * ux}, {'x': s1 * ux - t1 * uy, 'y': s1 * uy + t1 * ux}, {'x': s0 * ux - t1 * uy, 'y': s0 * uy + t1 * ux}]) p FROM box),
+ m AS (SELECT *, avg(p.x) OVER w cx, avg(p.y) OVER w cy FROM c WINDOW w AS (PARTITION BY group_id)), z AS (SELECT group_id, any_value(area) area, list(p ORDER BY atan2(p.y - cy, p.x - cx)) v FROM m GROUP BY 1)"""
+
+
+@query("min_area_rect", HULL + RECT + f" SELECT group_id, round(area, 3) area, {', '.join(f'round(v[{i + 1}].{c}, 3) + 0 {c}{i}' for i in range(4) for c in 'xy')} FROM z")
 def min_area_rect(spark, d):
     r = fitting.min_area_rect(V.contour(spark, d))
     return r.select("group_id", F.round("area", 3).alias("area"), *[F.round(F.col("v")[i][c], 3).alias(f"{c}{i}") for i in range(4) for c in "xy"])
@@ -367,3 +381,8 @@ def run_iou(spark, d):
 def points_in_quads(spark, d):
     hit = prints.points_in_quads(V.contour(spark, d).select("group_id", "pid", "x", "y"), V.patches(spark, d), 100.0)
     return hit.groupBy("group_id", "quad_id").agg(F.count(F.lit(1)).alias("n"), F.sum("pid").alias("pids"))
+
+
+@query("convex_hull", HULL + " SELECT group_id, p.x, p.y FROM (SELECT group_id, unnest(v) p FROM hull)")
+def convex_hull(spark, d):
+    return fitting.convex_hull(V.contour(spark, d))

@@ -411,11 +411,6 @@ def quad_fit(spark, d):
     return out.select("group_id", *[F.round(F.col(f"{n}.{z}"), 3).alias(f"{n}{z}") for n in ("tl", "tr", "br", "bl") for z in "xy"])
 
 
-@query("convex_hull")
-def convex_hull(spark, d):
-    return fitting.convex_hull(V.contour(spark, d))
-
-
 SIDE = lambda a, b: f"sqrt((x{a} - x{b}) * (x{a} - x{b}) + (y{a} - y{b}) * (y{a} - y{b}))"
 
 
