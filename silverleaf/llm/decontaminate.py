@@ -30,7 +30,7 @@ SLICE = 10_000
 
 
 def benchmark_windows(benchmark: DataFrame, width: int) -> DataFrame:
-    """(n, hash, words, item): the windows of all items, each once for an item."""
+    """(n, hash, words, item): the windows of all items."""
 
     def windows(batches):
         for b in batches:
@@ -43,15 +43,15 @@ def benchmark_windows(benchmark: DataFrame, width: int) -> DataFrame:
                     yield pa.RecordBatch.from_pydict({"n": [n] * len(own), "hash": h[s : s + SLICE].view(np.int64), "words": [_words(w, f, n) for f in own], "item": [item] * len(own)}, schema=schema)
 
     schema = pa.schema([("n", pa.int32()), ("hash", pa.int64()), ("words", pa.binary()), ("item", pa.string())])
-    return benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").mapInArrow(windows, "n int, hash long, words binary, item string").distinct()
+    return benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").mapInArrow(windows, "n int, hash long, words binary, item string")
 
 
 def hash_set(windows: DataFrame) -> dict:
-    """{n: (sorted hashes, {hash: {words: [item]}})} of one block of windows, gathered on the driver; its size is bounded by the caller."""
-    block = defaultdict(lambda: defaultdict(lambda: defaultdict(list)))
+    """{n: (sorted hashes, {hash: {words: items}})} of one block of windows, gathered on the driver; its size is bounded by the caller."""
+    block = defaultdict(lambda: defaultdict(lambda: defaultdict(set)))
     for b in windows.toArrow().to_batches():
         for n, h, words, item in zip(*(b.column(c).to_pylist() for c in ("n", "hash", "words", "item"))):
-            block[n][h % 2**64][words].append("null" if item is None else item)
+            block[n][h % 2**64][words].add("null" if item is None else item)
     return {n: (np.array(sorted(h), np.uint64), {k: dict(v) for k, v in h.items()}) for n, h in block.items()}
 
 
@@ -94,21 +94,22 @@ def mark(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, block_windo
 
         return scan
 
-    windows = materialize(benchmark_windows(benchmark, width), "benchmark-windows")
+    windows = benchmark_windows(benchmark, width)
     parts = max(1, -(-windows.count() // block_windows))
+    if parts > 1:
+        windows = materialize(windows.distinct(), "benchmark-windows")
     for k in range(parts):
-        own = windows.filter(F.pmod(F.xxhash64("hash", "words", "item"), F.lit(parts)) == k)
+        own = windows.filter(F.pmod(F.xxhash64("hash", "words", "item"), F.lit(parts)) == k) if parts > 1 else windows
         table = docs.sparkSession.sparkContext.broadcast(hash_set(own))
         scanned = rows.mapInArrow(scanner(table), rows.schema)
-        if parts == 1:
-            rows = scanned
-        else:
+        if parts > 1:
             scanned = materialize(scanned, "decontaminate-scan")
             table.destroy()
             if k:
                 discard(rows)
-            rows = scanned
-    discard(windows)
+        rows = scanned
+    if parts > 1:
+        discard(windows)
     ones = F.aggregate(F.transform(F.sequence(F.lit(1), F.greatest(F.octet_length("_mask"), F.lit(1))), lambda i: F.bit_count(F.conv(F.hex(F.substring(F.col("_mask"), i, F.lit(1))), 16, 10).cast("int"))), F.lit(0), lambda a, x: a + F.coalesce(x, F.lit(0)))
     return rows.withColumn("n_hit", F.when(F.col("_mask").isNull(), 0).otherwise(ones).cast("long")).withColumn("items", F.array_sort("items")).withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).drop("_mask")
 

@@ -7,7 +7,7 @@ Adam on a bounded sample of labelled rows, those with the smallest hashes of the
 
 Defined cases: null or empty text -> all features zero but the bias, still scored; repeated rows are scored each;
 rows without a label do not train; without training rows every score is 0.5; an empty table gives no rows;
-other columns stay.
+other columns stay, but an input column ``quality`` is replaced by the score.
 """
 
 from __future__ import annotations
