@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import expressions as X
-from ..operators import fitting, ink, labelling, masks, prints, rasters, resample, runs, sweep
+from ..operators import fitting, ink, labelling, masks, prints, rasters, resample, runs, sweep, tiles
 from ..sources import files
 from ..sources.files import written
 from . import registry as R
@@ -386,3 +386,9 @@ def points_in_quads(spark, d):
 @query("convex_hull", HULL + " SELECT group_id, p.x, p.y FROM (SELECT group_id, unnest(v) p FROM hull)")
 def convex_hull(spark, d):
     return fitting.convex_hull(V.contour(spark, d))
+
+
+@query("blur_tiles", BLUR + " SELECT image_id, y, x, round(v, 3) blur FROM b")
+def blur_tiles(spark, d):
+    t = tiles.tile_pixels(V.raster(spark, d), ["v"], 32)
+    return tiles.tile_values(tiles.blur_tiles(t, 1.0, V.HEIGHT, V.WIDTH, 32), 32).select("image_id", "y", "x", F.round("value", 3).alias("blur"))

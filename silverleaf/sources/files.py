@@ -73,8 +73,8 @@ def output_names(df: DataFrame, index: Column) -> DataFrame:
     return df.withColumn("annotated", F.concat("stem", F.lit("_annotated"))).withColumn("item", F.concat("stem", F.format_string("_p%02d", index))).withColumn("report", F.concat("stem", F.lit("_report")))
 
 
-def scan_rasters(spark: SparkSession, path: str) -> DataFrame:
-    """Pixels (path, y, x, r, g, b) of the readable images."""
+def scan_rasters(spark: SparkSession, path: str, layout: str = "pixels", size: int = 64) -> DataFrame:
+    """The readable images as pixels (path, y, x, r, g, b), or with ``layout`` 'tiles' as tiles of bands r, g, b (see ``operators/tiles``; image_id is the path)."""
 
     def unpack(batches):
         for pdf in batches:
@@ -85,7 +85,19 @@ def scan_rasters(spark: SparkSession, path: str) -> DataFrame:
                 yield pd.DataFrame({"path": r.origin, "y": y.astype("int32"), "x": x.astype("int32"), "r": red, "g": g, "b": b})
 
     image = spark.read.format("image").option("dropInvalid", True).load(path).select("image.origin", "image.height", "image.width", "image.nChannels", "image.data")
-    return image.mapInPandas(unpack, "path string, y int, x int, r int, g int, b int")
+    if layout == "pixels":
+        return image.mapInPandas(unpack, "path string, y int, x int, r int, g int, b int")
+    from ..operators.tiles import TILE, cut
+
+    def pack(batches):
+        for pdf in batches:
+            for r in pdf.itertuples():
+                raw = np.frombuffer(bytes(r.data), np.uint8).reshape(r.height, r.width, r.nChannels)
+                for name, i in (("b", 0), ("g", 1), ("r", 2)):
+                    rows = [(r.origin, name, ty, tx, *a.shape, np.ascontiguousarray(a, "<f8").tobytes()) for ty, tx, a in cut(raw[..., min(i, r.nChannels - 1)], size)]
+                    yield pd.DataFrame(rows, columns=["image_id", "band", "ty", "tx", "h", "w", "data"])
+
+    return image.mapInPandas(pack, TILE.format(key="string"))
 
 
 def scan_responses(spark: SparkSession, path: str) -> DataFrame:

@@ -191,6 +191,13 @@ def test_rasters_from_files_and_back(spark, tmp_path):
     want = [("rgb.png", y, x, *p) for y, row in enumerate([[(1, 2, 3), (4, 5, 6)], [(7, 8, 9), (10, 11, 12)], [(255, 0, 128), (0, 0, 0)]]) for x, p in enumerate(row)]
     want += [("gray.png", 0, 0, 9, 9, 9), ("gray.png", 0, 1, 200, 200, 200), ("alpha.png", 0, 0, 1, 2, 3)]
     assert sorted(map(tuple, got.collect())) == sorted(want)
+    from silverleaf.operators import tiles
+
+    cut = files.scan_rasters(spark, str(folder), layout="tiles", size=1)
+    assert cut.count() == 3 * 9
+    files.write_rasters(cut.selectExpr("*", "'raw' AS stage"), str(tmp_path / "tiles"))
+    back = tiles.tile_values(spark.read.parquet(str(tmp_path / "tiles")), 1).groupBy("image_id", "y", "x").pivot("band", ["r", "g", "b"]).agg({"value": "first"})
+    assert sorted(map(tuple, back.selectExpr("substring_index(image_id, '/', -1)", "y", "x", "int(r)", "int(g)", "int(b)").collect())) == sorted(want)
     out = str(tmp_path / "out")
     files.write_rasters(got.withColumn("stage", got.name), out)
     assert sorted(map(tuple, spark.read.parquet(out).filter("stage = 'gray.png'").select("name", "y", "x", "r", "g", "b").collect())) == sorted(w for w in want if w[0] == "gray.png")
@@ -266,3 +273,24 @@ def test_last_record_wins(spark, tmp_path):
     new = spark.createDataFrame([(1, 2, "b"), (1, 1, "a"), (3, 1, "c")], "k int, at int, v string")
     assert sorted((r["k"], r["v"]) for r in responses.upsert(old, new, "k", ["at"]).collect()) == [(1, "b"), (2, "old"), (3, "c")]
     assert responses.upsert(old, new, "k").count() == 4
+
+
+@pytest.mark.parametrize("size", [3, 8, 64])
+def test_tiles_exchange_borders(spark, size):
+    """Halos wider than a tile, images that no tile size divides, several bands; blur and dilation equal those on pixels."""
+    import numpy as np
+
+    from silverleaf.operators import masks, rasters, tiles
+
+    rng, height, width = np.random.default_rng(7), 13, 19
+    a = rng.integers(0, 256, (2, height, width))
+    px = spark.createDataFrame([(i, y, x, int(a[i, y, x]), int(a[i, y, x] > 235)) for i in range(2) for y in range(height) for x in range(width)], "image_id long, y int, x int, v int, m int").repartition(4)
+    cut = tiles.tile_pixels(px, ["v", "m"], size)
+    back = {(r["image_id"], r["band"], r["y"], r["x"]): r["value"] for r in tiles.tile_values(cut, size).collect()}
+    assert len(back) == 4 * height * width and all(back[i, "v", y, x] == a[i, y, x] for i in range(2) for y in range(height) for x in range(width))
+    blurred = {(r["image_id"], r["y"], r["x"]): r["value"] for r in tiles.tile_values(tiles.blur_tiles(cut.filter("band = 'v'"), 1.3, height, width, size), size).collect()}
+    want = {(r["image_id"], r["y"], r["x"]): r["blur"] for r in rasters.blur(px, "v", 1.3, height, width).collect()}
+    assert blurred.keys() == want.keys() and all(abs(blurred[k] - want[k]) < 1e-9 for k in want)
+    wide = tiles.tile_values(tiles.dilate_tiles(cut.filter("band = 'm'"), masks.ellipse(2), height, width, size), size).filter("value = 1").select("image_id", "y", "x")
+    assert sorted(map(tuple, wide.collect())) == sorted(map(tuple, masks.dilate(px.filter("m = 1"), 2, height, width).collect()))
+    assert tiles.tile_pixels(px.limit(0), ["v"], size).count() == 0
