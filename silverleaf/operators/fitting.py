@@ -36,19 +36,23 @@ def _hull(points: list[tuple[float, float]]) -> list[tuple[float, float]]:
     return half(pts) + half(pts[::-1])
 
 
-def convex_hull(points: DataFrame) -> DataFrame:
-    """Hull corners (group_id, x, y) as a set: hulls of partitions first, then the hull of those."""
-    schema = "group_id long, x double, y double"
+def convex_hull(points: DataFrame, fan: int = 16) -> DataFrame:
+    """Hull corners (group_id, x, y) as a set: hulls of partitions first, then of ``fan`` shares of those, then of what is left, so that no task meets the hulls of all partitions."""
+    schema = "group_id long, x double, y double, share int"
 
     def part(batches):
+        from pyspark import TaskContext
+
+        share = TaskContext.get().partitionId() % fan
         for pdf in batches:
-            rows = [(g, *p) for g, own in pdf.groupby("group_id") for p in _hull(list(zip(own["x"], own["y"])))]
-            yield pd.DataFrame(rows, columns=["group_id", "x", "y"])
+            rows = [(g, *p, share) for g, own in pdf.groupby("group_id") for p in _hull(list(zip(own["x"], own["y"])))]
+            yield pd.DataFrame(rows, columns=["group_id", "x", "y", "share"])
 
     def whole(pdf):
-        return next(part([pdf]))
+        return pd.DataFrame([(pdf["group_id"].iloc[0], *p, 0) for p in _hull(list(zip(pdf["x"], pdf["y"])))], columns=["group_id", "x", "y", "share"])
 
-    return points.select("group_id", "x", "y").mapInPandas(part, schema).groupBy("group_id").applyInPandas(whole, schema)
+    shares = points.select("group_id", "x", "y").mapInPandas(part, schema).groupBy("group_id", "share").applyInPandas(whole, schema)
+    return shares.groupBy("group_id").applyInPandas(whole, schema).drop("share")
 
 
 def order_quad(points: DataFrame) -> DataFrame:
@@ -265,42 +269,76 @@ def extremes(points: DataFrame) -> DataFrame:
     return out.select("group_id", "p1", *[F.when(F.col("d2") < 1, F.col("p1")).otherwise(F.col(k)).alias(k) for k in ("p2", "p3", "p4")])
 
 
+def _antipodal(hull: list[tuple[float, float]]):
+    """Pairs of corners through which parallel lines can hold the hull between them, by one turn around it; the farthest pairs are among them."""
+    n = len(hull)
+    if n < 3:
+        yield from ((p, q) for p in hull for q in hull)
+        return
+    height = lambda i, k: (hull[(i + 1) % n][0] - hull[i][0]) * (hull[k % n][1] - hull[i][1]) - (hull[(i + 1) % n][1] - hull[i][1]) * (hull[k % n][0] - hull[i][0])
+    j = 1
+    for i in range(n):
+        j = max(j, i + 1)
+        while height(i, j + 1) > height(i, j):
+            j += 1
+        yield hull[i], hull[j % n]
+        yield hull[(i + 1) % n], hull[j % n]
+        if height(i, j + 1) == height(i, j):  # the edge at j is parallel
+            yield hull[i], hull[(j + 1) % n]
+            yield hull[(i + 1) % n], hull[(j + 1) % n]
+
+
+def _farthest(hull: list[tuple[float, float]]) -> tuple:
+    """(d2, p, q) with p before q; of equals the largest coordinates."""
+    near = ((min(p, q), max(p, q)) for p, q in _antipodal(hull))
+    return max(((q[0] - p[0]) * (q[0] - p[0]) + (q[1] - p[1]) * (q[1] - p[1]), p, q) for p, q in near)
+
+
+def _smallest_rect(hull: list[tuple[float, float]]) -> tuple[float, list[tuple[float, float]]]:
+    """(area, corners) of the smallest rectangle with a side along an edge: three corners of the hull follow the edge around it. Ties go to the first edge."""
+    n, best = len(hull), (math.inf, [hull[0]] * 4)
+    if n < 3:
+        return 0.0, [*hull, *hull, *hull][:4] if n == 2 else [hull[0]] * 4
+    right = top = left = 0
+    for i, a in enumerate(hull):
+        b = hull[(i + 1) % n]
+        size = math.hypot(b[0] - a[0], b[1] - a[1])
+        ux, uy = (b[0] - a[0]) / size, (b[1] - a[1]) / size
+        s = lambda k: hull[k % n][0] * ux + hull[k % n][1] * uy
+        t = lambda k: hull[k % n][1] * ux - hull[k % n][0] * uy
+        right = max(right, i + 1)
+        while s(right + 1) > s(right):
+            right += 1
+        top = max(top, right)
+        while t(top + 1) > t(top):
+            top += 1
+        left = max(left, top)
+        while s(left + 1) < s(left):
+            left += 1
+        s0, s1, t0, t1 = s(left), s(right), min(t(i), t(i + 1)), t(top)
+        area = (s1 - s0) * (t1 - t0)
+        if area < best[0]:
+            best = (area, [(k * ux - m * uy, k * uy + m * ux) for k, m in ((s0, t0), (s1, t0), (s1, t1), (s0, t1))])
+    return best
+
+
 def farthest_pair(points: DataFrame) -> DataFrame:
-    """(group_id, d2, p, q): the two points farthest apart, p before q; ties to the largest coordinates. Only hull corners are compared."""
+    """(group_id, d2, p, q): the two points farthest apart, p before q; ties to the largest coordinates. Linear in the corners of the hull."""
 
     def best(key, pdf):
-        pts = sorted(zip(pdf["x"], pdf["y"]))
-        top = (0.0, pts[-1], pts[-1])
-        for i, p in enumerate(pts):
-            for q in pts[i + 1 :]:
-                top = max(top, ((q[0] - p[0]) * (q[0] - p[0]) + (q[1] - p[1]) * (q[1] - p[1]), p, q))
-        return pd.DataFrame([(key[0], top[0], *top[1], *top[2])], columns=["group_id", "d2", "px", "py", "qx", "qy"])
+        d2, p, q = _farthest(_hull(list(zip(pdf["x"], pdf["y"]))))
+        return pd.DataFrame([(key[0], d2, *p, *q)], columns=["group_id", "d2", "px", "py", "qx", "qy"])
 
     return convex_hull(points).groupBy("group_id").applyInPandas(best, "group_id long, d2 double, px double, py double, qx double, qy double")
 
 
 def min_area_rect(points: DataFrame) -> DataFrame:
-    """(group_id, area, v): smallest rectangle around the points, one side along a hull edge; corners in order of angle.
-
-    The hull is of fixed order; edges meet hull corners by key, and the smallest area wins, ties to the first edge.
-    """
+    """(group_id, area, v): smallest rectangle around the points, one side along a hull edge; corners in order of angle. Linear in the corners of the hull."""
 
     def rects(key, pdf):
-        hull = _hull(list(zip(pdf["x"], pdf["y"])))
-        best = (math.inf, [hull[0]] * 4)
-        for i, a in enumerate(hull):
-            b = hull[(i + 1) % len(hull)]
-            n = math.hypot(b[0] - a[0], b[1] - a[1])
-            if n == 0:
-                best = (0.0, [a] * 4)
-                continue
-            ux, uy = (b[0] - a[0]) / n, (b[1] - a[1]) / n
-            s, t = [p[0] * ux + p[1] * uy for p in hull], [p[1] * ux - p[0] * uy for p in hull]
-            area = (max(s) - min(s)) * (max(t) - min(t))
-            if area < best[0]:
-                best = (area, [(k * ux - m * uy, k * uy + m * ux) for k, m in ((min(s), min(t)), (max(s), min(t)), (max(s), max(t)), (min(s), max(t)))])
-        cx, cy = sum(p[0] for p in best[1]) / 4, sum(p[1] for p in best[1]) / 4
-        v = sorted(best[1], key=lambda p: (math.atan2(p[1] - cy, p[0] - cx), p))
-        return pd.DataFrame([(key[0], best[0], [{"x": x, "y": y} for x, y in v])], columns=["group_id", "area", "v"])
+        area, corners = _smallest_rect(_hull(list(zip(pdf["x"], pdf["y"]))))
+        cx, cy = sum(p[0] for p in corners) / 4, sum(p[1] for p in corners) / 4
+        v = sorted(corners, key=lambda p: (math.atan2(p[1] - cy, p[0] - cx), p))
+        return pd.DataFrame([(key[0], area, [{"x": x, "y": y} for x, y in v])], columns=["group_id", "area", "v"])
 
     return convex_hull(points).groupBy("group_id").applyInPandas(rects, "group_id long, area double, v array<struct<x:double,y:double>>")

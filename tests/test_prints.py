@@ -178,3 +178,24 @@ def test_run_algebra_equals_cells(spark):
     got = {(r["image_id"], r["a"], r["b"]): r["iou"] for r in runs.run_iou(a, 0.1, tile=16).collect()}
     assert got == {k: v for k, v in iou.items() if v > 0.1} and got
     assert runs.run_iou(a.limit(0), 0.1).count() == 0
+
+
+def test_calipers_equal_all_pairs():
+    """Random, gridded (parallel edges, equal distances), collinear and single points."""
+    rng = np.random.default_rng(9)
+    clouds = [rng.normal(0, 30, (40, 2)) for _ in range(60)] + [rng.integers(0, k, (60, 2)).astype(float) for k in (2, 3, 5, 9, 30) for _ in range(40)]
+    clouds += [np.array([[i, 2 * i] for i in range(5)], float), np.array([[3.0, 4.0]]), np.array([[0, 0], [0, 1], [1, 0], [1, 1]], float)]
+    for c in clouds:
+        pts = [tuple(map(float, p)) for p in c]
+        hull = fitting._hull(pts)
+        every = [(min(p, q), max(p, q)) for p in pts for q in pts]
+        assert fitting._farthest(hull) == max(((q[0] - p[0]) ** 2 + (q[1] - p[1]) ** 2, p, q) for p, q in every)
+        area = 0.0
+        if len(hull) > 2:
+            areas, h = [], np.array(hull)
+            for i in range(len(h)):
+                u = (h[(i + 1) % len(h)] - h[i]) / np.linalg.norm(h[(i + 1) % len(h)] - h[i])
+                areas.append(np.ptp(h @ u) * np.ptp(h @ np.array([-u[1], u[0]])))
+            area = min(areas)
+        got, corners = fitting._smallest_rect(hull)
+        assert abs(got - area) < 1e-6 * max(1, area) and len(corners) == 4
