@@ -49,7 +49,10 @@ def region_stats(px: DataFrame, by: list[str]) -> DataFrame:
 
 
 def blur(px: DataFrame, col: str, sigma: float, height: int, width: int) -> DataFrame:
-    """Gaussian blur in two passes, borders mirrored with the edge pixel repeated; the kernel reaches four deviations."""
+    """Gaussian blur in two passes, borders mirrored with the edge pixel repeated; the kernel reaches four deviations.
+
+    Pixels that are missing from ``px`` add nothing and have no result.
+    """
     r = max(1, round(4 * sigma))
     w = [math.exp(-(i * i) / (2 * sigma * sigma)) for i in range(-r, r + 1)]
     w = [x / sum(w) for x in w]
@@ -64,7 +67,9 @@ def blur(px: DataFrame, col: str, sigma: float, height: int, width: int) -> Data
         mirrored = F.when(src < 0, -src - 1).when(src > n - 1, 2 * n - 1 - src).otherwise(src)
         spread = spread.filter(mirrored == F.col(axis))
         other = "x" if axis == "y" else "y"
-        return spread.groupBy("image_id", other, F.col("t").alias(axis)).agg(F.sum(F.col(value) * F.col("k.w")).alias("v"))
+        # a pixel always reaches itself, so targets that no pixel reaches from its own place are missing
+        sums = spread.groupBy("image_id", other, F.col("t").alias("at")).agg(F.sum(F.col(value) * F.col("k.w")).alias("v"), F.max(F.col("t") == F.col(axis)).alias("own"))
+        return sums.filter("own").select("image_id", other, F.col("at").alias(axis), "v")
 
     rows = one(px.select("image_id", "y", "x", F.col(col).cast("double").alias("v")), "x", width, "v")
     return one(rows, "y", height, "v").select("image_id", "y", "x", F.col("v").alias("blur"))
