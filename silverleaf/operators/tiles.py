@@ -111,13 +111,15 @@ def gaussian(sigma: float) -> tuple[int, np.ndarray]:
 
 
 def blur_tiles(tiles: DataFrame, sigma: float, height: int, width: int, size: int = 64) -> DataFrame:
-    """Gaussian blur as ``rasters.blur``, on tiles."""
+    """Gaussian blur as ``rasters.blur``, on tiles: missing pixels add nothing and stay missing."""
     r, weights = gaussian(sigma)
 
     def both(a):
         h, w = a.shape[0] - 2 * r, a.shape[1] - 2 * r
+        gone, a = np.isnan(a), np.nan_to_num(a)
         rows = sum(k * a[:, i : i + w] for i, k in enumerate(weights))
-        return sum(k * rows[i : i + h] for i, k in enumerate(weights))
+        rows[gone[:, r : r + w]] = 0
+        return np.where(gone[r : r + h, r : r + w], np.nan, sum(k * rows[i : i + h] for i, k in enumerate(weights)))
 
     return map_tiles(tiles, both, r, height, width, size)
 
