@@ -19,11 +19,11 @@ def classify_regions(cells: DataFrame, quads: DataFrame, radius: int, height: in
     """Adds ``region``: 'image' well inside the image's quad (image_id, v), 'border' well outside, 'exclude' within the band.
 
     The band is what a round kernel of ``radius`` adds to the quad's cells or takes away. One quad for each image,
-    so the join is by key; cells of images without a quad are 'border'.
+    so the join is by key; cells of images without a quad are 'border'. Cells that an image lacks take nothing away.
     """
     inner = cells.select(*CELL).join(quads, "image_id").filter(inside_quad(F.col("x").cast("double"), F.col("y").cast("double"), F.col("v"))).select(*CELL)
     grown = dilate(inner, radius, height, width).withColumn("grown", F.lit(True))
-    shrunk = erode(inner, radius, height, width).withColumn("shrunk", F.lit(True))
+    shrunk = erode(inner, radius, height, width, cells).withColumn("shrunk", F.lit(True))
     out = cells.join(grown, CELL, "left").join(shrunk, CELL, "left")
     return out.withColumn("region", F.when(F.col("shrunk"), "image").when(F.col("grown"), "exclude").otherwise("border")).drop("grown", "shrunk")
 
