@@ -13,6 +13,15 @@ def is_white(r: Column, g: Column, b: Column, floor: int = 170, spread: float =
     return (r > floor) & (g > floor) & (b > floor) & (F.sqrt(var) < spread)
 
 
+def rounded(c: Column | str, n: int) -> Column:
+    """Rounded to ``n`` places as SQL engines on binary doubles do: the scaled number, halves away from zero; zero has no sign."""
+    c = (F.col(c) if isinstance(c, str) else c).cast("double")
+    a = F.abs(c) * 10.0**n
+    whole = F.floor(a).cast("double")
+    up = whole + F.when(a - whole >= 0.5, 1.0).otherwise(0.0)
+    return F.when(a < 2.0**52, F.when(c < 0, -up).otherwise(up) / 10.0**n + 0.0).otherwise(c)
+
+
 def inside_quad(x: Column, y: Column, v: Column) -> Column:
     """Point in a convex quad of either orientation, edges included."""
     cross = [(v[(i + 1) % 4]["x"] - v[i]["x"]) * (y - v[i]["y"]) - (v[(i + 1) % 4]["y"] - v[i]["y"]) * (x - v[i]["x"]) for i in range(4)]

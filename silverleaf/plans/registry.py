@@ -12,7 +12,7 @@ from . import views as V
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
-r4 = lambda c: F.round(c, 4)
+r4 = lambda c: X.rounded(c, 4)
 
 
 def query(name: str, sql: str | None = None):
@@ -237,7 +237,7 @@ def _blocks(spark, d):
 
 @query("block_stats", BLOCKS + ' SELECT image_id, "by", bx, round(share, 4) share, round(mean_r, 4) mean_r, round(mean_g, 4) mean_g, round(mean_b, 4) mean_b, round(var, 3) var FROM blk')
 def block_stats(spark, d):
-    return _blocks(spark, d).select("image_id", "by", "bx", *[r4(c).alias(c) for c in ("share", "mean_r", "mean_g", "mean_b")], F.round("var", 3).alias("var"))
+    return _blocks(spark, d).select("image_id", "by", "bx", *[r4(c).alias(c) for c in ("share", "mean_r", "mean_g", "mean_b")], X.rounded("var", 3).alias("var"))
 
 
 @query("top_k_blocks", BLOCKS + ', t AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY round(var, 4), "by", bx) rn FROM blk) SELECT image_id, "by", bx, CAST(rn AS INT) rn FROM t WHERE rn <= 10')
@@ -282,7 +282,7 @@ BLUR = f"WITH {V.RASTER}, {GAUSS}, h AS (SELECT t.image_id, t.y, t.x, sum(s.v *
 
 @query("blur", BLUR + " SELECT image_id, y, x, round(v, 3) blur FROM b")
 def blur(spark, d):
-    return rasters.blur(V.raster(spark, d), "v", 1.0, V.HEIGHT, V.WIDTH).withColumn("blur", F.round("blur", 3))
+    return rasters.blur(V.raster(spark, d), "v", 1.0, V.HEIGHT, V.WIDTH).withColumn("blur", X.rounded("blur", 3))
 
 
 # sweep
@@ -359,7 +359,7 @@ def fit_line(spark, d):
 def consensus_line(spark, d):
     c = V.outline(spark, d).withColumn("orient", F.when(F.col("side") % 2 == 0, "h").otherwise("v"))
     out = fitting.consensus_line(fitting.along_axes(c).drop("orient"), ["group_id", "side"], 42)
-    return out.select("group_id", "side", "inliers", r4("m").alias("m"), F.round("b", 3).alias("b"))
+    return out.select("group_id", "side", "inliers", r4("m").alias("m"), X.rounded("b", 3).alias("b"))
 
 
 @query("fit_line_sides", f"WITH {V.CONTOUR}, c AS (SELECT group_id, side, CASE WHEN side % 2 = 0 THEN x ELSE y END u, CASE WHEN side % 2 = 0 THEN y ELSE x END w FROM contour) SELECT group_id, side, count(*) n, round(regr_slope(w, u), 4) m, round(regr_intercept(w, u), 4) b FROM c GROUP BY ALL")
@@ -393,7 +393,7 @@ def _start_quads(spark, d):
 @query("robust_lines", f"WITH {QUAD_LINES} SELECT group_id, edge, CASE WHEN flat THEN 'h' ELSE 'v' END orient, inliers, round(m, 4) + 0 m, round(b, 3) + 0 b FROM lines")
 def robust_lines(spark, d):
     out = fitting.robust_lines(V.outline(spark, d), fitting.start_lines(_start_quads(spark, d)), 42)
-    return out.select("group_id", "edge", "orient", "inliers", r4("m").alias("m"), F.round("b", 3).alias("b"))
+    return out.select("group_id", "edge", "orient", "inliers", r4("m").alias("m"), X.rounded("b", 3).alias("b"))
 
 
 def meet_sql(quads: str) -> str:
@@ -408,7 +408,7 @@ def meet_sql(quads: str) -> str:
 @query("quad_fit", f"WITH {QUAD_LINES}, {meet_sql('start')} SELECT group_id, " + ", ".join(f"round({n}{z}, 3) + 0 {n}{z}" for n in ("tl", "tr", "br", "bl") for z in "xy") + " FROM corner")
 def quad_fit(spark, d):
     out = fitting.quad_fit(V.outline(spark, d), _start_quads(spark, d), 42)
-    return out.select("group_id", *[F.round(F.col(f"{n}.{z}"), 3).alias(f"{n}{z}") for n in ("tl", "tr", "br", "bl") for z in "xy"])
+    return out.select("group_id", *[X.rounded(F.col(f"{n}.{z}"), 3).alias(f"{n}{z}") for n in ("tl", "tr", "br", "bl") for z in "xy"])
 
 
 SIDE = lambda a, b: f"sqrt((x{a} - x{b}) * (x{a} - x{b}) + (y{a} - y{b}) * (y{a} - y{b}))"
@@ -451,7 +451,7 @@ def points_inside_quad(spark, d):
 def line_intersection(spark, d):
     v = F.col("v")
     q = V.quads(spark, d).select("quad_id", X.line_from_points(v[0]["x"], v[0]["y"], v[1]["x"], v[1]["y"]).alias("h"), X.line_from_points(v[0]["x"], v[0]["y"], v[3]["x"], v[3]["y"]).alias("w"))
-    return q.withColumn("p", X.intersect_lines(F.col("h.m"), F.col("h.b"), F.col("w.m"), F.col("w.b"))).select("quad_id", F.round("p.x", 3).alias("x"), F.round("p.y", 3).alias("y"))
+    return q.withColumn("p", X.intersect_lines(F.col("h.m"), F.col("h.b"), F.col("w.m"), F.col("w.b"))).select("quad_id", X.rounded("p.x", 3).alias("x"), X.rounded("p.y", 3).alias("y"))
 
 
 @query("nearest_edge", f"WITH {V.CONTOUR}, e AS (SELECT *, [abs(y - 100.0e0), abs(x - 745.0e0), abs(y - 1022.0e0), abs(x - 55.0e0)] d FROM contour) SELECT group_id, CAST(list_position(d, list_min(d)) - 1 AS INT) edge, count(*) n, round(avg(list_min(d)), 4) d FROM e GROUP BY ALL")
@@ -463,7 +463,7 @@ def nearest_edge(spark, d):
 @query("hopping_stats", "SELECT strftime(s, '%Y-%m-%d %H:%M:%S') AS start, count(*) n, round(avg(value) * count(*), 2) total, round(var_pop(value), 1) AS var FROM (SELECT value, unnest([time_bucket(INTERVAL 16 MINUTE, ts, TIMESTAMP '1970-01-01'), time_bucket(INTERVAL 16 MINUTE, ts, TIMESTAMP '1970-01-01') - INTERVAL 16 MINUTE]) s FROM events) GROUP BY 1")
 def hopping_stats(spark, d):
     out = streams.hopping_stats(V.table(spark, d, "events"))
-    return out.select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n", F.round(F.col("mean") * F.col("n"), 2).alias("total"), F.round("var", 1).alias("var"))
+    return out.select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n", X.rounded(F.col("mean") * F.col("n"), 2).alias("total"), X.rounded("var", 1).alias("var"))
 
 
 from . import print_queries  # noqa: E402, F401  (adds its queries to the two dictionaries)
