@@ -10,8 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import expressions as X
 from ..sources.files import written
 from .fitting import extremes, quad_fit
-from .labelling import largest_component_boundary
-from .masks import largest_mask
+from .labelling import largest_component_boundary, mask_runs
 
 #: Errors of ``mask_to_quad`` and ``with_fallback``, in the order in which they are sought.
 NO_MASK, FEW_POINTS, DEGENERATE, DEVIATION = "no mask", "not enough contour points", "degenerate contour", "deviation"
@@ -39,8 +38,16 @@ def exterior_points(points: DataFrame, quads: DataFrame, shrink: float = 0.03) -
     return points.join(inner, "group_id").filter(~X.inside_quad(F.col("x"), F.col("y"), F.col("inner"))).select("group_id", "pid", "x", "y")
 
 
+def largest_runs(masks: DataFrame) -> DataFrame:
+    """(image_id, y, x0, x1): maximal runs of each image's mask of most cells; ties to the smaller mask_id."""
+    runs = written(mask_runs(masks, ["mask_id"]), "mask-runs")
+    size = runs.groupBy("image_id", "mask_id").agg(F.sum(F.col("x1") - F.col("x0")).alias("n"))
+    best = size.groupBy("image_id").agg((-F.max(F.struct("n", (-F.col("mask_id")).alias("minus")))["minus"]).alias("mask_id"))
+    return runs.join(best, ["image_id", "mask_id"]).select("image_id", "y", "x0", "x1")
+
+
 def mask_to_quad(cells: DataFrame, seed: int = 42, shrink: float = 0.03, least: int = 8, **limits) -> DataFrame:
-    """(image_id, v, n_exterior, error): the quad of each image's mask (image_id, y, x).
+    """(image_id, v, n_exterior, error): the quad of each image's mask (image_id, y, x), or its maximal runs (image_id, y, x0, x1).
 
     The boundary of the largest component gives four extreme points, the rough quad. The boundary points outside the
     rough quad shrunken by ``shrink`` are fitted by four robust lines that start at its sides (``quad_fit``, to which
@@ -78,9 +85,7 @@ def with_fallback(fits: DataFrame, images: DataFrame, template: list[tuple[float
 
 def image_area(masks: DataFrame, images: DataFrame, template: list[tuple[float, float]], limit: float = 150.0, **options) -> DataFrame:
     """The whole way for masks (image_id, mask_id, y, x): the largest mask of each image, its quad, or the template."""
-    cells = masks.withColumn("cell", F.struct("y", "x"))
-    own = masks.join(largest_mask(cells.select("image_id", "mask_id", "cell")).select("image_id", "mask_id"), ["image_id", "mask_id"])
-    return with_fallback(mask_to_quad(own.select("image_id", "y", "x"), **options), images, template, limit)
+    return with_fallback(mask_to_quad(largest_runs(masks), **options), images, template, limit)
 
 
 def points_in_quads(points: DataFrame, quads: DataFrame, cell: float = 64.0) -> DataFrame:

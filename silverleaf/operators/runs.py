@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.files import written
+
 ROW = ["image_id", "y"]
 
 
@@ -25,9 +27,8 @@ def _sweep(ends: DataFrame, keys: list[str], set_: str) -> DataFrame:
 
 
 def _ends(runs: DataFrame, keys: list[str], a: int, b: int) -> DataFrame:
-    real = runs.filter("x0 < x1").dropna(subset=keys)
-    end = lambda c, s: real.select(*keys, F.col(c).cast("int").alias("x"), F.lit(s * a).alias("da"), F.lit(s * b).alias("db"))
-    return end("x0", 1).unionByName(end("x1", -1))
+    end = lambda c, s: F.struct(F.col(c).cast("int").alias("x"), F.lit(s * a).alias("da"), F.lit(s * b).alias("db"))
+    return runs.filter("x0 < x1").dropna(subset=keys).select(*keys, F.explode(F.array(end("x0", 1), end("x1", -1))).alias("e")).select(*keys, "e.*")
 
 
 def _both(a: DataFrame, b: DataFrame, keys: list[str], set_: str) -> DataFrame:
@@ -62,6 +63,19 @@ def runs_not(a: DataFrame, images: DataFrame) -> DataFrame:
     return runs_minus(rows, a)
 
 
+def run_edges(runs: DataFrame) -> DataFrame:
+    """Places of one mask for each image that lack one of four neighbours, as runs; ``runs`` are maximal.
+
+    A place has all four if its run goes on to both sides and the rows above and below cover it: three covers.
+    """
+    step = lambda dy, x, s, a, b: F.struct((F.col("y") + dy).alias("y"), x.cast("int").alias("x"), F.lit(s * a).alias("da"), F.lit(s * b).alias("db"))
+    cover = lambda dy, x0, x1, a, b: [step(dy, x0, 1, a, b), step(dy, x1, -1, a, b)]
+    x0, x1 = F.col("x0"), F.col("x1")
+    inner = cover(0, F.least(x0 + 1, x1), F.greatest(x1 - 1, F.least(x0 + 1, x1)), 0, 1)  # of one place: none
+    ends = runs.filter("x0 < x1").dropna(subset=ROW).select("image_id", F.explode(F.array(*cover(0, x0, x1, 1, 0), *inner, *cover(-1, x0, x1, 0, 1), *cover(1, x0, x1, 0, 1))).alias("e"))
+    return _sweep(ends.select("image_id", "e.*"), ROW, "a > 0 AND b < 3")
+
+
 def run_area(runs: DataFrame, by: list[str]) -> DataFrame:
     """(by, n): places covered."""
     inner = [c for c in by if c not in ROW]
@@ -80,7 +94,7 @@ def run_iou(runs: DataFrame, least: float, tile: int = 64) -> DataFrame:
     Runs are cut at the borders of tiles of ``tile`` places, so runs meet by image, row and tile, and what two masks share
     is summed from pieces. Masks whose sizes alone rule a pair out do not meet.
     """
-    own = normalize_runs(runs, ["mask_id"])
+    own = written(normalize_runs(runs, ["mask_id"]), "runs")
     size = own.groupBy("image_id", "mask_id").agg(F.sum(F.col("x1") - F.col("x0")).cast("long").alias("n"))
     first, last = F.floor(F.col("x0") / tile).cast("int"), F.floor((F.col("x1") - 1) / tile).cast("int")
     cut = own.join(size, ["image_id", "mask_id"]).select("*", F.explode(F.sequence(first, last)).alias("t"))

@@ -126,7 +126,8 @@ def _print_rule(d: str) -> tuple[str, str]:
 def prints(spark, sf_dir) -> DataFrame:
     """image_id, mask_id, y, x: one 64 x 64 grid for each supplier, with no mask, a tiny one, a line, one far off, a star of thin arms, or a tilted print; with a loose blob and a smaller second mask."""
     one, two = _print_rule("D")
-    rows = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k")).repartition("k")  # keys only; a row becomes 4096
+    rows = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"))
+    rows = rows.repartition(1 + rows.count() // 500, "k")  # keys only; a row becomes 4096, so a partition two millions of cells
     grid = rows.selectExpr("k", "explode(sequence(0, 63)) AS y").selectExpr("*", "explode(sequence(0, 63)) AS x")
     mask = lambda rule, number: grid.filter(rule).select(F.col("k").alias("image_id"), F.lit(number).cast("long").alias("mask_id"), "y", "x")
     return mask(one, 1).unionByName(mask(two, 2))
