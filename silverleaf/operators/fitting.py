@@ -102,13 +102,33 @@ def _values(batch: pa.RecordBatch, keys: list[str]) -> list[str]:
     return ["|".join(map(str, k)) for k in zip(*(batch.column(k).to_pylist() for k in keys))]
 
 
+def _small(batches, rows: int = 256):
+    """Pieces of Arrow batches, so that what a piece becomes in Python stays small however long its lists are."""
+    for b in batches:
+        for s in range(0, b.num_rows, rows):
+            yield b.slice(s, rows)
+
+
+def _arrays(column: pa.ListArray) -> list[np.ndarray]:
+    """The lists of a column as views of one array."""
+    values, at = column.flatten().to_numpy(zero_copy_only=False), column.offsets.to_numpy()
+    return [values[s:e] for s, e in zip(at[:-1] - at[0], at[1:] - at[0])]
+
+
+def _votes(x: np.ndarray, y: np.ndarray, m: np.ndarray, b: np.ndarray, reach: float) -> np.ndarray:
+    """How many points each line y = m x + b is nearer to than ``reach`` along y."""
+    step = max(1, (1 << 20) // len(x))
+    return np.concatenate([(np.abs(y - (m[s : s + step, None] * x + b[s : s + step, None])) < reach).sum(1) for s in range(0, len(m), step)])
+
+
 def consensus_lines(points: DataFrame, keys: list[str], seed: int, trials: int = 500, sample: int = 5, reach: float = 5.0) -> DataFrame:
     """(keys, n, trial, votes, m, b): for each group of ``sample`` points or more the line y = m x + b that most points are nearer to than ``reach`` along y.
 
     Where no line has a vote, the first trial's is given with 0 votes. min(trials, 10 n) lines are tried, each through ``sample`` points addressed by number: one from each of ``sample``
     equal shares of the group's numbers, so at most trials * sample points are ever drawn. Ties go to the first trial.
-    Groups travel as blocks (see ``numbered_blocks``): rows follow the points, not points times trials. Draws depend on
-    seed, keys, trial and n only, not on partitioning.
+    Groups travel as blocks (see ``numbered_blocks``): rows follow the points, not points times trials. A group of one
+    block is settled where that lies; only of larger ones the drawn points are gathered, and the votes of blocks added.
+    Draws depend on seed, keys, trial and n only, not on partitioning.
     """
     drawn = trials * sample
     blocks = written(numbered_blocks(points, keys).filter(F.col("n") >= sample), "blocks")
@@ -117,22 +137,35 @@ def consensus_lines(points: DataFrame, keys: list[str], seed: int, trials: int =
     fields = lambda b, names: [b.column(c) for c in names]
     lists = lambda values, kind: pa.array([v.tolist() for v in values], pa.list_(kind))
 
+    def whole(batches):
+        """The best line of each group that is one block."""
+        for b in _small(batches):
+            best = []
+            for key, x, y in zip(_values(b, keys), _arrays(b.column("x")), _arrays(b.column("y"))):
+                own = _draws(key, len(x), seed, trials, sample)
+                m, c = _least_norm(x[own], y[own])
+                k = _votes(x, y, m, c, reach)
+                t = int(k.argmax())
+                best.append((t, int(k[t]), m[t], c[t]))
+            kinds = zip(zip(*best), (pa.int32(), pa.int64(), pa.float64(), pa.float64()))
+            yield pa.RecordBatch.from_arrays([*fields(b, [*keys, "n"]), *(pa.array(v, kind) for v, kind in kinds)], names=[*keys, "n", "trial", "votes", "m", "b"])
+
     def pick(batches):
         """Of each block the points that any trial draws."""
-        for b in batches:
+        for b in _small(batches):
             at, x, y = [], [], []
-            for key, n, first, bx, by in zip(_values(b, keys), *(c.to_pylist() for c in fields(b, ["n", "first", "x", "y"]))):
+            for key, n, first, bx, by in zip(_values(b, keys), b.column("n").to_pylist(), b.column("first").to_pylist(), _arrays(b.column("x")), _arrays(b.column("y"))):
                 own = np.arange(first, first + len(bx))
                 if n > drawn:
                     own = np.intersect1d(own, _draws(key, n, seed, trials, sample))
                 at.append(own)
-                x.append(np.array(bx, float)[own - first])
-                y.append(np.array(by, float)[own - first])
+                x.append(bx[own - first])
+                y.append(by[own - first])
             yield pa.RecordBatch.from_arrays([*fields(b, [*keys, "n"]), lists(at, pa.int64()), lists(x, pa.float64()), lists(y, pa.float64())], names=[*keys, "n", "at", "x", "y"])
 
     def solve(batches):
         """The lines of each group, in order of trial."""
-        for b in batches:
+        for b in _small(batches):
             ms, bs = [], []
             for key, n, p in zip(_values(b, keys), b.column("n").to_pylist(), b.column("p").to_pylist()):
                 at, x, y = (np.concatenate([np.array(q[c]) for q in p]) for c in ("at", "x", "y"))
@@ -144,15 +177,13 @@ def consensus_lines(points: DataFrame, keys: list[str], seed: int, trials: int =
             yield pa.RecordBatch.from_arrays([*fields(b, keys), lists(ms, pa.float64()), lists(bs, pa.float64())], names=[*keys, "m", "b"])
 
     def vote(batches):
-        """Votes of a block: the best trial alone if the block is the whole group, else all trials."""
-        for b in batches:
+        """Votes of a block for all trials; those without one are left out, except the first."""
+        for b in _small(batches):
             rows, trial, votes, ms, bs = [], [], [], [], []
-            for i, (n, x, y, m, c) in enumerate(zip(*(v.to_pylist() for v in fields(b, ["n", "x", "y", "m", "b"])))):
-                x, y, m, c = (np.array(v, float) for v in (x, y, m, c))
-                step = max(1, (1 << 22) // len(x))
-                k = np.concatenate([(np.abs(y - (m[s : s + step, None] * x + c[s : s + step, None])) < reach).sum(1) for s in range(0, len(m), step)])
-                own = np.arange(len(m)) if len(x) < n else np.array([k.argmax()])
-                own = own[(k[own] > 0) | (own == 0)] if len(own) > 1 else own
+            for i, (x, y, m, c) in enumerate(zip(*map(_arrays, fields(b, ["x", "y", "m", "b"])))):
+                k = _votes(x, y, m, c, reach)
+                own = np.arange(len(m))
+                own = own[(k > 0) | (own == 0)]
                 rows += [i] * len(own)
                 trial += own.tolist()
                 votes += k[own].tolist()
@@ -160,13 +191,18 @@ def consensus_lines(points: DataFrame, keys: list[str], seed: int, trials: int =
                 bs += c[own].tolist()
             yield pa.RecordBatch.from_arrays([*(b.column(c).take(pa.array(rows, pa.int64())) for c in [*keys, "n"]), pa.array(trial, pa.int32()), pa.array(votes, pa.int64()), pa.array(ms, pa.float64()), pa.array(bs, pa.float64())], names=[*keys, "n", "trial", "votes", "m", "b"])
 
+    outcome = [*keys, "n", "trial", "votes", "m", "b"]
+    single = blocks.filter(F.size("x") == F.col("n")).mapInArrow(whole, f"{named}, n long, trial int, votes long, m double, b double").select(*outcome)
+    blocks = blocks.filter(F.size("x") < F.col("n"))
+    if blocks.isEmpty():
+        return written(single, "lines")
     picked = blocks.mapInArrow(pick, f"{named}, n long, at array<long>, x array<double>, y array<double>")
     pool = picked.groupBy(*keys, "n").agg(F.collect_list(F.struct("at", "x", "y")).alias("p"))  # at most trials * sample points
     lines = pool.mapInArrow(solve, f"{named}, m array<double>, b array<double>")
     votes = blocks.select(*keys, "n", "x", "y").join(lines, keys).mapInArrow(vote, f"{named}, n long, trial int, votes long, m double, b double")
     total = votes.groupBy(*keys, "n", "trial", "m", "b").agg(F.sum("votes").alias("votes"))
     best = total.groupBy(*keys, "n").agg(F.max(F.struct("votes", (-F.col("trial")).alias("order"), "m", "b")).alias("v")).select(*keys, "n", (-F.col("v.order")).alias("trial"), "v.votes", "v.m", "v.b")
-    return written(best, "lines")  # a row for each group, read more than once
+    return written(single.unionByName(best.select(*outcome)), "lines")  # a row for each group, read more than once
 
 
 def refit_lines(points: DataFrame, lines: DataFrame, keys: list[str], reach: float, least: int = 3) -> DataFrame:
