@@ -68,7 +68,7 @@ def largest_component_boundary(cells: DataFrame, least: int = 8) -> DataFrame:
     size = runs.groupBy("image_id", "label").agg(F.sum(F.col("x1") - F.col("x0")).alias("n"))
     best = size.groupBy("image_id").agg(F.max(F.struct("n", (-F.col("label")).alias("minus"))).alias("b")).select("image_id", (-F.col("b.minus")).alias("label"))
     kind = runs.schema["x0"].dataType
-    edge = run_edges(runs.join(best, ["image_id", "label"])).select("image_id", "y", F.explode(F.sequence(F.col("x0").cast(kind), F.col("x1").cast(kind) - 1)).alias("x"))
+    edge = run_edges(written(runs.join(best, ["image_id", "label"]).select("image_id", "y", "x0", "x1"), "largest")).select("image_id", "y", F.explode(F.sequence(F.col("x0").cast(kind), F.col("x1").cast(kind) - 1)).alias("x"))
     count = edge.groupBy("image_id").agg((F.count(F.lit(1)) >= least).alias("enough"))
     return edge.join(count, "image_id")
 

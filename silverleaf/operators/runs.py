@@ -58,22 +58,25 @@ def runs_xor(a: DataFrame, b: DataFrame, by: list[str] | None = None) -> DataFra
 
 
 def runs_not(a: DataFrame, images: DataFrame) -> DataFrame:
-    """The rest of each image's grid; ``images`` lists all images (image_id, height, width)."""
+    """The rest of each image's grid; ``images`` lists all images (image_id, height, width). Their rows are counted first, so that the number of tasks grows with them."""
+    rows_in_all = images.filter("height > 0 and width > 0").agg(F.sum(F.col("height").cast("long"))).first()[0] or 0
     rows = images.filter("height > 0 and width > 0").select("image_id", F.explode(F.sequence(F.lit(0), F.col("height") - 1)).alias("y"), F.lit(0).alias("x0"), F.col("width").alias("x1"))
-    return runs_minus(rows, a)
+    ends = _ends(rows, ROW, 1, 0).unionByName(_ends(a, ROW, 0, 1))
+    return _sweep(ends.repartition(1 + rows_in_all // 100_000, *ROW), ROW, "a > 0 AND b <= 0")
 
 
 def run_edges(runs: DataFrame) -> DataFrame:
     """Places of one mask for each image that lack one of four neighbours, as runs; ``runs`` are maximal.
 
     A place has all four if its run goes on to both sides and the rows above and below cover it: three covers.
+    ``runs`` are counted first, so that the number of tasks grows with them and not their size; give them as a table.
     """
     step = lambda dy, x, s, a, b: F.struct((F.col("y") + dy).alias("y"), x.cast("int").alias("x"), F.lit(s * a).alias("da"), F.lit(s * b).alias("db"))
     cover = lambda dy, x0, x1, a, b: [step(dy, x0, 1, a, b), step(dy, x1, -1, a, b)]
     x0, x1 = F.col("x0"), F.col("x1")
     inner = cover(0, F.least(x0 + 1, x1), F.greatest(x1 - 1, F.least(x0 + 1, x1)), 0, 1)  # of one place: none
     ends = runs.filter("x0 < x1").dropna(subset=ROW).select("image_id", F.explode(F.array(*cover(0, x0, x1, 1, 0), *inner, *cover(-1, x0, x1, 0, 1), *cover(1, x0, x1, 0, 1))).alias("e"))
-    return _sweep(ends.select("image_id", "e.*"), ROW, "a > 0 AND b < 3")
+    return _sweep(ends.select("image_id", "e.*").repartition(1 + runs.count() // 50_000, *ROW), ROW, "a > 0 AND b < 3")
 
 
 def run_area(runs: DataFrame, by: list[str]) -> DataFrame:
