@@ -259,18 +259,22 @@ def robust_lines(points: DataFrame, starts: DataFrame, seed: int, trials: int =
 
 
 def quad_fit(points: DataFrame, quads: DataFrame, seed: int, **limits) -> DataFrame:
-    """(group_id, tl, tr, br, bl): corners where the robust lines of the four sides meet; near parallel ones keep the corner of ``quads``."""
+    """(group_id, tl, tr, br, bl): corners where the robust lines of the four sides meet; near parallel ones keep the corner of ``quads``.
+
+    Where a group has several quads, each line of a side meets each of the next, and the outermost corners of all are taken.
+    """
     flat = F.col("orient") == "h"
     general = F.struct("edge", F.when(flat, F.col("m")).otherwise(1.0).alias("a"), F.when(flat, -1.0).otherwise(-F.col("m")).alias("b"), F.when(flat, F.col("b")).otherwise(-F.col("b")).alias("c"))
-    lines = robust_lines(points, start_lines(quads), seed, **limits).groupBy("group_id").agg(F.sort_array(F.collect_list(general)).alias("e"))
+    lines = robust_lines(points, start_lines(quads), seed, **limits).groupBy("group_id").agg(F.collect_set(general).alias("e"))
+    side = lambda i: F.filter("e", lambda s: s["edge"] == i)
 
-    def meet(i, j, corner):
-        p, q = F.col("e")[i], F.col("e")[j]
+    def meet(p, q, corner):
         det = p["a"] * q["b"] - q["a"] * p["b"]
         x, y = F.try_divide(p["b"] * q["c"] - q["b"] * p["c"], det), F.try_divide(q["a"] * p["c"] - p["a"] * q["c"], det)
         return F.when(F.abs(det) >= 1e-9, F.struct(x.alias("x"), y.alias("y"))).otherwise(F.col("v")[corner])
 
-    corners = F.array(*[meet(i, j, k) for k, (i, j) in enumerate([(0, 3), (0, 1), (2, 1), (2, 3)])])
+    met = lambda i, j, corner: F.flatten(F.transform(side(i), lambda p: F.transform(side(j), lambda q: meet(p, q, corner))))
+    corners = F.concat(*[met(i, j, k) for k, (i, j) in enumerate([(0, 3), (0, 1), (2, 1), (2, 3)])])
     return order_quad(quads.join(lines, "group_id").select("group_id", F.explode(corners).alias("p")).select("group_id", "p.x", "p.y"))
 
 
