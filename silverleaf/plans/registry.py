@@ -193,7 +193,7 @@ def suppress(spark, d):
  UNION ALL SELECT o.rn, CASE WHEN list_has_any(coalesce(earlier, []), s.kept) THEN s.kept ELSE list_append(s.kept, o.rn) END FROM step s JOIN o ON o.rn = s.rn + 1 LEFT JOIN near ON near.rn = o.rn), f AS (SELECT unnest(arg_max(kept, rn)) rn FROM step)
  SELECT a.mask_id, a.n FROM a LEFT JOIN o USING (mask_id) WHERE o.rn IS NULL OR o.rn IN (SELECT rn FROM f)""")
 def suppress_documents(spark, d):
-    return masks.suppress(V.shingles(spark, d), 0.85).select("mask_id", "n")
+    return masks.suppress_sets(V.shingle_sets(spark, d), 0.85).select("mask_id", "n")
 
 
 MASKS = f"WITH {V.RASTER}, m AS (SELECT DISTINCT image_id, y, x FROM raster WHERE p > 0.9), k AS (SELECT DISTINCT image_id, y, x FROM raster WHERE v > 215)"

@@ -52,6 +52,43 @@ def shingles(spark, sf_dir) -> DataFrame:
     return words.select(F.lit(0).cast("long").alias("image_id"), F.col("doc_id").alias("mask_id"), F.explode(F.array_distinct(three)).alias("cell"))
 
 
+def shingle_sets(spark, sf_dir) -> DataFrame:
+    """image_id, mask_id, cells: ``shingles`` with one row for each document; cells are sorted 64-bit hashes, other than those of ``shingles``."""
+    import numpy as np
+    import pandas as pd
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    mix = lambda h: (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+
+    def hashed(batches):
+        for whole in batches:
+            for s in range(0, whole.num_rows, 256):
+                b = whole.slice(s, 256)
+                text = pc.fill_null(b.column("text"), "")
+                for blank in "\t\r\n":
+                    text = pc.replace_substring(text, blank, " ")
+                words = pc.split_pattern(text, " ")
+                row = np.repeat(np.arange(b.num_rows), pc.list_value_length(words).to_numpy(zero_copy_only=False))
+                told = words.flatten().dictionary_encode()
+                at, known = told.indices.to_numpy(zero_copy_only=False), told.dictionary
+                full = pc.not_equal(known, "").to_numpy(zero_copy_only=False)[at]  # between two blanks lies an empty word
+                h, row = pd.util.hash_array(known.to_pandas().to_numpy(dtype=object), categorize=False)[at[full]], row[full]
+                inner = row[2:] == row[:-2]
+                three, row = (mix(mix(mix(h[:-2]) + h[1:-1]) + h[2:]) + h[:-2])[inner].view(np.int64), row[2:][inner]
+                ends = np.cumsum(np.bincount(row, minlength=b.num_rows))
+                for i, end in zip([0, *ends], ends):
+                    three[i:end].sort()
+                new = np.ones(len(row), bool)
+                new[1:] = (row[1:] != row[:-1]) | (three[1:] != three[:-1])
+                ends = np.cumsum(np.bincount(row[new], minlength=b.num_rows))
+                cells = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(three[new], pa.int64()))
+                yield pa.RecordBatch.from_arrays([b.column("mask_id"), cells], names=["mask_id", "cells"])
+
+    texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("mask_id"), F.lower("text").alias("text"))
+    return texts.mapInArrow(hashed, "mask_id long, cells array<long>").filter(F.size("cells") > 0).select(F.lit(0).cast("long").alias("image_id"), "mask_id", "cells")
+
+
 SHINGLES = """sets AS (SELECT DISTINCT 0 image_id, doc_id mask_id, unnest(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' '))) cell
  FROM (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[ \\t\\r\\n]+'), lambda x: x <> '') w FROM documents) WHERE len(w) >= 3)"""
 
