@@ -31,14 +31,20 @@ def _ends(runs: DataFrame, keys: list[str], a: int, b: int) -> DataFrame:
     return runs.filter("x0 < x1").dropna(subset=keys).select(*keys, F.explode(F.array(end("x0", 1), end("x1", -1))).alias("e")).select(*keys, "e.*")
 
 
+def _dealt(ends: DataFrame, keys: list[str]) -> DataFrame:
+    """``ends``, written and counted first, so that the number of tasks of a sweep grows with them and not with their size."""
+    ends = written(ends, "ends")
+    return ends.repartition(1 + ends.count() // 100_000, *keys)
+
+
 def _both(a: DataFrame, b: DataFrame, keys: list[str], set_: str) -> DataFrame:
-    return _sweep(_ends(a, keys, 1, 0).unionByName(_ends(b, keys, 0, 1)), keys, set_)
+    return _sweep(_dealt(_ends(a, keys, 1, 0).unionByName(_ends(b, keys, 0, 1)), keys), keys, set_)
 
 
 def normalize_runs(runs: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Maximal runs of each mask."""
     keys = [*(by or []), *ROW]
-    return _sweep(_ends(runs, keys, 1, 0), keys, "a > 0")
+    return _sweep(_dealt(_ends(runs, keys, 1, 0), keys), keys, "a > 0")
 
 
 def runs_and(a: DataFrame, b: DataFrame, by: list[str] | None = None) -> DataFrame:
